@@ -1,16 +1,890 @@
-"""The engine's queries over the given tables, with the SQL that they are checked against."""
+"""The engine's queries over the given tables, with the SQL that they are checked against.
+
+The tables stand in for the engine's own: documents for a corpus with versions
+and owners, orders and lineitem for documents and their relations, embeddings
+for chunks, conversations for messages, events for runs, calls and mail.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .functions import dates, ids, text, vectors
+from .operators import catalog, chunking, conversations, retrieval, telemetry
+from .plans.table_plan import compile_plan
+from .sources import files
+from .streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# stand-ins and their SQL
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    n = F.col("doc_id")
+    return d.select(
+        n.cast("string").alias("document_id"),
+        (n % 300).alias("logical_document_id"),
+        (F.floor(n / 300) + 1).alias("version_number"),
+        F.when(n % 3 != 0, F.concat(F.lit("u"), (n % 3).cast("string"))).alias("user_id"),
+        (n % 7 != 0).alias("is_active"),
+        F.substring("text", 1, 40).alias("title"),
+        F.col("source").alias("doc_category"),
+        F.when(n % 11 != 0, F.date_add(F.lit(date(2024, 1, 1)), (n % 365).cast("int"))).alias("doc_date"),
+        F.concat((n % 50).cast("string"), F.lit("/QĐ-"), F.col("lang")).alias("doc_number"),
+        "text",
+        "lang",
+    )
+
+
+CORPUS = """
+corpus AS (
+  SELECT doc_id::varchar AS document_id, doc_id % 300 AS logical_document_id, doc_id // 300 + 1 AS version_number,
+         CASE WHEN doc_id % 3 <> 0 THEN 'u' || (doc_id % 3) END AS user_id, doc_id % 7 <> 0 AS is_active, substr(text, 1, 40) AS title,
+         source AS doc_category, CASE WHEN doc_id % 11 <> 0 THEN date '2024-01-01' + (doc_id % 365)::int END AS doc_date,
+         (doc_id % 50) || '/QĐ-' || lang AS doc_number, text, lang
+  FROM documents)"""
+
+FOLD = "trim(regexp_replace(replace(replace(lower(strip_accents({0})), 'ß', 'ss'), 'đ', 'd'), '\\s+', ' ', 'g'))"
+
+
+def fold_sql(c: str) -> str:
+    return FOLD.format(c)
+
+
+# table plans
+
+
+@query(
+    """SELECT l_returnflag, sum(l_quantity) AS "sum(l_quantity)", round(avg(l_extendedprice), 4) AS "avg(l_extendedprice)", count(*) AS "count(*)"
+    FROM lineitem WHERE l_quantity >= 10 GROUP BY ALL"""
+)
+def plan_group(spark, sf_dir):
+    plan = {
+        "filters": [{"column": "L_Quantity", "op": ">=", "value": 10}],
+        "group_by": ["l_returnflag"],
+        "aggregates": [{"fn": "sum", "column": "l_quantity"}, {"fn": "avg", "column": "l_extendedprice"}, {"fn": "count", "column": "*"}],
+        "sort_by": "sum(l_quantity)",
+    }
+    out = compile_plan(plan, read(spark, sf_dir, "lineitem"))
+    return out.withColumn("avg(l_extendedprice)", F.round("avg(l_extendedprice)", 4))
+
+
+flagship = plan_group
+
+
+@query("SELECT min(o_totalprice) AS \"min(o_totalprice)\", max(o_totalprice) AS \"max(o_totalprice)\", count(*) AS \"count(*)\" FROM orders WHERE o_orderstatus = 'nothing'")
+def plan_global_empty(spark, sf_dir):
+    plan = {"filters": [{"column": "o_orderstatus", "op": "=", "value": "nothing"}], "aggregates": [{"fn": "min", "column": "o_totalprice"}, {"fn": "max", "column": "o_totalprice"}, {"fn": "count"}]}
+    return compile_plan(plan, read(spark, sf_dir, "orders"))
+
+
+@query(
+    """SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE lower(c_mktsegment) LIKE '%build%' AND c_acctbal > 1000
+    ORDER BY c_acctbal DESC, c_custkey LIMIT 7"""
+)
+def plan_select_contains(spark, sf_dir):
+    plan = {
+        "filters": [{"column": "c_mktsegment", "op": "contains", "value": "BUILD"}, {"column": "c_acctbal", "op": ">", "value": "1000"}],
+        "select": ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"],
+        "sort_by": "c_acctbal",
+        "limit": 7,
+    }
+    return compile_plan(plan, read(spark, sf_dir, "customer"), order="c_custkey").select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query("SELECT p_brand, count(CASE WHEN p_size <> 0 THEN 1 END) AS \"count(p_size)\", min(p_retailprice) AS \"min(p_retailprice)\" FROM part WHERE lower(p_type) <> 'x' GROUP BY ALL ORDER BY p_brand LIMIT 50")
+def plan_text_sort(spark, sf_dir):
+    plan = {"filters": [{"column": "p_type", "op": "!=", "value": "X"}], "group_by": ["P_Brand"], "aggregates": [{"fn": "count", "column": "p_size"}, {"fn": "min", "column": "p_retailprice"}], "sort_by": "p_brand", "descending": False, "limit": 500}
+    return compile_plan(plan, read(spark, sf_dir, "part"))
+
+
+@query("SELECT o_orderkey, round(o_totalprice, 2) AS amount FROM orders")
+def number_coercion(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    written = F.concat(text.local_number(F.round("o_totalprice", 2)), F.lit(" đ"))
+    return o.select("o_orderkey", F.round(text.to_number(F.when(F.round("o_totalprice", 2) >= 1000, written).otherwise(F.round("o_totalprice", 2).cast("string"))), 2).alias("amount"))
+
+
+# joins and catalog
+
+
+@query(
+    f"""WITH {CORPUS} SELECT document_id, lang, doc_category FROM corpus WHERE is_active AND (user_id = 'u1' OR user_id IS NULL)"""
+)
+def visible_documents(spark, sf_dir):
+    return corpus(spark, sf_dir).where(catalog.visible("u1")).select("document_id", "lang", "doc_category")
+
+
+@query(f"WITH {CORPUS} SELECT document_id FROM corpus WHERE is_active AND user_id IS NULL")
+def visible_to_nobody(spark, sf_dir):
+    return corpus(spark, sf_dir).where(catalog.visible(None)).select("document_id")
+
+
+def _profiles(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    return c.select("document_id", "title", "doc_category", F.col("lang").alias("doc_subtype"), "doc_number", text.document_number("doc_number").alias("doc_number_norm"), "doc_date", text.fold("title").alias("issuer_norm"), text.fold("title").alias("entity_names_norm"))
+
+
+def _owned(spark, sf_dir):
+    return corpus(spark, sf_dir).select("document_id", "user_id", "is_active", "title")
+
+
+_META = "is_active AND (user_id = 'u2' OR user_id IS NULL) AND doc_category IN ('src0', 'src3')"
+
+
+@query(f"WITH {CORPUS} SELECT count(*) AS n FROM corpus WHERE {_META} AND doc_date >= date '2024-03-01' AND doc_date <= date '2024-09-30'")
+def metadata_count(spark, sf_dir):
+    spec = catalog.MetadataFilter(categories=("src0", "src3"), date_from=date(2024, 3, 1), date_to=date(2024, 9, 30), operation="count")
+    return catalog.query_metadata(_owned(spark, sf_dir), _profiles(spark, sf_dir), spec, "u2")
+
+
+@query(f"WITH {CORPUS} SELECT document_id, title, doc_date FROM corpus WHERE {_META} ORDER BY doc_date DESC NULLS LAST, title, document_id LIMIT 50")
+def metadata_list(spark, sf_dir):
+    out = catalog.query_metadata(_owned(spark, sf_dir), _profiles(spark, sf_dir), catalog.MetadataFilter(categories=("src0", "src3")), "u2")
+    return out.select("document_id", "title", "doc_date")
+
+
+@query(f"WITH {CORPUS} SELECT document_id FROM corpus WHERE {_META} ORDER BY doc_date DESC NULLS LAST, title, document_id LIMIT 1")
+def metadata_latest(spark, sf_dir):
+    spec = catalog.MetadataFilter(categories=("src0", "src3"), operation="latest")
+    return catalog.query_metadata(_owned(spark, sf_dir), _profiles(spark, sf_dir), spec, "u2").select("document_id")
+
+
+@query(f"WITH {CORPUS} SELECT document_id, doc_number FROM corpus WHERE is_active AND user_id IS NULL AND doc_number LIKE '4/%' ORDER BY doc_date DESC NULLS LAST, title, document_id LIMIT 50")
+def metadata_number_prefix(spark, sf_dir):
+    out = catalog.query_metadata(_owned(spark, sf_dir), _profiles(spark, sf_dir), catalog.MetadataFilter(doc_number="4"), None)
+    return out.select("document_id", "doc_number")
+
+
+@query(f"WITH {CORPUS} SELECT count(*) AS n FROM corpus WHERE is_active AND user_id IS NULL AND contains({fold_sql('title')}, 'an')")
+def metadata_issuer(spark, sf_dir):
+    return catalog.query_metadata(_owned(spark, sf_dir), _profiles(spark, sf_dir), catalog.MetadataFilter(issuer="ÁN", operation="count"), None)
+
+
+def _orders(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("document_id"), F.lit(None).cast("string").alias("user_id"), (F.col("o_orderstatus") != "P").alias("is_active"), F.col("o_orderdate").cast("date").alias("doc_date"), F.col("o_orderpriority").alias("title"))
+
+
+def _relations(spark, sf_dir):
+    line = read(spark, sf_dir, "lineitem")
+    return line.select(F.col("l_orderkey").alias("document_id"), F.col("l_returnflag").alias("relation_type"), F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")).alias("target_text"), F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")).alias("target_norm"), F.col("l_partkey").cast("string").alias("target_number_norm"))
+
+
+_ANCHORED = """anchored AS (
+  SELECT o_orderkey FROM orders o WHERE o_orderstatus <> 'P'
+    AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'R' AND contains('supplier ' || l_suppkey, 'supplier 1'))
+    AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag IN ('A', 'N'))
+  ORDER BY o_orderdate::date DESC NULLS LAST, o_orderpriority, o_orderkey LIMIT 30)"""
+ANCHORS = [catalog.Anchor(("R",), name="Supplier 1"), catalog.Anchor(("A", "N"))]
+
+
+@query(f"WITH {_ANCHORED} SELECT o_orderkey AS document_id FROM anchored")
+def relation_documents(spark, sf_dir):
+    return catalog.anchored_documents(_orders(spark, sf_dir), _relations(spark, sf_dir), ANCHORS, "u1").select("document_id")
+
+
+@query(
+    f"""WITH {_ANCHORED} SELECT DISTINCT l_orderkey AS document_id, l_returnflag AS relation_type, 'supplier ' || l_suppkey AS target_text
+    FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM anchored) AND l_returnflag IN ('R', 'A')
+    AND (l_returnflag <> 'R' OR contains('supplier ' || l_suppkey, 'supplier 1'))"""
+)
+def relation_facts(spark, sf_dir):
+    return catalog.relation_facts(_orders(spark, sf_dir), _relations(spark, sf_dir), ANCHORS, ("R", "A"), "u1")
+
+
+@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+def stale_targets(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return catalog.stale(c, read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+
+
+@query("SELECT o_orderkey FROM orders o WHERE o_orderdate < timestamp '1996-01-01' AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_linestatus <> 'F')")
+def expired_runs(spark, sf_dir):
+    runs = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("created_at"))
+    box = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.when(F.col("l_linestatus") == "F", "delivered").otherwise("pending").alias("status"))
+    return catalog.expired_runs(runs, box, F.lit("1996-01-01").cast("timestamp_ntz")).select(F.col("run_id").alias("o_orderkey"))
+
+
+@query("SELECT n_name, r_name, count(c_custkey) AS n_customers FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
+def inner_then_left(spark, sf_dir):
+    n, r, c = (read(spark, sf_dir, t) for t in ("nation", "region", "customer"))
+    return n.join(r, n.n_regionkey == r.r_regionkey).join(c, n.n_nationkey == c.c_nationkey, "left").groupBy("n_name", "r_name").agg(F.count("c_custkey").alias("n_customers"))
+
+
+# versions and upserts
+
+
+@query(f"WITH {CORPUS} SELECT logical_document_id, max(version_number) AS version_number, arg_max(document_id, version_number) AS document_id FROM corpus GROUP BY 1")
+def latest_versions(spark, sf_dir):
+    return catalog.with_latest(corpus(spark, sf_dir).select("logical_document_id", "version_number", "document_id")).select("logical_document_id", "version_number", "document_id")
+
+
+@query(f"WITH {CORPUS} SELECT document_id, version_number = max(version_number) OVER (PARTITION BY logical_document_id) AS is_active FROM corpus")
+def activate_versions(spark, sf_dir):
+    return catalog.activated(corpus(spark, sf_dir)).select("document_id", "is_active")
+
+
+@query(
+    f"""WITH {CORPUS}, old AS (SELECT document_id, sha256(text) AS h, document_id::int % 13 = 0 AS failed FROM corpus WHERE document_id::int % 5 <> 0),
+    new AS (SELECT document_id, sha256(CASE WHEN document_id::int % 4 = 0 THEN text || 'x' ELSE text END) AS h FROM corpus WHERE document_id::int % 6 <> 0)
+    SELECT coalesce(old.document_id, new.document_id) AS document_id,
+      CASE WHEN old.h IS NULL THEN 'NEW' WHEN new.h IS NULL THEN 'DELETED' WHEN failed THEN 'RETRY' WHEN old.h = new.h THEN 'UNCHANGED' ELSE 'MODIFIED' END AS decision
+    FROM old FULL JOIN new ON old.document_id = new.document_id"""
+)
+def ingest_decisions(spark, sf_dir):
+    c, n = corpus(spark, sf_dir), F.col("document_id").cast("int")
+    old = c.where(n % 5 != 0).select("document_id", ids.content_hash("text").alias("h"), (n % 13 == 0).alias("failed"))
+    new = c.where(n % 6 != 0).select("document_id", ids.content_hash(F.when(n % 4 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))).alias("h"))
+    return catalog.decide(old, new, "document_id", "h", failed=F.col("failed"))
+
+
+@query(f"WITH {CORPUS} SELECT logical_document_id, count(*) + 1 AS version_number FROM corpus GROUP BY 1")
+def next_versions(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    return catalog.next_versions(c, c.select("logical_document_id").distinct()).select("logical_document_id", "version_number")
+
+
+@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 10 = 0 THEN 'manual' END, source) AS source, lang FROM documents")
+def merge_overrides(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    old = d.select("doc_id", F.when(F.col("doc_id") % 10 == 0, "manual").alias("source"), F.lit(None).cast("string").alias("lang"))
+    return catalog.merge_overrides(d, old, "doc_id", ("source", "lang"))
+
+
+@query("SELECT user_id, event_type FROM events WHERE ts >= timestamp '2024-01-15' GROUP BY ALL EXCEPT SELECT user_id, event_type FROM events WHERE ts < timestamp '2024-01-15'")
+def insert_absent(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", "event_type", "ts")
+    cut = F.lit("2024-01-15").cast("timestamp_ntz")
+    return catalog.insert_absent(e.where(F.col("ts") < cut), e.where(F.col("ts") >= cut), ["user_id", "event_type"]).select("user_id", "event_type")
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) > 1 AS stale FROM events")
+def supersede(spark, sf_dir):
+    return catalog.superseded(read(spark, sf_dir, "events"), ["user_id", "event_type"], "ts").select("event_id", "stale")
+
+
+@query("SELECT event_id FROM events WHERE event_type IN ('click', 'view') AND ((event_type = 'click' AND ts <= timestamp '2024-01-10') OR (event_type = 'view' AND ts < timestamp '2024-01-10' - interval 15 minute)) ORDER BY ts, event_id LIMIT 50")
+def claim_queue(spark, sf_dir):
+    e = read(spark, sf_dir, "events").where("event_type in ('click', 'view')")
+    q = e.select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "click", "pending").otherwise("claimed").alias("status"), F.col("ts").alias("created_at"), F.col("ts").alias("next_attempt_at"), F.col("ts").alias("claimed_at"))
+    return catalog.claimable(q, F.lit("2024-01-10").cast("timestamp_ntz")).select(F.col("id").alias("event_id"))
+
+
+@query("SELECT user_id, count(*) AS n_runs, sum((value > 50)::int)::bigint AS needs_review FROM events GROUP BY 1")
+def review_tallies(spark, sf_dir):
+    p = read(spark, sf_dir, "events").select(F.col("user_id").alias("doc_category"), (F.col("value") > 50).alias("needs_review"))
+    return telemetry.tallies(p).select(F.col("doc_category").alias("user_id"), F.col("n").alias("n_runs"), "needs_review")
+
+
+# retrieval
+
+
+def _chunks(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("chunk_id"), (F.floor(F.col("vec_id") / 20)).alias("document_id"), (F.floor(F.col("vec_id") / 5)).alias("parent_id"), (F.col("vec_id") % 5).cast("int").alias("chunk_index"), "embedding")
+
+
+def _queries(spark, sf_dir, n: int = 12):
+    return read(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+_DENSE = """q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 12),
+scored AS (SELECT query_id, vec_id AS chunk_id, vec_id // 20 AS document_id, list_cosine_similarity(v::double[], embedding::double[]) AS score FROM q, embeddings),
+dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS dense_rank FROM scored QUALIFY dense_rank <= 10),
+sparse AS (SELECT query_id, vec_id AS chunk_id, vec_id // 20 AS document_id, row_number() OVER (PARTITION BY query_id ORDER BY abs(vec_id - query_id), vec_id) AS sparse_rank
+  FROM q, embeddings WHERE vec_id % 3 = query_id % 3 QUALIFY sparse_rank <= 10),
+fused AS (
+  SELECT query_id, chunk_id, coalesce(d.document_id, s.document_id) AS document_id, dense_rank, sparse_rank,
+         coalesce(1.0 / (60 + dense_rank), 0)::double + coalesce(1.0 / (60 + sparse_rank), 0)::double AS fusion_score
+  FROM dense d FULL JOIN sparse s USING (query_id, chunk_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fusion_score, 12) DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST, chunk_id) AS rank FROM fused)"""
+
+
+def _dense(spark, sf_dir):
+    return retrieval.dense(_queries(spark, sf_dir), _chunks(spark, sf_dir), 10)
+
+
+def _sparse(spark, sf_dir):
+    q = _queries(spark, sf_dir).select("query_id")
+    pairs = _chunks(spark, sf_dir).join(F.broadcast(q), F.col("chunk_id") % 3 == F.col("query_id") % 3)
+    pairs = pairs.select("query_id", "chunk_id", "document_id", (-F.abs(F.col("chunk_id") - F.col("query_id"))).alias("score"))
+    return retrieval.best(pairs, "score", "sparse_rank", 10)
+
+
+def _fused(spark, sf_dir):
+    return retrieval.fuse(_dense(spark, sf_dir), _sparse(spark, sf_dir))
+
+
+@query(f"WITH {_DENSE} SELECT query_id, chunk_id, round(score, 6) AS score, dense_rank FROM dense")
+def dense_top_k(spark, sf_dir):
+    return _dense(spark, sf_dir).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("dense_rank").cast("long").alias("dense_rank"))
+
+
+@query(f"WITH {_DENSE} SELECT query_id, chunk_id, dense_rank, sparse_rank, round(fusion_score, 9) AS fusion_score, rank FROM ranked")
+def hybrid_fusion(spark, sf_dir):
+    ranks = [F.col(c).cast("long").alias(c) for c in ("dense_rank", "sparse_rank", "rank")]
+    return _fused(spark, sf_dir).select("query_id", "chunk_id", ranks[0], ranks[1], F.round("fusion_score", 9).alias("fusion_score"), ranks[2])
+
+
+@query(
+    f"""WITH {_DENSE}, keyed AS (SELECT r.*, chunk_id % 7 AS body FROM ranked r),
+    once AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY query_id, body ORDER BY rank) = 1),
+    capped AS (SELECT *, least(2, greatest(1, ceil(count(*) OVER (PARTITION BY query_id) / 3.0))) AS cap, row_number() OVER (PARTITION BY query_id, document_id ORDER BY rank) AS n FROM once)
+    SELECT query_id, chunk_id, rank FROM capped WHERE n <= cap"""
+)
+def diversity_chain(spark, sf_dir):
+    c = _fused(spark, sf_dir).withColumn("content_raw", F.concat(F.lit(" Body  "), (F.col("chunk_id") % 7).cast("string")))
+    return retrieval.diversify(c, cap=2, requested=F.lit(3)).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {_DENSE} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id % 10 DESC, rank) AS rerank_rank FROM ranked QUALIFY rerank_rank <= 8 AND chunk_id % 10 >= 2")
+def rerank_threshold(spark, sf_dir):
+    out = retrieval.rerank(_fused(spark, sf_dir), (F.col("chunk_id") % 10).cast("double"), 8, 2.0)
+    return out.select("query_id", "chunk_id", F.col("rerank_rank").cast("long").alias("rerank_rank"))
+
+
+_PARENTS = """hits AS (SELECT query_id, chunk_id, CASE WHEN chunk_id % 9 <> 0 THEN chunk_id // 5 END AS parent_id, fusion_score AS score, rank FROM ranked),
+grouped AS (SELECT query_id, parent_id, max(score) + 0.1 * least(count(*) - 1, 5) AS priority, min(rank) AS first, count(*) AS hits, arg_min(chunk_id, rank) AS chunk_id FROM hits WHERE parent_id IS NOT NULL GROUP BY ALL),
+units AS (
+  SELECT query_id, CASE WHEN parent_id % 4 <> 0 THEN 'PARENT' ELSE 'CHILD' END AS kind, CASE WHEN parent_id % 4 <> 0 THEN parent_id ELSE chunk_id END AS unit_id, priority, first, hits FROM grouped
+  UNION ALL SELECT query_id, 'CHILD', chunk_id, score, rank, 1 FROM hits WHERE parent_id IS NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(priority, 12) DESC, first) AS unit_rank FROM units)"""
+
+
+def _hits(spark, sf_dir):
+    return _fused(spark, sf_dir).select("query_id", "chunk_id", F.when(F.col("chunk_id") % 9 != 0, F.floor(F.col("chunk_id") / 5)).alias("parent_id"), "document_id", F.col("fusion_score").alias("score"), "rank")
+
+
+def _units(spark, sf_dir):
+    parents = _chunks(spark, sf_dir).select("parent_id").distinct().where("parent_id % 4 <> 0")
+    return retrieval.expand_parents(_hits(spark, sf_dir), parents)
+
+
+@query(f"WITH {_DENSE}, {_PARENTS} SELECT query_id, kind, unit_id, hits, round(priority, 6) AS priority, unit_rank FROM placed")
+def expand_parents(spark, sf_dir):
+    return _units(spark, sf_dir).select("query_id", "kind", "unit_id", "hits", F.round("priority", 6).alias("priority"), F.col("unit_rank").cast("long").alias("unit_rank"))
+
+
+@query(
+    f"""WITH {_DENSE}, {_PARENTS}, wanted AS (SELECT DISTINCT query_id, parent_id, chunk_id % 5 + d AS i FROM hits, (VALUES (-1), (0), (1)) AS t(d) WHERE parent_id IS NOT NULL)
+    SELECT query_id, parent_id, string_agg(vec_id, ',' ORDER BY vec_id) AS chunk_ids FROM wanted JOIN embeddings ON vec_id // 5 = parent_id AND vec_id % 5 = i GROUP BY ALL"""
+)
+def expand_neighbours(spark, sf_dir):
+    c = _chunks(spark, sf_dir).withColumn("content_raw", F.col("chunk_id").cast("string"))
+    return retrieval.expand_neighbours(_hits(spark, sf_dir), c).select("query_id", "parent_id", F.array_join(F.transform("chunk_ids", lambda x: x.cast("string")), ",").alias("chunk_ids"))
+
+
+@query(
+    f"""WITH RECURSIVE {_DENSE}, {_PARENTS}, sized AS (SELECT query_id, unit_rank, 20 + unit_id % 60 AS t FROM placed),
+    fold AS (
+      SELECT query_id, 0::bigint AS place, 0::bigint AS used, 0::bigint AS kept FROM q
+      UNION ALL
+      SELECT f.query_id, f.place + 1, CASE WHEN f.used + s.t <= 250 THEN f.used + s.t ELSE f.used END, f.kept + (f.used + s.t <= 250)::int
+      FROM fold f JOIN sized s ON s.query_id = f.query_id AND s.unit_rank = f.place + 1)
+    SELECT query_id, max(used) AS total_tokens, max(kept) AS n_kept, max(place) - max(kept) AS dropped FROM fold GROUP BY 1"""
+)
+def pack_budget(spark, sf_dir):
+    units = _units(spark, sf_dir).withColumn("tokens", 20 + F.col("unit_id") % 60)
+    return retrieval.pack(units, 250).select("query_id", "total_tokens", F.size("kept").cast("long").alias("n_kept"), F.col("dropped").cast("long").alias("dropped"))
+
+
+@query(
+    f"""WITH {_DENSE}, asked AS (SELECT query_id, unnest([query_id // 20, query_id + 1, query_id + 2]) AS document_id FROM q),
+    n AS (SELECT a.query_id, a.document_id, count(r.chunk_id) AS n FROM asked a LEFT JOIN ranked r USING (query_id, document_id) GROUP BY ALL)
+    SELECT query_id, CASE WHEN count(*) FILTER (n > 0) > 1 THEN round(min(n) FILTER (n > 0) / max(n), 6) ELSE 0 END::double AS balance, count(*) FILTER (n = 0) AS missing FROM n GROUP BY 1"""
+)
+def compare_balance(spark, sf_dir):
+    asked = _queries(spark, sf_dir).select("query_id", F.explode(F.array(F.floor(F.col("query_id") / 20), F.col("query_id") + 1, F.col("query_id") + 2)).alias("document_id"))
+    return retrieval.compare_balance(_fused(spark, sf_dir), asked).select("query_id", F.round("balance", 6).alias("balance"), "missing")
+
+
+@query(
+    f"""WITH {_DENSE}, b AS (SELECT query_id, count(*) AS n_items, list(document_id::varchar) AS used, max(fusion_score) AS best FROM ranked WHERE query_id % 5 <> 4 GROUP BY 1)
+    SELECT q.query_id, CASE WHEN coalesce(n_items, 0) < 12 THEN 'INSUFFICIENT' WHEN q.query_id % 2 = 0 AND NOT list_contains(used, '1') THEN 'PARTIAL' WHEN best < 0.03 THEN 'INSUFFICIENT' ELSE 'SUFFICIENT' END AS status
+    FROM q LEFT JOIN b USING (query_id)"""
+)
+def sufficiency(spark, sf_dir):
+    b = _fused(spark, sf_dir).where("query_id % 5 <> 4").groupBy("query_id").agg(F.count("*").alias("n_items"), F.collect_set(F.col("document_id").cast("string")).alias("documents_used"), F.max("fusion_score").alias("best_score"))
+    bundles = _queries(spark, sf_dir).select("query_id").join(b, "query_id", "left").select(
+        "query_id", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("documents_used", F.array().cast("array<string>")).alias("documents_used"), "best_score",
+        F.array(F.lit("1")).alias("requested"), F.when(F.col("query_id") % 2 == 0, "COMPARE_DOCUMENTS").otherwise("CORPUS").alias("mode"),
+    )
+    return retrieval.sufficiency(bundles, 12, 0.03).select("query_id", "status")
+
+
+def _index(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content_raw"))
+    return retrieval.postings(d)
+
+
+_TERMS = rf"words AS (SELECT doc_id AS chunk_id, list_filter(regexp_split_to_array({fold_sql('text')}, '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '') AS w FROM documents)"
+
+
+@query(
+    f"""WITH {_TERMS}, p AS (SELECT chunk_id, unnest(w) AS term, unnest(generate_series(0, len(w) - 1)) AS pos FROM words)
+    SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS n, min(pos) AS first FROM p GROUP BY 1"""
+)
+def inverted_index(spark, sf_dir):
+    return _index(spark, sf_dir).groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("n"), F.min(F.array_min("positions")).cast("long").alias("first"))
+
+
+@query(
+    f"""WITH {_TERMS}, p AS (SELECT chunk_id, unnest(w) AS term, unnest(generate_series(0, len(w) - 1)) AS pos FROM words),
+    kept AS (SELECT chunk_id FROM words WHERE list_contains(w, 'with') AND NOT list_contains(w, 'from')
+      AND EXISTS (SELECT 1 FROM p a JOIN p b ON a.chunk_id = b.chunk_id AND b.pos = a.pos + 1 WHERE a.chunk_id = words.chunk_id AND a.term = 'of' AND b.term = 'the')),
+    scored AS (SELECT chunk_id, count(*)::double / (max(pos) - min(pos) + 1) AS score FROM p SEMI JOIN kept USING (chunk_id) WHERE term IN ('with', 'of', 'the') GROUP BY 1)
+    SELECT chunk_id, round(score, 9) AS score, row_number() OVER (ORDER BY score DESC, chunk_id) AS sparse_rank FROM scored QUALIFY sparse_rank <= 25"""
+)
+def sparse_search(spark, sf_dir):
+    q = spark.createDataFrame([(1, ["with"], [["of", "the"]], [], ["from"])], "query_id long, terms array<string>, phrases array<array<string>>, any_of array<string>, none_of array<string>")
+    return retrieval.sparse(q, _index(spark, sf_dir), 25).select("chunk_id", F.round("score", 9).alias("score"), F.col("sparse_rank").cast("long").alias("sparse_rank"))
+
+
+@query(
+    """WITH w AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+') AS w FROM documents WHERE lang = 'en'), p AS (SELECT doc_id, unnest(w) AS a, unnest(generate_series(1, len(w))) AS i FROM w),
+    two AS (SELECT x.doc_id, x.i, x.a || ' ' || y.a AS name FROM p x JOIN p y ON x.doc_id = y.doc_id AND y.i = x.i + 1 WHERE x.a = 'of' AND y.a = 'the')
+    SELECT doc_id AS text_id, 'of the' AS name, count(*) AS n FROM two GROUP BY 1
+    UNION ALL SELECT p.doc_id, 'the', count(*) FROM p LEFT JOIN two ON two.doc_id = p.doc_id AND p.i = two.i + 1 WHERE a = 'the' AND two.i IS NULL GROUP BY 1"""
+)
+def dictionary_matches(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("text_id"), "text")
+    names = spark.createDataFrame([("of the",), ("the",)], "name string")
+    return conversations.dictionary_matches(d, names).groupBy("text_id", "name").agg(F.count("*").alias("n"))
+
+
+# evaluation
+
+
+_RANKED = f"""{_DENSE}, lists AS (SELECT query_id, list(chunk_id ORDER BY rank) AS found, list_distinct([query_id, query_id + 3, query_id * 7]) AS expected FROM ranked GROUP BY 1)"""
+
+
+@query(
+    f"""WITH {_RANKED}, hits AS (SELECT query_id, expected, found, [i FOR i IN generate_series(1, len(found)) IF list_contains(expected, found[i])] AS places FROM lists)
+    SELECT query_id, round_even(len([x FOR x IN places IF x <= 10]) / len(expected), 4)::double AS recall, coalesce(round_even(1.0::double / list_min(places), 4), 0)::double AS mrr,
+      round_even(coalesce(list_sum([1.0::double / log2(x + 1) FOR x IN places IF x <= 10]), 0) / list_sum([1.0::double / log2(x + 1) FOR x IN generate_series(1, len(expected))]), 4)::double AS ndcg
+    FROM hits"""
+)
+def ranking_metrics(spark, sf_dir):
+    lists = _fused(spark, sf_dir).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda s: s["chunk_id"]).alias("found"))
+    q = F.col("query_id")
+    lists = lists.withColumn("expected", F.array_distinct(F.array(q, q + 3, q * 7)))
+    return lists.select("query_id", vectors.recall_at("found", "expected").alias("recall"), vectors.reciprocal_rank("found", "expected").alias("mrr"), vectors.ndcg_at("found", "expected").alias("ndcg"))
+
+
+@query("SELECT event_type AS metric, round_even(avg(CASE WHEN user_id % 4 <> 0 THEN value END), 4) AS mean, count(*) FILTER (user_id % 4 <> 0) AS measured, count(*) FILTER (user_id % 4 = 0) AS skipped FROM events GROUP BY 1")
+def metric_means(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.create_map(F.col("event_type"), F.when(F.col("user_id") % 4 != 0, F.col("value"))).alias("metrics"))
+    return telemetry.metric_means(e)
+
+
+@query(
+    """WITH b AS (SELECT event_type AS metric, avg(value) AS mean FROM events WHERE ts < timestamp '2024-01-15' GROUP BY 1), c AS (SELECT event_type AS metric, avg(value) AS mean FROM events WHERE ts >= timestamp '2024-01-15' GROUP BY 1)
+    SELECT metric FROM b JOIN c USING (metric) WHERE c.mean < b.mean - 0.02"""
+)
+def metric_regressions(spark, sf_dir):
+    e, cut = read(spark, sf_dir, "events"), F.lit("2024-01-15").cast("timestamp_ntz")
+    b, c = (e.where(w).groupBy(F.col("event_type").alias("metric")).agg(F.avg("value").alias("mean")) for w in (F.col("ts") < cut, F.col("ts") >= cut))
+    return telemetry.regressions(b, c).select("metric")
+
+
+@query(
+    """WITH r AS (SELECT event_type, value, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY value))
+    SELECT event_type, max(value) FILTER (i = n // 2) AS p50, max(value) FILTER (i = floor(n * 0.95::double)) AS p95, min(value) AS least, max(value) AS most FROM r GROUP BY 1"""
+)
+def latency_percentiles(spark, sf_dir):
+    return telemetry.indexed_percentiles(read(spark, sf_dir, "events"), ["event_type"], "value")
+
+
+@query(
+    """WITH runs AS (SELECT o_orderkey AS run_id, o_orderpriority AS skill FROM orders), paths AS (SELECT l_orderkey AS run_id, string_agg(l_returnflag, '>' ORDER BY l_linenumber) AS path FROM lineitem GROUP BY 1),
+    c AS (SELECT skill, path, count(*) AS n FROM runs JOIN paths USING (run_id) GROUP BY ALL)
+    SELECT skill, sum(n)::bigint AS runs, max(n) AS of_path, round(max(n) / sum(n), 6)::double AS share FROM c GROUP BY 1"""
+)
+def tool_paths(spark, sf_dir):
+    runs = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("skill"))
+    calls = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("executed_at"), F.col("l_returnflag").alias("tool_name"))
+    return telemetry.tool_paths(runs, calls, least_runs=1, least_share=0.0, least_path=1).select("skill", "runs", "of_path", F.round("share", 6).alias("share"))
+
+
+@query("SELECT event_type, round_even(avg(value), 1) AS avg_latency_ms, round_even(avg(user_id), 2) AS avg_calls FROM events GROUP BY 1")
+def run_averages(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_type", F.col("value").alias("total_latency_ms"), F.col("user_id").alias("llm_call_count"))
+    return telemetry.run_averages(e, "event_type")
+
+
+@query(
+    """WITH r AS (SELECT user_id, event_id, sum(value) OVER (PARTITION BY user_id ORDER BY event_id) AS running FROM events)
+    SELECT user_id, min(event_id) AS event_id FROM r WHERE running > 300 GROUP BY 1"""
+)
+def budget_breach(spark, sf_dir):
+    return telemetry.first_breach(read(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value", F.lit(300)).select("user_id", "event_id")
+
+
+@query("SELECT event_type AS target, count(DISTINCT event_id) AS n FROM events WHERE event_type IN ('click', 'error') GROUP BY 1")
+def outbox_projection(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumns({"outbox_id": F.col("event_id"), "event_kind": F.col("event_type")})
+    parts = telemetry.project_outbox(e.union(e.limit(10)), {"click": "clicks", "error": "errors"})
+    return parts["clicks"].union(parts["errors"]).groupBy(F.col("event_type").alias("target")).agg(F.count("*").alias("n"))
+
+
+# texts
+
+
+@query(f"SELECT doc_id, sha256({fold_sql('text')}) AS folded FROM documents")
+def folded_text(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(text.fold("text"), 256).alias("folded"))
+
+
+@query(
+    r"""WITH m AS (SELECT doc_id, length(text) AS n, len(regexp_extract_all(text, '\|')) AS bars, len(regexp_extract_all(text, '[`>\-*#]')) AS marks FROM documents)
+    SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE greatest(1, ceil(greatest(n - bars - marks, 0) / 4.0::double * 1.08::double + bars * 2 + marks)) END::int AS tokens FROM m"""
+)
+def token_estimates(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", text.estimate_tokens("text").alias("tokens"))
+
+
+def _secret_sql() -> str:
+    out = "text"
+    for p in text.SECRET_PATTERNS:
+        out = f"regexp_replace({out}, '{p}', '[REDACTED_SECRET]', 'g')"
+    return rf"regexp_replace({out}, '{text.EMAIL_PATTERN}', '\1***@[REDACTED]', 'g')"
+
+
+@query(f"WITH r AS (SELECT doc_id, {_secret_sql()} AS t FROM documents) SELECT doc_id, sha256(CASE WHEN length(t) > 500 THEN substr(t, 1, 500) || '... [TRUNCATED]' ELSE t END) AS redacted, t LIKE '%[REDACTED%' AS found FROM r")
+def redaction(spark, sf_dir):
+    full = text.redact("text", limit=None)
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(text.redact("text"), 256).alias("redacted"), F.contains(full, F.lit("[REDACTED")).alias("found"))
+
+
+@query(r"SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> '' GROUP BY lower(trim(regexp_replace(text, '\s+', ' ', 'g')))")
+def copy_keys(spark, sf_dir):
+    return read(spark, sf_dir, "documents").withColumn("k", text.copy_key("text")).where("k <> ''").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).drop("k")
+
+
+@query(f"WITH {CORPUS} SELECT document_id, nullif(regexp_replace(upper({fold_sql('doc_number')}), '[^0-9A-Z]', '', 'g'), '') AS number FROM corpus")
+def document_numbers(spark, sf_dir):
+    return corpus(spark, sf_dir).select("document_id", text.document_number("doc_number").alias("number"))
+
+
+@query("SELECT doc_id, sha256(text) AS hash, substr(sha256(doc_id || chr(0) || lang), 1, 16) AS input FROM documents")
+def content_hashes(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", ids.content_hash("text").alias("hash"), F.substring(ids.joined_hash("doc_id", "lang"), 1, 16).alias("input"))
+
+
+@query("SELECT doc_id, 'ldg-' || substr(sha256('[\"' || source || '\",\"' || doc_id || '\"]'), 1, 32) AS id FROM documents")
+def stable_ids(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", ids.stable_id("ldg-", "source", "doc_id").alias("id"))
+
+
+@query("SELECT doc_id, sha256('{\"lang\":' || coalesce('\"' || lang || '\"', 'null') || ',\"n\":\"' || n_chars || '\",\"none\":null}') AS print FROM documents")
+def fingerprints(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", ids.fingerprint(lang="lang", n="n_chars", none=F.lit(None)).alias("print"))
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')) AS n FROM documents WHERE regexp_matches(text, '[.!?…]\s+\S')")
+def sentence_counts(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where(F.col("text").rlike(r"[.!?…]\s+\S")).select("doc_id", F.size(text.sentences("text")).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 42 THEN substr(text, 1, 42) || '...' ELSE text END AS title FROM documents")
+def short_titles(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", text.short_title("text").alias("title"))
+
+
+@query("SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS site, regexp_matches(url, '^https://.*$') AS secure FROM pages")
+def glob_match(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/]+)", 1).alias("site"), text.glob("url", "https://*").alias("secure"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE list_has_all(regexp_split_to_array({fold_sql('text')}, '[^\\p{{L}}\\p{{N}}]+'), ['the', 'from', 'with'])")
+def trigger_matches(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where(text.trigger_matches("text", "With FROM the")).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains({fold_sql('text')}, 'und') AND contains({fold_sql('text')}, 'schau')")
+def all_words_match(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where(text.all_words("text", "Und SCHAU")).select("doc_id")
+
+
+@query("SELECT doc_id, 'en' AS lang FROM documents")
+def vietnamese_or_english(spark, sf_dir):
+    plain = F.regexp_replace(F.translate("text", "àâãáèéêìíòóôõùúýÀÂÃÁÈÉÊÌÍÒÓÔÕÙÚÝ", ""), r"\p{M}", "")
+    return read(spark, sf_dir, "documents").select("doc_id", text.vietnamese_or_english(plain).alias("lang"))
+
+
+@query(
+    """WITH t AS (SELECT event_id, ts::date AS d FROM events)
+    SELECT event_id, d FROM t"""
+)
+def any_date_forms(spark, sf_dir):
+    k = F.col("event_id") % 4
+    ts = F.col("ts").cast("timestamp")
+    written = (
+        F.when(k == 0, F.date_format(ts, "yyyy-MM-dd"))
+        .when(k == 1, F.date_format(ts, "dd/MM/yyyy"))
+        .when(k == 2, F.concat(F.lit("ngày "), F.date_format(ts, "dd"), F.lit(" tháng "), F.date_format(ts, "MM"), F.lit(" năm "), F.date_format(ts, "yyyy")))
+        .otherwise(F.date_format(ts, "MMMM dd, yyyy"))
+    )
+    return read(spark, sf_dir, "events").select("event_id", dates.any_date(written).alias("d"))
+
+
+@query(
+    """SELECT event_id FROM events WHERE isodow(ts) IN (1, 3, 5) AND hour(ts) * 60 + minute(ts) >= 480 AND hour(ts) * 60 + minute(ts) < 600 AND (user_id % 2 = 0 OR date '2024-01-10' < ts::date)"""
+)
+def routine_due(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumns({"start": F.lit(480), "days": F.array(F.lit(1), F.lit(3), F.lit(5)), "last": F.when(F.col("user_id") % 2 != 0, F.lit("2024-01-10").cast("timestamp_ntz"))})
+    return e.where(dates.routine_due("start", "days", "last", "ts")).select("event_id")
+
+
+@query("SELECT event_id, least(300, pow(2, least(event_id % 12, 8)))::int AS wait FROM events")
+def backoff(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", dates.backoff_seconds(F.col("event_id") % 12).alias("wait"))
+
+
+@query("SELECT event_id, (props->>'k')::int AS k FROM events")
+def json_access(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", F.get_json_object(ids.first_object(F.concat(F.lit("x "), "props", F.lit(" y"))), "$.k").cast("int").alias("k"))
+
+
+@query("SELECT event_id, 1 AS n_kept FROM events")
+def sensitive_keys(spark, sf_dir):
+    m = F.create_map(F.lit("accessToken"), F.lit("x"), F.lit("api-key"), F.lit("y"), F.lit("total_tokens"), F.lit("z"))
+    return read(spark, sf_dir, "events").select("event_id", F.size(ids.without_secrets(m)).alias("n_kept"))
+
+
+# vectors
+
+
+@query("SELECT vec_id, round(sqrt(list_sum([x * x FOR x IN embedding::double[]])), 6) AS norm, true AS valid FROM embeddings")
+def vector_norms(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.norm("embedding"), 6).alias("norm"), vectors.valid_vector("embedding", 64).alias("valid"))
+
+
+# conversations
+
+
+def _messages(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").alias("conversation_id"), "turn", "role", F.col("text").alias("content"))
+
+
+@query("SELECT conv_id AS conversation_id, count(*) AS n_messages FROM conversations GROUP BY 1 UNION ALL SELECT -1, 0")
+def message_counts(spark, sf_dir):
+    m = _messages(spark, sf_dir)
+    all_of = m.select("conversation_id").distinct().union(spark.createDataFrame([(-1,)], "conversation_id long"))
+    return conversations.message_counts(all_of, m)
+
+
+@query("SELECT conv_id AS conversation_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3)")
+def last_messages(spark, sf_dir):
+    return conversations.last_messages(_messages(spark, sf_dir), 3).select("conversation_id", "turn", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT conv_id AS conversation_id, arg_max(text, turn) AS content, max(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY 1")
+def latest_answer(spark, sf_dir):
+    return conversations.latest_of_role(_messages(spark, sf_dir), "assistant")
+
+
+@query(
+    """WITH m AS (SELECT conv_id, turn, role, length(text) AS t, row_number() OVER w AS n, count(*) OVER p AS c, sum(length(text)) OVER p AS total, lead(role) OVER w AS next
+      FROM conversations WINDOW p AS (PARTITION BY conv_id), w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT conv_id AS conversation_id, min(turn) AS cut_after, max(total)::bigint AS total_tokens FROM m WHERE total >= 750 AND n >= floor(c / 2) AND coalesce(next <> 'tool', true) GROUP BY 1"""
+)
+def compaction_cut(spark, sf_dir):
+    m = _messages(spark, sf_dir).withColumn("tokens", F.length("content"))
+    return conversations.compaction_cut(m, 1000)
+
+
+@query("SELECT conv_id AS conversation_id, role, dense_rank() OVER (PARTITION BY conv_id ORDER BY first) AS number FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY ALL)")
+def first_use_numbers(spark, sf_dir):
+    return retrieval.first_use_numbers(_messages(spark, sf_dir), "conversation_id", "role", "turn").select("conversation_id", "role", F.col("number").cast("long").alias("number"))
+
+
+@query(
+    f"""WITH words AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array({fold_sql('text')}, '[^\\p{{L}}\\p{{N}}]+')) AS w FROM benchmark WHERE item_id < 5), n AS (SELECT item_id, count(*) AS n FROM words WHERE w <> '' GROUP BY 1),
+    mem AS (SELECT DISTINCT doc_id, (doc_id % 10) / 10.0::double AS imp, unnest(regexp_split_to_array({fold_sql('text')}, '[^\\p{{L}}\\p{{N}}]+')) AS w FROM documents),
+    hits AS (SELECT item_id, doc_id, imp, count(*) AS h FROM words JOIN mem USING (w) WHERE w <> '' GROUP BY ALL)
+    SELECT item_id AS query_id, doc_id AS memory_id, round(0.7 * h / n + 0.3 * imp, 9) AS score FROM hits JOIN n USING (item_id)
+    QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY 0.7::double * h / n + 0.3::double * imp DESC, doc_id) <= 10"""
+)
+def memory_scores(spark, sf_dir):
+    q = read(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), "text")
+    m = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content"), ((F.col("doc_id") % 10) / 10).alias("importance"))
+    return conversations.memory_scores(m, q).select("query_id", "memory_id", F.round("score", 9).alias("score"))
+
+
+@query(
+    """WITH c AS (SELECT lower(c_mktsegment) AS k, count(*) AS n, max(c_custkey) AS r FROM customer GROUP BY 1), names(name) AS (VALUES ('Building'), ('nobody'))
+    SELECT name, CASE WHEN n = 1 THEN 'EXACT' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'NOT_FOUND' END AS status, CASE WHEN n = 1 THEN r END AS resource FROM names LEFT JOIN c ON k = lower(name)"""
+)
+def resolve_contacts(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("resource"), F.col("c_mktsegment").alias("display"))
+    return conversations.resolve_contacts(spark.createDataFrame([("Building",), ("nobody",)], "name string"), c)
+
+
+def _mail_sql() -> str:
+    cases = " ".join(f"WHEN regexp_matches(t, '{'|'.join(conversations.mail_words(b))}') THEN '{b}'" for b in conversations.MAIL_WORDS)
+    return f"WITH m AS (SELECT doc_id, {fold_sql('text')} AS t FROM documents) SELECT doc_id, CASE {cases} ELSE 'other' END AS bucket FROM m"
+
+
+@query(_mail_sql())
+def mail_buckets(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", conversations.mail_bucket("text").alias("bucket"))
+
+
+# ingestion
+
+
+def _markdown(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("# "), "source", F.lit("\n\n"), "text").alias("text"))
+
+
+@query()
+def markdown_nodes(spark, sf_dir):
+    return chunking.nodes(_markdown(spark, sf_dir))
+
+
+@query()
+def parent_child_chunks(spark, sf_dir):
+    return chunking.chunks(_markdown(spark, sf_dir)).drop("embedding_text")
+
+
+@query("SELECT doc_id AS document_id, 1::bigint AS n_headings FROM documents")
+def document_outline(spark, sf_dir):
+    c = chunking.chunks(_markdown(spark, sf_dir)).where("hierarchy_level = 0").select("document_id", "chunk_index", F.element_at("heading_path", 1).alias("heading"))
+    return catalog.outline(c).groupBy(F.col("document_id").cast("long").alias("document_id")).agg(F.count("*").alias("n_headings"))
+
+
+@query("SELECT doc_id, min(length(text)) > 0 AS has_text, false AS corrupt FROM documents GROUP BY 1")
+def parse_quality(spark, sf_dir):
+    ratio = text.garbage_ratio("text")
+    return read(spark, sf_dir, "documents").select("doc_id", (F.length("text") > 0).alias("has_text"), (ratio > 0.25).alias("corrupt"))
+
+
+@query()
+def html_text(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", text.html_to_text("html").alias("text"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'PDF' WHEN 1 THEN 'MARKDOWN' WHEN 2 THEN 'XLSX' END AS kind FROM pages")
+def document_kinds(spark, sf_dir):
+    k = F.col("page_id") % 4
+    name = F.when(k == 0, "a/b.PDF").when(k == 1, "x.md").otherwise("noname")
+    mime = F.when(k == 2, "Application/vnd.openxmlformats-officedocument.spreadsheetml.sheet; charset=x")
+    content = F.when(k == 0, F.lit(b"%PDF-1.7")).when(k == 1, F.lit(b"# hello")).when(k == 2, F.lit(b"PK\x03\x04..")).otherwise(F.lit(b"PK\x03\x04.."))
+    return read(spark, sf_dir, "pages").select("page_id", files.document_kind(name, mime, content).alias("kind"))
+
+
+@query("SELECT l_orderkey AS document_id, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) < 4")
+def running_lines(spark, sf_dir):
+    line = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page"), F.lit(1).alias("line_no"), F.concat(F.lit("Page "), F.col("l_linenumber").cast("string")).alias("text"), F.lit(True).alias("margin"))
+    return files.without_running_lines(line).groupBy("document_id").agg(F.countDistinct("page").alias("n"))
+
+
+@query(
+    """WITH x AS (SELECT *, lag(event_type) OVER w AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS page FROM x)
+    SELECT user_id AS document_id, sum(CASE WHEN s = event_type THEN 0 ELSE 1 END)::bigint AS n_tables FROM n GROUP BY 1"""
+)
+def page_tables(spark, sf_dir):
+    page = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    t = read(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), page.alias("page"), F.lit(1).alias("place"), F.lit(True).alias("first_on_page"), F.lit(True).alias("last_on_page"), F.col("event_type").alias("columns"))
+    return files.joined_page_tables(t).groupBy("document_id").agg(F.max("table_no").alias("n_tables"))
+
+
+@query(
+    """WITH x AS (SELECT *, event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS c FROM events)
+    SELECT user_id AS document_id, sum(c::int)::bigint AS n_sections FROM x GROUP BY 1"""
+)
+def section_runs(spark, sf_dir):
+    n = read(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), F.col("event_id").alias("node_index"), F.array("event_type").alias("heading_path"))
+    return catalog.sections(n).groupBy("document_id").agg(F.max("section").alias("n_sections"))
+
+
+@query(
+    """WITH x AS (SELECT *, lag(event_type) OVER w AS a, lag(value > 50) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+    SELECT event_id, CASE WHEN event_type IS DISTINCT FROM a THEN 2 WHEN (value > 50) IS DISTINCT FROM b THEN 1 ELSE 0 END::int AS n_new FROM x"""
+)
+def entered_headings(spark, sf_dir):
+    n = read(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), F.col("event_id").alias("chunk_index"), F.array("event_type", (F.col("value") > 50).cast("string")).alias("heading_path"))
+    return catalog.new_headings(n).select(F.col("chunk_index").alias("event_id"), F.size("entered").alias("n_new"))
+
+
+@query("SELECT user_id AS document_id, string_agg(event_type, chr(10) || chr(10) ORDER BY event_id) AS text FROM events GROUP BY 1")
+def reassembled_text(spark, sf_dir):
+    p = read(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), F.col("event_id").alias("chunk_index"), F.col("event_type").alias("content_raw"))
+    return catalog.text_of_parents(p)
+
+
+# streams, as batches of the same functions
+
+
+@query("SELECT time_bucket(interval 1 hour, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def windowed_counts(spark, sf_dir):
+    return jobs.windowed_counts(read(spark, sf_dir, "events"), "ts", ["event_type"], value="value").select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    """WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < interval 3600 second THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM x)
+    SELECT user_id, count(*) AS n, min(ts) AS start FROM s GROUP BY user_id, k"""
+)
+def session_bursts(spark, sf_dir):
+    return jobs.sessions(read(spark, sf_dir, "events"), "ts", ["user_id"], gap="3600 seconds").select("user_id", "n", "start")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+    f AS (SELECT user_id, i, ts, ts AS start, 1::bigint AS n FROM e WHERE i = 1
+      UNION ALL SELECT e.user_id, e.i, e.ts, CASE WHEN e.ts < f.start + interval 86400 second THEN f.start ELSE e.ts END, CASE WHEN e.ts < f.start + interval 86400 second THEN f.n + 1 ELSE 1 END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+    SELECT user_id, ts, n, n <= 2 AS allowed FROM f"""
+)
+def anchored_limit(spark, sf_dir):
+    return jobs.anchored_limit_batch(read(spark, sf_dir, "events"), "user_id", "ts", 2, 86400)
+
+
+@query("SELECT event_id, rule_id FROM events, (VALUES (1, 'error'), (2, 'view')) AS r(rule_id, w) WHERE event_type = w AND (rule_id = 1 OR ts < timestamp '2024-01-20')")
+def rule_matches(spark, sf_dir):
+    rules = spark.createDataFrame([(1, "Error", True, None), (2, "VIEW", True, "2024-01-20"), (3, "click", False, None)], "rule_id int, target string, active boolean, e string")
+    rules = rules.withColumn("expires_at", F.col("e").cast("timestamp_ntz"))
+    return jobs.rule_matches(read(spark, sf_dir, "events"), rules, "event_type", "ts").select("event_id", "rule_id")
+
+
+@query("SELECT event_id FROM events WHERE ts >= timestamp '2024-01-30' - interval 600 minute ORDER BY ts DESC LIMIT 5")
+def newest_mail(spark, sf_dir):
+    return jobs.newest(read(spark, sf_dir, "events"), "ts", F.lit("2024-01-30").cast("timestamp_ntz"), 600).select("event_id")
+
+
+@query("SELECT event_id, 1 AS n_due FROM events WHERE ts::date <= date '2024-01-10'")
+def due_steps(spark, sf_dir):
+    step = lambda due, done: F.struct(F.lit("s").alias("title"), due.alias("due"), F.lit(done).alias("done"))
+    day = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd")
+    goals = read(spark, sf_dir, "events").select(F.col("event_id").alias("goal_id"), F.array(step(day, False), step(day, True), step(F.lit("soon"), False)).alias("steps"))
+    return jobs.due_steps(goals, F.lit(date(2024, 1, 10))).select(F.col("goal_id").alias("event_id"), F.size("due_steps").alias("n_due"))
+
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
