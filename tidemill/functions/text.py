@@ -25,7 +25,7 @@ def _fold_table() -> tuple[str, str]:
     source, target = ["đ", "Đ"], ["d", "d"]
     for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
         plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)).casefold()
-        if len(plain) == 1 and plain != chr(code):
+        if len(plain) == 1 and plain.isascii() and plain != chr(code):
             source.append(chr(code))
             target.append(plain)
     return "".join(source), "".join(target)

@@ -60,10 +60,10 @@ def rule_matches(events: DataFrame, rules: DataFrame, text: str, ts: str) -> Dat
     return hit.where(F.size(F.array_except("_words", "_tokens")) == 0).drop("_word", "_words", "_tokens")
 
 
-def anchored_limit(events: DataFrame, key: str, ts: str, most: int = 5, seconds: int = 900) -> DataFrame:
+def anchored_limit(events: DataFrame, key: str, ts: str, most: int = 5, seconds: int = 900, late: str = "1 minute") -> DataFrame:
     """(key, ts, n, allowed): hits counted in a fixed window that begins at the first event after the last one's end.
 
-    Works on a stream (state per key, with a processing-time timeout) or a batch.  Events must come in order within a key.
+    State is a window's begin and count for each key; it goes once the watermark is past the window's end.
     """
 
     def count(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -71,22 +71,21 @@ def anchored_limit(events: DataFrame, key: str, ts: str, most: int = 5, seconds:
             state.remove()
             return
         start, n = state.get if state.exists else (None, 0)
-        for part in parts:
-            rows = []
-            for at in part.sort_values(ts)[ts]:
-                ms = int(at.value // 1_000_000)
-                if start is None or ms >= start + seconds * 1000:
-                    start, n = ms, 0
-                n += 1
-                rows.append((name[0], at, n, n <= most))
-            yield pd.DataFrame(rows, columns=[key, ts, "n", "allowed"])
-        if start is not None:
-            state.update((start, n))
-            state.setTimeoutDuration(seconds * 1000)
+        whole = pd.concat(parts).sort_values(ts)
+        rows = []
+        for at in whole[ts]:
+            ms = at.value // 1_000_000
+            if start is None or ms >= start + seconds * 1000:
+                start, n = ms, 0
+            n += 1
+            rows.append((name[0], at, n, n <= most))
+        state.update((start, n))
+        state.setTimeoutTimestamp(max(start + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=[key, ts, "n", "allowed"])
 
     kind = dict(events.dtypes)
-    return events.select(key, ts).groupBy(key).applyInPandasWithState(
-        count, f"{key} {kind[key]}, {ts} {kind[ts]}, n long, allowed boolean", "start long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return events.select(key, ts).withWatermark(ts, late).groupBy(key).applyInPandasWithState(
+        count, f"{key} {kind[key]}, {ts} {kind[ts]}, n long, allowed boolean", "start long, n long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
