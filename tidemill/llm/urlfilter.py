@@ -25,28 +25,30 @@ RULES: dict[str, str] = {"net/": "block", "example.net/en/": "allow", "example.c
 STRICT, SOFT = 2, 1
 #: A term's weight is STRICT (one hit blocks) or SOFT (several distinct hits block).
 TERMS: dict[str, int] = {
+    "adult": STRICT,
     "casino": STRICT,
     "hentai": STRICT,
     "porn": STRICT,
+    "spam": STRICT,
     "viagra": STRICT,
     "warez": STRICT,
     "xxx": STRICT,
-    "adult": SOFT,
+    "ads": SOFT,
     "bet": SOFT,
+    "bets": SOFT,
     "bonus": SOFT,
     "cheap": SOFT,
     "coupon": SOFT,
     "escort": SOFT,
-    "feed": SOFT,
     "free": SOFT,
     "hot": SOFT,
     "nude": SOFT,
     "pills": SOFT,
     "poker": SOFT,
-    "ref": SOFT,
     "sex": SOFT,
     "slots": SOFT,
-    "source": SOFT,
+    "track": SOFT,
+    "tracker": SOFT,
     "win": SOFT,
 }
 SOFT_LIMIT = 2
