@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .functions import dates, ids, text, vectors
+from .functions import dates, extract, ids, text, vectors
 from .operators import catalog, chunking, conversations, retrieval, telemetry
+from .plans import dag
 from .plans.table_plan import compile_plan
 from .sources import files
 from .streaming import jobs
@@ -677,6 +678,32 @@ def sensitive_keys(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.size(ids.without_secrets(m)).alias("n_kept"))
 
 
+@query(r"""WITH n AS (SELECT doc_id, unnest(regexp_extract_all(text, '(\d{1,3}(?:[.,]\d{3})+|\d+)', 1)) AS x FROM documents)
+    SELECT doc_id, count(DISTINCT v) AS n FROM (SELECT doc_id, try_cast(regexp_replace(x, '[.,]', '', 'g') AS decimal(38, 0)) AS v FROM n) WHERE v > 10 GROUP BY 1""")
+def significant_numbers(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(extract.significant_numbers("text")).cast("long").alias("n")).where("n > 0")
+
+
+@query("SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: length(w) > 14).len() AS n FROM documents WHERE text <> ''")
+def glued_words(spark, sf_dir):
+    n = F.size(F.filter(F.split("text", r"\s+"), lambda w: F.length(w) > 14)).cast("long")
+    return read(spark, sf_dir, "documents").where("text <> ''").select("doc_id", n.alias("n"))
+
+
+@query("SELECT page_id, (page_id % 3) || '.' || (page_id % 20) || '.0' AS version FROM pages ORDER BY page_id % 3 DESC, page_id % 20 DESC, page_id LIMIT 5")
+def latest_release(spark, sf_dir):
+    n = F.col("page_id")
+    p = read(spark, sf_dir, "pages").select("page_id", F.concat((n % 3).cast("string"), F.lit("."), (n % 20).cast("string"), F.lit(".0")).alias("version"))
+    return p.orderBy(dag.version_key("version").desc(), "page_id").limit(5)
+
+
+@query("SELECT page_id, 1 AS number, 'http://img/' || page_id AS target FROM pages")
+def figure_numbers(spark, sf_dir):
+    link = F.concat(F.lit("![x](http://img/"), F.col("page_id").cast("string"), F.lit(")"))
+    p = read(spark, sf_dir, "pages").select("page_id", F.concat_ws(" ", link, link).alias("text"))
+    return extract.figures(p, "page_id")
+
+
 # vectors
 
 
@@ -748,7 +775,7 @@ def resolve_contacts(spark, sf_dir):
 
 
 def _mail_sql() -> str:
-    cases = " ".join(f"WHEN regexp_matches(t, '{'|'.join(conversations.mail_words(b))}') THEN '{b}'" for b in conversations.MAIL_WORDS)
+    cases = " ".join(f"WHEN regexp_matches(t, '{'|'.join(conversations.MAIL_WORDS[b])}') THEN '{b}'" for b in conversations.MAIL_WORDS)
     return f"WITH m AS (SELECT doc_id, {fold_sql('text')} AS t FROM documents) SELECT doc_id, CASE {cases} ELSE 'other' END AS bucket FROM m"
 
 
