@@ -19,7 +19,7 @@ from tidemill.llm.textkit import crc_mod
 
 QUALITY_CUT = 0.7
 #: mean probability of a document's best language; of four languages, chance has 0.25
-LANGUAGE_CUT = 0.35
+LANGUAGE_CUT = 0.3
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
