@@ -18,12 +18,16 @@ Steps, none of which gathers a group in one task or emits all pairs of a group:
    equal sets are collapsed onto their smallest doc_id;
 2. a U_i (V_j) that no other set has drops out; the remaining keys of a set
    (at most 2 * collections) are combined in pairs to table keys;
-3. each set is compared with one leader, the member of its tables that meets
+3. the shingles of these sets are counted.  A set's overlap with any other is
+   at most the number of its shingles that another set has too, which bounds
+   the sizes of the sets that it may be linked with; a set that this leaves no
+   size for drops out.  The bound is exact: no link is lost;
+4. each set is compared with one leader, the member of its tables that meets
    most others; verified pairs are linked;
-4. in each table whose members then lie in several components, the members
-   outside its largest component are compared with all members of others, so
-   that no link between components is lost;
-5. every comparison is exact, on the full shingle sets of the two texts.
+5. in each table whose members then lie in several components, the members
+   outside its largest component are compared with all members of others that
+   the bounds allow, so that no link between components is lost;
+6. every comparison is exact, on the full shingle sets of the two texts.
 
 Nulls, empties, repeats: a null or empty text, or one without words, has an
 empty set, is its own component and is kept.  Rows that repeat a doc_id are
@@ -111,6 +115,35 @@ def _sets(size: int):
     return run
 
 
+def _each_shingle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        for i in range(0, part.num_rows, 256):
+            own = part.slice(i, 256)
+            found = [np.frombuffer(x.as_buffer(), np.int64) for x in own.column(1)]
+            ids = np.repeat(own.column(0).to_numpy(), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found))], names=["id", "shingle"])
+
+
+def size_bounds(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(id, size, most) of the sets that may be linked at all; most is the greatest size of a partner.
+
+    With s shingles that other sets have too, an overlap o <= s must reach
+    (100 + t) * o >= t * (own size + partner's size).
+    """
+    each = sets.select("id", "shingles").mapInArrow(_each_shingle, "id long, shingle long")
+    own = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("unique"))
+    size = F.floor(F.length("shingles") / 8)
+    out = sets.select("id", size.alias("size")).join(own, "id", "left")
+    shared = F.col("size") - F.coalesce("unique", F.lit(0))
+    most = F.floor(((100 + threshold) * shared - threshold * F.col("size")) / threshold)
+    return out.select("id", "size", most.alias("most")).where(f"100 * most >= {threshold} * size")
+
+
+def _allowed(x: str, y: str) -> str:
+    """SQL: two members' bounds allow a link."""
+    return f"{x}_size <= {y}_most and {y}_size <= {x}_most"
+
+
 def _linked(threshold: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -124,7 +157,7 @@ def _linked(threshold: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame | None = None, threshold: int = THRESHOLD) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose full sets (id, shingles) are similar enough."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
@@ -176,42 +209,49 @@ def near_duplicates(
     )
     tables = staged(tables, "tables")
     sized = staged(tables.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "tables")
-    members = staged(tables.join(sized, "key"), "members")
+    members = staged(tables.join(sized.select("key"), "key", "left_semi"), "members")
 
     # exact sets of the texts that share a table
     inside = members.select(F.col("id").alias("doc_id")).distinct()
     sets = texts.join(inside, "doc_id", "left_semi").mapInArrow(_sets(size), "id long, shingles binary")
     sets = staged(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
 
+    bounds = staged(size_bounds(sets, threshold), "bounds")
+    members = members.select("key", "id").join(bounds, "id")
+    members = staged(members.join(members.groupBy("key").agg(F.count("*").alias("n"), F.min("size").alias("least")).where("n > 1"), "key").where("least <= most"), "members")
+
     # one leader for each set: of its tables' members, the one that meets most others
     degree = members.groupBy("id").agg(F.sum("n").alias("degree"))
-    ranked = staged(members.join(degree, "id").select("key", "id", F.struct("degree", (-F.col("id")).alias("id")).alias("rank")), "ranked")
-    leaders = staged(ranked.groupBy("key").agg(F.max("rank").alias("rank")).select("key", (-F.col("rank.id")).alias("leader"), "rank"), "leaders")
+    ranked = members.join(degree, "id").select("key", F.struct("degree", (-F.col("id")).alias("id"), "size", "most").alias("rank"))
+    leaders = staged(ranked.groupBy("key").agg(F.max("rank").alias("rank")), "leaders")
     first = (
         members.join(leaders, "key")
-        .where("id <> leader")
+        .where("id <> -rank.id")
         .groupBy("id")
-        .agg(F.max("rank").alias("rank"))
-        .select(F.col("id").alias("a"), (-F.col("rank.id")).alias("b"))
+        .agg(F.max("rank").alias("rank"), F.first("size").alias("a_size"), F.first("most").alias("a_most"))
+        .select(F.col("id").alias("a"), (-F.col("rank.id")).alias("b"), "a_size", "a_most", F.col("rank.size").alias("b_size"), F.col("rank.most").alias("b_most"))
+        .where(_allowed("a", "b"))
     )
-    first = staged(first, "pairs")
+    first = staged(first.select("a", "b"), "pairs")
     links = staged(verified(first, sets, threshold=threshold), "links")
     groups = staged(components(links), "groups")
 
     # what still lies in several components of a table
     placed = staged(
-        members.select("key", "id")
-        .join(groups, "id", "left")
-        .select("key", "id", F.coalesce("component", "id").alias("component")),
+        members.select("key", "id", "size", "most").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")),
         "placed",
     )
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = staged(sizes.groupBy("key").agg(F.max_by("component", "n").alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts"), "mixed")
-    members_mixed = staged(placed.join(mixed, "key"), "mixed")
-    others = members_mixed.where("component <> largest").select("key", F.col("id").alias("a"), F.col("component").alias("of"))
+    mixed = sizes.groupBy("key").agg(F.max_by("component", "n").alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    placed = staged(placed.join(mixed, "key"), "mixed")
+
+    def side(name: str) -> DataFrame:
+        return placed.select("key", F.col("id").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("component", "size", "most", "largest")))
+
     pairs = (
-        others.join(members_mixed.select("key", F.col("id").alias("b"), "component"), "key")
-        .where("of <> component")
+        side("a").where("a_component <> a_largest")
+        .join(side("b"), "key")
+        .where("a_component <> b_component and " + _allowed("a", "b"))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
