@@ -25,8 +25,10 @@ Steps, none of which gathers a group in one task or emits all pairs of a group:
 4. each set is compared with one leader, the member of its tables that meets
    most others; verified pairs are linked;
 5. in each table whose members then lie in several components, the members
-   outside its largest component are compared with all members of others that
-   the bounds allow, so that no link between components is lost;
+   outside its largest component are paired with all members of others that
+   the bounds allow, so that no link between components is lost.  The join's
+   condition also bounds the overlap by parity bitmaps: two sets differ in at
+   least as many shingles as their bitmaps differ in bits;
 6. every comparison is exact, on the full shingle sets of the two texts.
 
 Nulls, empties, repeats: a null or empty text, or one without words, has an
@@ -55,6 +57,8 @@ COLLECTIONS = 16
 WIDTH = 3
 #: shingles hashed at once, which bounds memory on long texts
 BLOCK = 8192
+#: longs of a set's parity bitmap
+BITMAP = 16
 
 
 def _multipliers(n: int, seed: int) -> np.ndarray:
@@ -103,14 +107,22 @@ def _signatures(collections: int, width: int, size: int, seed: int):
     return run
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether the number of a set's shingles in each of 64 * BITMAP classes is odd, as bits of longs."""
+    odd = np.bincount((shingles % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(size: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for row, words in batches(part.column(1), WORDS_SPACE):
                 hashes, bounds = words.hashes(), words.bounds
                 n = len(bounds) - 1
-                found = [np.unique(shingle_hashes(hashes[bounds[i] : bounds[i + 1]], size)).tobytes() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([part.column(0)[row : row + n], pa.array(found, pa.binary())], names=["id", "shingles"])
+                found = [np.unique(shingle_hashes(hashes[bounds[i] : bounds[i + 1]], size)) for i in range(n)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0)[row : row + n], pa.array([f.tobytes() for f in found], pa.binary()), pa.array([parities(f) for f in found], pa.list_(pa.int64()))], names=["id", "shingles", "parity"]
+                )
 
     return run
 
@@ -213,8 +225,8 @@ def near_duplicates(
 
     # exact sets of the texts that share a table
     inside = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = texts.join(inside, "doc_id", "left_semi").mapInArrow(_sets(size), "id long, shingles binary")
-    sets = staged(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = texts.join(inside, "doc_id", "left_semi").mapInArrow(_sets(size), "id long, shingles binary, parity array<long>")
+    sets = staged(sets.groupBy("id").agg(F.first("shingles").alias("shingles"), F.first("parity").alias("parity")), "sets")
 
     bounds = staged(size_bounds(sets, threshold), "bounds")
     members = members.select("key", "id").join(bounds, "id")
@@ -243,15 +255,20 @@ def near_duplicates(
     )
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max_by("component", "n").alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    placed = staged(placed.join(mixed, "key"), "mixed")
+    parity = sets.select("id", *(F.col("parity")[k].alias(f"p{k}") for k in range(BITMAP)))
+    placed = staged(placed.join(mixed, "key").join(parity, "id"), "mixed")
+    carried = ("component", "size", "most", "largest", *(f"p{k}" for k in range(BITMAP)))
 
     def side(name: str) -> DataFrame:
-        return placed.select("key", F.col("id").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("component", "size", "most", "largest")))
+        return placed.select("key", F.col("id").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in carried))
 
+    # of a + b shingles, d that only one set has leave (a + b - d) / 2 that both have
+    differ = " + ".join(f"bit_count(a_p{k} ^ b_p{k})" for k in range(BITMAP))
+    enough = f"{100 + threshold} * (a_size + b_size - ({differ})) >= {2 * threshold} * (a_size + b_size)"
     pairs = (
         side("a").where("a_component <> a_largest")
         .join(side("b"), "key")
-        .where("a_component <> b_component and " + _allowed("a", "b"))
+        .where(f"a_component <> b_component and {_allowed('a', 'b')} and {enough}")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
