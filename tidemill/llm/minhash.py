@@ -197,7 +197,13 @@ def near_duplicates(
         "minhash",
     )
     exact = ["n_shingles", "print_a", "print_b"]
-    reps = staged(
+    made: list[DataFrame] = []
+
+    def hold(df: DataFrame, tag: str) -> DataFrame:
+        made.append(staged(df, tag))
+        return made[-1]
+
+    reps = hold(
         signed.where("n_shingles > 0 and doc_id is not null").groupBy(*exact).agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys")),
         "reps",
     )
@@ -219,23 +225,23 @@ def near_duplicates(
         .select("id", "u", F.explode("vs").alias("v"))
         .select("id", F.xxhash64("u.place", "u.key", "v.place", "v.key").alias("key"))
     )
-    tables = staged(tables, "tables")
-    sized = staged(tables.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "tables")
-    members = staged(tables.join(sized.select("key"), "key", "left_semi"), "members")
+    tables = hold(tables, "tables")
+    sized = hold(tables.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "tables")
+    members = hold(tables.join(sized.select("key"), "key", "left_semi"), "members")
 
     # exact sets of the texts that share a table
     inside = members.select(F.col("id").alias("doc_id")).distinct()
     sets = texts.join(inside, "doc_id", "left_semi").mapInArrow(_sets(size), "id long, shingles binary, parity array<long>")
-    sets = staged(sets.groupBy("id").agg(F.first("shingles").alias("shingles"), F.first("parity").alias("parity")), "sets")
+    sets = hold(sets.groupBy("id").agg(F.first("shingles").alias("shingles"), F.first("parity").alias("parity")), "sets")
 
-    bounds = staged(size_bounds(sets, threshold), "bounds")
+    bounds = hold(size_bounds(sets, threshold), "bounds")
     members = members.select("key", "id").join(bounds, "id")
-    members = staged(members.join(members.groupBy("key").agg(F.count("*").alias("n"), F.min("size").alias("least")).where("n > 1"), "key").where("least <= most"), "members")
+    members = hold(members.join(members.groupBy("key").agg(F.count("*").alias("n"), F.min("size").alias("least")).where("n > 1"), "key").where("least <= most"), "members")
 
     # one leader for each set: of its tables' members, the one that meets most others
     degree = members.groupBy("id").agg(F.sum("n").alias("degree"))
     ranked = members.join(degree, "id").select("key", F.struct("degree", (-F.col("id")).alias("id"), "size", "most").alias("rank"))
-    leaders = staged(ranked.groupBy("key").agg(F.max("rank").alias("rank")), "leaders")
+    leaders = hold(ranked.groupBy("key").agg(F.max("rank").alias("rank")), "leaders")
     first = (
         members.join(leaders, "key")
         .where("id <> -rank.id")
@@ -244,41 +250,40 @@ def near_duplicates(
         .select(F.col("id").alias("a"), (-F.col("rank.id")).alias("b"), "a_size", "a_most", F.col("rank.size").alias("b_size"), F.col("rank.most").alias("b_most"))
         .where(_allowed("a", "b"))
     )
-    first = staged(first.select("a", "b"), "pairs")
-    links = staged(verified(first, sets, threshold=threshold), "links")
-    groups = staged(components(links), "groups")
+    first = hold(first.select("a", "b"), "pairs")
+    links = hold(verified(first, sets, threshold=threshold), "links")
+    groups = hold(components(links), "groups")
 
     # what still lies in several components of a table
-    placed = staged(
-        members.select("key", "id", "size", "most").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")),
-        "placed",
-    )
+    parity = sets.select("id", *(F.col("parity")[k].alias(f"p{k}") for k in range(BITMAP)))
+    placed = members.select("key", "id", "size", "most").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = hold(placed.join(parity, "id"), "placed")
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max_by("component", "n").alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    parity = sets.select("id", *(F.col("parity")[k].alias(f"p{k}") for k in range(BITMAP)))
-    placed = staged(placed.join(mixed, "key").join(parity, "id"), "mixed")
-    carried = ("component", "size", "most", "largest", *(f"p{k}" for k in range(BITMAP)))
+    others = placed.join(hold(mixed, "mixed"), "key").where("component <> largest")
+    carried = ("component", "size", "most", *(f"p{k}" for k in range(BITMAP)))
 
-    def side(name: str) -> DataFrame:
-        return placed.select("key", F.col("id").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in carried))
+    def side(of: DataFrame, name: str) -> DataFrame:
+        return of.select("key", F.col("id").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in carried))
 
     # of a + b shingles, d that only one set has leave (a + b - d) / 2 that both have
     differ = " + ".join(f"bit_count(a_p{k} ^ b_p{k})" for k in range(BITMAP))
     enough = f"{100 + threshold} * (a_size + b_size - ({differ})) >= {2 * threshold} * (a_size + b_size)"
     pairs = (
-        side("a").where("a_component <> a_largest")
-        .join(side("b"), "key")
+        side(hold(others, "others"), "a")
+        .join(side(placed, "b"), "key")
         .where(f"a_component <> b_component and {_allowed('a', 'b')} and {enough}")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = staged(verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, threshold=threshold), "links")
+    more = hold(verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, threshold=threshold), "links")
     # one edge for each member is enough of what is known already
     edges = more.union(groups.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
-    groups = staged(components(edges).select(F.col("id").alias("rep"), "component"), "groups")
+    groups = hold(components(edges).select(F.col("id").alias("rep"), "component"), "groups")
 
     named = staged(reps.drop("keys").join(groups, "rep", "left").select(*exact, F.coalesce("component", "rep").alias("component")), "named")
+    drop(docs.sparkSession, *made)
     out = signed.select("doc_id", *exact).join(named, exact, "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id")
     )
