@@ -30,37 +30,55 @@ PENALTY = 4e-4
 MARKS = "|!%#$&*@<{/\\=~^_"
 
 
-def statistics(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, list[str]]:
-    """docs with the statistics of its texts, in columns whose names are returned."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.withColumn("__tidemill_text", text).withColumn("__tidemill_word_list", F.filter(F.split("__tidemill_text", r"[ \t\n\x0B\f\r]+"), lambda w: w != "")).withColumn("__tidemill_line_list", F.filter(F.split("__tidemill_text", "\n"), lambda x: F.trim(x) != ""))
-    n, words, chars, lines = F.size("__tidemill_word_list"), F.col("__tidemill_word_list"), F.length("__tidemill_text"), F.size("__tidemill_line_list")
+NAMES = ("chars", "words", "word_length", "distinct_words", "upper_words", "lines", "line_length", "distinct_lines", "bars", "shouts", "marks", "stops", "commas", "digits")
+
+
+def measured(text: Column) -> Column:
+    """The statistics NAMES of a text as an array of doubles: one expression that holds each costly part once."""
+    text = F.coalesce(text, F.lit(""))
+    parts = F.struct(
+        text.alias("t"),
+        F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != "").alias("w"),
+        F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "").alias("l"),
+    )
 
     def share(a: Column, b: Column) -> Column:
         return F.when(b > 0, a / b).otherwise(0.0)
 
-    marks = [chars - F.length(F.replace(F.col("__tidemill_text"), F.lit(m))) for m in MARKS]
-    all_marks = marks[0]
-    for m in marks[1:]:
-        all_marks = all_marks + m
-    out = {
-        "chars": chars.cast("double"),
-        "words": n.cast("double"),
-        "word_length": share(chars, n),
-        "distinct_words": share(F.size(F.array_distinct(words)), n),
-        "upper_words": share(F.size(F.filter(words, lambda w: (w == F.upper(w)) & (F.lower(w) != w))), n),
-        "lines": lines.cast("double"),
-        "line_length": share(chars, lines),
-        "distinct_lines": share(F.size(F.array_distinct("__tidemill_line_list")), lines),
-        "bars": share(marks[0], n),
-        "shouts": share(marks[1], n),
-        "marks": share(all_marks, n),
-        "stops": share(chars - F.length(F.replace(F.col("__tidemill_text"), F.lit("."))), n),
-        "commas": share(chars - F.length(F.replace(F.col("__tidemill_text"), F.lit(","))), n),
-        "digits": share(F.size(F.filter(words, lambda w: w.rlike("[0-9]"))), n),
-    }
-    names = [f"__tidemill_{k}" for k in out]
-    return base.withColumns(dict(zip(names, out.values(), strict=True))).drop("__tidemill_text", "__tidemill_word_list", "__tidemill_line_list"), names
+    def values(p: Column) -> Column:
+        chars, words, n, lines = F.length(p["t"]), p["w"], F.size(p["w"]), F.size(p["l"])
+
+        def count(mark: str) -> Column:
+            return chars - F.length(F.replace(p["t"], F.lit(mark)))
+
+        marks = count(MARKS[0])
+        for m in MARKS[1:]:
+            marks = marks + count(m)
+        return F.array(
+            chars.cast("double"),
+            n.cast("double"),
+            share(chars, n),
+            share(F.size(F.array_distinct(words)), n),
+            share(F.size(F.filter(words, lambda w: (w == F.upper(w)) & (F.lower(w) != w))), n),
+            lines.cast("double"),
+            share(chars, lines),
+            share(F.size(F.array_distinct(p["l"])), lines),
+            share(count("|"), n),
+            share(count("!"), n),
+            share(marks, n),
+            share(count("."), n),
+            share(count(","), n),
+            share(F.size(F.filter(words, lambda w: w.rlike("[0-9]"))), n),
+        )
+
+    return F.transform(F.array(parts), values)[0]
+
+
+def statistics(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """docs with the statistics of its texts, in columns whose names are returned."""
+    names = [f"__tidemill_{k}" for k in NAMES]
+    values = docs.withColumn("__tidemill_values", measured(F.col(text_col)))
+    return values.withColumns({n: F.col("__tidemill_values")[k] for k, n in enumerate(names)}).drop("__tidemill_values"), names
 
 
 @dataclass(frozen=True)
@@ -75,13 +93,13 @@ class Rule:
             out &= (x[:, k] > low) & (x[:, k] <= high)
         return out
 
-    def column(self, names: list[str]) -> Column:
+    def column(self, values: list[Column]) -> Column:
         out = F.lit(True)
         for k, low, high in self.bounds:
             if low > -np.inf:
-                out = out & (F.col(names[k]) > low)
+                out = out & (values[k] > low)
             if high < np.inf:
-                out = out & (F.col(names[k]) <= high)
+                out = out & (values[k] <= high)
         return out
 
 
@@ -159,9 +177,9 @@ class RuleEnsemble:
             margin += weight * rule.holds(x)
         return 1 / (1 + np.exp(-margin))
 
-    def column(self, names: list[str]) -> Column:
+    def column(self, values: list[Column]) -> Column:
         """The score as one expression over the statistics."""
-        parts = [F.lit(self.intercept), *(F.when(rule.column(names), weight).otherwise(0.0) for weight, rule in self.rules)]
+        parts = [F.lit(self.intercept), *(F.when(rule.column(values), weight).otherwise(0.0) for weight, rule in self.rules)]
         while len(parts) > 1:
             parts = [parts[i] + parts[i + 1] if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
         return 1 / (1 + F.exp(-parts[0]))
@@ -192,6 +210,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "d
 
 
 def scored(docs: DataFrame, model: RuleEnsemble, *, text_col: str = "text") -> DataFrame:
-    """docs with column quality_score; one of that name is replaced."""
-    measured, names = statistics(docs, text_col)
-    return measured.withColumn("quality_score", model.column(names)).drop(*names)
+    """docs with column quality_score; one of that name is replaced.
+
+    The score is one expression that holds each statistic once: a filter on it, which the optimiser
+    moves below the projection, does not compute the statistics again for each use in a rule.
+    """
+
+    def score(v: Column) -> Column:
+        return model.column([v[k] for k in range(len(NAMES))])
+
+    return docs.withColumn("quality_score", F.transform(F.array(measured(F.col(text_col))), score)[0])
