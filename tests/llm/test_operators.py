@@ -403,6 +403,29 @@ def test_rare_words_are_joined(spark):
     assert [r[:3] for r in out[0]] == [r[:3] for r in out[1]]
 
 
+def test_tail_words_have_their_own_vectors(spark):
+    """Words outside the shortlist are scored by their context, and all words of a context sum to 1."""
+    rng = random.Random(16)
+    rare = {"a": [f"r{i}x" for i in range(60)], "b": [f"s{i}x" for i in range(60)]}
+    docs = frame(spark, [" ".join(f"{c} {rng.choice(rare[c])}" for c in rng.choices("ab", k=20)) for _ in range(200)])
+    asked = frame(spark, [f"{c} {w}" for c in "ab" for k in "ab" for w in rare[k][:20]])
+    model, table = neurallm.train(docs, shortlist=4, head=10)
+    scores = {r.doc_id: r.score for r in neurallm.score_texts(asked, model, table).collect()}
+    right, wrong = sum(scores[i] for i in [*range(20), *range(60, 80)]), sum(scores[i] for i in range(20, 60))
+    assert right > wrong + 40 * 0.2
+    tail = table.collect()
+    assert len(tail) == model.types - model.size
+    vectors, n = np.array([r.vector for r in tail], np.float32), np.array([r.n for r in tail])
+    for c in (0, 1, model.contexts - 1):
+        at = np.full(len(tail), c)
+        p = 10 ** model.tail_log10(at, vectors) * (n + 1) / model.rest
+        assert math.isclose((p.sum() + 1 / model.rest) / math.exp(model.log_t[c]), 1, rel_tol=1e-4)
+
+
+def test_shortlist_grows(spark):
+    assert neurallm.Model(np.arange(9000, dtype=np.uint64), np.arange(9000, 0, -1), 10**8, 10**7, 6324).contexts == 6324 + 790 + 1
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(15)
     base = rng.normal(size=(40, 16))
