@@ -7,6 +7,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill import catalog_queries
 from tidemill.operators import catalog, chunking, conversations, retrieval, telemetry
 from tidemill.sources import files
 from tidemill.streaming import jobs
@@ -180,3 +181,27 @@ def test_stream_windows(spark, tmp_path):
     stream, batch = _events(spark, tmp_path)
     want = sorted(tuple(r) for r in jobs.windowed_counts(batch, "ts", ["user"], "10 minutes").collect())
     assert _collected(jobs.windowed_counts(stream, "ts", ["user"], "10 minutes"), tmp_path, "update") == want
+
+
+def test_queries_grow_with_the_table(spark, tmp_path):
+    vectors = {i: [float(i * 7 % 61), float(i % 13) + 1.0, 3.0] for i in range(100)}
+    text = {i: f"w{i % 10} v{i % 4}" for i in vectors}
+    spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame(list(text.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+
+    want = {q: sorted(round(-cosine(vectors[q], v), 9) for v in vectors.values())[:10] for q in range(0, 100, 20)}
+    got = {q: [] for q in want}
+    for r in catalog_queries.dense_top_k_all(spark, str(tmp_path)).collect():
+        got[r.query_id].append(round(-r.score, 9))
+    assert {q: sorted(x) for q, x in got.items()} == want
+
+    def cover(q, c):
+        at = [i for i, w in enumerate(text[c].split()) if w in text[q].split()]
+        return len(at) / (at[-1] - at[0] + 1) if at else 0
+
+    ranked = {q: sorted((c for c in vectors if cover(q, c)), key=lambda c: (-cover(q, c), c))[:10] for q in want}
+    fused = [r for r in catalog_queries.hybrid_fusion_all(spark, str(tmp_path)).collect() if r.sparse_rank]
+    assert {q: [r.chunk_id for r in sorted(fused, key=lambda r: r.sparse_rank) if r.query_id == q] for q in want} == ranked

@@ -346,6 +346,32 @@ def dense_top_k(spark, sf_dir):
     return _dense(spark, sf_dir).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("dense_rank").cast("long").alias("dense_rank"))
 
 
+def _every_20th(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query()
+def dense_top_k_all(spark, sf_dir):
+    """Queries that grow with the table: every twentieth vector."""
+    return retrieval.dense(_every_20th(spark, sf_dir), _chunks(spark, sf_dir), 10).select("query_id", "chunk_id", "score", "dense_rank")
+
+
+@query()
+def hybrid_fusion_all(spark, sf_dir):
+    """Every twentieth vector, fused with the full-text ranking of all chunks; a chunk's text is the document of its number.
+
+    A query's full-text part asks for any of the first eight words of its own text.
+    """
+    asked, chunks = _every_20th(spark, sf_dir), _chunks(spark, sf_dir)
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content_raw"))
+    index = retrieval.postings(chunks.join(texts, "chunk_id").select("chunk_id", "document_id", "content_raw"))
+    own = index.join(asked.select(F.col("query_id").alias("chunk_id")), "chunk_id", "left_semi").where(F.array_min("positions") < 8)
+    none = F.array().cast("array<string>")
+    terms = own.groupBy(F.col("chunk_id").alias("query_id")).agg(F.collect_set("term").alias("any_of"))
+    terms = terms.select("query_id", none.alias("terms"), F.array().cast("array<array<string>>").alias("phrases"), "any_of", none.alias("none_of"))
+    return retrieval.fuse(retrieval.dense(asked, chunks, 10), retrieval.sparse(terms, index, 10)).select("query_id", "chunk_id", "dense_rank", "sparse_rank", "fusion_score", "rank")
+
+
 @query(f"WITH {_DENSE} SELECT query_id, chunk_id, dense_rank, sparse_rank, round(fusion_score, 9) AS fusion_score, rank FROM ranked")
 def hybrid_fusion(spark, sf_dir):
     ranks = [F.col(c).cast("long").alias(c) for c in ("dense_rank", "sparse_rank", "rank")]
