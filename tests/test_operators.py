@@ -205,3 +205,17 @@ def test_queries_grow_with_the_table(spark, tmp_path):
     ranked = {q: sorted((c for c in vectors if cover(q, c)), key=lambda c: (-cover(q, c), c))[:10] for q in want}
     fused = [r for r in catalog_queries.hybrid_fusion_all(spark, str(tmp_path)).collect() if r.sparse_rank]
     assert {q: [r.chunk_id for r in sorted(fused, key=lambda r: r.sparse_rank) if r.query_id == q] for q in want} == ranked
+
+
+def test_memories_of_all_queries(spark, tmp_path, monkeypatch):
+    text = {i: f"w{i % 7} v{i % 5} u{i % 3}" for i in range(100)}
+    spark.createDataFrame(list(text.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(text.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for q in range(0, 100, 20):
+        hits = {m: len(set(text[q].split()) & set(text[m].split())) for m in text}
+        scores = [(round(0.7 * h / 3 + 0.3 * (m % 10) / 10, 9), m) for m, h in hits.items() if h]
+        want += [(q, m, s) for s, m in sorted(scores, key=lambda x: (-x[0], x[1]))[:10]]
+    monkeypatch.setattr(conversations, "QUERY_BLOCK", 2)
+    got = catalog_queries.memory_scores_all(spark, str(tmp_path))
+    assert sorted((r.query_id, r.memory_id, round(r.score, 9)) for r in got.collect()) == sorted(want)

@@ -791,6 +791,14 @@ def memory_scores(spark, sf_dir):
     return conversations.memory_scores(m, q).select("query_id", "memory_id", F.round("score", 9).alias("score"))
 
 
+@query()
+def memory_scores_all(spark, sf_dir):
+    """Queries that grow with the table: every twentieth item, against all documents."""
+    q = read(spark, sf_dir, "benchmark").where(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("query_id"), "text")
+    m = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content"), ((F.col("doc_id") % 10) / 10).alias("importance"))
+    return conversations.memory_scores(m, q).select("query_id", "memory_id", "score")
+
+
 @query(
     """WITH c AS (SELECT lower(c_mktsegment) AS k, count(*) AS n, max(c_custkey) AS r FROM customer GROUP BY 1), names(name) AS (VALUES ('Building'), ('nobody'))
     SELECT name, CASE WHEN n = 1 THEN 'EXACT' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'NOT_FOUND' END AS status, CASE WHEN n = 1 THEN r END AS resource FROM names LEFT JOIN c ON k = lower(name)"""
