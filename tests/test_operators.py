@@ -219,3 +219,10 @@ def test_memories_of_all_queries(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(conversations, "QUERY_BLOCK", 2)
     got = catalog_queries.memory_scores_all(spark, str(tmp_path))
     assert sorted((r.query_id, r.memory_id, round(r.score, 9)) for r in got.collect()) == sorted(want)
+
+
+def test_names_in_every_language(spark, tmp_path):
+    docs = [(1, "out of the box", "en"), (2, "The end of the road, the", "de"), (3, "the", None), (4, None, "en"), (5, "nothing", "fr")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog_queries.dictionary_matches_all(spark, str(tmp_path))
+    assert rows(got, "text_id", "name") == [(1, "of the", 1), (2, "of the", 1), (2, "the", 2), (3, "the", 1)]

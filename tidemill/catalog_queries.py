@@ -504,6 +504,14 @@ def dictionary_matches(spark, sf_dir):
     return conversations.dictionary_matches(d, names).groupBy("text_id", "name").agg(F.count("*").alias("n"))
 
 
+@query()
+def dictionary_matches_all(spark, sf_dir):
+    """Names in the documents of every language and of none."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    names = spark.createDataFrame([("of the",), ("the",)], "name string")
+    return conversations.dictionary_matches(d, names).groupBy("text_id", "name").agg(F.count("*").alias("n"))
+
+
 # evaluation
 
 
