@@ -8,8 +8,9 @@ text, since every byte of a non-ASCII character is above 0x7F.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,11 @@ WORDS_ALNUM = (
 #: bytes of text that one step works on; a longer document is a step of its own
 STEP_BYTES = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C55
 _MASK = (1 << 64) - 1
+#: longer ranges are hashed one by one
+_LONG = 1024
+#: the low bytes of a lane that belong to a range with so many bytes left
+PART = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,14 +45,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def powers(base: int) -> np.ndarray:
-        out = np.full(n + 1, base, dtype=np.uint64)
-        out[0] = 1
-        return np.cumprod(out, dtype=np.uint64)
-
-    return powers(_BASE), powers(pow(_BASE, -1, 1 << 64))
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0, eights: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each range of bytes, lane by lane; other seeds give independent hashes."""
+    eights = lanes(data) if eights is None else eights
+    length = end - start
+    out = mix(length.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) & _MASK))
+    for k in np.flatnonzero(length > _LONG):
+        digest = hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little"))
+        out[k] = int.from_bytes(digest.digest(), "little")
+    live = np.flatnonzero((length > 0) & (length <= _LONG))
+    begin, left, own = start[live], length[live], out[live]
+    while len(live):
+        own = mix(own ^ (eights[begin] & PART[np.minimum(left, 8)]))
+        more = left > 8
+        out[live] = own
+        live, begin, left, own = live[more], begin[more] + 8, left[more] - 8, own[more]
+    return out
+
+
+def same_bytes(eights: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the ranges of bytes that begin at a and at b, of equal length, are the same; eights are `lanes`."""
+    out = np.ones(len(length), bool)
+    for k in np.flatnonzero(length > _LONG):
+        n = length[k] - 7
+        out[k] = np.array_equal(eights[a[k] : a[k] + n], eights[b[k] : b[k] + n])
+    live = np.flatnonzero((length > 0) & (length <= _LONG) & (a != b))
+    a, b, left = a[live], b[live], length[live]
+    while len(live):
+        same = ((eights[a] ^ eights[b]) & PART[np.minimum(left, 8)]) == 0
+        out[live] = same
+        more = same & (left > 8)
+        live, a, b, left = live[more], a[more] + 8, b[more] + 8, left[more] - 8
+    return out
 
 
 class Words:
@@ -75,25 +109,20 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         self.bounds = np.searchsorted(self.start, offsets)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's lower-cased bytes."""
-        return self.hashes_of(self.lower, self.start, self.end)
+    @cached_property
+    def eights(self) -> np.ndarray:
+        return lanes(self.lower)
 
-    @staticmethod
-    def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each range of bytes."""
-        n = max(1 << 21, 1 << max(0, len(data) - 1).bit_length())
-        up, down = _powers(n)
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-        return mix((total[end] - total[start]) * down[start])
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word's lower-cased bytes."""
+        return range_hashes(self.lower, self.start, self.end, seed, self.eights)
 
     def word(self, i: int) -> bytes:
         return self.lower[self.start[i] : self.end[i]].tobytes()
 
 
-def batches(texts: pa.Array, is_word: np.ndarray, step: int = STEP_BYTES) -> Iterator[tuple[int, Words]]:
-    """(first row, words) for runs of rows of about `step` bytes; null is an empty text."""
+def runs(texts: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, texts + 1 offsets in them) for runs of rows of about `step` bytes; null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if pa.types.is_null(texts.type):
@@ -112,10 +141,16 @@ def batches(texts: pa.Array, is_word: np.ndarray, step: int = STEP_BYTES) -> Ite
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + step, side="right")) - 1)
         last = min(last, n)
         part = offsets[row : last + 1]
-        yield row, Words(data[part[0] : part[-1]], part - part[0], is_word)
+        yield row, data[part[0] : part[-1]], part - part[0]
         row = last
 
 
+def batches(texts: pa.Array, is_word: np.ndarray, step: int = STEP_BYTES) -> Iterator[tuple[int, Words]]:
+    """(first row, words) for runs of rows."""
+    for row, data, offsets in runs(texts, step):
+        yield row, Words(data, offsets, is_word)
+
+
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of `size` words of one document; a shorter document is one run, an empty one none."""
     if len(words) == 0:

@@ -20,12 +20,13 @@ file), under a name that only depends on its partition, moved into place when
 complete, so that a task which runs again replaces the same file.
 
 Ids come from the given tokenizer.  Byte-level pieces end before a single space
-between non-space bytes, and between an ASCII letter and ASCII punctuation (but
-the apostrophe): its pre-tokeniser always cuts there, so that pieces can be
-encoded once and looked up after that.
+between characters that are no white space of any kind, and between an ASCII
+letter and ASCII punctuation (but the apostrophe): its pre-tokeniser always cuts
+there, so that pieces can be encoded once and looked up after that.
 
 Nulls and empties: a null text is an empty one: only the end id.  A null doc_id
-comes first and is kept as null.  Repeated rows are all written.  An empty
+comes first and is kept as null.  Repeated rows are all written; rows of one
+doc_id come in the order of a hash of their texts, then of the texts.  An empty
 table gives no files and no rows.  Other columns are ignored.
 """
 
@@ -45,18 +46,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .storage import new_path, staged
-from .textkit import Words, batches
+from .textkit import PART, lanes, range_hashes, runs, same_bytes
 
 MAGIC = b"PFORIDS1"
 HEAD = struct.Struct("<8sIQIII")
 BLOCK_HEAD = struct.Struct("<IBH")
 BLOCK = 1024
 PERCENTILE = 95
-FILE_IDS = 2_000_000
+#: ids of a file: about 35 MB
+FILE_IDS = 16_000_000
 END_ID = 0
 STEP = 4 << 20
 #: pieces that a worker keeps encoded
 CACHE = 1_500_000
+#: pieces that are encoded at once
+JOINED = 200
 
 
 def encode_block(ids: np.ndarray) -> bytes:
@@ -123,6 +127,9 @@ class TokenFile:
 
 _B = np.arange(256)
 _SPACE = (_B == 0x20) | ((_B >= 0x09) & (_B <= 0x0D)) | ((_B >= 0x1C) & (_B <= 0x1F))
+#: bytes that a white-space character beyond ASCII may end with, or begin with
+_SPACE_END = _SPACE | ((_B >= 0x80) & (_B <= 0x8F)) | np.isin(_B, (0x9F, 0xA0, 0xA8, 0xA9, 0xAF))
+_SPACE_BEGIN = _SPACE | ((_B >= 0xE1) & (_B <= 0xE3)) | (_B == 0xC2)
 _LETTER = ((_B >= 65) & (_B <= 90)) | ((_B >= 97) & (_B <= 122))
 _MARK = ((_B >= 33) & (_B <= 47) & (_B != 39)) | ((_B >= 58) & (_B <= 64)) | ((_B >= 91) & (_B <= 96)) | ((_B >= 123) & (_B <= 126))
 
@@ -138,6 +145,10 @@ class PieceEncoder:
         added = "".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values()).encode()
         self.marks = _MARK & ~np.isin(_B, np.frombuffer(added, np.uint8))
         self.spaces = b" " not in added
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.widths = np.zeros(max(names.values()) + 1, np.int64)
+        for name, i in names.items():
+            self.widths[i] = len(name)  # a character stands for a byte
         self.clear()
 
     def clear(self) -> None:
@@ -145,51 +156,112 @@ class PieceEncoder:
         self.place = np.zeros(0, np.int64)
         self.begin = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.uint32)
-
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for e in ids for x in e), np.uint32, int(n.sum()))
-        place = np.arange(len(self.begin) - 1, len(self.begin) - 1 + len(ids))
+        self.pieces: list[bytes] = []
+        #: length and first sixteen bytes of each piece: all of most
+        self.known = np.zeros((0, 3), np.uint64)
+
+    def _ids(self, pieces: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)]
+
+    def _all_ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many each has.
+
+        Pieces that begin with a single space and end with none are put together and encoded at once;
+        the tokens' byte lengths tell them apart again.  Where they don't, pieces are encoded one by one.
+        """
+        joinable = [i for i, p in enumerate(pieces) if self.spaces and len(p) > 1 and p[0] == 0x20 and not _SPACE_BEGIN[p[1]] and not _SPACE_END[p[-1]]]
+        n = np.zeros(len(pieces), np.int64)
+        parts: list[tuple[int, np.ndarray]] = []
+        chunks = [joinable[i : i + JOINED] for i in range(0, len(joinable), JOINED)]
+        alone = np.ones(len(pieces), bool)
+        for chunk, found in zip(chunks, self._ids([b"".join(pieces[i] for i in c) for c in chunks]), strict=True):
+            ids = np.array(found, np.uint32)
+            reached, ends = np.cumsum(self.widths[ids]), np.cumsum([len(pieces[i]) for i in chunk])
+            at = np.searchsorted(reached, ends)
+            if at[-1] == len(ids) - 1 and (reached[at] == ends).all():
+                n[chunk] = np.diff(at, prepend=-1)
+                alone[chunk] = False
+                parts.append((chunk, ids))
+        rest = np.flatnonzero(alone)
+        for i, found in zip(rest.tolist(), self._ids([pieces[i] for i in rest.tolist()]), strict=True):
+            n[i] = len(found)
+            parts.append(([i], np.array(found, np.uint32)))
+        begin = np.cumsum(n) - n
+        flat = np.zeros(int(n.sum()), np.uint32)
+        for chunk, ids in parts:
+            own = n[chunk]
+            flat[np.repeat(begin[chunk] - (np.cumsum(own) - own), own) + np.arange(len(ids))] = ids
+        return flat, n
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes], known: np.ndarray) -> None:
+        flat, n = self._all_ids(pieces)
+        place = np.arange(len(self.pieces), len(self.pieces) + len(n))
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(n)])
         self.flat = np.concatenate([self.flat, flat])
+        self.known = np.concatenate([self.known, known])
+        self.pieces += pieces
         at = np.searchsorted(self.hashes, hashes)
         self.hashes, self.place = np.insert(self.hashes, at, hashes), np.insert(self.place, at, place)
 
-    def encode(self, words: Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all documents of a step, and documents + 1 places in them."""
-        offsets = words.offsets
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         cut = np.zeros(len(data) + 1, bool)
         if len(data) > 2:
             if self.spaces:
-                space = _SPACE[data]
-                cut[1:-2] = (data[1:-1] == 0x20) & ~space[:-2] & ~space[2:]
+                cut[1:-2] = (data[1:-1] == 0x20) & ~_SPACE_END[data[:-2]] & ~_SPACE_BEGIN[data[2:]]
             cut[1:-1] |= _LETTER[data[:-1]] & self.marks[data[1:]]
         cut[offsets] = True
-        cuts = np.flatnonzero(cut)
+        return np.flatnonzero(cut)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents of a step, and documents + 1 places in them.
+
+        A piece is looked up by its hash, and its bytes are compared with those of the piece that
+        was encoded under that hash; one that differs is encoded by itself.
+        """
+        cuts = self._cuts(data, offsets)
         start, end = cuts[:-1], cuts[1:]
         bounds = np.searchsorted(start, offsets)
         bounds[-1] = len(start)
-        hashes = words.hashes_of(data, start, end)
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        eights, length = lanes(data), end - start
+        unique, first, inverse = np.unique(range_hashes(data, start, end, 0, eights), return_index=True, return_inverse=True)
+        of = first[inverse]
+        same = length == length[of]
+        same[same] = same_bytes(eights, start[same], start[of[same]], length[same])
+        begin, n = start[first], length[first]
+        second = np.where(n > 8, eights[np.minimum(begin + 8, len(data))] & PART[np.clip(n - 8, 0, 8)], np.uint64(0))
+        known = np.stack([n.astype(np.uint64), eights[begin] & PART[np.minimum(n, 8)], second], axis=1)
+
+        def piece(k: int) -> bytes:
+            return data[start[k] : end[k]].tobytes()
+
         at = np.searchsorted(self.hashes, unique)
-        known = np.zeros(len(unique), bool)
         inside = at < len(self.hashes)
-        known[inside] = self.hashes[at[inside]] == unique[inside]
-        if not known.all():
-            new = np.flatnonzero(~known)
-            if len(self.hashes) + len(new) > CACHE:
-                self.clear()
-                new = np.arange(len(unique))
-            raw = data.tobytes()
-            self._learn(unique[new], [raw[s:e].decode("utf-8") for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
-            at = np.searchsorted(self.hashes, unique)
-        place = self.place[at][inverse]
-        begin, n = self.begin[place], self.begin[place + 1] - self.begin[place]
+        inside[inside] = self.hashes[at[inside]] == unique[inside]
+        new = np.flatnonzero(~inside)
+        if len(self.hashes) + len(new) > CACHE:
+            self.clear()
+            new = np.arange(len(unique))
+        if len(new):
+            self._learn(unique[new], [piece(k) for k in first[new].tolist()], known[new])
+        place = self.place[np.searchsorted(self.hashes, unique)]
+        right = (self.known[place] == known).all(axis=1)
+        for u in np.flatnonzero(right & (n > 16)):
+            right[u] = self.pieces[place[u]] == piece(first[u])
+        same &= right[inverse]
+        place = place[inverse]
+        odd = np.flatnonzero(~same)
+        if not len(odd):
+            return self._gathered(self.begin, self.flat, place, bounds)
+        ids = self._ids([piece(k) for k in odd.tolist()])
+        place[odd] = np.arange(len(self.pieces), len(self.pieces) + len(odd))
+        own = self.begin[-1] + np.cumsum([len(x) for x in ids])
+        return self._gathered(np.concatenate([self.begin, own]), np.concatenate([self.flat, *(np.array(x, np.uint32) for x in ids)]), place, bounds)
+
+    @staticmethod
+    def _gathered(begin: np.ndarray, flat: np.ndarray, place: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, n = begin[place], begin[place + 1] - begin[place]
         out_begin = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(begin - out_begin[:-1], n) + np.arange(out_begin[-1])]
-        return ids, out_begin[bounds]
+        return flat[np.repeat(at - out_begin[:-1], n) + np.arange(out_begin[-1])], out_begin[bounds]
 
 
 @lru_cache(maxsize=2)
@@ -197,14 +269,11 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-ANY = np.ones(256, bool)
-
-
 def encoded(texts: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids, documents + 1 places) for runs of rows."""
     tool = encoder(path)
-    for row, words in batches(texts, ANY, STEP):
-        yield row, *tool.encode(words, words.data)
+    for row, data, offsets in runs(texts, STEP):
+        yield row, *tool.encode(data, offsets)
 
 
 def _move_in(folder: str, name: str, content: bytes) -> None:
@@ -261,7 +330,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     at = jvm.org.apache.hadoop.fs.Path(folder)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sorted_rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # the hash splits a doc_id that many rows share
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     made = sorted_rows.mapInArrow(_write(folder, tokenizer_path, end_id, file_ids), "part long, number long, n_ids long")
     made.write.mode("overwrite").parquet(f"{folder}/_files")
     return folder
@@ -297,8 +368,11 @@ def read_token_files(spark, folder: str) -> DataFrame:
 def token_rows(spark, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files alone."""
     files = spark.read.parquet(f"{folder}/_files")
-    order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    files = staged(files.select("part", "number", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base")), "bases")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("part_base"))
+    inside = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.withColumn("inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(parts, "part")
+    files = staged(files.select("part", "number", (F.col("part_base") + F.col("inside")).alias("base")), "bases")
     pieces = read_token_files(spark, folder).select("part", "number", "place", "doc_id", "at", "ends", "ids")
     pieces = pieces.join(files, ["part", "number"]).withColumn("start", F.col("base") + F.col("at"))
     whole = pieces.where("ends and (place > 0 or number = 0)").select("doc_id", "start", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
