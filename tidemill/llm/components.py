@@ -2,9 +2,10 @@
 
 Alternates the large-star and small-star rewirings (Kiveris et al., 2014)
 until no edge changes: every node then points at the smallest node of its
-component.  Each step is a map-side combined minimum and a join, so that no
-neighbourhood is ever gathered in one task; each round is written to the shared
-folder.
+component.  Each step is a map-side combined minimum and a join with one row per
+node; a node with very many edges makes a large partition of that join, which
+adaptive execution splits, and no neighbourhood is ever held as a list.  Each
+round is written to the shared folder.
 """
 
 from __future__ import annotations

@@ -14,8 +14,9 @@ selectivity would take collections ** 2 * 2 * width.  With the defaults
 
 Steps, none of which gathers a group in one task or emits all pairs of a group:
 
-1. one pass over the texts gives set size, 128-bit set fingerprint, U and V;
-   equal sets are collapsed onto their smallest doc_id;
+1. one pass over the texts gives set size, 128-bit set fingerprint (sums of two
+   independent hashes of the shingles), U and V; equal sets are collapsed to one
+   set, which gets a number of its own: a doc_id may occur with several texts;
 2. a U_i (V_j) that no other set has drops out; the remaining keys of a set
    (at most 2 * collections) are combined in pairs to table keys;
 3. the shingles of these sets are counted.  A set's overlap with any other is
@@ -29,13 +30,20 @@ Steps, none of which gathers a group in one task or emits all pairs of a group:
    the bounds allow, so that no link between components is lost.  The join's
    condition also bounds the overlap by parity bitmaps: two sets differ in at
    least as many shingles as their bitmaps differ in bits;
-6. every comparison is exact, on the full shingle sets of the two texts.
+6. every comparison is made on the full shingle sets of the two texts, and a
+   link must hold under both of two independent 64-bit hashes of the shingles.
 
 Nulls, empties, repeats: a null or empty text, or one without words, has an
-empty set, is its own component and is kept.  Rows that repeat a doc_id are
-kept as rows and share the doc_id's component.  A null doc_id is linked with
-nothing, has a null component and is kept.  An empty table gives no rows.
-Other columns of the input are ignored.
+empty set, is its own component and is kept.  Each row is a document of its own:
+where a doc_id occurs with different texts, each row has the component that its
+own text's links lead to.  A null doc_id is linked with nothing, has a null
+component and is kept.  An empty table gives no rows.  Other columns of the
+input are ignored.
+
+`deduplicated` keeps one row of each component: that of the smallest doc_id (and
+of the smaller text hash, where that id has several texts), and one only of rows
+that repeat it; any of those that differ in other columns.  Rows without words
+or without a doc_id all stay.
 """
 
 from __future__ import annotations
@@ -49,7 +57,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import drop, staged
-from .textkit import WORDS_SPACE, batches, mix, shingle_hashes
+from .textkit import WORDS_SPACE, Words, batches, mix, shingle_hashes
 
 SHINGLE = 5
 THRESHOLD = 75
@@ -87,26 +95,34 @@ def _signatures(collections: int, width: int, size: int, seed: int):
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for row, words in batches(part.column(1), WORDS_SPACE):
-                hashes, bounds = words.hashes(), words.bounds
-                n = len(bounds) - 1
+            for row, words in batches(part.column(2), WORDS_SPACE):
+                n = len(words.bounds) - 1
                 count = np.zeros(n, np.int64)
-                prints = np.zeros((n, 2), np.int64)
+                prints = np.zeros((n, 2), np.uint64)
                 keys: list[np.ndarray | None] = [None] * n
-                for i in range(n):
-                    found = np.unique(shingle_hashes(hashes[bounds[i] : bounds[i + 1]], size))
-                    if len(found):
-                        count[i] = len(found)
-                        prints[i] = found.sum(dtype=np.uint64).view(np.int64), mix(found ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64).view(np.int64)
-                        keys[i] = small_keys(minima(found, multipliers), width).view(np.int64)
+                for i, (one, two) in enumerate(_both_sets(words, size)):
+                    if len(one):
+                        count[i] = len(one)
+                        prints[i] = one.sum(dtype=np.uint64), two.sum(dtype=np.uint64)
+                        keys[i] = small_keys(minima(one, multipliers), width).view(np.int64)
+                prints = prints.view(np.int64)
+                own = part.slice(row, n)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0)[row : row + n], pa.array(count), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "print_a", "print_b", "keys"],
+                    [own.column(0), own.column(1), pa.array(count), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "text_hash", "n_shingles", "print_a", "print_b", "keys"],
                 )
 
     return run
 
 
+def _both_sets(words: Words, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each document's distinct shingles under two independent hashes."""
+    one, two, bounds = words.hashes(), words.hashes(1), words.bounds
+    for i in range(len(bounds) - 1):
+        own = slice(bounds[i], bounds[i + 1])
+        yield np.unique(shingle_hashes(one[own], size)), np.unique(shingle_hashes(two[own], size))
+
+
 def parities(shingles: np.ndarray) -> np.ndarray:
     """Whether the number of a set's shingles in each of 64 * BITMAP classes is odd, as bits of longs."""
     odd = np.bincount((shingles % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
@@ -117,11 +133,14 @@ def _sets(size: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for row, words in batches(part.column(1), WORDS_SPACE):
-                hashes, bounds = words.hashes(), words.bounds
-                n = len(bounds) - 1
-                found = [np.unique(shingle_hashes(hashes[bounds[i] : bounds[i + 1]], size)) for i in range(n)]
+                found = list(_both_sets(words, size))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0)[row : row + n], pa.array([f.tobytes() for f in found], pa.binary()), pa.array([parities(f) for f in found], pa.list_(pa.int64()))], names=["id", "shingles", "parity"]
+                    [
+                        part.column(0)[row : row + len(found)],
+                        *(pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (0, 1)),
+                        pa.array([parities(f[0]) for f in found], pa.list_(pa.int64())),
+                    ],
+                    names=["id", "shingles", "seconds", "parity"],
                 )
 
     return run
@@ -156,44 +175,36 @@ def _allowed(x: str, y: str) -> str:
     return f"{x}_size <= {y}_most and {y}_size <= {x}_most"
 
 
+def _similar(x: pa.Scalar, y: pa.Scalar, threshold: int) -> bool:
+    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+    return 100 * both >= threshold * (len(x) + len(y) - both)
+
+
 def _linked(threshold: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            keep = np.zeros(part.num_rows, bool)
-            for i, (x, y) in enumerate(zip(part.column(2), part.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep[i] = 100 * both >= threshold * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep))
+            keep = [_similar(x, y, threshold) and _similar(x2, y2, threshold) for x, y, x2, y2 in zip(*part.columns[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose full sets (id, shingles) are similar enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    """The pairs (a, b) whose full sets (id, shingles, seconds) are similar enough under both hashes."""
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"), F.col("seconds").alias("x2"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"), F.col("seconds").alias("y2"))
     both = pairs.join(left, "a").join(right, "b").where(
         100 * F.least(F.length("x"), F.length("y")) >= threshold * F.greatest(F.length("x"), F.length("y"))
     )
-    return both.select("a", "b", "x", "y").mapInArrow(_linked(threshold), "a long, b long")
+    return both.select("a", "b", "x", "y", "x2", "y2").mapInArrow(_linked(threshold), "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    size: int = SHINGLE,
-    threshold: int = THRESHOLD,
-    collections: int = COLLECTIONS,
-    width: int = WIDTH,
-    seed: int = 1,
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs; kept is doc_id = component_id."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: int, collections: int, width: int, seed: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, first) of each row; first: it is the row that stays of its component."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     signed = staged(
-        texts.mapInArrow(_signatures(collections, width, size, seed), "doc_id long, n_shingles long, print_a long, print_b long, keys array<long>"),
+        texts.mapInArrow(_signatures(collections, width, size, seed), "doc_id long, text_hash long, n_shingles long, print_a long, print_b long, keys array<long>"),
         "minhash",
     )
     exact = ["n_shingles", "print_a", "print_b"]
@@ -203,10 +214,9 @@ def near_duplicates(
         made.append(staged(df, tag))
         return made[-1]
 
-    reps = hold(
-        signed.where("n_shingles > 0 and doc_id is not null").groupBy(*exact).agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys")),
-        "reps",
-    )
+    row = F.struct("doc_id", "text_hash")
+    reps = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*exact).agg(F.min(row).alias("row"), F.min_by("keys", row).alias("keys"))
+    reps = hold(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
 
     # small keys that at least two sets share
     small = reps.select(F.col("rep").alias("id"), F.posexplode("keys").alias("place", "key"))
@@ -230,9 +240,9 @@ def near_duplicates(
     members = hold(tables.join(sized.select("key"), "key", "left_semi"), "members")
 
     # exact sets of the texts that share a table
-    inside = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = texts.join(inside, "doc_id", "left_semi").mapInArrow(_sets(size), "id long, shingles binary, parity array<long>")
-    sets = hold(sets.groupBy("id").agg(F.first("shingles").alias("shingles"), F.first("parity").alias("parity")), "sets")
+    inside = reps.join(members.select(F.col("id").alias("rep")).distinct(), "rep", "left_semi").select("row.*", "rep")
+    sets = texts.join(inside, ["doc_id", "text_hash"]).select("rep", "text").mapInArrow(_sets(size), "id long, shingles binary, seconds binary, parity array<long>")
+    sets = hold(sets.groupBy("id").agg(*(F.first(c).alias(c) for c in ("shingles", "seconds", "parity"))), "sets")
 
     bounds = hold(size_bounds(sets, threshold), "bounds")
     members = members.select("key", "id").join(bounds, "id")
@@ -282,16 +292,59 @@ def near_duplicates(
     edges = more.union(groups.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
     groups = hold(components(edges).select(F.col("id").alias("rep"), "component"), "groups")
 
-    named = staged(reps.drop("keys").join(groups, "rep", "left").select(*exact, F.coalesce("component", "rep").alias("component")), "named")
+    placed = hold(reps.join(groups, "rep", "left").select(*exact, "row", F.coalesce("component", "rep").alias("component")), "placed")
+    least = placed.groupBy("component").agg(F.min("row").alias("least"))
+    named = staged(placed.drop("row").join(least, "component").drop("component"), "named")
     drop(docs.sparkSession, *made)
-    out = signed.select("doc_id", *exact).join(named, exact, "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id")
+    out = signed.select("doc_id", "text_hash", *exact).join(named, exact, "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return out.select(
+        "doc_id",
+        "text_hash",
+        "n_shingles",
+        F.when(linked, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(linked, row == F.col("least")).otherwise(True).alias("first"),
     )
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs without the near copies: of each component the row of the smallest doc_id stays."""
-    id_col = options.get("id_col", "doc_id")
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+def near_duplicates(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = SHINGLE,
+    threshold: int = THRESHOLD,
+    collections: int = COLLECTIONS,
+    width: int = WIDTH,
+    seed: int = 1,
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs; kept is doc_id = component_id."""
+    out = _classes(docs, id_col, text_col, size, threshold, collections, width, seed)
+    return out.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = SHINGLE,
+    threshold: int = THRESHOLD,
+    collections: int = COLLECTIONS,
+    width: int = WIDTH,
+    seed: int = 1,
+) -> DataFrame:
+    """docs without the near copies: one row of each component stays."""
+    rows = staged(_classes(docs, id_col, text_col, size, threshold, collections, width, seed), "classes")
+
+    def at(keys: DataFrame):
+        keys = keys.select(F.col("doc_id").alias("__tidemill_id"), F.col("text_hash").alias("__tidemill_hash"))
+        return keys, (docs[id_col].cast("long") == keys["__tidemill_id"]) & (F.xxhash64(docs[text_col]) == keys["__tidemill_hash"])
+
+    gone = rows.where("not first").select("doc_id", "text_hash").distinct()
+    again = staged(rows.where("first and n_shingles > 0 and doc_id is not null").groupBy("doc_id", "text_hash").count().where("count > 1"), "repeated")
+    kept = docs.join(*at(gone), "left_anti")
+    if not again.isEmpty():
+        once = docs.join(*at(again), "left_semi").dropDuplicates([id_col, text_col])
+        kept = kept.join(*at(again), "left_anti").unionByName(once)
+    return kept.select(*docs.columns)

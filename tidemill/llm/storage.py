@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
 A written table cuts lineage and survives the loss of executors.  The folder is
-the one that the cluster names in spark.checkpoint.dir; only where that is
-unset (a single machine, as in tests) a temporary folder is made.
+the one that the cluster names in spark.checkpoint.dir; only on a local master
+(a single machine, as in tests) a temporary folder is made where that is unset.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, without a slash at its end."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tidemill-')}"
         _made.append(folder[7:])
         spark.conf.set("spark.checkpoint.dir", folder)
