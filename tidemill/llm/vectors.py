@@ -9,17 +9,22 @@ A group that no split divides well is left whole.  All pairs within a leaf are
 compared, exactly, in double precision; pairs linked in any tree are united.
 
 The upper part of each tree is fitted on a bounded sample of the vectors
-(`sample`, by a hash of the id) and routes every vector to cells of about
-`cell_rows`; the lower part is grown by the task that has the cell's vectors.
-A vector's leaves are then listed beside it, and a pair counts in the first of
-its common leaves only: link counts are sums per vector, no pair is ever written.
-Equal vectors are collapsed first and counted by their number.
-
-Nulls and others: a vector that is null, zero, empty, or holds null or
-non-finite components links with nothing, nor do vectors of different
-dimensions.  A null vec_id links with nothing and has a null component.  Rows
-that repeat a vec_id count as vectors each.  An empty table gives no rows.
-Other columns are ignored.
+(`sample`, by a hash of the id; at most SAMPLE_BYTES) and routes every vector to
+cells of about `cell_rows`; the lower part is grown by the task that has the
+cell's vectors.  A vector's leaves are then listed beside it, and a pair counts in
+the first of its common leaves only: link counts are sums per vector, no pair is
+ever written.  A cell that the sample could not divide and that is larger than
+WIDE cells is a leaf as it is, and a leaf of more than WIDE * leaf_rows vectors is
+cut into blocks, whose pairs are compared by tasks of their own: no task holds a
+dense cluster whole.  Equal vectors are collapsed first and counted by their
+number.  Vectors travel in the precision they came in.
+
+A vector that is null, zero, empty, or holds null or non-finite components links
+with nothing, nor do vectors of different dimensions.  A null vec_id links with
+nothing and has a null component.  Each row is a vector of its own: where a vec_id
+occurs with different vectors, each row has its own links, and its component is
+the smallest vec_id that they lead to.  An empty table gives no rows.  Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,38 +42,46 @@ from .storage import staged
 
 COSINE = 0.95
 TREES = 5
-LEAF_ROWS = 1024
+LEAF_ROWS = 512
 CELL_ROWS = 8192
 SAMPLE = 20_000
+SAMPLE_BYTES = 64 << 20
+#: times its intended size at which a leaf or cell is cut into blocks
+WIDE = 8
 DIRECTIONS = 4
 #: a split that leaves more than this share of a node's vectors on one side is no split
 WORST = 0.8
 
 
-def _units(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id, fingerprint and unit vector (null where a vector cannot link)."""
+def _unit(v: np.ndarray) -> np.ndarray | None:
+    v = v.astype(np.float64)
+    biggest = np.abs(v).max() if len(v) else 0.0
+    if not (np.isfinite(biggest) and biggest > 0):
+        return None
+    v = v / biggest
+    return v / np.linalg.norm(v) + 0.0
+
+
+def _prints(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """vec_id, fingerprint of the unit vector and components as bytes (null where a vector cannot link)."""
     for part in parts:
-        column = part.column(1)
-        prints, units = [], []
-        for x in column:
-            v = None
-            if x.is_valid and len(x.values) and x.values.null_count == 0:
-                v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                biggest = np.abs(v).max()
-                v = v / biggest if np.isfinite(v).all() and biggest > 0 else None
-            if v is None:
-                prints.append(None)
-                units.append(None)
-            else:
-                v = v / np.linalg.norm(v) + 0.0
-                prints.append(hashlib.blake2b(v.tobytes(), digest_size=16).digest())
-                units.append(v.tobytes())
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.binary()), pa.array(units, pa.binary())], names=["vec_id", "print", "unit"])
-
-
-def _matrix(units) -> np.ndarray:
-    rows = [np.frombuffer(u.as_buffer(), np.float64) for u in units]
-    return np.stack(rows) if rows else np.zeros((0, 1))
+        prints, raw = [], []
+        for x in part.column(1):
+            v = x.values.to_numpy(zero_copy_only=False) if x.is_valid and x.values.null_count == 0 else np.zeros(0)
+            unit = _unit(v)
+            prints.append(None if unit is None else hashlib.blake2b(unit.tobytes(), digest_size=16).digest())
+            raw.append(None if unit is None else v.tobytes())
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "print", "raw"])
+
+
+def _matrix(raw, kind: str) -> np.ndarray:
+    """Unit vectors in double precision."""
+    rows = [np.frombuffer(u.as_buffer(), kind) for u in raw]
+    if not rows:
+        return np.zeros((0, 1))
+    x = np.stack(rows).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def margin_of(cosine: float, dimensions: int) -> float:
@@ -140,26 +153,32 @@ def _number(name: tuple) -> int:
     return int.from_bytes(hashlib.blake2b(repr(name).encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _route(shared):
+def _routed(shared, kind: str, carry: bool):
+    """(cell, rep, components) of each vector and cell; without carry only the cells."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             widths = np.array([u.as_buffer().size for u in part.column(1)], np.int64) if part.num_rows else np.zeros(0, np.int64)
             for width in np.unique(widths):
                 rows = np.flatnonzero(widths == width)
                 own = part.take(pa.array(rows))
-                x = _matrix(own.column(1))
+                x = _matrix(own.column(1), kind)
                 for tree in shared.value[int(width)]:
                     for name, at in tree.cells(x):
+                        cell = pa.array(np.full(len(at), _number(name)))
+                        if not carry:
+                            yield pa.RecordBatch.from_arrays([cell, own.column(0).take(pa.array(at))], names=["leaf", "rep"])
+                            continue
                         taken = own.take(pa.array(at))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), _number(name))), taken.column(0), taken.column(1)], names=["cell", "rep", "unit"])
+                        yield pa.RecordBatch.from_arrays([cell, taken.column(0), taken.column(1)], names=["cell", "rep", "raw"])
 
     return run
 
 
-def _leaves_of_cell(leaf_rows: int, cosine: float):
+def _leaves_of_cell(leaf_rows: int, cosine: float, kind: str):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
-        x = _matrix(table["unit"])
+        x = _matrix(table["raw"], kind)
         reps, cell = table["rep"].to_numpy(), table["cell"][0].as_py()
         names, members = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for name, own in leaves(x, leaf_rows, margin_of(cosine, x.shape[1]), (cell,)):
@@ -179,27 +198,30 @@ def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _compare(cosine: float):
+def _compare(cosine: float, kind: str):
+    """Links of a leaf's members, or of those between two blocks of it (numbers `one` and `two`; a member's is `block`)."""
+
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
-        x = _matrix(table["unit"])
-        leaf = table["leaf"][0].as_py()
-        reps, copies = table["rep"].to_numpy(), table["copies"].to_numpy()
+        x = _matrix(table["raw"], kind)
+        leaf, one, two = (table[c][0].as_py() for c in ("leaf", "one", "two"))
+        reps, copies, block = table["rep"].to_numpy(), table["copies"].to_numpy(), table["block"].to_numpy()
         lists = table["leaves"].to_pylist()
         own = np.full((len(lists), max(map(len, lists))), np.iinfo(np.int64).max)
         for i, names in enumerate(lists):
             own[i, : len(names)] = sorted(names)
         links, label = np.zeros(len(x), np.int64), np.arange(len(x))
         for at in range(0, len(x), 512):
-            i, j = np.nonzero(x[at : at + 512] @ x.T >= cosine)
-            i += at
-            i, j = i[i < j], j[i < j]
+            i, j = np.nonzero(x[at : at + 512] @ x[at:].T >= cosine)
+            i, j = i + at, j + at
+            wanted = (i < j) & ((one == two) | (block[i] != block[j]))
+            i, j = i[wanted], j[wanted]
             _unite(label, i, j)
             for k in range(0, len(i), 50_000):
                 a, b = i[k : k + 50_000], j[k : k + 50_000]
                 first = _first_common(own[a], own[b]) == leaf
-                np.add.at(links, a[first], copies[b[first]])
-                np.add.at(links, b[first], copies[a[first]])
+                links += np.bincount(a[first], weights=copies[b[first]], minlength=len(x)).astype(np.int64)
+                links += np.bincount(b[first], weights=copies[a[first]], minlength=len(x)).astype(np.int64)
         used = np.flatnonzero((links > 0) | (label != np.arange(len(x))))
         return pa.table({"rep": reps[used], "links": links[used], "to": reps[label[used]]})
 
@@ -230,37 +252,54 @@ def linked_vectors(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of vectors."""
     spark = vectors.sparkSession
-    columns = [F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")]
-    rows = staged(vectors.select(*columns).mapInArrow(_units, "vec_id long, print binary, unit binary"), "vectors")
-    reps = staged(
-        rows.where("print is not null and vec_id is not null").groupBy("print").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit")), "vectors"
-    )
-    total = reps.count()
-    part = F.pmod(F.xxhash64("rep", F.lit(19)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(total, 1))) + 1
-    drawn = reps.where(part).select("unit").toArrow()["unit"].to_pylist()
-    widths = [r[0] for r in reps.select(F.length("unit")).distinct().collect()]
+    kind, single = ("<f4", "array<float>") if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else ("<f8", "array<double>")
+    item = int(kind[-1])
+    columns = [F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(single).alias("v")]
+    rows = staged(vectors.select(*columns).mapInArrow(_prints, "vec_id long, print binary, raw binary"), "vectors")
+    reps = rows.where("print is not null and vec_id is not null").groupBy("print").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("raw").alias("raw"))
+    reps = staged(reps.withColumn("rep", F.monotonically_increasing_id()), "vectors")
+    total, widest = reps.agg(F.count("*"), F.coalesce(F.max(F.length("raw")), F.lit(item))).first()
+    sample = min(sample, max(1, SAMPLE_BYTES // (widest // item * 8)))
+    part = F.pmod(F.xxhash64("least", "print", F.lit(19)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(total, 1))) + 1
+    drawn = reps.where(part).select("print", "raw").toArrow().sort_by("print")["raw"]
+    widths = [r[0] for r in reps.select(F.length("raw")).distinct().collect()]
     forest = {}
     for width in widths:
-        x = np.stack([np.frombuffer(u, np.float64) for u in drawn if len(u) == width] or [np.zeros(width // 8)])
+        x = _matrix([u for u in drawn if u.as_buffer().size == width], kind)
         own = max(64, int(cell_rows * len(drawn) / max(total, 1)))
-        forest[width] = [Tree(x, own, margin_of(cosine, width // 8), (width, t)) for t in range(trees)]
-    routed = reps.select("rep", "unit").mapInArrow(_route(spark.sparkContext.broadcast(forest)), "cell long, rep long, unit binary")
-    found = routed.groupBy("cell").applyInArrow(_leaves_of_cell(leaf_rows, cosine), "leaf long, rep long")
+        forest[width] = [Tree(x, own, margin_of(cosine, width // item), (width, t)) for t in range(trees)]
+    shared = spark.sparkContext.broadcast(forest)
+    if total > WIDE * cell_rows:  # else no cell is that large
+        cells = staged(reps.select("rep", "raw").mapInArrow(_routed(shared, kind, False), "leaf long, rep long"), "cells")
+        wide = staged(cells.groupBy("leaf").agg(F.count("*").alias("n")).where(f"n > {WIDE * cell_rows}").select("leaf"), "wide")
+        routed = reps.select("rep", "raw").mapInArrow(_routed(shared, kind, True), "cell long, rep long, raw binary")
+        narrow = routed.join(wide.withColumnRenamed("leaf", "cell"), "cell", "left_anti")
+        found = narrow.groupBy("cell").applyInArrow(_leaves_of_cell(leaf_rows, cosine, kind), "leaf long, rep long").union(cells.join(wide, "leaf", "left_semi"))
+    else:
+        routed = reps.select("rep", "raw").mapInArrow(_routed(shared, kind, True), "cell long, rep long, raw binary")
+        found = routed.groupBy("cell").applyInArrow(_leaves_of_cell(leaf_rows, cosine, kind), "leaf long, rep long")
     found = staged(found, "leaves")
-    listed = found.groupBy("rep").agg(F.collect_set("leaf").alias("leaves")).join(reps.select("rep", "copies", "unit"), "rep")
-    compared = listed.select("rep", "copies", "unit", "leaves", F.explode("leaves").alias("leaf")).groupBy("leaf").applyInArrow(_compare(cosine), "rep long, links long, to long")
+    most = WIDE * leaf_rows
+    blocks = staged(found.groupBy("leaf").agg(F.count("*").alias("n")).where(f"n > {most}").select("leaf", F.ceil(F.col("n") / (most // 2)).cast("int").alias("blocks")), "blocks")
+    listed = found.groupBy("rep").agg(F.collect_set("leaf").alias("leaves")).join(reps.select("rep", "copies", "raw"), "rep")
+    each = listed.select("rep", "copies", "raw", "leaves", F.explode("leaves").alias("leaf"))
+    if blocks.isEmpty():
+        each = each.withColumns({c: F.lit(0) for c in ("block", "one", "two")})
+    else:
+        each = each.join(blocks, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        each = each.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(23)), F.col("blocks")).cast("int"))
+        each = each.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        each = each.withColumns({"one": F.least("block", "with"), "two": F.greatest("block", "with")}).drop("blocks", "with")
+    compared = each.groupBy("leaf", "one", "two").applyInArrow(_compare(cosine, kind), "rep long, links long, to long")
     compared = staged(compared, "links")
     groups = components(compared.select(F.col("rep").alias("a"), F.col("to").alias("b")))
     counted = compared.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = reps.select("print", "rep", "copies").join(counted, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
+    named = reps.select("print", "rep", "least", "copies").join(counted, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     named = staged(
-        named.select("print", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "named"
-    )
-    out = rows.select("vec_id", "print").join(named, "print", "left")
-    able = F.col("vec_id").isNotNull()
-    out = out.select(
-        "vec_id",
-        F.when(able, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        F.when(able, F.coalesce("component", "vec_id")).alias("component_id"),
+        named.select("print", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "named"
     )
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "component").select("print", "links", "component_id")
+    out = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("print")).alias("print")).join(named, "print", "left")
+    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
