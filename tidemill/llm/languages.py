@@ -1,87 +1,122 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network reads the (A-Z lower-cased) bytes of a run of non-space bytes in
-both directions, gives each position a distribution over the languages from its
-two states, and a document the mean of the distributions of all its positions.
-States begin anew at each run (and every RUN bytes of a longer one), so that the
-labels of a run's positions depend on the run alone: each distinct run is read
-once and its sum of labels is looked up after that.  No position is skipped.
-
-Training is backpropagation through time with Adam, in numpy, on a bounded
-sample: `sample_docs` documents on average, drawn by a hash of doc_id, of each
-`sample_runs` runs at most, drawn from its whole text.
+The network reads the (A-Z lower-cased) bytes of a text, spaces included, in both
+directions, gives each position a distribution over the languages from its two
+states, and a document the mean of the distributions of all its positions.  No
+position is skipped, and no state is reset inside a text of up to SPAN bytes.  A
+longer text is read in spans of SPAN bytes; before each direction labels a span it
+reads the WARM bytes that come before it, whose labels it leaves to the span they
+are in.  A gated state forgets: README has the difference that this makes to the
+labels of one unbroken reading.
+
+Training is backpropagation through time with Adam, in numpy, on a bounded sample
+of labelled rows: `sample_docs` documents on average, drawn by a hash of their id.
+Each step draws documents and then places anywhere in their whole texts.  Rows are
+sorted before they are used, so that the network does not depend on partitions.
+
+Scores are rounded to six places: they depend on the text alone, not on the rows
+that are read beside it.  Of equally likely languages the first by name wins.
 
 Nulls and empties: a text that is null or has no letter gets `und` and score 0;
-so does every text if there is nothing to learn from.  A null doc_id is not
-learned from.  Repeated rows are predicted row by row; other columns are kept.
+so does every text if there is nothing to learn from.  A row with a null id is
+learned from as any other, if the caller lets it.  Repeated rows are predicted
+row by row; other columns are kept, but for those of the two result columns' names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import WORDS_SPACE, Words, batches
+from .textkit import LOWER, runs
 
 UND = "und"
 SAMPLE_DOCS = 4000
-SAMPLE_RUNS = 40
-RUN = 32
-STATES = 12
-STEPS = 500
-BATCH = 512
-#: runs that a worker keeps labelled
-CACHE = 1_500_000
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
+SPAN = 1024
+WARM = 48
+STATES = 8
+STEPS = 400
+#: spans of a training step, and their bytes
+BATCH = 192
+LENGTH = 64
+#: spans that are read side by side
+ROWS = 2048
+#: a prefix of the rows of a step is rounded up to so many: kernels then treat each row alike
+ALIGN = 64
+
+
+def _bent(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), in place: the squashing function of states and gates."""
+    down = np.abs(x)
+    down += 1
+    x /= down
+    return x
 
 
 class Direction:
-    """One direction's gated recurrent layer; w: byte rows, u: recurrent matrices, for gates z, r and the candidate."""
+    """One direction's gated recurrent layer.
+
+    w: a column for each byte, u: recurrent matrices; rows for gates z, r and the candidate.
+    States are columns, one for each text that is read side by side.
+    """
 
     def __init__(self, rng: np.random.Generator, states: int):
         self.n = states
-        self.w = rng.normal(0, 0.3, (256, 3 * states)).astype(np.float32)
-        self.u = rng.normal(0, 0.3, (states, 3 * states)).astype(np.float32)
-
-    def forward(self, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States (length, batch, n) for bytes x (batch, length); all rows are full."""
-        n, (batch, length) = self.n, x.shape
-        h = np.zeros((batch, n), np.float32)
-        out, trace = np.empty((length, batch, n), np.float32), []
-        for t in range(length):
-            a = self.w[x[:, t]]
-            gates = _sigmoid(a[:, : 2 * n] + h @ self.u[:, : 2 * n])
-            z, r = gates[:, :n], gates[:, n:]
-            c = np.tanh(a[:, 2 * n :] + (r * h) @ self.u[:, 2 * n :])
-            if keep:
-                trace.append((h, z, r, c))
-            h = h + z * (c - h)
-            out[t] = h
+        self.w = rng.normal(0, 0.5, (3 * states, 256)).astype(np.float32)
+        self.u = rng.normal(0, 0.3, (3 * states, states)).astype(np.float32)
+
+    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(new states, z, r, candidate) of a byte each."""
+        n = self.n
+        a = np.empty((3 * n, len(x)), self.w.dtype)
+        self.w.take(x, axis=1, out=a, mode="clip")
+        gates = a[: 2 * n]
+        gates += self.u[: 2 * n] @ h
+        _bent(gates)
+        gates += 1
+        gates *= 0.5
+        z, r = gates[:n], gates[n:]
+        c = a[2 * n :]
+        c += self.u[2 * n :] @ (r * h)
+        _bent(c)
+        new = c - h
+        new *= z
+        new += h
+        return new, z, r, c
+
+    def forward(self, x: np.ndarray) -> tuple[list[np.ndarray], list]:
+        """States after each of the bytes x (length, batch), and what backward needs."""
+        h, out, trace = np.zeros((self.n, x.shape[1]), self.w.dtype), [], []
+        for own in x:
+            new, z, r, c = self.step(own, h)
+            trace.append((h, z, r, c))
+            out.append(new)
+            h = new
         return out, trace
 
-    def backward(self, x: np.ndarray, trace: list, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def backward(self, x: np.ndarray, trace: list, grads: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         n, u = self.n, self.u
         dw, du = np.zeros_like(self.w), np.zeros_like(u)
         dh = np.zeros_like(grads[0])
-        for t in range(x.shape[1] - 1, -1, -1):
+        full = np.empty((len(x), 3 * n, x.shape[1]))
+        for t in range(len(x) - 1, -1, -1):
             h, z, r, c = trace[t]
             dh = dh + grads[t]
-            dc = dh * z * (1 - c * c)
-            dz = dh * (c - h) * z * (1 - z)
-            drh = dc @ u[:, 2 * n :].T
-            dr = drh * h * r * (1 - r)
-            dzr = np.concatenate([dz, dr], axis=1)
-            du[:, 2 * n :] += (r * h).T @ dc
-            du[:, : 2 * n] += h.T @ dzr
-            np.add.at(dw, x[:, t], np.concatenate([dzr, dc], axis=1))
-            dh = dh * (1 - z) + drh * r + dzr @ u[:, : 2 * n].T
+            dc = dh * z * (1 - np.abs(c)) ** 2
+            dz = dh * (c - h) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
+            drh = u[2 * n :].T @ dc
+            dr = drh * h * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
+            dzr = np.concatenate([dz, dr])
+            du[2 * n :] += dc @ (r * h).T
+            du[: 2 * n] += dzr @ h.T
+            full[t, : 2 * n], full[t, 2 * n :] = dzr, dc
+            dh = dh * (1 - z) + drh * r + u[: 2 * n].T @ dzr
+        for k in range(3 * n):
+            dw[k] = np.bincount(x.ravel(), weights=full[:, k].ravel(), minlength=256)
         return dw, du
 
 
@@ -90,183 +125,160 @@ class Network:
         rng = np.random.default_rng(seed)
         self.languages = languages
         self.ahead, self.back = Direction(rng, states), Direction(rng, states)
-        self.v = rng.normal(0, 0.3, (2 * states, len(languages))).astype(np.float32)
-        self.b = np.zeros(len(languages), np.float32)
-
-    def _logits(self, x: np.ndarray, keep: bool):
-        ahead, trace_a = self.ahead.forward(x, keep)
-        back, trace_b = self.back.forward(x[:, ::-1], keep)
-        both = np.concatenate([ahead, back[::-1]], axis=2)
-        return both, both @ self.v + self.b, trace_a, trace_b
+        self.v = rng.normal(0, 0.3, (len(languages), 2 * states)).astype(np.float32)
+        self.b = np.zeros((len(languages), 1), np.float32)
 
-    def label(self, x: np.ndarray) -> np.ndarray:
-        """Distribution over the languages at every position: (length, batch, languages)."""
-        s = self._logits(x, False)[1]
-        s = np.exp(s - s.max(axis=2, keepdims=True))
-        return s / s.sum(axis=2, keepdims=True)
+    @staticmethod
+    def _softmax(s: np.ndarray) -> np.ndarray:
+        s -= s.max(axis=0)
+        np.exp(s, out=s)
+        s /= s.sum(axis=0)
+        return s
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        """Loss and gradients of rows of one length, each position labelled y."""
-        both, s, trace_a, trace_b = self._logits(x, True)
-        p = np.exp(s - s.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
-        rows = np.arange(len(x))
-        loss = -np.log(p[:, rows, y] + 1e-12).sum()
-        p[:, rows, y] -= 1
-        n = self.ahead.n
-        dv = both.reshape(-1, 2 * n).T @ p.reshape(-1, p.shape[2])
-        db = p.sum(axis=(0, 1))
-        dboth = p @ self.v.T
-        dwa, dua = self.ahead.backward(x, trace_a, dboth[:, :, :n])
-        dwb, dub = self.back.backward(x[:, ::-1], trace_b, dboth[::-1, :, n:])
-        return float(loss), [dwa, dua, dwb, dub, dv, db]
+        """Loss and gradients of texts x (length, batch) of one length, each position labelled y."""
+        ahead, trace_a = self.ahead.forward(x)
+        back, trace_b = self.back.forward(x[::-1])
+        n, at = self.ahead.n, np.arange(x.shape[1])
+        loss, dv, db, da, dback = 0.0, np.zeros_like(self.v), np.zeros_like(self.b), [], []
+        for t in range(len(x)):
+            both = np.concatenate([ahead[t], back[len(x) - 1 - t]])
+            p = self._softmax(self.v @ both + self.b)
+            loss -= float(np.log(p[y, at] + 1e-12).sum())
+            p[y, at] -= 1
+            dv += p @ both.T
+            db += p.sum(axis=1, keepdims=True)
+            down = self.v.T @ p
+            da.append(down[:n])
+            dback.append(down[n:])
+        dwa, dua = self.ahead.backward(x, trace_a, da)
+        dwb, dub = self.back.backward(x[::-1], trace_b, dback[::-1])
+        return loss, [dwa, dua, dwb, dub, dv, db]
 
     def parameters(self) -> list[np.ndarray]:
         return [self.ahead.w, self.ahead.u, self.back.w, self.back.u, self.v, self.b]
 
-    def fit(self, runs: list[bytes], labels: np.ndarray, steps: int = STEPS, batch: int = BATCH, seed: int = 4) -> None:
+    def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = STEPS, batch: int = BATCH, length: int = LENGTH, seed: int = 4) -> None:
+        """texts of one byte at least; a span that is longer than its text goes on from the text's begin."""
         rng = np.random.default_rng(seed)
-        lengths = np.array([len(r) for r in runs])
-        by_length = {n: np.flatnonzero(lengths == n) for n in np.unique(lengths)}
-        arrays = {n: np.stack([np.frombuffer(runs[i], np.uint8) for i in at]) for n, at in by_length.items()}
-        share = np.array([len(at) * n for n, at in by_length.items()], float)
-        kinds, share = list(by_length), share / share.sum()
-        of = {n: labels[at] for n, at in by_length.items()}
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        size = np.array([len(t) for t in texts])
+        begin = np.cumsum(size) - size
         first = [np.zeros_like(p) for p in self.parameters()]
         second = [np.zeros_like(p) for p in self.parameters()]
         for step in range(1, steps + 1):
-            total, seen = [np.zeros_like(p) for p in self.parameters()], 0
-            for n in rng.choice(kinds, size=3, p=share):
-                at = rng.integers(0, len(arrays[n]), size=batch // 3)
-                _, grads = self.gradients(arrays[n][at], of[n][at])
-                seen += len(at) * int(n)
-                for g, more in zip(total, grads, strict=True):
-                    g += more
-            rate = 0.02 * (1 - step / (steps + 1))
-            for p, g, m, s in zip(self.parameters(), total, first, second, strict=True):
-                g = g / seen
+            own = rng.integers(0, len(texts), size=batch)
+            start = (rng.random(batch) * np.maximum(1, size[own] - length + 1)).astype(np.int64)
+            x = data[begin[own] + (start + np.arange(length)[:, None]) % size[own]]
+            _, grads = self.gradients(x, labels[own])
+            rate = 0.03 * (1 - step / (steps + 1))
+            for p, g, m, s in zip(self.parameters(), grads, first, second, strict=True):
+                g = g / x.size
                 m += 0.1 * (g - m)
                 s += 0.01 * (g * g - s)
                 p -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)).astype(p.dtype)
 
-
-def cut_runs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, end, and documents + 1 places of runs of at most RUN bytes."""
-    pieces = (words.end - words.start + RUN - 1) // RUN
-    which = np.repeat(np.arange(len(pieces)), pieces)
-    before = np.cumsum(pieces) - pieces
-    start = words.start[which] + RUN * (np.arange(len(which)) - before[which])
-    return start, np.minimum(start + RUN, words.end[which]), np.concatenate([before, [len(which)]])[words.bounds]
-
-
-class Labeller:
-    """Sums of the labels of runs' positions, each distinct run read once."""
-
-    def __init__(self, network: Network):
-        self.network = network
-        self.clear()
-
-    def clear(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
-        self.sums = np.zeros((0, len(self.network.languages)), np.float32)
-
-    def read(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        out = np.empty((len(start), len(self.network.languages)), np.float32)
-        for n in np.unique(length):
-            at = np.flatnonzero(length == n)
-            for i in range(0, len(at), 8192):
-                own = at[i : i + 8192]
-                out[own] = self.network.label(data[start[own][:, None] + np.arange(n)]).sum(axis=0)
-        return out
-
-    def documents(self, words: Words) -> np.ndarray:
-        """Sum of the labels of all positions of each document."""
-        start, end, bounds = cut_runs(words)
-        unique, first, inverse = np.unique(Words.hashes_of(words.lower, start, end), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hashes, unique)
-        known = np.zeros(len(unique), bool)
-        inside = at < len(self.hashes)
-        known[inside] = self.hashes[at[inside]] == unique[inside]
-        new = np.flatnonzero(~known)
-        if len(self.hashes) + len(new) > CACHE:
-            self.clear()
-            new = np.arange(len(unique))
-        if len(new):
-            sums = self.read(words.lower, start[first[new]], (end - start)[first[new]])
-            where = np.searchsorted(self.hashes, unique[new])
-            self.hashes, self.sums = np.insert(self.hashes, where, unique[new]), np.insert(self.sums, where, sums, axis=0)
-        own = self.sums[np.searchsorted(self.hashes, unique)][inverse].astype(np.float64)
-        total = np.concatenate([np.zeros((1, own.shape[1])), np.cumsum(own, axis=0)])
-        return total[bounds[1:]] - total[bounds[:-1]]
-
-
-_labellers: dict[int, Labeller] = {}
+    def summed(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Sums of the labels of the positions first..last of each range start..end of data; ranges in order of falling length."""
+        n, length, count = self.ahead.n, end - start, len(start)
+        pad = -count % ALIGN
+        low, high = np.pad(first - start, (0, pad)), np.pad(last - start, (0, pad))
+        start, last_byte = np.pad(start, (0, pad)), max(0, len(data) - 1)
+        unread, shortest = low.max(), np.minimum.accumulate(high[:count])
+        active = np.searchsorted(-length, -np.arange(length[0]), side="left").tolist()  # rows longer than t
+        ahead, h = [], np.zeros((n, len(start)), np.float32)
+        for t, own in enumerate(active):
+            m = -(-own // ALIGN) * ALIGN
+            h = h if h.shape[1] == m else np.ascontiguousarray(h[:, :m])
+            h = self.ahead.step(data[np.minimum(start[:m] + t, last_byte)], h)[0]
+            ahead.append(h)
+        total = np.zeros((len(self.languages), len(start)), np.float32)
+        ahead_v, back_v = np.ascontiguousarray(self.v[:, :n]), np.ascontiguousarray(self.v[:, n:])
+        h = np.zeros((n, 0), np.float32)
+        for t in range(length[0] - 1, -1, -1):
+            own = active[t]
+            m = -(-own // ALIGN) * ALIGN
+            h = h if h.shape[1] == m else np.pad(h, ((0, 0), (0, m - h.shape[1])))
+            h = self.back.step(data[np.minimum(start[:m] + t, last_byte)], h)[0]
+            h[:, own:] = 0
+            s = ahead_v @ ahead.pop()
+            s += back_v @ h
+            s += self.b
+            p = self._softmax(s)
+            p[:, own:] = 0
+            if t < unread or t >= shortest[own - 1]:
+                p *= (low[:m] <= t) & (t < high[:m])
+            total[:, :m] += p
+        return total[:, :count].T.astype(np.float64)
+
+
+def spans(offsets: np.ndarray, span: int = SPAN, warm: int = WARM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end, first, last) of the spans of texts: bytes first..last are labelled, start..end are read."""
+    size = np.diff(offsets)
+    pieces = -(-size // span)
+    text = np.repeat(np.arange(len(size)), pieces)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first = offsets[:-1][text] + span * number
+    last = np.minimum(first + span, offsets[1:][text])
+    return text, np.maximum(first - warm, offsets[:-1][text]), np.minimum(last + warm, offsets[1:][text]), first, last
+
+
+def label_sums(network: Network, data: np.ndarray, offsets: np.ndarray, span: int = SPAN, warm: int = WARM) -> np.ndarray:
+    """Sum of the labels of all positions of each text; data are lower-cased bytes."""
+    text, start, end, first, last = spans(offsets, span, warm)
+    order = np.argsort(start - end, kind="stable")
+    sums = np.zeros((len(text), len(network.languages)))
+    for i in range(0, len(order), ROWS):
+        own = order[i : i + ROWS]
+        sums[own] = network.summed(data, start[own], end[own], first[own], last[own])
+    out = np.zeros((len(offsets) - 1, sums.shape[1]))
+    np.add.at(out, text, sums)  # in the order of a text's spans
+    return out
 
 
 def _predict(shared):
     def predict(texts: pa.Array) -> pa.Array:
-        labeller = _labellers.get(shared.value.key)
-        if labeller is None:
-            _labellers.clear()
-            labeller = _labellers[shared.value.key] = Labeller(shared.value)
+        network = shared.value
         best, score = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for _, words in batches(texts, WORDS_SPACE):
-            sums = labeller.documents(words)
-            all_of = sums.sum(axis=1)
-            mean = sums / np.where(all_of > 0, all_of, 1)[:, None]
+        for _, data, offsets in runs(texts):
+            mean = label_sums(network, LOWER[data], offsets) / np.maximum(np.diff(offsets), 1)[:, None]
+            mean = np.round(mean, 6)
             best.append(mean.argmax(axis=1))
             score.append(np.clip(mean.max(axis=1), 0, 1))
-        names = pa.array(shared.value.languages, pa.string())
+        names = pa.array(network.languages, pa.string())
         return pa.StructArray.from_arrays([names.take(pa.array(np.concatenate(best))), pa.array(np.concatenate(score))], names=["lang", "score"])
 
     return predict
 
 
-def _sample(runs: int):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(0)
-        for part in parts:
-            for row, words in batches(part.column(1), WORDS_SPACE):
-                start, end, bounds = cut_runs(words)
-                for i in range(len(bounds) - 1):
-                    n = int(bounds[i + 1] - bounds[i])
-                    pick = bounds[i] + (rng.choice(n, runs, replace=False) if n > runs else np.arange(n))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0)[row + i : row + i + 1], pa.array([[words.lower[start[k] : end[k]].tobytes() for k in pick]], pa.list_(pa.binary()))], names=["lang", "runs"]
-                    )
-
-    return run
-
-
-def train(docs: DataFrame, learn: Column, *, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_runs: int = SAMPLE_RUNS) -> Network | None:
-    """A network from the rows of docs where `learn` holds; None if there are none."""
-    rows = docs.where(learn & F.col(lang_col).isNotNull())
+def train(docs: DataFrame, learn: Column, *, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Network | None:
+    """A network from the rows of docs where `learn` holds; None if there are none with text."""
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     total = rows.count()
     if not total:
         return None
     part = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_docs / total)) + 1
-    sample = rows.where(part).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_sample(sample_runs), "lang string, runs array<binary>").toArrow()
-    pairs = sorted({(lang, bytes(r)) for lang, own in zip(sample["lang"].to_pylist(), sample["runs"].to_pylist(), strict=True) for r in own})
+    sample = rows.where(part).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).toArrow()
+    pairs = sorted(zip(sample["lang"].to_pylist(), sample["text"].to_pylist(), strict=True), key=lambda p: (hashlib.md5(p[1].encode()).digest(), p))
     languages = sorted({lang for lang, _ in pairs})
     if not languages:
         return None
     network = Network(languages)
-    network.fit([r for _, r in pairs], np.array([languages.index(lang) for lang, _ in pairs]))
-    network.key = hash(tuple(p.tobytes() for p in network.parameters()))
+    network.fit([LOWER[np.frombuffer(t.encode(), np.uint8)].tobytes() for _, t in pairs], np.array([languages.index(lang) for lang, _ in pairs]))
     return network
 
 
-def identified(docs: DataFrame, network: Network | None, *, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and lang_score; columns of those names are replaced."""
+def identified(docs: DataFrame, network: Network | None, *, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "lang_score") -> DataFrame:
+    """docs with the language and its mean probability; columns of those names are replaced."""
     text = F.col(text_col)
     if network is None:
-        return docs.withColumns({"lang_pred": F.lit(UND), "lang_score": F.lit(0.0)})
+        return docs.withColumns({lang_out: F.lit(UND), score_out: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(network)
     found = docs.withColumn("__tidemill_lang", F.arrow_udf(_predict(shared), "struct<lang: string, score: double>")(text))
     letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     return found.withColumns(
-        {"lang_pred": F.when(letters, F.col("__tidemill_lang.lang")).otherwise(UND), "lang_score": F.when(letters, F.col("__tidemill_lang.score")).otherwise(0.0)}
+        {lang_out: F.when(letters, F.col("__tidemill_lang.lang")).otherwise(UND), score_out: F.when(letters, F.col("__tidemill_lang.score")).otherwise(0.0)}
     ).drop("__tidemill_lang")
 
 
-__all__ = ["Labeller", "Network", "identified", "train"]
+__all__ = ["Network", "identified", "label_sums", "spans", "train"]
