@@ -9,15 +9,18 @@ the duplicate clusters in it and `per_source` bitmaps of its sources (plane k:
 sources with more than k members).  A bin is incompatible if it holds the
 document's cluster, or `per_source` documents of its source, already.
 
-Rests are dealt by a hash of their id and row to groups of about `group_rows`,
+Rests are dealt by a hash of their id and text to groups of about `group_rows`,
 each packed by one task, so that memory and time of a task are bounded; a group
-wastes at most about a bin.  Bits are dense numbers of the sources and clusters
-of the group: bitmaps are exact.
+wastes at most about a bin.  Rows of one id and text of which there are more than
+`group_rows` / 8 are dealt by row, so that no group is theirs alone.  Bits are
+dense numbers of the sources and clusters of the group: bitmaps are exact.  Of
+bins with equal residuals the one that has had it longest is tried first.
 
 Nulls and empties: a document without words (or null) has one row with piece
-0, no words and no bin.  A null source is a source of its own.  Repeated rows
-are packed as often as they occur, in different bins as they share a cluster.
-An empty table gives no rows.  Other columns are ignored.
+0, no words and no bin.  A null doc_id is an id as any other; a null source is a
+source of its own.  Repeated rows are packed as often as they occur, in different
+bins as they share a cluster.  An empty table gives no rows.  Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -96,6 +99,17 @@ def _pack_group(capacity: int, per_source: int):
     return run
 
 
+def _salted(items: DataFrame, most: int) -> DataFrame:
+    """items with a salt: 0, or a number of its own for a row of which more than `most` repeat the id and cluster."""
+    repeated = items.groupBy("doc_id", "cluster").agg(F.count("*").alias("n")).where(f"n > {most}")
+    repeated = staged(repeated.select(F.col("doc_id").alias("again_id"), F.col("cluster").alias("again")), "repeated")
+    if repeated.isEmpty():
+        return items.withColumn("salt", F.lit(0).cast("long"))
+    return items.join(repeated, items["doc_id"].eqNullSafe(repeated["again_id"]) & (items["cluster"] == repeated["again"]), "left").withColumn(
+        "salt", F.when(F.col("again").isNull(), 0).otherwise(F.col("row"))
+    )
+
+
 def packed(
     docs: DataFrame,
     *,
@@ -122,9 +136,11 @@ def packed(
             F.col(source_col).cast("string").alias("source"),
             cluster.alias("cluster"),
             F.size(words).cast("long").alias("words"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "items",
     ).withColumn("full", F.floor(F.col("words") / capacity))
+    items = _salted(items, max(1, group_rows // 8))
     rest = items.where(f"words % {capacity} > 0 ").select(
         "doc_id",
         F.col("full").alias("piece"),
@@ -132,9 +148,8 @@ def packed(
         (F.col("words") % capacity).alias("n_words"),
         "source",
         "cluster",
-        F.pmod(F.xxhash64("doc_id", "cluster", F.lit(17)), F.lit(groups)).alias("group"),
+        F.pmod(F.xxhash64("doc_id", "cluster", "salt", F.lit(17)), F.lit(groups)).alias("group"),
     )
-    # copies with one id would meet in one group: they are rows of one document, so few
     placed = rest.groupBy("group").applyInArrow(_pack_group(capacity, per_source), "doc_id long, piece long, start long, n_words long, group long, bin long")
     whole = items.where("full > 0").select(
         "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece"), F.lit(capacity).cast("long").alias("n_words"), "cluster"

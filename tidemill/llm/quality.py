@@ -9,8 +9,10 @@
 
 Nulls and empties: a null text has the statistics of an empty one (all 0) and
 gets a score as any other.  Without labels to learn from, the score is 1.
-Labels are only read from rows where `learn` holds.  Repeated rows are scored
-row by row; other columns are kept.
+Labels are only read from rows where `learn` holds; where a doc_id has several
+labels or texts, each pair of them is learned from.  Repeated rows are scored row
+by row; very long texts are measured whole; other columns are kept, but for one of
+the score's name.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -209,8 +211,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "d
     return fit(np.stack(columns[1:], axis=1), (columns[0] > 0.5).astype(float))
 
 
-def scored(docs: DataFrame, model: RuleEnsemble, *, text_col: str = "text") -> DataFrame:
-    """docs with column quality_score; one of that name is replaced.
+def scored(docs: DataFrame, model: RuleEnsemble, *, text_col: str = "text", out_col: str = "quality_score") -> DataFrame:
+    """docs with a column for the score; one of that name is replaced.
 
     The score is one expression that holds each statistic once: a filter on it, which the optimiser
     moves below the projection, does not compute the statistics again for each use in a rule.
@@ -219,4 +221,4 @@ def scored(docs: DataFrame, model: RuleEnsemble, *, text_col: str = "text") -> D
     def score(v: Column) -> Column:
         return model.column([v[k] for k in range(len(NAMES))])
 
-    return docs.withColumn("quality_score", F.transform(F.array(measured(F.col(text_col))), score)[0])
+    return docs.withColumn(out_col, F.transform(F.array(measured(F.col(text_col))), score)[0])

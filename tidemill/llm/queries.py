@@ -183,13 +183,14 @@ WITH crc_table AS (
     FROM (SELECT unnest(generate_series(0::bigint, 255::bigint)) AS i))),
 d AS (
   SELECT row_number() OVER () AS row_id, doc_id, source, strlen(coalesce(text, '')) + 1 AS size, coalesce(text, '') AS text,
-         md5('7:' || coalesce(doc_id::varchar, '')) AS key FROM documents),
+         coalesce(doc_id::varchar, '') AS name FROM documents),
 c AS (
   SELECT row_id, xor(list_reduce(list_prepend(4294967295::bigint, [('0x' || x)::bigint FOR x IN regexp_extract_all(hex(encode(text)), '..')]),
          lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crc_table),
+k AS (SELECT d.*, text_crc32, md5('7:' || name || ':' || text_crc32::bigint::varchar) AS key FROM d JOIN c USING (row_id)),
 f AS (
-  SELECT d.*, text_crc32, (2 * row_number() OVER (PARTITION BY source ORDER BY key, text_crc32) - 1) / (2.0::double * count(*) OVER (PARTITION BY source)) AS fraction
-  FROM d JOIN c USING (row_id)),
+  SELECT k.*, (2 * row_number() OVER (PARTITION BY source ORDER BY key, text_crc32) - 1) / (2.0::double * count(*) OVER (PARTITION BY source)) AS fraction
+  FROM k),
 p AS (SELECT *, row_number() OVER (ORDER BY fraction, source IS NULL, coalesce(source, ''), key, text_crc32) - 1 AS position, count(*) OVER () AS n FROM f),
 q AS (SELECT *, ((8 * (position + 1) - 1) // n)::int AS shard FROM p)
 SELECT doc_id, size::bigint AS size, text_crc32::bigint AS text_crc32, 'rows' AS law, shard,

@@ -16,7 +16,8 @@ larger than a shard), so rows of equal texts are dealt as rows.
 
 Nulls and empties: a null source is a stratum of its own; a null text has no
 bytes (size 1, crc32 0); a null doc_id is ordered as an empty string.  Repeated
-rows each get a slot.  An empty table gives no rows.
+rows each get a slot; the seeded order is that of a hash of doc_id and text.  An
+empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,11 +54,12 @@ def interleaved(
     digits = 2
     while rows > bucket_rows * 16**digits:
         digits += 1
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    # the text's sum spreads rows that share an id, or have none
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.crc32(text).cast("string")).cast("binary"))
     source = F.col(source_col).cast("string")
     stratum = [F.coalesce(source, F.lit("")).alias("source"), source.isNull().alias("no_source")]
     keyed = docs.select(*stratum, key.alias("key"), F.substring(key, 1, digits).alias("bucket"))
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     full = docs.select(F.col(id_col).alias("doc_id"), *stratum, key.alias("key"), F.substring(key, 1, digits).alias("bucket"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
 
     by = ["source", "no_source"]

@@ -9,12 +9,14 @@ or digits.  One strict term, or `soft_limit` distinct soft terms, blocks.
 
 A null url, or one without `://`, has an empty host and path and fits no rule;
 its text, if any, is still matched with the vocabulary, a null one is allowed.
-Repeated rows are judged alike; other columns are kept as they are.
+Repeated rows are judged alike, very long urls whole.  Other columns are kept as
+they are, but for those of the result columns' names, which are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -56,6 +58,22 @@ SOFT_LIMIT = 2
 _AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: bytes of terms that a vocabulary may have: it is configuration, and goes to every worker
+VOCABULARY_BYTES = 16 << 20
+
+
+def vocabulary(terms: DataFrame, *, term_col: str = "term", weight_col: str = "weight") -> dict[str, int]:
+    """The terms of a table with their weights, lower-cased; of a repeated term the largest weight counts.
+
+    Null and empty terms are left out; a null weight is SOFT.  A table of more than VOCABULARY_BYTES is refused.
+    """
+    own = terms.where(F.length(term_col) > 0).groupBy(lower_az(F.col(term_col)).alias("term")).agg(F.max(F.coalesce(F.col(weight_col).cast("int"), F.lit(SOFT))).alias("weight"))
+    size = own.agg(F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()[0]
+    if size > VOCABULARY_BYTES:
+        raise ValueError(f"a vocabulary of {size} bytes is no configuration")
+    return {r.term: r.weight for r in own.orderBy("term").toLocalIterator()}
+
+
 def lower_az(column: Column) -> Column:
     return F.translate(column, *_AZ)
 
@@ -79,9 +97,11 @@ def rule_for(host: Column, path: Column, rules: Mapping[str, str] = RULES) -> Co
     return found
 
 
-def _automaton(terms: Mapping[str, int]) -> ahocorasick.Automaton:
+@lru_cache(maxsize=4)
+def _automaton(terms: tuple[tuple[str, int], ...]) -> ahocorasick.Automaton:
+    """Built once by each worker."""
     out = ahocorasick.Automaton()
-    for term, weight in terms.items():
+    for term, weight in terms:
         out.add_word(term.lower(), (term.lower(), weight))
     out.make_automaton()
     return out
@@ -105,10 +125,11 @@ def url_hits(url: str | None, automaton: ahocorasick.Automaton) -> tuple[int, in
 
 def term_hits(url: Column, terms: Mapping[str, int] = TERMS) -> Column:
     """struct<strict: int, soft: int> of each url."""
+    listed = tuple(terms.items())
 
     @F.arrow_udf("struct<strict: int, soft: int>")
     def hits(urls: pa.Array) -> pa.Array:
-        automaton = _automaton(terms)
+        automaton = _automaton(listed)
         found = [url_hits(u, automaton) for u in urls.to_pylist()] if len(automaton) else [(0, 0)] * len(urls)
         return pa.StructArray.from_arrays([pa.array([f[k] for f in found], pa.int32()) for k in (0, 1)], names=["strict", "soft"])
 
