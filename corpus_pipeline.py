@@ -5,7 +5,8 @@ as Parquet in the shared folder and reads it back as the next stage's docs.
 All stages but the last keep the columns of documents.
 
 Empty tables pass through all stages; null texts are judged by the operators'
-own rules: they have no letters, so that the language stage drops them.
+own rules: they have no letters, so that the language stage drops them.  Columns
+of any name pass through as they are; of rows that repeat a document one stays.
 """
 
 from __future__ import annotations
@@ -18,21 +19,21 @@ from tidemill.llm.storage import staged
 from tidemill.llm.textkit import crc_mod
 
 QUALITY_CUT = 0.7
-#: mean probability of a document's best language; of four languages, chance has 0.25
-LANGUAGE_CUT = 0.3
+#: mean probability of a document's best language: it must have as much as all others together
+LANGUAGE_CUT = 0.5
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least QUALITY_CUT stay."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), crc_mod(F.col("doc_id"), 4) != 2)
-    return quality.scored(docs, model).where(F.col("quality_score") >= QUALITY_CUT).select(*docs.columns)
+    return quality.scored(docs, model, out_col="__tidemill_score").where(F.col("__tidemill_score") >= QUALITY_CUT).select(*docs.columns)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned stay; unclear ones and those without letters go."""
     network = languages.train(docs, crc_mod(F.col("doc_id"), 5) != 0)
-    found = languages.identified(docs, network)
-    return found.where((F.col("lang_pred") != languages.UND) & (F.col("lang_score") >= LANGUAGE_CUT)).select(*docs.columns)
+    found = languages.identified(docs, network, lang_out="__tidemill_pred", score_out="__tidemill_score")
+    return found.where((F.col("__tidemill_pred") != languages.UND) & (F.col("__tidemill_score") >= LANGUAGE_CUT)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
