@@ -18,26 +18,33 @@ def col(c: C) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _fold_table() -> tuple[str, str]:
-    """Each Latin letter whose compatibility decomposition is one ASCII letter and marks, with that letter."""
+def _fold_table() -> tuple[str, str, dict[str, str]]:
+    """Characters whose folded form is one character, with those forms, and compatibility letters whose form has several."""
     import unicodedata
 
-    source, target = ["đ", "Đ"], ["d", "d"]
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+    source, target, wide = ["đ", "Đ"], ["d", "d"], {}
+    for code in (*range(0x80, 0xAC00), *range(0xF900, 0x10000)):
         plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)).casefold()
-        if len(plain) == 1 and plain.isascii() and plain != chr(code):
+        if len(plain) == 1 and plain != chr(code) and plain != chr(code).lower():
             source.append(chr(code))
             target.append(plain)
-    return "".join(source), "".join(target)
+        elif len(plain) > 1 and plain.isascii() and unicodedata.category(chr(code)).startswith("L"):
+            wide[chr(code)] = plain
+    return "".join(source), "".join(target), wide
 
 
-_FROM, _TO = _fold_table()
+_FROM, _TO, _WIDE = _fold_table()
+del _WIDE["ß"]
+_IS_WIDE = f"[{''.join(_WIDE)}]"
 
 
 def fold(c: C) -> Column:
     """Case- and accent-insensitive form with single spaces; null stays null."""
-    plain = F.lower(F.regexp_replace(F.translate(col(c), _FROM, _TO), r"\p{M}+", ""))
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, "ß", "ss"), r"(?U)\s+", " "))
+    narrow = F.replace(F.translate(col(c), _FROM, _TO), F.lit("ß"), F.lit("ss"))
+    # ligatures and their like: few texts have one
+    spelled = reduce(lambda t, w: F.replace(t, F.lit(w), F.lit(_WIDE[w])), _WIDE, narrow)
+    plain = F.lower(F.regexp_replace(F.when(narrow.rlike(_IS_WIDE), spelled).otherwise(narrow), r"\p{M}+", ""))
+    return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
 
 
 def fold_or_empty(c: C) -> Column:
@@ -48,8 +55,8 @@ def fold_value(text: str) -> str:
     """The same folding for a literal, on the driver."""
     import unicodedata
 
-    plain = unicodedata.normalize("NFKD", text.translate(str.maketrans(_FROM, _TO)))
-    return " ".join("".join(c for c in plain if not unicodedata.combining(c)).casefold().split())
+    plain = "".join(_WIDE.get(c, c) for c in text.translate(str.maketrans(_FROM, _TO)).replace("ß", "ss"))
+    return " ".join("".join(c for c in plain if not unicodedata.category(c).startswith("M")).lower().split())
 
 
 def to_number(c: C, dtype: str = "string") -> Column:
@@ -147,15 +154,26 @@ SECRET_PATTERNS = (
     r"\bappr_[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b",
     r"(?is)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----",
 )
+#: Fixed value: a mail address, its first character in a group.
 EMAIL_PATTERN = r"\b([a-zA-Z0-9_.+-])[a-zA-Z0-9_.+-]*@([a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+)\b"
 
 
+#: Texts without any of these hold no credential: a cheap test before the patterns.
+_SECRET_SIGNS = r"(?i)bearer|sk-|rk-|gh[posu]_|github_pat_|xox|AKIA|AIza|ya29|appr_|PRIVATE KEY"
+
+
 def redact(c: C, limit: int | None = 500, emails: bool = True) -> Column:
     """Credentials and mail addresses masked; longer texts cut with a marker."""
-    out = reduce(lambda t, p: F.regexp_replace(t, p, "[REDACTED_SECRET]"), SECRET_PATTERNS, col(c))
+    t = col(c)
+    out = F.when(t.rlike(_SECRET_SIGNS), reduce(lambda x, p: F.regexp_replace(x, p, "[REDACTED_SECRET]"), SECRET_PATTERNS, t)).otherwise(t)
     if emails:
-        out = F.regexp_replace(out, EMAIL_PATTERN, "$1***@[REDACTED]")
-    return out if limit is None else F.when(F.length(out) > limit, F.concat(F.substring(out, 1, limit), F.lit("... [TRUNCATED]"))).otherwise(out)
+        out = F.transform(F.array(out), lambda x: F.when(F.contains(x, F.lit("@")), F.regexp_replace(x, EMAIL_PATTERN, "$1***@[REDACTED]")).otherwise(x))[0]
+    return out if limit is None else shortened(out, limit)
+
+
+def shortened(c: C, limit: int = 500) -> Column:
+    """A text of more than `limit` characters, cut with a marker; the text is computed once."""
+    return F.transform(F.array(col(c)), lambda x: F.when(F.length(x) > limit, F.concat(F.substring(x, 1, limit), F.lit("... [TRUNCATED]"))).otherwise(x))[0]
 
 
 def vietnamese_or_english(c: C) -> Column:
@@ -171,6 +189,23 @@ def garbage_ratio(c: C) -> Column:
     return F.when(F.length(t) > 0, F.regexp_count(t, F.lit(r"[\p{Cc}\p{Cn}�]")) / F.length(t)).otherwise(0.0)
 
 
+def parse_verdict(nodes: C, source_bytes: C, ocr_capable: Column, ratio: float = 0.25, large: int = 200_000, least: int = 64) -> Column:
+    """struct<status, reason>: CORRUPT over the garbage ratio, or for an empty tree or a large source with next to no text.
+
+    The last two are NEEDS_OCR where OCR could help; anything else is PARSED.  nodes: the texts of a
+    document's nodes.  Null nodes count as no node.
+    """
+    texts = F.coalesce(col(nodes), F.array().cast("array<string>"))
+    whole = F.array_join(texts, "")
+    kinds = F.regexp_count(whole, F.lit(r"[\p{Cc}\p{Cn}�]"))
+    empty, scanned = F.size(texts) == 0, (col(source_bytes) >= large) & (F.length(whole) < least)
+    unread = F.when(ocr_capable, "NEEDS_OCR").otherwise("CORRUPT")
+    garbage = (F.length(whole) > 0) & (kinds > ratio * F.length(whole))
+    status = F.when(garbage, "CORRUPT").when(empty | scanned, unread).otherwise("PARSED")
+    reason = F.when(garbage, "garbage").when(empty, "empty document tree").when(scanned, "large source without text")
+    return F.struct(status.alias("status"), reason.alias("reason"))
+
+
 def html_to_text(c: C) -> Column:
     """Text of an HTML body: scripts and styles dropped, blocks on lines of their own, entities resolved."""
     t = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", "")
@@ -204,10 +239,18 @@ def short_title(c: C, n: int = 42) -> Column:
 
 
 def head_tail(c: C, head: int, tail: int) -> Column:
-    """The first and last characters of a long text with what was left out between."""
-    c = col(c)
-    left = F.length(c) - head - tail
-    return F.when(left <= 0, c).otherwise(F.concat(F.substring(c, 1, head), F.lit("\n... ["), left.cast("string"), F.lit(" characters omitted] ...\n"), F.right(c, F.lit(tail))))
+    """The first and last UTF-8 bytes of a long text, whole characters only, with what was left out between."""
+    raw = col(c).cast("binary")
+    left = F.octet_length(raw) - head - tail
+    # a character that a cut goes through is no character: its bytes become U+FFFD, which goes
+    first = F.regexp_replace(F.make_valid_utf8(F.substring(raw, 1, head).cast("string")), "�+$", "")
+    last = F.regexp_replace(F.make_valid_utf8(F.substring(raw, -tail, tail).cast("string")), "^�+", "") if tail else F.lit("")
+    return F.when(left <= 0, col(c)).otherwise(F.concat(first, F.lit("\n... ["), left.cast("string"), F.lit(" bytes omitted] ...\n"), last))
+
+
+def sliced(c: C, offset: int, limit: int) -> Column:
+    """`limit` characters of a stored text from `offset` (from 0) on."""
+    return F.substring(col(c), offset + 1, limit)
 
 
 def glob(c: C, pattern: str) -> Column:
@@ -217,10 +260,29 @@ def glob(c: C, pattern: str) -> Column:
     return col(c).rlike("^" + fnmatch.translate(pattern).replace(r"\Z", "").replace(r"\z", "") + "$")
 
 
-def trigger_matches(c: C, trigger: str) -> Column:
-    """`/regex/` searches; else the folded phrase as whole words, or all of its words in any order."""
-    if len(trigger) > 2 and trigger[0] == trigger[-1] == "/":
+def trigger_matches(c: C, trigger: str, token_subset: bool = False) -> Column:
+    """`/regex/` searches; else the folded phrase stands in the text between blanks, or before a mark.
+
+    With token_subset all of its words of two letters and more, in any order, are enough.
+    """
+    import re
+
+    trigger = trigger.strip()
+    if len(trigger) >= 2 and trigger[0] == trigger[-1] == "/":
         return F.coalesce(col(c), F.lit("")).rlike("(?i)" + trigger[1:-1])
-    words = F.split(fold_or_empty(c), r"[^\p{L}\p{N}]+")
-    wanted = fold_value(trigger).split()
-    return F.size(F.array_except(F.array(*map(F.lit, wanted)), words)) == 0
+    phrase = fold_value(trigger)
+    if not phrase:
+        return F.lit(False)
+    folded = fold_or_empty(c)
+    out = F.contains(folded, F.lit(phrase)) & folded.rlike(rf"(?:^|\s)\Q{phrase}\E(?:$|[\s.,!?;:])")
+    wanted = sorted({w for w in re.findall(r"\w+", phrase) if len(w) > 1})
+    if token_subset and wanted:
+        words = F.split(folded, r"[^\p{L}\p{N}_]+")
+        out = out | (F.size(F.array_except(F.array(*map(F.lit, wanted)), words)) == 0)
+    return out
+
+
+def any_word(c: C, words: str) -> Column:
+    """At least one of the words is in the folded text."""
+    folded = fold_or_empty(c)
+    return reduce(lambda a, w: a | F.contains(folded, F.lit(w)), fold_value(words).split(), F.lit(False))
