@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import contains_folded, document_number, fold_value, number_matches
+from ..functions.text import contains_folded, document_number, fold, fold_value, number_matches, to_number
 
 
 def visible(requester: str | None, owner: str = "user_id", active: str = "is_active") -> Column:
@@ -60,6 +60,13 @@ def query_metadata(documents: DataFrame, profiles: DataFrame, spec: MetadataFilt
     return rows.orderBy(F.desc_nulls_last("doc_date"), "file_name", "document_id").limit(1 if spec.operation == "latest" else spec.limit)
 
 
+def profiled(documents: DataFrame, profiles: DataFrame, relations: DataFrame, requester: str | None, key: str = "document_id") -> DataFrame:
+    """Visible documents that have a profile, with how many relations each has, none being 0."""
+    counted = relations.groupBy(key).agg(F.count("*").alias("n_relations"))
+    out = documents.where(visible(requester)).join(profiles, key).join(counted, key, "left")
+    return out.withColumn("n_relations", F.coalesce("n_relations", F.lit(0)))
+
+
 @dataclass(frozen=True)
 class Anchor:
     """A relation that a document must have: of one of the types, to the target."""
@@ -150,6 +157,86 @@ def stale(table: DataFrame, current: DataFrame, key: str) -> DataFrame:
     return table.join(current.select(key), key, "left_anti")
 
 
+def replaced_children(table: DataFrame, children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """The table with all children of the parents replaced by the given ones: a parent without new children has none.
+
+    Null keys of the table are nobody's children and stay.
+    """
+    return table.join(parents.select(key).distinct(), key, "left_anti").unionByName(children.join(parents.select(key).distinct(), key, "left_semi").select(*table.columns))
+
+
+def write_replaced_children(children: DataFrame, path: str, partition: str) -> None:
+    """The same at rest, for a table partitioned by its parents' key: only the partitions of the given children are written anew."""
+    children.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def transitioned(table: DataFrame, when: Column, values: dict[str, Column]) -> DataFrame:
+    """The rows where the condition holds with new values, all others as they are; `changed` says which."""
+    holds = F.coalesce(when, F.lit(False))
+    return table.withColumn("changed", holds).withColumns({c: F.when(holds, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def read_all(notifications: DataFrame, user: str, now: Column) -> DataFrame:
+    """A user's unread notifications become read."""
+    return transitioned(notifications, (F.col("user_id") == user) & F.col("read_at").isNull(), {"read_at": now})
+
+
+def expire_pending(requests: DataFrame, now: Column) -> DataFrame:
+    """Pending requests whose time is over expire."""
+    return transitioned(requests, (F.col("status") == "pending") & (F.col("expires_at") <= now), {"status": F.lit("expired")})
+
+
+def purged(tables: dict[str, DataFrame], expired: DataFrame, key: str = "run_id") -> dict[str, DataFrame]:
+    """Each table without the rows of the expired runs: a run goes with all that belongs to it, or not at all."""
+    gone = expired.select(key).distinct()
+    return {name: table.join(gone, key, "left_anti") for name, table in tables.items()}
+
+
+def unresolved(outbox: DataFrame, runs: DataFrame) -> DataFrame:
+    """runs with `waiting`: whether anything of theirs is still to be delivered."""
+    open_rows = outbox.where("status <> 'delivered'").select("run_id").distinct().withColumn("waiting", F.lit(True))
+    return runs.join(open_rows, "run_id", "left").withColumn("waiting", F.coalesce("waiting", F.lit(False)))
+
+
+def add_watch_rules(rules: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rules with those of the wanted (user_id, kind, target) that no active one has, by the folded target."""
+    keyed = wanted.withColumn("_key", fold("target")).dropDuplicates(["user_id", "kind", "_key"])
+    held = rules.where("active").select("user_id", "kind", fold("target").alias("_key"))
+    return rules.unionByName(keyed.join(held, ["user_id", "kind", "_key"], "left_anti").drop("_key"), allowMissingColumns=True)
+
+
+def stop_watch_rules(rules: DataFrame, user: str, part: str) -> DataFrame:
+    """A user's active rules whose folded target has the part are no longer active."""
+    return transitioned(rules, F.col("active") & (F.col("user_id") == user) & contains_folded("target", part), {"active": F.lit(False)})
+
+
+def names_of(entities: DataFrame, by: str, name: str = "name_norm") -> DataFrame:
+    """(by, names): distinct normalised names in order, with bars between them."""
+    own = entities.where(F.trim(name) != "").select(by, name).distinct()
+    return own.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(name)), " | ").alias("names"))
+
+
+def first_signer(profiles: DataFrame, entities: str = "entities") -> DataFrame:
+    """Profiles with the name of the first entity that signed."""
+    return profiles.withColumn("signer", F.try_element_at(F.filter(entities, lambda e: e["kind"] == "signer"), F.lit(1))["name"])
+
+
+def table_order(rows: DataFrame, date_: str = "doc_date", number: str = "doc_number") -> DataFrame:
+    """Rows by date, undated ones last, then by number."""
+    return rows.orderBy(F.asc_nulls_last(date_), F.asc_nulls_last(number))
+
+
+def filled_table(documents: DataFrame, cells: DataFrame, columns: dict[str, str], key: str = "document_id") -> DataFrame:
+    """One row per document: metadata columns as they are, other columns from extracted cells.
+
+    columns: kind (text or number) of each extracted column.  cells: key, column, value; a number
+    column's value that is no number is cleared, and the first of several values by text is taken.
+    """
+    wide = cells.where(F.col("column").isin(*columns)).groupBy(key).agg(*(F.min(F.when(F.col("column") == c, F.nullif(F.trim("value"), F.lit("")))).alias(c) for c in columns))
+    out = documents.join(wide, key, "left")
+    return out.withColumns({c: F.when(to_number(c).isNotNull(), F.col(c)) for c, kind in columns.items() if kind == "number"})
+
+
 def superseded(preferences: DataFrame, by: list[str], at: str) -> DataFrame:
     """All but the newest of each category are marked stale."""
     order = Window.partitionBy(*by).orderBy(F.desc(at))
