@@ -23,15 +23,55 @@ def run_averages(runs: DataFrame, group: str) -> DataFrame:
     return runs.groupBy(group).agg(F.bround(F.avg("total_latency_ms"), 1).alias("avg_latency_ms"), F.bround(F.avg("llm_call_count"), 2).alias("avg_calls"))
 
 
+#: ranges that a group's values are divided into
+RANGES = 64
+
+
 def indexed_percentiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """p50 and p95 as the values at places n // 2 and int(0.95 n) of the sorted list, with least and most.
+    """p50 and p95 as the values at places n // 2 and int(0.95 n) of the sorted list, with least and most; nulls don't count.
+
+    Approximate quantiles divide each group's values into ranges, whose exact counts tell which range
+    has a place; only the rows of those ranges are ranked, each range by itself.
+    """
+    df = df.select(*by, F.col(value).alias("_v")).where("_v is not null")
+    cuts = df.groupBy(*by).agg(F.percentile_approx("_v", [k / RANGES for k in range(1, RANGES)], 10_000).alias("_cuts"), F.count("*").alias("_n"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+    ranged = df.join(cuts.select(*by, "_cuts"), by).select(*by, "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_r"))
+    counts = ranged.groupBy(*by, "_r").agg(F.count("*").alias("_in"))
+    before = F.coalesce(F.sum("_in").over(Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = cuts.select(*by, F.explode(F.create_map(F.lit("p50"), F.floor(F.col("_n") / 2), F.lit("p95"), F.floor(F.col("_n") * 0.95))).alias("_name", "_place"))
+    wanted = counts.withColumn("_before", before).join(places, by).where("_place >= _before and _place < _before + _in").select(*by, "_r", "_name", (F.col("_place") - F.col("_before") + 1).alias("_at"))
+    own = ranged.join(wanted.select(*by, "_r").distinct(), [*by, "_r"], "left_semi")
+    ranked = own.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "_r").orderBy("_v"))).join(wanted, [*by, "_r"]).where("_i = _at")
+    named = ranked.groupBy(*by).agg(*(F.max(F.when(F.col("_name") == p, F.col("_v"))).alias(p) for p in ("p50", "p95")))
+    return named.join(cuts.select(*by, "least", "most"), by)
+
+
+def config_report(items: DataFrame, config: str = "config", metrics: str = "metrics") -> DataFrame:
+    """Mean of each metric under each configuration, with how many items measured it."""
+    rows = items.select(config, F.explode(metrics).alias("metric", "value"))
+    return rows.groupBy(config, "metric").agg(F.bround(F.avg("value"), 4).alias("mean"), F.count("value").alias("measured"))
+
+
+def simulated_scores(chunks: DataFrame, wanted: Column, keywords: str = "keywords") -> DataFrame:
+    """Benchmark scores of chunks without a model: shares of a query's keywords.
+
+    dense: of the keywords; sparse: those that the text itself has; hybrid: their mean.
+    """
+    n = F.greatest(F.size(wanted), F.lit(1))
+    dense = F.size(F.array_intersect(F.col(keywords), wanted)) / n
+    sparse = F.size(F.filter(wanted, lambda w: F.contains(F.lower("content_raw"), F.lower(w)))) / n
+    return chunks.withColumns({"dense_score": dense, "sparse_score": sparse, "hybrid_score": (dense + sparse) / 2})
+
+
+def gold_scores(items: DataFrame, split: str) -> DataFrame:
+    """Gold items of a split, each with: quotes found in the retrieved texts, all words that must be in the answer are, abstained as asked.
 
-    The places are found by rank windows, split by value ranges of each group: no list is built.
+    items: split, gold_quotes, retrieved (array of texts), must_include, answer, should_abstain, abstained.
     """
-    n = F.count("*").over(Window.partitionBy(*by))
-    ranked = df.select(*by, value, (F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1).alias("i"), n.alias("n"))
-    at = lambda place: F.max(F.when(F.col("i") == place, F.col(value)))
-    return ranked.groupBy(*by).agg(at(F.floor(F.col("n") / 2)).alias("p50"), at(F.floor(F.col("n") * 0.95)).alias("p95"), F.min(value).alias("least"), F.max(value).alias("most"))
+    own = items.where(F.col("split") == split)
+    quote = F.size(F.filter("gold_quotes", lambda q: F.exists("retrieved", lambda t: F.contains(t, q)))) / F.nullif(F.size("gold_quotes"), F.lit(0))
+    included = F.forall("must_include", lambda w: F.contains(F.lower("answer"), F.lower(w)))
+    return own.withColumns({"quote_hit": quote, "included": included, "abstains": F.col("should_abstain") == F.col("abstained")})
 
 
 def metric_means(items: DataFrame, metrics: str = "metrics") -> DataFrame:

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from ..functions.text import fold_or_empty
 
@@ -56,7 +59,7 @@ def rule_matches(events: DataFrame, rules: DataFrame, text: str, ts: str) -> Dat
     static = rules.where("active").select("rule_id", "expires_at", words.alias("_words"), rarest.alias("_word"))
     tokens = F.array_distinct(F.split(fold_or_empty(text), r"[^\p{L}\p{N}]+"))
     keyed = events.withColumn("_tokens", tokens).withColumn("_word", F.explode("_tokens"))
-    hit = keyed.join(F.broadcast(static), "_word").where(F.col("expires_at").isNull() | (F.col(ts) < F.col("expires_at")))
+    hit = keyed.join(static, "_word").where(F.col("expires_at").isNull() | (F.col(ts) < F.col("expires_at")))
     return hit.where(F.size(F.array_except("_words", "_tokens")) == 0).drop("_word", "_words", "_tokens")
 
 
@@ -90,16 +93,29 @@ def anchored_limit(events: DataFrame, key: str, ts: str, most: int = 5, seconds:
 
 
 def anchored_limit_batch(events: DataFrame, key: str, ts: str, most: int = 5, seconds: int = 900) -> DataFrame:
-    """The same over a batch, as a fold of each key's ordered times: no Python."""
-    listed = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(ts).alias("ts")))).alias("e"))
-    kind = f"array<struct<start:bigint,ts:{dict(events.dtypes)[ts]},n:bigint>>"
+    """The same over a batch.
 
-    def step(seen: Column, x: Column) -> Column:
-        last = F.try_element_at(seen, F.lit(-1))
-        again = last.isNotNull() & (x["t"] < last["start"] + seconds * 1_000_000)
-        return F.array_append(seen, F.struct(F.when(again, last["start"]).otherwise(x["t"]).alias("start"), x["ts"].alias("ts"), F.when(again, last["n"] + 1).otherwise(F.lit(1).cast("long")).alias("n")))
+    A pause as long as the window always begins a new one, so that runs of events without such a
+    pause are counted by themselves: a key's events are no group of one task.
+    """
+    by = Window.partitionBy(key).orderBy(ts)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    timed = events.select(key, ts, micros.alias("_at"))
+    fresh = F.coalesce(F.col("_at") - F.lag("_at").over(by) >= seconds * 1_000_000, F.lit(True))
+    runs = timed.withColumn("_new", fresh.cast("int")).withColumn("_run", F.sum("_new").over(by))
+
+    def count(run: pa.Table) -> pa.Table:
+        run = run.sort_by("_at")
+        at, n = run["_at"].to_numpy(), np.empty(run.num_rows, np.int64)
+        begin = 0
+        while begin < len(at):
+            end = int(np.searchsorted(at, at[begin] + seconds * 1_000_000))
+            n[begin:end] = np.arange(1, end - begin + 1)
+            begin = end
+        return run.select([key, ts]).append_column("n", pa.array(n)).append_column("allowed", pa.array(n <= most))
 
-    return listed.select(key, F.explode(F.aggregate("e", F.array().cast(kind), step)).alias("r")).select(key, F.col("r.ts").alias(ts), F.col("r.n").alias("n"), (F.col("r.n") <= most).alias("allowed"))
+    kind = dict(events.dtypes)
+    return runs.groupBy(key, "_run").applyInArrow(count, f"{key} {kind[key]}, {ts} {kind[ts]}, n long, allowed boolean")
 
 
 def due_steps(goals: DataFrame, today: Column) -> DataFrame:
