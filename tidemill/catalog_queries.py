@@ -218,10 +218,10 @@ def relation_facts(spark, sf_dir):
     return catalog.relation_facts(_orders(spark, sf_dir), _relations(spark, sf_dir), ANCHORS, ("R", "A"), "u1")
 
 
-@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderkey % 3 = 0)")
 def stale_targets(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return catalog.stale(c, read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+    return catalog.stale(c, read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
 @query("SELECT o_orderkey FROM orders o WHERE o_orderdate < timestamp '1996-01-01' AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_linestatus <> 'F')")
@@ -231,10 +231,26 @@ def expired_runs(spark, sf_dir):
     return catalog.expired_runs(runs, box, F.lit("1996-01-01").cast("timestamp_ntz")).select(F.col("run_id").alias("o_orderkey"))
 
 
-@query("SELECT n_name, r_name, count(c_custkey) AS n_customers FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
+@query("SELECT n_name, r_name, count(c_custkey) AS n_relations FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 5000 AND c_nationkey % 4 <> 0 WHERE n_nationkey % 5 <> 0 GROUP BY ALL")
 def inner_then_left(spark, sf_dir):
     n, r, c = (read(spark, sf_dir, t) for t in ("nation", "region", "customer"))
-    return n.join(r, n.n_regionkey == r.r_regionkey).join(c, n.n_nationkey == c.c_nationkey, "left").groupBy("n_name", "r_name").agg(F.count("c_custkey").alias("n_customers"))
+    documents = n.select(F.col("n_nationkey").alias("document_id"), "n_name", (F.col("n_nationkey") % 5 != 0).alias("is_active"), F.lit(None).cast("string").alias("user_id"))
+    profiles = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("document_id"), "r_name")
+    relations = c.where("c_acctbal > 5000 and c_nationkey % 4 <> 0").select(F.col("c_nationkey").alias("document_id"))
+    return catalog.profiled(documents, profiles, relations, "u1").select("n_name", "r_name", "n_relations")
+
+
+@query("SELECT chunk_id, document_id FROM (SELECT vec_id AS chunk_id, vec_id // 20 AS document_id, (vec_id % 5 <> 0)::int AS level FROM embeddings) JOIN documents ON doc_id = document_id WHERE level = 1 AND doc_id % 7 <> 0 AND (doc_id % 3 = 0 OR doc_id % 3 = 1) AND doc_id IN (3, 4, 6, 7, 9, 10)")
+def scoped_candidates(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir).withColumns({"hierarchy_level": (F.col("chunk_id") % 5 != 0).cast("int"), "document_id": F.col("document_id").cast("string")})
+    out = retrieval.candidates(chunks, _owned(spark, sf_dir), "u1", ["3", "4", "6", "7", "9", "10"], mode="DOCUMENT_SEARCH")
+    return out.select("chunk_id", F.col("document_id").cast("long").alias("document_id"))
+
+
+@query("SELECT vec_id AS chunk_id FROM embeddings JOIN documents ON doc_id = vec_id // 20 WHERE vec_id % 5 = 0 AND doc_id % 7 <> 0 AND doc_id % 3 = 0")
+def parent_candidates(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir).withColumns({"hierarchy_level": (F.col("chunk_id") % 5 != 0).cast("int"), "document_id": F.col("document_id").cast("string")})
+    return retrieval.candidates(chunks, _owned(spark, sf_dir), None, ["3"], mode="CORPUS", level=0).select("chunk_id")
 
 
 # versions and upserts
@@ -277,11 +293,69 @@ def merge_overrides(spark, sf_dir):
     return catalog.merge_overrides(d, old, "doc_id", ("source", "lang"))
 
 
-@query("SELECT user_id, event_type FROM events WHERE ts >= timestamp '2024-01-15' GROUP BY ALL EXCEPT SELECT user_id, event_type FROM events WHERE ts < timestamp '2024-01-15'")
+@query("SELECT user_id, event_type FROM events WHERE ts >= timestamp '2024-01-15' GROUP BY ALL EXCEPT SELECT user_id, event_type FROM events WHERE ts < timestamp '2024-01-15' AND event_id % 7 = 0")
 def insert_absent(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("user_id", "event_type", "ts")
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
     cut = F.lit("2024-01-15").cast("timestamp_ntz")
-    return catalog.insert_absent(e.where(F.col("ts") < cut), e.where(F.col("ts") >= cut), ["user_id", "event_type"]).select("user_id", "event_type")
+    return catalog.insert_absent(e.where((F.col("ts") < cut) & (F.col("event_id") % 7 == 0)), e.where(F.col("ts") >= cut), ["user_id", "event_type"]).select("user_id", "event_type")
+
+
+@query("SELECT o_custkey AS c_custkey, o_orderkey AS child FROM orders WHERE o_custkey % 3 <> 0 UNION ALL SELECT o_custkey, o_orderkey + 1000000 FROM orders WHERE o_custkey % 3 = 0 AND o_orderkey % 2 = 0")
+def replaced_children(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("child"))
+    parents = o.where("c_custkey % 3 = 0").select("c_custkey").distinct()
+    return catalog.replaced_children(o, o.where("child % 2 = 0").withColumn("child", F.col("child") + 1000000), parents, "c_custkey")
+
+
+@query("SELECT event_id, CASE WHEN user_id = 7 AND event_id % 3 <> 0 THEN timestamp '2024-02-01' WHEN event_id % 3 = 0 THEN ts END AS read_at, user_id = 7 AND event_id % 3 <> 0 AS changed FROM events")
+def read_notifications(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("user_id"), F.when(F.col("event_id") % 3 == 0, F.col("ts")).alias("read_at"))
+    return catalog.read_all(e, "7", F.lit("2024-02-01").cast("timestamp_ntz")).select("event_id", "read_at", "changed")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'click' AND ts <= timestamp '2024-01-12' THEN 'expired' WHEN event_type = 'click' THEN 'pending' ELSE 'done' END AS status FROM events")
+def expired_requests(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "click", "pending").otherwise("done").alias("status"), F.col("ts").alias("expires_at"))
+    return catalog.expire_pending(e, F.lit("2024-01-12").cast("timestamp_ntz")).select("event_id", "status")
+
+
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate < timestamp '1996-01-01' AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o_orderkey AND l_linestatus <> 'F')) GROUP BY 1")
+def purged_calls(spark, sf_dir):
+    runs = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("created_at"))
+    box = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.when(F.col("l_linestatus") == "F", "delivered").otherwise("pending").alias("status"))
+    gone = catalog.expired_runs(runs, box, F.lit("1996-01-01").cast("timestamp_ntz"))
+    return catalog.purged({"calls": box}, gone)["calls"].groupBy(F.col("run_id").alias("l_orderkey")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus <> 'F') AS waiting FROM orders")
+def unresolved_runs(spark, sf_dir):
+    runs = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"))
+    box = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.when(F.col("l_linestatus") == "F", "delivered").otherwise("pending").alias("status"))
+    return catalog.unresolved(box, runs).select(F.col("run_id").alias("o_orderkey"), "waiting")
+
+
+@query("SELECT user_id, string_agg(DISTINCT event_type, ' | ' ORDER BY event_type) AS names FROM events GROUP BY 1")
+def joined_names(spark, sf_dir):
+    return catalog.names_of(read(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("name_norm")), "user_id")
+
+
+@query("SELECT user_id, count(*) FILTER (event_id % 4 <> 0) AS unread FROM events GROUP BY 1")
+def unread_counts(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", F.when(F.col("event_id") % 4 == 0, F.col("ts")).alias("read_at"))
+    return conversations.unread(e)
+
+
+@query("SELECT user_id AS conversation_id, k AS item_id, row_number() OVER (PARTITION BY user_id ORDER BY seen DESC, k) AS place FROM (SELECT user_id, event_id % 9 AS k, max(ts) AS seen FROM events WHERE event_type = 'click' GROUP BY ALL) QUALIFY place <= 3")
+def last_seen_items(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("conversation_id"), (F.col("event_id") % 9).alias("item_id"), F.col("event_type").alias("kind"), F.col("ts").alias("seen_at"))
+    return conversations.last_seen(e, "click", 3).select("conversation_id", "item_id", F.col("place").cast("long").alias("place"))
+
+
+@query("WITH e AS (SELECT event_id, user_id, ts AS s, ts + (1 + event_id % 5) * interval 40 minute AS f FROM events) SELECT a.event_id AS wanted_id, b.event_id AS busy_id FROM e a JOIN e b ON a.user_id = b.user_id AND a.s < b.f AND b.s < a.f WHERE a.event_id % 2 = 0 AND b.event_id % 2 = 1")
+def busy_overlaps(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("person"), F.col("ts").alias("start"), (F.col("ts") + F.make_interval(mins=(F.col("event_id") % 5 + 1).cast("int") * 40)).alias("end"))
+    a, b = e.where("event_id % 2 = 0").withColumnRenamed("event_id", "wanted_id"), e.where("event_id % 2 = 1").withColumnRenamed("event_id", "busy_id")
+    return conversations.busy_overlaps(a, b)
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) > 1 AS stale FROM events")
@@ -310,15 +384,18 @@ def _chunks(spark, sf_dir):
     return e.select(F.col("vec_id").alias("chunk_id"), (F.floor(F.col("vec_id") / 20)).alias("document_id"), (F.floor(F.col("vec_id") / 5)).alias("parent_id"), (F.col("vec_id") % 5).cast("int").alias("chunk_index"), "embedding")
 
 
-def _queries(spark, sf_dir, n: int = 12):
-    return read(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+def _queries(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-_DENSE = """q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 12),
+# a chunk's text is the document of its number; a query's full-text part asks for the first word of its own text
+_DENSE = f"""q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0),
 scored AS (SELECT query_id, vec_id AS chunk_id, vec_id // 20 AS document_id, list_cosine_similarity(v::double[], embedding::double[]) AS score FROM q, embeddings),
 dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS dense_rank FROM scored QUALIFY dense_rank <= 10),
-sparse AS (SELECT query_id, vec_id AS chunk_id, vec_id // 20 AS document_id, row_number() OVER (PARTITION BY query_id ORDER BY abs(vec_id - query_id), vec_id) AS sparse_rank
-  FROM q, embeddings WHERE vec_id % 3 = query_id % 3 QUALIFY sparse_rank <= 10),
+texts AS (SELECT doc_id AS chunk_id, list_filter(regexp_split_to_array({fold_sql('text')}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS w FROM documents JOIN embeddings ON vec_id = doc_id),
+worded AS (SELECT chunk_id AS query_id, w[1] AS term FROM texts WHERE chunk_id % 20 = 0 AND len(w) > 0),
+sparse AS (SELECT query_id, chunk_id, chunk_id // 20 AS document_id, row_number() OVER (PARTITION BY query_id ORDER BY round(0.1::double * n, 12) DESC, chunk_id) AS sparse_rank
+  FROM (SELECT query_id, chunk_id, len(list_filter(w, lambda x: x = term)) AS n FROM worded, texts) WHERE n > 0 QUALIFY sparse_rank <= 10),
 fused AS (
   SELECT query_id, chunk_id, coalesce(d.document_id, s.document_id) AS document_id, dense_rank, sparse_rank,
          coalesce(1.0 / (60 + dense_rank), 0)::double + coalesce(1.0 / (60 + sparse_rank), 0)::double AS fusion_score
@@ -331,10 +408,13 @@ def _dense(spark, sf_dir):
 
 
 def _sparse(spark, sf_dir):
-    q = _queries(spark, sf_dir).select("query_id")
-    pairs = _chunks(spark, sf_dir).join(F.broadcast(q), F.col("chunk_id") % 3 == F.col("query_id") % 3)
-    pairs = pairs.select("query_id", "chunk_id", "document_id", (-F.abs(F.col("chunk_id") - F.col("query_id"))).alias("score"))
-    return retrieval.best(pairs, "score", "sparse_rank", 10)
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content_raw"))
+    chunks = _chunks(spark, sf_dir).select("chunk_id", "document_id").join(texts, "chunk_id")
+    asked = chunks.where("chunk_id % 20 = 0")
+    none = F.array().cast("array<string>")
+    asked = asked.select(F.col("chunk_id").alias("query_id"), none.alias("terms"), F.array().cast("array<array<string>>").alias("phrases"), F.slice(retrieval.terms_of("content_raw"), 1, 1).alias("any_of"), none.alias("none_of"))
+    index = retrieval.postings(chunks, wanted=retrieval.asked_terms(asked).select("term").distinct())
+    return retrieval.sparse(asked, index, 10)
 
 
 def _fused(spark, sf_dir):
@@ -346,14 +426,10 @@ def dense_top_k(spark, sf_dir):
     return _dense(spark, sf_dir).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("dense_rank").cast("long").alias("dense_rank"))
 
 
-def _every_20th(spark, sf_dir):
-    return read(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-
-
 @query()
 def dense_top_k_all(spark, sf_dir):
     """Queries that grow with the table: every twentieth vector."""
-    return retrieval.dense(_every_20th(spark, sf_dir), _chunks(spark, sf_dir), 10).select("query_id", "chunk_id", "score", "dense_rank")
+    return retrieval.dense(_queries(spark, sf_dir), _chunks(spark, sf_dir), 10).select("query_id", "chunk_id", "score", "dense_rank")
 
 
 @query()
@@ -362,7 +438,7 @@ def hybrid_fusion_all(spark, sf_dir):
 
     A query's full-text part asks for any of the first eight words of its own text.
     """
-    asked, chunks = _every_20th(spark, sf_dir), _chunks(spark, sf_dir)
+    asked, chunks = _queries(spark, sf_dir), _chunks(spark, sf_dir)
     texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content_raw"))
     index = retrieval.postings(chunks.join(texts, "chunk_id").select("chunk_id", "document_id", "content_raw"))
     own = index.join(asked.select(F.col("query_id").alias("chunk_id")), "chunk_id", "left_semi").where(F.array_min("positions") < 8)
@@ -464,9 +540,9 @@ def sufficiency(spark, sf_dir):
     return retrieval.sufficiency(bundles, 12, 0.03).select("query_id", "status")
 
 
-def _index(spark, sf_dir):
+def _index(spark, sf_dir, wanted=None):
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content_raw"))
-    return retrieval.postings(d)
+    return retrieval.postings(d, wanted=wanted)
 
 
 _TERMS = rf"words AS (SELECT doc_id AS chunk_id, list_filter(regexp_split_to_array({fold_sql('text')}, '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '') AS w FROM documents)"
@@ -484,22 +560,25 @@ def inverted_index(spark, sf_dir):
     f"""WITH {_TERMS}, p AS (SELECT chunk_id, unnest(w) AS term, unnest(generate_series(0, len(w) - 1)) AS pos FROM words),
     kept AS (SELECT chunk_id FROM words WHERE list_contains(w, 'with') AND NOT list_contains(w, 'from')
       AND EXISTS (SELECT 1 FROM p a JOIN p b ON a.chunk_id = b.chunk_id AND b.pos = a.pos + 1 WHERE a.chunk_id = words.chunk_id AND a.term = 'of' AND b.term = 'the')),
-    scored AS (SELECT chunk_id, count(*)::double / (max(pos) - min(pos) + 1) AS score FROM p SEMI JOIN kept USING (chunk_id) WHERE term IN ('with', 'of', 'the') GROUP BY 1)
+    r AS (SELECT chunk_id, term, pos, row_number() OVER (PARTITION BY chunk_id ORDER BY pos) AS i FROM p SEMI JOIN kept USING (chunk_id) WHERE term IN ('with', 'of', 'the')),
+    l AS (SELECT chunk_id, pos, i, max(pos) FILTER (term = 'with') OVER w AS a, max(pos) FILTER (term = 'of') OVER w AS b, max(pos) FILTER (term = 'the') OVER w AS c FROM r WINDOW w AS (PARTITION BY chunk_id ORDER BY pos)),
+    covers AS (SELECT chunk_id, least(a, b, c) AS begin, min(pos) AS end_, min(i) AS i_end FROM l WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL GROUP BY ALL),
+    scored AS (SELECT chunk_id, round(sum(0.1::double / (1 + (end_ - begin) - (i_end - r.i))), 12) AS score FROM covers JOIN r USING (chunk_id) WHERE r.pos = begin GROUP BY 1)
     SELECT chunk_id, round(score, 9) AS score, row_number() OVER (ORDER BY score DESC, chunk_id) AS sparse_rank FROM scored QUALIFY sparse_rank <= 25"""
 )
 def sparse_search(spark, sf_dir):
     q = spark.createDataFrame([(1, ["with"], [["of", "the"]], [], ["from"])], "query_id long, terms array<string>, phrases array<array<string>>, any_of array<string>, none_of array<string>")
-    return retrieval.sparse(q, _index(spark, sf_dir), 25).select("chunk_id", F.round("score", 9).alias("score"), F.col("sparse_rank").cast("long").alias("sparse_rank"))
+    return retrieval.sparse(q, _index(spark, sf_dir, retrieval.asked_terms(q).select("term")), 25).select("chunk_id", F.round("score", 9).alias("score"), F.col("sparse_rank").cast("long").alias("sparse_rank"))
 
 
 @query(
-    """WITH w AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+') AS w FROM documents WHERE lang = 'en'), p AS (SELECT doc_id, unnest(w) AS a, unnest(generate_series(1, len(w))) AS i FROM w),
-    two AS (SELECT x.doc_id, x.i, x.a || ' ' || y.a AS name FROM p x JOIN p y ON x.doc_id = y.doc_id AND y.i = x.i + 1 WHERE x.a = 'of' AND y.a = 'the')
-    SELECT doc_id AS text_id, 'of the' AS name, count(*) AS n FROM two GROUP BY 1
-    UNION ALL SELECT p.doc_id, 'the', count(*) FROM p LEFT JOIN two ON two.doc_id = p.doc_id AND p.i = two.i + 1 WHERE a = 'the' AND two.i IS NULL GROUP BY 1"""
+    f"""WITH {_TERMS}, p AS (SELECT chunk_id AS doc_id, unnest(w) AS a, unnest(generate_series(1, len(w))) AS i FROM words),
+    n AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lag(a) OVER o AS z FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+    SELECT doc_id AS text_id, CASE WHEN a = 'of' THEN 'of the' ELSE 'the' END AS name, count(*) AS n FROM n
+    WHERE (a = 'of' AND b = 'the') OR (a = 'the' AND z IS DISTINCT FROM 'of') GROUP BY ALL"""
 )
 def dictionary_matches(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("text_id"), "text")
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
     names = spark.createDataFrame([("of the",), ("the",)], "name string")
     return conversations.dictionary_matches(d, names).groupBy("text_id", "name").agg(F.count("*").alias("n"))
 
@@ -612,13 +691,14 @@ def _secret_sql() -> str:
 
 @query(f"WITH r AS (SELECT doc_id, {_secret_sql()} AS t FROM documents) SELECT doc_id, sha256(CASE WHEN length(t) > 500 THEN substr(t, 1, 500) || '... [TRUNCATED]' ELSE t END) AS redacted, t LIKE '%[REDACTED%' AS found FROM r")
 def redaction(spark, sf_dir):
-    full = text.redact("text", limit=None)
-    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(text.redact("text"), 256).alias("redacted"), F.contains(full, F.lit("[REDACTED")).alias("found"))
+    full = read(spark, sf_dir, "documents").select("doc_id", F.transform(F.array(text.redact("text", limit=None)), lambda t: F.struct(F.sha2(text.shortened(t), 256).alias("redacted"), F.contains(t, F.lit("[REDACTED")).alias("found")))[0].alias("r"))
+    return full.select("doc_id", "r.redacted", "r.found")
 
 
 @query(r"SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> '' GROUP BY lower(trim(regexp_replace(text, '\s+', ' ', 'g')))")
 def copy_keys(spark, sf_dir):
-    return read(spark, sf_dir, "documents").withColumn("k", text.copy_key("text")).where("k <> ''").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).drop("k")
+    keyed = read(spark, sf_dir, "documents").withColumn("k", text.copy_key("text")).where("k <> ''")
+    return keyed.groupBy(F.sha2("k", 256).alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).drop("k")
 
 
 @query(f"WITH {CORPUS} SELECT document_id, nullif(regexp_replace(upper({fold_sql('doc_number')}), '[^0-9A-Z]', '', 'g'), '') AS number FROM corpus")
@@ -641,9 +721,13 @@ def fingerprints(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", ids.fingerprint(lang="lang", n="n_chars", none=F.lit(None)).alias("print"))
 
 
-@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')) AS n FROM documents WHERE regexp_matches(text, '[.!?…]\s+\S')")
+@query(
+    r"""WITH c AS (SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '')) AS parts,
+      len(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')) AS lines FROM documents)
+    SELECT doc_id, CASE WHEN parts > 1 THEN parts ELSE lines END AS n FROM c"""
+)
 def sentence_counts(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where(F.col("text").rlike(r"[.!?…]\s+\S")).select("doc_id", F.size(text.sentences("text")).cast("long").alias("n"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences("text")).cast("long").alias("n"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 42 THEN substr(text, 1, 42) || '...' ELSE text END AS title FROM documents")
@@ -656,9 +740,19 @@ def glob_match(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/]+)", 1).alias("site"), text.glob("url", "https://*").alias("secure"))
 
 
-@query(f"SELECT doc_id FROM documents WHERE list_has_all(regexp_split_to_array({fold_sql('text')}, '[^\\p{{L}}\\p{{N}}]+'), ['the', 'from', 'with'])")
+@query(f"SELECT doc_id FROM documents WHERE regexp_matches({fold_sql('text')}, '(^|\\s)of the($|[\\s.,!?;:])')")
 def trigger_matches(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where(text.trigger_matches("text", "With FROM the")).select("doc_id")
+    return read(spark, sf_dir, "documents").where(text.trigger_matches("text", " Of THE ")).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE list_has_all(regexp_split_to_array({fold_sql('text')}, '[^\\p{{L}}\\p{{N}}_]+'), ['the', 'from', 'with'])")
+def trigger_subsets(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where(text.trigger_matches("text", "With FROM the", token_subset=True)).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains({fold_sql('text')}, 'schau') OR contains({fold_sql('text')}, 'keit')")
+def any_word_match(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where(text.any_word("text", "Schau KEIT")).select("doc_id")
 
 
 @query(f"SELECT doc_id FROM documents WHERE contains({fold_sql('text')}, 'und') AND contains({fold_sql('text')}, 'schau')")
@@ -666,10 +760,15 @@ def all_words_match(spark, sf_dir):
     return read(spark, sf_dir, "documents").where(text.all_words("text", "Und SCHAU")).select("doc_id")
 
 
-@query("SELECT doc_id, 'en' AS lang FROM documents")
+@query(
+    r"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Quyết định đã được phê duyệt ' || substr(text, 1, 40) WHEN 1 THEN substr(text, 1, 200) ELSE '' END AS t FROM documents),
+    n AS (SELECT doc_id, len(regexp_extract_all(t, '\p{L}')) AS n, len(regexp_extract_all(lower(t), '[ăâđêôơưàảãáạằẳẵắặầẩẫấậèẻẽéẹềểễếệìỉĩíịòỏõóọồổỗốộờởỡớợùủũúụừửữứựỳỷỹýỵ]')) AS own FROM t)
+    SELECT doc_id, CASE WHEN n > 0 AND own >= 0.02 * n THEN 'vi' ELSE 'en' END AS lang FROM n"""
+)
 def vietnamese_or_english(spark, sf_dir):
-    plain = F.regexp_replace(F.translate("text", "àâãáèéêìíòóôõùúýÀÂÃÁÈÉÊÌÍÒÓÔÕÙÚÝ", ""), r"\p{M}", "")
-    return read(spark, sf_dir, "documents").select("doc_id", text.vietnamese_or_english(plain).alias("lang"))
+    k = F.col("doc_id") % 3
+    t = F.when(k == 0, F.concat(F.lit("Quyết định đã được phê duyệt "), F.substring("text", 1, 40))).when(k == 1, F.substring("text", 1, 200)).otherwise("")
+    return read(spark, sf_dir, "documents").select("doc_id", text.vietnamese_or_english(t).alias("lang"))
 
 
 @query(
@@ -706,9 +805,10 @@ def json_access(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.get_json_object(ids.first_object(F.concat(F.lit("x "), "props", F.lit(" y"))), "$.k").cast("int").alias("k"))
 
 
-@query("SELECT event_id, 1 AS n_kept FROM events")
+@query("SELECT event_id, 1 + (event_type <> 'click')::int + (user_id % 2 = 0)::int AS n_kept FROM events")
 def sensitive_keys(spark, sf_dir):
-    m = F.create_map(F.lit("accessToken"), F.lit("x"), F.lit("api-key"), F.lit("y"), F.lit("total_tokens"), F.lit("z"))
+    secret = F.when(F.col("event_type") == "click", "accessToken").otherwise(F.col("event_type"))
+    m = F.create_map(secret, F.lit("x"), F.when(F.col("user_id") % 2 == 0, "total_tokens").otherwise("api-key"), F.lit("y"), F.lit("note"), F.lit("z"))
     return read(spark, sf_dir, "events").select("event_id", F.size(ids.without_secrets(m)).alias("n_kept"))
 
 
@@ -718,10 +818,9 @@ def significant_numbers(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.size(extract.significant_numbers("text")).cast("long").alias("n")).where("n > 0")
 
 
-@query("SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: length(w) > 14).len() AS n FROM documents WHERE text <> ''")
+@query(r"WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM documents) SELECT doc_id, CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: length(x) > 9))::double / len(w) ELSE 0 END AS ratio FROM w")
 def glued_words(spark, sf_dir):
-    n = F.size(F.filter(F.split("text", r"\s+"), lambda w: F.length(w) > 14)).cast("long")
-    return read(spark, sf_dir, "documents").where("text <> ''").select("doc_id", n.alias("n"))
+    return read(spark, sf_dir, "documents").select("doc_id", extract.glued_ratio("text", 9).alias("ratio"))
 
 
 @query("SELECT page_id, (page_id % 3) || '.' || (page_id % 20) || '.0' AS version FROM pages ORDER BY page_id % 3 DESC, page_id % 20 DESC, page_id LIMIT 5")
@@ -731,19 +830,26 @@ def latest_release(spark, sf_dir):
     return p.orderBy(dag.version_key("version").desc(), "page_id").limit(5)
 
 
-@query("SELECT page_id, 1 AS number, 'http://img/' || page_id AS target FROM pages")
+@query("""WITH i AS (SELECT page_id, unnest(range(4)) AS place, unnest(['a' || page_id % 7, 'b' || page_id % 3, 'a' || page_id % 5, 'b0']) AS target FROM pages)
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY min(place)) AS number, target FROM i GROUP BY page_id, target""")
 def figure_numbers(spark, sf_dir):
-    link = F.concat(F.lit("![x](http://img/"), F.col("page_id").cast("string"), F.lit(")"))
-    p = read(spark, sf_dir, "pages").select("page_id", F.concat_ws(" ", link, link).alias("text"))
-    return extract.figures(p, "page_id")
+    n = F.col("page_id")
+    image = lambda name, k: F.concat(F.lit(f"![x]({name}"), (n % k).cast("string"), F.lit(") and "))
+    p = read(spark, sf_dir, "pages").select("page_id", F.concat(image("a", 7), image("b", 3), image("a", 5), F.lit("![y](b0) [no](image)")).alias("text"))
+    return extract.figures(p, "page_id").select("page_id", F.col("number").cast("long").alias("number"), "target")
 
 
 # vectors
 
 
-@query("SELECT vec_id, round(sqrt(list_sum([x * x FOR x IN embedding::double[]])), 6) AS norm, true AS valid FROM embeddings")
+@query(
+    """WITH v AS (SELECT vec_id, CASE vec_id % 10 WHEN 0 THEN embedding[1:63] WHEN 1 THEN list_concat(embedding[1:63], ['nan'::float]) WHEN 2 THEN NULL ELSE embedding END AS e FROM embeddings)
+    SELECT vec_id, CASE WHEN vec_id % 10 > 2 THEN round(sqrt(list_sum([x * x FOR x IN e::double[]])), 6) END AS norm, coalesce(len(e) = 64 AND vec_id % 10 > 2, false) AS valid FROM v"""
+)
 def vector_norms(spark, sf_dir):
-    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.norm("embedding"), 6).alias("norm"), vectors.valid_vector("embedding", 64).alias("valid"))
+    k, e = F.col("vec_id") % 10, F.col("embedding")
+    v = F.when(k == 0, F.slice(e, 1, 63)).when(k == 1, F.concat(F.slice(e, 1, 63), F.array(F.lit("nan").cast("float")))).when(k == 2, F.lit(None)).otherwise(e)
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.when(k > 2, F.round(vectors.norm(v), 6)).alias("norm"), F.coalesce(vectors.valid_vector(v, 64), F.lit(False)).alias("valid"))
 
 
 # conversations
@@ -787,14 +893,14 @@ def first_use_numbers(spark, sf_dir):
 
 
 @query(
-    f"""WITH words AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array({fold_sql('text')}, '[^\\p{{L}}\\p{{N}}]+')) AS w FROM benchmark WHERE item_id < 5), n AS (SELECT item_id, count(*) AS n FROM words WHERE w <> '' GROUP BY 1),
+    f"""WITH words AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array({fold_sql('text')}, '[^\\p{{L}}\\p{{N}}]+')) AS w FROM benchmark WHERE item_id % 20 = 0), n AS (SELECT item_id, count(*) AS n FROM words WHERE w <> '' GROUP BY 1),
     mem AS (SELECT DISTINCT doc_id, (doc_id % 10) / 10.0::double AS imp, unnest(regexp_split_to_array({fold_sql('text')}, '[^\\p{{L}}\\p{{N}}]+')) AS w FROM documents),
     hits AS (SELECT item_id, doc_id, imp, count(*) AS h FROM words JOIN mem USING (w) WHERE w <> '' GROUP BY ALL)
     SELECT item_id AS query_id, doc_id AS memory_id, round(0.7 * h / n + 0.3 * imp, 9) AS score FROM hits JOIN n USING (item_id)
     QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY 0.7::double * h / n + 0.3::double * imp DESC, doc_id) <= 10"""
 )
 def memory_scores(spark, sf_dir):
-    q = read(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), "text")
+    q = read(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
     m = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("content"), ((F.col("doc_id") % 10) / 10).alias("importance"))
     return conversations.memory_scores(m, q).select("query_id", "memory_id", F.round("score", 9).alias("score"))
 
@@ -843,16 +949,37 @@ def parent_child_chunks(spark, sf_dir):
     return chunking.chunks(_markdown(spark, sf_dir)).drop("embedding_text")
 
 
-@query("SELECT doc_id AS document_id, 1::bigint AS n_headings FROM documents")
+@query("SELECT doc_id AS document_id, 2 + (doc_id % 3 <> 0)::int + (doc_id % 4)::bigint AS n_headings FROM documents")
 def document_outline(spark, sf_dir):
-    c = chunking.chunks(_markdown(spark, sf_dir)).where("hierarchy_level = 0").select("document_id", "chunk_index", F.element_at("heading_path", 1).alias("heading"))
+    """A title, sections of which one has its name twice, and some more of which each document has its own number."""
+    n = F.col("doc_id")
+    more = F.array_join(F.transform(F.sequence(F.lit(0), (n % 4).cast("int")), lambda i: F.when(i > 0, F.concat(F.lit("# More "), i.cast("string"), F.lit("\n\nbody\n\n"))).otherwise("")), "")
+    t = F.concat(F.lit("# First\n\nbody\n\n# Second\n\nbody\n\n# "), F.when(n % 3 == 0, "First").otherwise("Third"), F.lit("\n\nbody\n\n"), more)
+    d = read(spark, sf_dir, "documents").select(n.cast("string").alias("document_id"), t.alias("text"))
+    c = chunking.chunks(d).where("hierarchy_level = 0").select("document_id", "chunk_index", F.element_at("heading_path", 1).alias("heading"))
     return catalog.outline(c).groupBy(F.col("document_id").cast("long").alias("document_id")).agg(F.count("*").alias("n_headings"))
 
 
-@query("SELECT doc_id, min(length(text)) > 0 AS has_text, false AS corrupt FROM documents GROUP BY 1")
+@query("SELECT doc_id, generate_series AS page, (generate_series % 2 = 0)::int + 1 AS n FROM documents, generate_series(1, 3)")
+def chunk_pages(spark, sf_dir):
+    """Three pages, the second with two sections: the parents that are on each."""
+    t = F.concat(F.lit("# A\n\n"), F.substring("source", 1, 20), F.lit("\f# B\n\nx\n\n# C\n\ny\f# D\n\nz"))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), t.alias("text"))
+    c = chunking.chunks(d).where("hierarchy_level = 0 and page_start = page_end")
+    return c.groupBy(F.col("document_id").cast("long").alias("doc_id"), F.col("page_start").cast("long").alias("page")).agg(F.count("*").cast("int").alias("n"))
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, 20) || repeat('�', doc_id::int % 40) WHEN doc_id % 7 = 0 THEN '' ELSE coalesce(text, '') END AS t, doc_id % 5 <> 0 AND doc_id % 7 = 0 AS empty FROM documents),
+    b AS (SELECT *, length(regexp_replace(t, '[^\x00-\x1f\x7f-\x{9f}�]', '', 'g')) AS bad FROM t)
+    SELECT doc_id, CASE WHEN bad > 0.25 * length(t) THEN 'CORRUPT' WHEN empty OR (doc_id % 3 = 0 AND length(t) < 64) THEN CASE WHEN doc_id % 2 = 0 THEN 'NEEDS_OCR' ELSE 'CORRUPT' END ELSE 'PARSED' END AS status FROM b"""
+)
 def parse_quality(spark, sf_dir):
-    ratio = text.garbage_ratio("text")
-    return read(spark, sf_dir, "documents").select("doc_id", (F.length("text") > 0).alias("has_text"), (ratio > 0.25).alias("corrupt"))
+    n, none = F.col("doc_id"), F.array().cast("array<string>")
+    garbage = F.array(F.substring("text", 1, 20), F.repeat(F.lit("�"), (n % 40).cast("int")))
+    nodes = F.when(n % 5 == 0, garbage).when(n % 7 == 0, none).otherwise(F.array(F.coalesce("text", F.lit(""))))
+    verdict = text.parse_verdict(nodes, F.when(n % 3 == 0, 300_000).otherwise(1000), n % 2 == 0)
+    return read(spark, sf_dir, "documents").select("doc_id", verdict["status"].alias("status"))
 
 
 @query()
@@ -869,10 +996,14 @@ def document_kinds(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", files.document_kind(name, mime, content).alias("kind"))
 
 
-@query("SELECT l_orderkey AS document_id, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) < 4")
+@query(
+    """WITH l AS (SELECT l_orderkey AS d, l_linenumber AS p, l_returnflag || ' ' || l_linestatus AS m FROM lineitem), n AS (SELECT d, count(DISTINCT p) AS pages FROM l GROUP BY 1),
+    r AS (SELECT d, m, count(DISTINCT p) AS c FROM l GROUP BY ALL)
+    SELECT d AS document_id, count(*) AS n FROM l JOIN n USING (d) JOIN r USING (d, m) WHERE NOT (pages >= 4 AND c >= greatest(3, floor(0.3 * pages))) GROUP BY 1"""
+)
 def running_lines(spark, sf_dir):
-    line = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page"), F.lit(1).alias("line_no"), F.concat(F.lit("Page "), F.col("l_linenumber").cast("string")).alias("text"), F.lit(True).alias("margin"))
-    return files.without_running_lines(line).groupBy("document_id").agg(F.countDistinct("page").alias("n"))
+    line = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page"), F.lit(1).alias("line_no"), F.concat_ws(" ", "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("text"), F.lit(True).alias("margin"))
+    return files.without_running_lines(line).groupBy("document_id").agg(F.count("*").alias("n"))
 
 
 @query(
