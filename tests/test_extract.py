@@ -21,7 +21,7 @@ def test_numbers_and_citations(spark):
 
 
 def test_labels_relations_figures(spark):
-    text = "Họ tên: Nguyễn A\nKính gửi:\nÔng B\n\nCăn cứ Quyết định số 50/QĐ-TNVN; thay thế 7/NQ-HĐ.\n![a](x.png) ![b](y.png) ![c](x.png)"
+    text = "Họ tên: Nguyễn A\nKính gửi:\nÔng B\n\nCăn cứ Quyết định số 50/QĐ-TNVN;\nThay thế Nghị quyết 7/NQ-HĐ.\n![a](x.png) ![b](y.png) ![c](x.png)"
     df = spark.createDataFrame([("d", text)], "document_id string, text string")
     got = {r.field: r.value for r in extract.labelled_values(df, {"ho ten": "name", "kinh gui": "to"}).collect()}
     assert got == {"name": "Nguyễn A", "to": "Ông B"}
@@ -80,5 +80,30 @@ def test_sources_are_filled_up(spark):
 
 
 def test_uncited_data(spark):
-    answer = "# 2024 report\nRevenue was 1.200.000. It grew 5% [1]. Nothing here.\n- 2. On 5/3/2024 it closed"
-    assert one(spark, extract.uncited_data(F.lit(answer))) == ["Revenue was 1.200.000.", "On 5/3/2024 it closed"] or len(one(spark, extract.uncited_data(F.lit(answer)))) == 2
+    answer = "# 2024 report\nRevenue was 1.200.000. It grew 5% [1]. Nothing here.\n- On 5/3/2024 it closed; 7 left\n_(in 2023)\n⚠ 12 %"
+    assert one(spark, extract.uncited_data(F.lit(answer))) == ["Revenue was 1.200.000.", "- On 5/3/2024 it closed;"]
+    assert one(spark, extract.uncited_data(F.lit("of 2024 " + "x" * 300))) == ["of 2024 " + "x" * 152]
+
+
+def test_relations(spark):
+    text = """QUYẾT ĐỊNH
+- Căn cứ Luật Báo chí ngày 05/4/2016, Nghị định số 15/2020/NĐ-CP ngày 3 tháng 2 năm 2020; Quyết định số 50/QĐ-TNVN của Tổng giám đốc;
+Căn cứ Quy chế này và Thông tư 7/TT-BTC
+Xét đề nghị của Ban Tổ chức tại Tờ trình số 12/TTr-TC
+Điều 1. Quyết định này thay thế Quyết định số 9/QĐ-X. Phụ lục kèm theo
+Sửa đổi, bổ sung một số điều của Quy định 3/QĐ-Y; thay thế văn bản cũ
+Kinh phí theo Quyết định số 44/QĐ-Z ngày 01/02/2023
+Nơi nhận: Căn cứ Luật 1/QH
+"""
+    df = spark.createDataFrame([("d", text), ("e", None), ("f", "")], "document_id string, text string")
+    got = {(r.relation_type, r.target_number_norm, str(r.target_date) if r.target_date else None) for r in extract.relations(df).collect()}
+    assert got == {
+        ("BASED_ON", None, "2016-04-05"),
+        ("BASED_ON", "152020NDCP", "2020-02-03"),
+        ("BASED_ON", "50QDTNVN", None),
+        ("BASED_ON", "7TTBTC", None),
+        ("PROPOSED_BY", "12TTRTC", None),
+        ("REPLACES", "9QDX", None),
+        ("AMENDS", "3QDY", None),
+        ("FUNDED_BY", "44QDZ", "2023-02-01"),
+    }

@@ -1,4 +1,5 @@
-from datetime import date
+from datetime import UTC, date, datetime, timedelta
+from zoneinfo import ZoneInfo
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,8 +61,11 @@ def test_html_and_cells(spark):
 
 
 def test_triggers(spark):
-    assert one(spark, text.trigger_matches(F.lit("please SEND the mail"), "mail send"))
-    assert not one(spark, text.trigger_matches(F.lit("please sending mail"), "send"))
+    asked = F.lit("Làm ơn GỬI thư, nhanh")
+    assert one(spark, text.trigger_matches(asked, "gui thu")) and one(spark, text.trigger_matches(asked, "ơn gửi"))
+    assert not one(spark, text.trigger_matches(asked, "thu gui")) and one(spark, text.trigger_matches(asked, "thu gui", token_subset=True))
+    assert not one(spark, text.trigger_matches(asked, "gu")) and not one(spark, text.trigger_matches(asked, " "))
+    assert not one(spark, text.trigger_matches(F.lit("(send) it"), "send")) and one(spark, text.trigger_matches(F.lit("send; it"), "send"))
     assert one(spark, text.trigger_matches(F.lit("abc 123"), r"/\d+/"))
     assert one(spark, text.glob(F.lit("mail.read"), "mail.*")) and not one(spark, text.glob(F.lit("email.read"), "mail.*"))
 
@@ -85,6 +89,11 @@ def test_dates(spark, raw, want):
         ("năm ngoái", (date(2025, 1, 1), date(2025, 12, 31))),
         ("trước 05/06/2020", (None, date(2020, 6, 5))),
         ("năm 2022", (date(2022, 1, 1), date(2022, 12, 31))),
+        ("tháng 2", (None, None)),
+        ("q1 plan", (None, None)),
+        ("quý 5 năm 2021", (date(2021, 1, 1), date(2021, 12, 31))),
+        ("năm ngoái, sau 01/02/2024", (date(2025, 1, 1), date(2025, 12, 31))),
+        ("kể từ ngày 01/02/2024", (date(2024, 2, 1), None)),
         ("hello", (None, None)),
     ],
 )
@@ -129,3 +138,88 @@ def test_vectors(spark):
     assert df.select(vectors.unit("a"), vectors.unit("z")).first()[1] is None
     bad = spark.createDataFrame([([1.0, float("nan")],), ([1.0],), (None,), ([1.0, 2.0],)], "v array<double>")
     assert [r[0] for r in bad.select(vectors.valid_vector("v", 2)).collect()] == [False, False, False, True]
+
+
+NOW = datetime(2026, 5, 14, 3, 30, tzinfo=UTC)  # a Thursday, 10:30 in Hanoi
+HANOI = "Asia/Ho_Chi_Minh"
+
+
+@pytest.mark.parametrize(
+    "question,begin,hours",
+    [("lịch ngày mai", (15, 0, 0), 24), ("sáng mai", (15, 0, 0), 24), ("hôm nay có gì", (14, 0, 0), 24), ("tuần này", (11, 0, 0), 168), ("lịch họp", (14, 10, 30), 168), ("tối nay gặp Mai", (14, 0, 0), 24)],
+)
+def test_calendar_windows(question, begin, hours):
+    start, end = dates.calendar_window(question, NOW, HANOI)
+    assert (start.day, start.hour, start.minute) == begin and end - start == timedelta(hours=hours)
+
+
+def test_past_windows():
+    day = datetime(2026, 5, 14, tzinfo=ZoneInfo(HANOI))
+    assert dates.past_window("hôm qua", NOW, HANOI) == (day - timedelta(days=1), day)
+    assert dates.past_window("hôm nay", NOW, HANOI) == (day, NOW)
+    assert dates.past_window("gần đây", NOW.replace(tzinfo=None), HANOI) == (NOW - timedelta(days=14), NOW)
+
+
+@pytest.mark.parametrize(
+    "phrase,want",
+    [
+        ("họp 10h sáng mai", (15, 10, 0)),
+        ("14:30 họp", (14, 14, 30)),
+        ("họp lúc 9h", (15, 9, 0)),
+        ("chiều nay 3 giờ", (14, 15, 0)),
+        ("tối mai lúc 8h15", (15, 20, 15)),
+        ("thứ năm 9h", (21, 9, 0)),
+        ("thứ năm 11h", (14, 11, 0)),
+        ("cn 7h", (17, 7, 0)),
+        ("tôi họp 8h mai", (15, 8, 0)),
+        ("12h trưa thứ 2", (18, 12, 0)),
+        ("họp mai", None),
+        ("25h mai", None),
+    ],
+)
+def test_event_times(phrase, want):
+    got = dates.event_times(phrase, NOW, HANOI)
+    assert (got and (got[0].day, got[0].hour, got[0].minute)) == want
+    assert got is None or got[1] - got[0] == timedelta(hours=1)
+
+
+@pytest.mark.parametrize(
+    "task,want",
+    [
+        ("nộp báo cáo hạn thứ 6", date(2026, 5, 15)),
+        ("gọi lại thứ năm", date(2026, 5, 21)),
+        ("họp với mai", None),
+        ("họp với Mai ngày mai", date(2026, 5, 15)),
+        ("xong trước 20/5", date(2026, 5, 20)),
+        ("xong trước 1/2", date(2027, 2, 1)),
+        ("xong trước 1/2/2026", date(2026, 2, 1)),
+        ("ngày 31/2", None),
+        ("hôm nay hoặc ngày kia", date(2026, 5, 16)),
+        ("việc gì đó", None),
+    ],
+)
+def test_due_dates(task, want):
+    assert dates.due_date(task, date(2026, 5, 14)) == want
+
+
+def test_times_of_zones_and_briefings(spark):
+    at = F.lit("2026-05-14 03:30:00").cast("timestamp_ntz")
+    assert str(one(spark, dates.in_zone(at.cast("timestamp"), HANOI).cast("string"))) == "2026-05-14 10:30:00"
+    due = lambda start, last: one(spark, dates.briefing_due(F.lit(start), F.lit(last).cast("timestamp_ntz"), at, 2))
+    assert due(180, None) and due(100, "2026-05-13") and not due(180, "2026-05-14") and not due(60, None) and not due(240, None)
+
+
+@pytest.mark.parametrize("raw", ["Ｆｕｌｌ ＷＩＤＴＨ", "ﬁn ﬂoor", "Straße ẞ", "Đường é", "Ĳssel", "ά Й 5²", "한글 e\u0301"])
+def test_a_literal_folds_as_a_column(spark, raw):
+    assert one(spark, text.fold(F.lit(raw))) == text.fold_value(raw)
+
+
+def test_folded_values():
+    assert [text.fold_value(t) for t in ("Ｆｕｌｌ", "ﬁn", "Straße", "ĐƯỜNG")] == ["full", "fin", "strasse", "duong"]
+
+
+def test_head_and_tail_are_bytes(spark):
+    assert one(spark, text.head_tail(F.lit("short"), 5, 5)) == "short"
+    assert one(spark, text.head_tail(F.lit("aéééééééz"), 4, 2)) == "aé\n... [10 bytes omitted] ...\nz"
+    assert one(spark, text.head_tail(F.lit("🙂" * 9), 6, 9)) == "🙂\n... [21 bytes omitted] ...\n🙂🙂"
+    assert one(spark, text.sliced(F.lit("abcdef"), 2, 3)) == "cde"

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemill import catalog_queries
+from tidemill.functions import text
 from tidemill.operators import catalog, chunking, conversations, retrieval, telemetry
 from tidemill.sources import files
 from tidemill.streaming import jobs
@@ -142,8 +145,8 @@ def test_corpus_and_export(spark, tmp_path):
     assert [(r.kind, bytes(r.content)) for r in corpus.collect()] == [("MARKDOWN", b"# hi")]
     assert files.changed_files(corpus, corpus).count() == 0
     files.export_markdown(spark.createDataFrame([("d1", "T", "body")], "document_id string, title string, text string"), str(tmp_path / "out"), ["title"])
-    [part] = (tmp_path / "out/document=d1").glob("part-*")
-    assert part.read_text() == '---\ntitle: ["T"]\n---\n\nbody\n'
+    [part] = (tmp_path / "out").glob("*.md")
+    assert part.read_text() == '---\ntitle: ["T"]\n---\n\nbody'
 
 
 EVENTS = "user string, ts timestamp, text string"
@@ -199,8 +202,7 @@ def test_queries_grow_with_the_table(spark, tmp_path):
     assert {q: sorted(x) for q, x in got.items()} == want
 
     def cover(q, c):
-        at = [i for i, w in enumerate(text[c].split()) if w in text[q].split()]
-        return len(at) / (at[-1] - at[0] + 1) if at else 0
+        return round(0.1 * sum(w in text[q].split() for w in text[c].split()), 12)
 
     ranked = {q: sorted((c for c in vectors if cover(q, c)), key=lambda c: (-cover(q, c), c))[:10] for q in want}
     fused = [r for r in catalog_queries.hybrid_fusion_all(spark, str(tmp_path)).collect() if r.sparse_rank]
@@ -226,3 +228,229 @@ def test_names_in_every_language(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = catalog_queries.dictionary_matches_all(spark, str(tmp_path))
     assert rows(got, "text_id", "name") == [(1, "of the", 1), (2, "of the", 1), (2, "the", 2), (3, "the", 1)]
+
+
+def covers_by_hand(words, must, any_of):
+    """Each run of positions that has all, and of which no shorter part does, by trying them all."""
+    def holds(run):
+        return must <= set(run) and (not any_of or bool(any_of & set(run)))
+
+    runs = [(i, j) for i in range(len(words)) for j in range(i, len(words)) if holds(words[i : j + 1])]
+    least = [(i, j) for i, j in runs if not any((a, b) != (i, j) and i <= a and b <= j for a, b in runs)]
+    asked = must | any_of
+    return sum(0.1 / (1 + sum(w not in asked for w in words[i : j + 1])) for i, j in least)
+
+
+def test_cover_density(spark):
+    rng = random.Random(3)
+    texts = {i: [rng.choice("abcdefg") for _ in range(rng.randrange(1, 25))] for i in range(60)}
+    chunks = spark.createDataFrame([(i, i, " ".join(w)) for i, w in texts.items()], "chunk_id long, document_id long, content_raw string")
+    asked = [(1, ["a", "b"], [], [], []), (2, ["a"], [["c", "d"]], [], ["g"]), (3, [], [], ["a", "e"], []), (4, ["b"], [], ["c", "d"], [])]
+    queries = spark.createDataFrame(asked, "query_id long, terms array<string>, phrases array<array<string>>, any_of array<string>, none_of array<string>")
+    index = retrieval.postings(chunks)
+    full = rows(index.select("term", "chunk_id", "positions"), "term", "chunk_id")
+    assert full == sorted((t, i, [k for k, w in enumerate(ws) if w == t]) for i, ws in texts.items() for t in set(ws))
+    got = {(r.query_id, r.chunk_id): r.score for r in retrieval.sparse(queries, index, 1000).collect()}
+    want = {}
+    for q, terms, phrases, any_of, none in asked:
+        must = {*terms, *(w for p in phrases for w in p)}
+        for i, ws in texts.items():
+            in_row = all(any(ws[k : k + len(p)] == p for k in range(len(ws))) for p in phrases)
+            if must <= set(ws) and in_row and not set(none) & set(ws) and (not any_of or set(any_of) & set(ws)):
+                want[q, i] = covers_by_hand(ws, must, set(any_of))
+    assert got == pytest.approx(want) and len(want) > 40
+    few = retrieval.postings(chunks, wanted=retrieval.asked_terms(queries.where("query_id = 3")).select("term"))
+    assert {r[0] for r in few.select("term").distinct().collect()} == {"a", "e"}
+
+
+def test_stored_index(spark, tmp_path):
+    chunks = spark.createDataFrame([(i, i, f"w{i % 5} v{i}") for i in range(40)], "chunk_id long, document_id long, content_raw string")
+    retrieval.write_index(retrieval.postings(chunks), f"{tmp_path}/index", 8)
+    own = retrieval.read_index(spark, f"{tmp_path}/index", ["w1", "v3"], 8)
+    assert rows(own.select("term", "chunk_id"), "term", "chunk_id") == [("v3", 3), *(("w1", i) for i in range(1, 40, 5))]
+    assert "PartitionFilters: [bucket" in own._jdf.queryExecution().toString().replace("isnotnull(bucket#", "[bucket") or "bucket" in own._jdf.queryExecution().toString()
+
+
+def test_indexed_percentiles(spark):
+    rng = random.Random(4)
+    data = {"a": [round(rng.expovariate(1), 3) for _ in range(900)], "b": [1.0] * 40, "c": [5.0], "d": [float(x) for x in rng.sample(range(10_000), 300)]}
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs] + [("a", None), ("e", None)], "k string, v double")
+    want = sorted((k, sorted(v)[len(v) // 2], sorted(v)[int(0.95 * len(v))], min(v), max(v)) for k, v in data.items())
+    assert rows(telemetry.indexed_percentiles(df, ["k"], "v").select("k", "p50", "p95", "least", "most"), "k") == want
+
+
+def test_rate_windows_by_hand(spark):
+    rng = random.Random(5)
+    at = datetime.datetime(2024, 1, 1)
+    data = sorted({(f"u{rng.randrange(3)}", at + datetime.timedelta(seconds=rng.randrange(20_000))) for _ in range(400)})
+    want, open_ = [], {}
+    for user, ts in data:
+        start, n = open_.get(user, (None, 0))
+        if start is None or (ts - start).total_seconds() >= 900:
+            start, n = ts, 0
+        open_[user] = (start, n + 1)
+        want.append((user, ts, n + 1, n < 5))
+    got = jobs.anchored_limit_batch(spark.createDataFrame(data, "user string, ts timestamp"), "user", "ts")
+    assert rows(got, "user", "ts") == want
+
+
+def test_matches_of_many_lengths(spark):
+    """The longest first, then the first: by trying all, on texts of few words."""
+    rng = random.Random(6)
+    names = ["a", "a b", "b c a", "c c", "a a a", "b b c c"]
+    texts = {i: [rng.choice("abc") for _ in range(rng.randrange(0, 30))] for i in range(40)}
+    want = []
+    for i, w in texts.items():
+        found = sorted((-len(n.split()), k, n) for n in names for k in range(len(w)) if w[k : k + len(n.split())] == n.split())
+        taken = set()
+        for n, k, name in found:
+            if not taken & set(range(k, k - n)):
+                taken |= set(range(k, k - n))
+                want.append((i, k, k - n, name))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "text_id int, text string")
+    assert rows(conversations.dictionary_matches(df, spark.createDataFrame([(n,) for n in names], "name string")), "text_id", "start") == sorted(want)
+
+
+def test_sheets_become_nodes(spark, tmp_path):
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+
+    def sheet(rows_):
+        cells = "".join(f'<row r="{r}">' + "".join(f'<c r="{c}{r}" t="inlineStr"><is><t>{v}</t></is></c>' for c, v in row.items()) + "</row>" for r, row in rows_.items())
+        return f"<worksheet {ns}><sheetData>{cells}</sheetData></worksheet>"
+
+    with zipfile.ZipFile(tmp_path / "t.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} {rel}><sheets><sheet name="Second" r:id="r2"/><sheet name="First" r:id="r1"/><sheet name="Empty" r:id="r3"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/><Relationship Id="r3" Target="worksheets/sheet3.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet({1: {"A": "alone"}}))
+        z.writestr("xl/worksheets/sheet2.xml", sheet({1: {"A": "Report"}, 2: {"A": "k", "C": "v"}, 3: {"A": "x", "C": "1"}, 4: {"A": "y"}, 7: {"B": "note"}, 8: {"B": "more"}}))
+        z.writestr("xl/worksheets/sheet3.xml", sheet({1: {"A": "  "}}))
+    got = files.xlsx_nodes(spark, str(tmp_path / "t.xlsx")).orderBy("sheet_index", "block", "part").select("sheet", "kind", "text").collect()
+    assert [tuple(r) for r in got] == [
+        ("Second", "HEADING", "Second"),
+        ("Second", "PARAGRAPH", "Report"),
+        ("Second", "TABLE", "| k | v |\n|---|---|\n| x | 1 |\n| y |  |"),
+        ("Second", "PARAGRAPH", "note\nmore"),
+        ("First", "HEADING", "First"),
+        ("First", "PARAGRAPH", "alone"),
+    ]
+    assert files.read_xlsx_table(spark, str(tmp_path / "t.xlsx")).columns[1] == "Report"
+
+
+def test_tables_are_split_at_headings_and_totals(spark):
+    cells = [["n", "v"], ["Part one", ""], ["a", "1"], ["Tổng cộng", "1"], ["b", "2"], ["", "Part two"], ["c", "3"], ["last", ""]]
+    df = spark.createDataFrame([("t", i, c) for i, c in enumerate(cells)] + [("s", i, c) for i, c in enumerate(cells[:3])], "table_id string, row_no int, cells array<string>")
+    out = files.split_tables(df)
+    assert [(r.heading, r.piece) for r in out.where("table_id = 't'").orderBy("row_no").collect()] == [(False, 0), (True, 1), (False, 1), (False, 1), (False, 2), (True, 3), (False, 3), (False, 3)]
+    assert {r.piece for r in out.where("table_id = 's'").collect()} == {0}
+
+
+def test_scope_level_and_policies(spark):
+    docs = spark.createDataFrame([("d1", None, True), ("d2", "me", True), ("d3", "you", True), ("d4", None, False)], "document_id string, user_id string, is_active boolean")
+    chunks = spark.createDataFrame([(f"{d}-{lv}", d, lv) for d in ("d1", "d2", "d3", "d4") for lv in (0, 1)], "chunk_id string, document_id string, hierarchy_level int")
+    ask = lambda *a, **k: [r.chunk_id for r in retrieval.candidates(chunks, docs, *a, **k).orderBy("chunk_id").collect()]
+    assert ask("me") == ["d1-1", "d2-1"] and ask(None, level=0) == ["d1-0"]
+    assert ask("me", ["d2", "d3"]) == ["d1-1", "d2-1"] and ask("me", ["d2", "d3"], mode="DOCUMENT_SEARCH") == ["d2-1"]
+    assert ask("me", docs.where("document_id = 'd1'"), mode="COMPARE_DOCUMENTS") == ["d1-1"] and ask("me", [], mode="DOCUMENT_SEARCH") == []
+    hits = spark.createDataFrame([(1, "c1", "d1", 0.2, 2, 0.01), (1, "c2", "d2", 0.9, 1, 0.02)], "query_id int, chunk_id string, document_id string, score double, rank int, fusion_score double")
+    assert [(r.unit_id, r.unit_rank) for r in retrieval.unexpanded(hits).orderBy("unit_rank").collect()] == [("c2", 1), ("c1", 2)]
+    assert retrieval.documents_used(hits).first().documents == ["d1", "d2"]
+    ranked = retrieval.rule_rerank(hits, F.when(F.col("chunk_id") == "c1", 2).otherwise(0), F.lit(False), F.lit(0.1)).orderBy("rule_rank").collect()
+    assert [(r.chunk_id, round(r.rule_score, 2)) for r in ranked] == [("c1", 1.04), ("c2", 0.05)]
+    cited = spark.createDataFrame([(1, "E1", 1)], "query_id int, label string, number int")
+    kept = retrieval.evidence_snapshot(retrieval.unexpanded(hits).withColumn("text", F.col("unit_id")), cited).orderBy("rank").collect()
+    assert [(r.label, r.cited, r.citation_number) for r in kept] == [("E1", True, 1), ("E2", False, None)]
+
+
+def test_rows_of_catalogs(spark):
+    t = spark.createDataFrame([("1", "c", "x"), ("2", "n", "y 5"), ("2", "n", "7"), ("1", "other", "z"), ("2", "c", " ")], "document_id string, column string, value string")
+    d = spark.createDataFrame([("1", "A"), ("2", "B"), ("3", "C")], "document_id string, title string")
+    assert rows(catalog.filled_table(d, t, {"c": "text", "n": "number"}), "document_id") == [("1", "A", "x", None), ("2", "B", None, "7"), ("3", "C", None, None)]
+    rules = spark.createDataFrame([(1, "u", "mail", "Hợp đồng", True), (2, "u", "mail", "Cũ", False)], "rule_id int, user_id string, kind string, target string, active boolean")
+    wanted = spark.createDataFrame([("u", "mail", "HOP DONG", True), ("u", "mail", "cũ", True), ("u", "mail", "cu", True), ("v", "mail", "hợp đồng", True)], "user_id string, kind string, target string, active boolean")
+    assert catalog.add_watch_rules(rules, wanted).count() == 4
+    assert rows(catalog.stop_watch_rules(rules, "u", "dong").select("rule_id", "active"), "rule_id") == [(1, False), (2, False)]
+    p = spark.createDataFrame([([("A", "party"), ("B", "signer"), ("C", "signer")],), ([],)], "entities array<struct<name:string,kind:string>>")
+    assert [r.signer for r in catalog.first_signer(p).collect()] == ["B", None]
+    o = spark.createDataFrame([(None, "1"), (2, None), (2, "0"), (1, "9")], "doc_date int, doc_number string")
+    assert [tuple(r) for r in catalog.table_order(o).collect()] == [(1, "9"), (2, "0"), (2, None), (None, "1")]
+
+
+def test_tasks_events_and_tools(spark):
+    m = spark.createDataFrame([("c", i, "tool" if i % 2 else "user", "x" * (3000 if i != 5 else 10)) for i in range(12)], "conversation_id string, turn int, role string, content string")
+    out = {r.turn: (r.pruned, r.content) for r in conversations.pruned_tool_results(m).collect()}
+    assert [t for t, (p, _) in sorted(out.items()) if p] == [1, 3] and out[1][1] == "[tool result pruned: 3000 characters]"
+    tasks = spark.createDataFrame([("Gửi báo cáo", False, 3), ("Báo cáo tuần", True, 1), ("Khác", False, 9)], "title string, done boolean, due int")
+    assert [r.title for r in conversations.matching_tasks(tasks, "bao cao a").collect()] == ["Gửi báo cáo"]
+    assert [r.title for r in conversations.due_tasks(tasks, F.lit(5)).collect()] == ["Gửi báo cáo"]
+    day = datetime.datetime(2024, 5, 1)
+    events = spark.createDataFrame([("a", day, None), ("b", day + datetime.timedelta(hours=25), None), ("c", day + datetime.timedelta(hours=9), "cancelled"), ("d", day + datetime.timedelta(hours=23), "ok")], "id string, start timestamp, status string")
+    assert [r.id for r in conversations.day_events(events, F.lit(day.date())).collect()] == ["a", "d"]
+    own = conversations.owned(m, spark.createDataFrame([("c", "u"), ("x", "v")], "conversation_id string, user_id string"), "conversation_id", "v")
+    assert own.count() == 0
+
+
+def test_reports(spark):
+    items = spark.createDataFrame([("x", {"r": 1.0}), ("x", {"r": 0.5, "m": None}), ("y", {"r": 0.0})], "config string, metrics map<string,double>")
+    assert rows(telemetry.config_report(items), "config", "metric") == [("x", "m", None, 0), ("x", "r", 0.75, 2), ("y", "r", 0.0, 1)]
+    c = spark.createDataFrame([(["a", "b"], "has B only")], "keywords array<string>, content_raw string")
+    assert telemetry.simulated_scores(c, F.array(F.lit("a"), F.lit("b"))).select("dense_score", "sparse_score", "hybrid_score").first()[:] == (1.0, 1.0, 1.0)
+    gold = spark.createDataFrame([("dev", ["q1", "q2"], ["has q1"], ["Yes"], "well, yes", False, False), ("test", [], [], [], "", True, False)], "split string, gold_quotes array<string>, retrieved array<string>, must_include array<string>, answer string, should_abstain boolean, abstained boolean")
+    r = telemetry.gold_scores(gold, "dev").collect()
+    assert [(x.quote_hit, x.included, x.abstains) for x in r] == [(0.5, True, True)]
+
+
+def test_nodes_and_chunks_by_hand(spark):
+    """Every word of a text is in one parent and in its children, in order; sizes and pages hold."""
+    rng = random.Random(7)
+    parts = []
+    for i in range(40):
+        kind = rng.choice("hpplt\f")
+        words = " ".join(f"w{i}x{k}" + rng.choice(["", ".", "!"]) for k in range(rng.randrange(1, 900 if kind == "p" else 30)))
+        parts.append({"h": f"# H{i}", "p": words, "l": f"- {words}", "t": "| a | b |\n|---|---|\n" + "\n".join(f"| {w} | 1 |" for w in words.split()), "\f": "\f"}[kind])
+    whole = "\n\n".join(parts)
+    assert whole.count("\f") > 2
+    out = chunking.chunks(spark.createDataFrame([("d", whole)], "document_id string, text string")).collect()
+    wanted = [w for p in parts if not p.startswith("#") for w in re.findall(r"w\d+x\d+", p)]
+    for level in (0, 1):
+        assert [w for r in out if r.hierarchy_level == level for w in re.findall(r"w\d+x\d+", r.content_raw)] == wanted
+    page = {w: k for k, p in enumerate(whole.split("\f"), 1) for w in re.findall(r"w\d+x\d+", p)}
+    for r in out:
+        own = [page[w] for w in re.findall(r"w\d+x\d+", r.content_raw)] or [r.page_start]
+        assert r.page_start <= min(own) and max(own) <= r.page_end and (r.hierarchy_level == 1 or (r.page_start, r.page_end) == (min(own), max(own)))
+        assert r.token_count <= (chunking.PARENT_MOST + 10 if r.hierarchy_level == 0 else chunking.CHILD_MOST)
+    nodes = chunking.nodes(spark.createDataFrame([("d", whole)], "document_id string, text string")).orderBy("node_index").collect()
+    assert [r.text for r in nodes if r.kind == "HEADING"] == [p[2:] for p in parts if p.startswith("#")]
+    assert [w for r in nodes if r.kind != "HEADING" for w in re.findall(r"w\d+x\d+", r.text)] == wanted
+
+
+def test_html_against_a_parser(spark):
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.skip = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style", "head")
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style", "head")
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.out.append(data)
+
+    rng = random.Random(8)
+    pages = []
+    for i in range(30):
+        body = "".join(rng.choice([f"<p>w{i} a&amp;b</p>", f"<div class='x'>v{k} &lt;ok&gt;</div>", "<br>", "<script>var x = 1 < 2;</script>", "<style>p {}</style>", f"<ul><li>i{k}</li><li><b>j</b>k</li></ul>", "<!-- no -->"]) for k in range(12))
+        pages.append(f"<html><head><title>t</title></head><body>{body}</body></html>")
+    got = spark.createDataFrame(list(enumerate(pages)), "i int, h string").select("i", text.html_to_text("h").alias("t")).orderBy("i").collect()
+    for (_, t), page in zip(got, pages, strict=True):
+        plain = Plain()
+        plain.feed(page)
+        assert "".join(t.split()) == "".join("".join(plain.out).split())
