@@ -214,7 +214,8 @@ def test_urls_of_any_length(spark):
     assert [r.verdict for r in urlfilter.judge_urls(asked, terms=terms).collect()] == ["block", "allow", "allow"]
 
 
-def test_awkward_input_of_the_learned_operators(spark):
+def test_awkward_input_of_the_learned_operators(spark, monkeypatch):
+    monkeypatch.setattr(neurallm, "STEPS", 100)
     rng = random.Random(25)
     texts = [sentence(rng, 30) for _ in range(60)] + [None, "", "word " * 60_000]
     docs = frame(spark, texts, lang={i: "ab"[i % 2] for i in range(60)}).withColumns({"quality_score": F.lit("q"), "lang_pred": F.lit("p"), "lang_score": F.lit("s")})

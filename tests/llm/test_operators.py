@@ -390,7 +390,12 @@ def test_quality(spark):
     assert np.allclose(model.predict(x), [r.quality_score for r in rows])
 
 
-def test_language_model(spark):
+@pytest.fixture
+def few_steps(monkeypatch):
+    monkeypatch.setattr(neurallm, "STEPS", 200)
+
+
+def test_language_model(spark, few_steps):
     rng = random.Random(13)
     texts = [" ".join(rng.choice(["the cat", "a dog", "der hund", "die katze"]) for _ in range(20)) for _ in range(200)] + [None, "", "  ", "Unseen words HERE", "x" * 2000]
     docs = frame(spark, texts)
@@ -409,47 +414,72 @@ def test_language_model(spark):
         assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (n + len(counts) + 1)) for w in own), rel_tol=1e-9)
     better = [i for i in range(200) if i % 7 == 2]
     assert sum(rows[i].score for i in better) > 0.8 * sum(rows[i].base_score for i in better)
-    # normalised: shortlist outputs, and the rest shared out by counts
-    for c in (0, 1, model.contexts - 1):
-        p = 10 ** model.log10(np.full(model.size + 1, c), np.arange(model.size + 1))
-        assert math.isclose(p.sum(), 1, rel_tol=1e-4)
     assert neurallm.score_texts(docs.limit(0), model, table).count() == 0
+    # the same model for any partitioning
+    again, _ = neurallm.train(docs.where(~held).repartition(5))
+    assert np.allclose(model.r, again.r, atol=1e-4) and all(np.allclose(x[0], y[0], atol=1e-2) for x, y in zip(model.words, again.words, strict=True))
     empty_model, empty_table = neurallm.train(docs.limit(0))
-    assert {(r.n_known, r.base_score) for r in neurallm.score_texts(docs.limit(3), empty_model, empty_table).collect()} == {(0, 0.0)}
+    assert {(r.n_known, r.base_score, r.score) for r in neurallm.score_texts(docs.limit(3), empty_model, empty_table).collect()} == {(0, 0.0, 0.0)}
 
 
-def test_rare_words_are_joined(spark):
-    """With a head of few words most counts come by the join; the result is the same."""
-    rng = random.Random(14)
-    docs = frame(spark, [sentence(rng, 50, 300) for _ in range(40)])
-    out = []
-    for head in (5, 65_536):
-        model, table = neurallm.train(docs, shortlist=4, head=head)
-        out.append(sorted((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 2)) for r in neurallm.score_texts(docs, model, table).collect()))
-    assert [r[:3] for r in out[0]] == [r[:3] for r in out[1]]
+def log_softmax(s):
+    return s - s.max() - math.log(np.exp(s - s.max()).sum())
 
 
-def test_tail_words_have_their_own_vectors(spark):
-    """Words outside the shortlist are scored by their context, and all words of a context sum to 1."""
+@pytest.mark.parametrize("head", [12, 65_536])
+def test_scores_token_by_token(spark, few_steps, head):
+    """Every factor of every token by plain sums; all words of a place and the unseen one sum to 1."""
+    rng = random.Random(14)
+    texts = [sentence(rng, 30, 60) for _ in range(60)] + ["w1 nothing w2", None, "w3"]
+    docs = frame(spark, texts)
+    model, table = neurallm.train(docs.where("doc_id < 60"), head=head, frequent=5)
+    counts = {r.word: r.n for r in table.collect()}
+    (_, found), *_ = textkit.batches(pa.array(texts), textkit.WORDS_SPACE)
+    hashes, suffix, bounds = neurallm.tokens(found)
+    _, rank = model.look_up(hashes)
+    want, checked = [], 0
+    for d in range(len(texts)):
+        total = 0.0
+        for t in range(bounds[d], bounds[d + 1]):
+            q = np.zeros(neurallm.WIDTH)
+            for back, vectors in model.tables:
+                p = t - back
+                context = model.contexts - 1 if p < bounds[d] else rank[p] if rank[p] < model.frequent else model.frequent + suffix[p]
+                q += vectors[context]
+            classes = log_softmax(model.r.astype(float) @ q + model.b)
+            seen = math.log(1 - 1 / (model.total + model.types + 1))
+            if rank[t] < model.head:
+                k = int(model.class_of[rank[t]])
+                within = log_softmax(model.words[k][0].astype(float) @ q + model.words[k][1])
+                total += (classes[k] + within[model.members[k].tolist().index(rank[t])] + seen) / math.log(10)
+            elif (n := counts.get(int(hashes[t].view(np.int64)))) is not None:
+                k = suffix[t] % neurallm.TAILS
+                total += (classes[model.classes + k] + seen) / math.log(10) + math.log10(n / model.tails[k])
+            else:
+                total -= math.log10(model.total + model.types + 1)
+            checked += 1
+            assert math.isclose(np.exp(classes).sum(), 1, rel_tol=1e-6)
+        want.append(total)
+    got = [r.score for r in neurallm.score_texts(docs, model, table).orderBy("doc_id").collect()]
+    assert checked > 1500 and got == pytest.approx(want, rel=1e-3)
+    # other words' shares of their classes
+    own = Counter()
+    for word, n in counts.items():
+        if word not in set(model.hashes.view(np.int64).tolist()):
+            own["n"] += n
+    assert own["n"] == model.tails.sum() and model.sizes.sum() == model.total
+
+
+def test_words_are_scored_by_what_stands_before(spark, few_steps):
+    """Also rare words, and also where it stands two places before."""
     rng = random.Random(16)
     rare = {"a": [f"r{i}x" for i in range(60)], "b": [f"s{i}x" for i in range(60)]}
-    docs = frame(spark, [" ".join(f"{c} {rng.choice(rare[c])}" for c in rng.choices("ab", k=20)) for _ in range(200)])
-    asked = frame(spark, [f"{c} {w}" for c in "ab" for k in "ab" for w in rare[k][:20]])
-    model, table = neurallm.train(docs, shortlist=4, head=10)
+    docs = frame(spark, [" ".join(f"{c} of {rng.choice(rare[c])}" for c in rng.choices("ab", k=20)) for _ in range(200)])
+    asked = frame(spark, [f"{c} of {w}" for c in "ab" for k in "ab" for w in rare[k][:20]])
+    model, table = neurallm.train(docs)
     scores = {r.doc_id: r.score for r in neurallm.score_texts(asked, model, table).collect()}
     right, wrong = sum(scores[i] for i in [*range(20), *range(60, 80)]), sum(scores[i] for i in range(20, 60))
     assert right > wrong + 40 * 0.2
-    tail = table.collect()
-    assert len(tail) == model.types - model.size
-    vectors, n = np.array([r.vector for r in tail], np.float32), np.array([r.n for r in tail])
-    for c in (0, 1, model.contexts - 1):
-        at = np.full(len(tail), c)
-        p = 10 ** model.tail_log10(at, vectors) * (n + 1) / model.rest
-        assert math.isclose((p.sum() + 1 / model.rest) / math.exp(model.log_t[c]), 1, rel_tol=1e-4)
-
-
-def test_shortlist_grows(spark):
-    assert neurallm.Model(np.arange(9000, dtype=np.uint64), np.arange(9000, 0, -1), 10**8, 10**7, 6324).contexts == 6324 + 790 + 1
 
 
 def test_vectors(spark):
