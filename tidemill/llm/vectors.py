@@ -42,7 +42,7 @@ from .storage import staged
 
 COSINE = 0.95
 TREES = 5
-LEAF_ROWS = 512
+LEAF_ROWS = 256
 CELL_ROWS = 8192
 SAMPLE = 20_000
 SAMPLE_BYTES = 64 << 20
@@ -85,7 +85,7 @@ def _matrix(raw, kind: str) -> np.ndarray:
 
 
 def margin_of(cosine: float, dimensions: int) -> float:
-    return 0.76 * np.sqrt(max(0.0, 2 - 2 * cosine) / dimensions)
+    return 0.5 * np.sqrt(max(0.0, 2 - 2 * cosine) / dimensions)
 
 
 def split(x: np.ndarray, margin: float, rng: np.random.Generator) -> tuple[np.ndarray, float] | None:
@@ -206,10 +206,10 @@ def _compare(cosine: float, kind: str):
         x = _matrix(table["raw"], kind)
         leaf, one, two = (table[c][0].as_py() for c in ("leaf", "one", "two"))
         reps, copies, block = table["rep"].to_numpy(), table["copies"].to_numpy(), table["block"].to_numpy()
-        lists = table["leaves"].to_pylist()
-        own = np.full((len(lists), max(map(len, lists))), np.iinfo(np.int64).max)
-        for i, names in enumerate(lists):
-            own[i, : len(names)] = sorted(names)
+        lists = table["leaves"].combine_chunks()
+        sizes = lists.value_lengths().to_numpy()
+        own = np.full((len(sizes), sizes.max()), np.iinfo(np.int64).max)
+        own[np.arange(own.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy()
         links, label = np.zeros(len(x), np.int64), np.arange(len(x))
         for at in range(0, len(x), 512):
             i, j = np.nonzero(x[at : at + 512] @ x[at:].T >= cosine)
@@ -281,7 +281,7 @@ def linked_vectors(
     found = staged(found, "leaves")
     most = WIDE * leaf_rows
     blocks = staged(found.groupBy("leaf").agg(F.count("*").alias("n")).where(f"n > {most}").select("leaf", F.ceil(F.col("n") / (most // 2)).cast("int").alias("blocks")), "blocks")
-    listed = found.groupBy("rep").agg(F.collect_set("leaf").alias("leaves")).join(reps.select("rep", "copies", "raw"), "rep")
+    listed = found.groupBy("rep").agg(F.array_sort(F.collect_set("leaf")).alias("leaves")).join(reps.select("rep", "copies", "raw"), "rep")
     each = listed.select("rep", "copies", "raw", "leaves", F.explode("leaves").alias("leaf"))
     if blocks.isEmpty():
         each = each.withColumns({c: F.lit(0) for c in ("block", "one", "two")})
