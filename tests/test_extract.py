@@ -107,3 +107,22 @@ Nơi nhận: Căn cứ Luật 1/QH
         ("AMENDS", "3QDY", None),
         ("FUNDED_BY", "44QDZ", "2023-02-01"),
     }
+
+
+def test_formulas_and_abstention(spark):
+    df = spark.createDataFrame([("d", 2, "$$ a  = b $$ (1) and $$c$$ (2.1)"), ("d", 1, "see $$ x $$ (1), $$ $$ (3), $$y$$ none")], "document_id string, part int, text string")
+    assert sorted((r.number, r.body) for r in extract.formulas(df, order="part").collect()) == [("1", "x"), ("2.1", "c")]
+    asked = F.lit("what do 50/QĐ-TNVN and 7/NQ-X say")
+    held = [F.lit("the 50 QĐ TNVN"), F.lit("nothing of it"), F.lit(""), F.lit(None).cast("string")]
+    assert [one(spark, extract.abstains(asked, e)) for e in held] == [False, True, False, False]
+    assert not one(spark, extract.abstains(F.lit("what is new"), F.lit("x")))
+
+
+def test_dispatch(spark):
+    ids = lambda n: spark.range(n).select(F.col("id").cast("string").alias("document_id"))
+    assert questions.dispatch("x", followup=ids(2), relation=ids(1)).mode == "DOCUMENT_SEARCH"
+    assert [questions.dispatch("x", relation=ids(n)).mode for n in (0, 8, 9)] == ["NONE", "CORPUS", "NONE"]
+    assert questions.dispatch("Có bao nhiêu văn bản", metadata=ids(3)).route == "COUNT"
+    got = [questions.dispatch("x", metadata=ids(n), with_content=True) for n in (0, 8, 9)]
+    assert [(a.route, a.mode, a.rows is None, a.scope is None) for a in got] == [("CONTENT", "CORPUS", True, True), ("METADATA", "DOCUMENT_SEARCH", True, False), ("METADATA", "NONE", False, True)]
+    assert questions.dispatch("x") == questions.Answer("CONTENT")

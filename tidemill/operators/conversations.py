@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import C, col, fold, fold_value
 
-#: queries whose words are broadcast at once
+#: queries that are joined at once
 QUERY_BLOCK = 1000
 
 
@@ -107,7 +107,8 @@ def busy_overlaps(wanted: DataFrame, busy: DataFrame, start: str = "start", end:
 def memory_scores(memories: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
     """Memories by 0.7 * share of the query's words + 0.3 * importance; those without a word of it are left out.
 
-    Words of about QUERY_BLOCK queries are broadcast at once; more queries are joined block by block.
+    Queries are joined in blocks of about QUERY_BLOCK; adaptive execution broadcasts a block's words while
+    they are small.
     """
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     terms = memories.select("memory_id", "importance", F.explode(F.array_distinct(F.split(fold("content"), r"[^\p{L}\p{N}]+"))).alias("word"))
@@ -117,7 +118,7 @@ def memory_scores(memories: DataFrame, queries: DataFrame, most: int = 10) -> Da
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
         words = part.select("query_id", F.explode(F.array_distinct(F.split(fold("text"), r"[^\p{L}\p{N}]+"))).alias("word")).where("word <> ''")
         of = words.groupBy("query_id").agg(F.count("*").alias("n"))
-        hits = terms.join(F.broadcast(words), "word").groupBy("query_id", "memory_id", "importance").agg(F.count("*").alias("hits")).join(F.broadcast(of), "query_id")
+        hits = terms.join(words, "word").groupBy("query_id", "memory_id", "importance").agg(F.count("*").alias("hits")).join(of, "query_id")
         scored = hits.withColumn("score", 0.7 * F.col("hits") / F.col("n") + 0.3 * F.col("importance"))
         scored = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("query_id", "memory_id", "score", "rank")
         out = scored if out is None else out.union(scored)

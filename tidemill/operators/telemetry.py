@@ -103,12 +103,17 @@ def tallies(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy("doc_category").agg(F.count("*").alias("n"), F.sum(F.col("needs_review").cast("long")).alias("needs_review"))
 
 
+MOST_RULES = 10_000
+
+
 def classify(docs: DataFrame, rules: DataFrame) -> DataFrame:
     """Best category by weighted markers; the margin to the second is the confidence.
 
     docs: document_id, title, filename, body (folded).  rules: category, kind (title, filename or
-    marker), pattern, position; a fixed rule list, broadcast.
+    marker), pattern, position: configuration that goes to every worker, MOST_RULES at most.
     """
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules are no configuration")
     hits = docs.join(F.broadcast(rules), F.contains(F.when(F.col("kind") == "title", F.col("title")).when(F.col("kind") == "filename", F.col("filename")).otherwise(F.col("body")), F.col("pattern")))
     title = F.max(F.when(F.col("kind") == "title", 3 * (1 - 0.02 * F.col("position"))))
     filename = F.max(F.when(F.col("kind") == "filename", 1.5))

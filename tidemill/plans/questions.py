@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+
 from ..functions.text import fold_value
 
 #: Words without meaning for a search, folded.
@@ -83,3 +85,41 @@ def route(question: str, scoped: bool = False) -> str:
 def expansion(question: str, explicit: str | None = None) -> str:
     """Explicit policy, NONE for listings, else PARENT."""
     return explicit or ("NONE" if _LIST.search(fold_value(question)) else "PARENT")
+
+
+#: documents whose texts are read together at most
+MOST_SCOPED = 8
+
+
+@dataclass(frozen=True)
+class Answer:
+    """Rows that answer a question (or None), or the search that has to."""
+
+    route: str
+    rows: DataFrame | None = None
+    mode: str = "CORPUS"
+    scope: DataFrame | None = None
+
+
+def dispatch(question: str, *, followup: DataFrame | None = None, relation: DataFrame | None = None, metadata: DataFrame | None = None, with_content: bool = False) -> Answer:
+    """The first of these that holds: documents of a follow-up, facts of a relation, a metadata query, documents of one to read, the corpus.
+
+    followup, relation and metadata are what the planners made of the question (document_id among the
+    columns), None where they made nothing.  Facts of up to MOST_SCOPED documents and metadata queries
+    that ask for content go on to a search: in those documents, or in all if there are none; of more
+    documents the rows are the answer.  At most MOST_SCOPED + 1 ids are counted.
+    """
+    if followup is not None:
+        return Answer("SCOPED", mode="DOCUMENT_SEARCH", scope=followup.select("document_id").distinct())
+    if relation is not None:
+        n = relation.select("document_id").distinct().limit(MOST_SCOPED + 1).count()
+        return Answer("RELATION", rows=relation, mode="CORPUS" if 0 < n <= MOST_SCOPED else "NONE")
+    if metadata is None:
+        return Answer("CONTENT")
+    if not with_content:
+        return Answer(route(question), rows=metadata, mode="NONE")
+    found = metadata.select("document_id").distinct()
+    n = found.limit(MOST_SCOPED + 1).count()
+    if n == 0:
+        return Answer("CONTENT")
+    return Answer("METADATA", rows=metadata, mode="NONE") if n > MOST_SCOPED else Answer("METADATA", mode="DOCUMENT_SEARCH", scope=found)

@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-ARROW_ROWS = "1000"
+ARROW_BATCH, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 _shipped: set[str] = set()
 
 
@@ -31,11 +31,11 @@ def session(app: str = "tidemill", cores: int | str = "*", partitions: int = 8,
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the workers once per application, wherever it was imported from.
 
-    Arrow batches get ARROW_ROWS rows unless the session sets a number: texts are wide rows, and a
-    worker holds several batches at a time.
+    Arrow batches get ARROW_ROWS rows unless the session or the application sets a number: texts are
+    wide rows, and a worker holds several batches at a time.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    if ARROW_BATCH not in spark.conf.getAll and not spark.sparkContext.getConf().contains(ARROW_BATCH):
+        spark.conf.set(ARROW_BATCH, ARROW_ROWS)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         package = Path(__file__).resolve().parent
