@@ -19,8 +19,9 @@ from tidemill.llm.storage import staged
 from tidemill.llm.textkit import crc_mod
 
 QUALITY_CUT = 0.7
-#: mean probability of a document's best language: it must have as much as all others together
-LANGUAGE_CUT = 0.5
+#: by how much the mean probability of a document's best language is over chance: with four languages it must have
+#: as much as the others together
+LANGUAGE_MARGIN = 0.25
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,8 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents in a language that was learned stay; unclear ones and those without letters go."""
     network = languages.train(docs, crc_mod(F.col("doc_id"), 5) != 0)
     found = languages.identified(docs, network, lang_out="__tidemill_pred", score_out="__tidemill_score")
-    return found.where((F.col("__tidemill_pred") != languages.UND) & (F.col("__tidemill_score") >= LANGUAGE_CUT)).select(*docs.columns)
+    cut = 1 / max(2, len(network.languages) if network else 0) + LANGUAGE_MARGIN
+    return found.where((F.col("__tidemill_pred") != languages.UND) & (F.col("__tidemill_score") >= cut)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
