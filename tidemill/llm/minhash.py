@@ -28,8 +28,9 @@ Steps, none of which gathers a group in one task or emits all pairs of a group:
 5. in each table whose members then lie in several components, the members
    outside its largest component are paired with all members of others that
    the bounds allow, so that no link between components is lost.  The join's
-   condition also bounds the overlap by parity bitmaps: two sets differ in at
-   least as many shingles as their bitmaps differ in bits;
+   condition also bounds the overlap by parity bitmaps (two sets differ in at
+   least as many shingles as their bitmaps differ in bits), and makes a pair in
+   the first of the tables that it shares only;
 6. every comparison is made on the full shingle sets of the two texts, and a
    link must hold under both of two independent 64-bit hashes of the shingles.
 
@@ -265,13 +266,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold:
     groups = hold(components(links), "groups")
 
     # what still lies in several components of a table
-    parity = sets.select("id", *(F.col("parity")[k].alias(f"p{k}") for k in range(BITMAP)))
-    placed = members.select("key", "id", "size", "most").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = hold(placed.join(parity, "id"), "placed")
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("component", "n").alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    others = placed.join(hold(mixed, "mixed"), "key").where("component <> largest")
-    carried = ("component", "size", "most", *(f"p{k}" for k in range(BITMAP)))
+    named = members.select("key", "id", "size", "most").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = hold(sizes.groupBy("key").agg(F.max_by("component", "n").alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts"), "mixed")
+    known = sets.select("id", *(F.col("parity")[k].alias(f"p{k}") for k in range(BITMAP))).join(reps.select(F.col("rep").alias("id"), F.col("keys").alias("small")), "id")
+    # only members of such tables get what the join's condition asks for
+    placed = hold(named.join(mixed.select("key"), "key", "left_semi").join(known, "id"), "placed")
+    others = hold(placed.join(mixed, "key").where("component <> largest"), "others")
+    carried = ("component", "size", "most", "small", *(f"p{k}" for k in range(BITMAP)))
 
     def side(of: DataFrame, name: str) -> DataFrame:
         return of.select("key", F.col("id").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in carried))
@@ -279,10 +281,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold:
     # of a + b shingles, d that only one set has leave (a + b - d) / 2 that both have
     differ = " + ".join(f"bit_count(a_p{k} ^ b_p{k})" for k in range(BITMAP))
     enough = f"{100 + threshold} * (a_size + b_size - ({differ})) >= {2 * threshold} * (a_size + b_size)"
+    # two sets meet in many tables: a pair is made in the first of them, that of their first common U and V
+    u, v = (f"int(array_position(zip_with(slice(a_small, {at}, {collections}), slice(b_small, {at}, {collections}), (x, y) -> x = y), true))" for at in (1, collections + 1))
+    first_met = f"key = xxhash64({u} - 1, element_at(a_small, {u}), {collections} + {v} - 1, element_at(a_small, {collections} + {v}))"
     pairs = (
-        side(hold(others, "others"), "a")
+        side(others, "a")
         .join(side(placed, "b"), "key")
-        .where(f"a_component <> b_component and {_allowed('a', 'b')} and {enough}")
+        .where(f"a_component <> b_component and {_allowed('a', 'b')} and {enough} and {first_met}")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
@@ -292,9 +297,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, threshold:
     edges = more.union(groups.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
     groups = hold(components(edges).select(F.col("id").alias("rep"), "component"), "groups")
 
-    placed = hold(reps.join(groups, "rep", "left").select(*exact, "row", F.coalesce("component", "rep").alias("component")), "placed")
-    least = placed.groupBy("component").agg(F.min("row").alias("least"))
-    named = staged(placed.drop("row").join(least, "component").drop("component"), "named")
+    ended = hold(reps.join(groups, "rep", "left").select(*exact, "row", F.coalesce("component", "rep").alias("component")), "ended")
+    least = ended.groupBy("component").agg(F.min("row").alias("least"))
+    named = staged(ended.drop("row").join(least, "component").drop("component"), "named")
     drop(docs.sparkSession, *made)
     out = signed.select("doc_id", "text_hash", *exact).join(named, exact, "left")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
