@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, minhash, neurallm, packing, quality, shards, tokenfile, urlfilter, vectors
+from . import codes, languages, minhash, neurallm, packing, quality, shards, tokenfile, urlfilter, vectors
 from .decontaminate import find_contamination
 from .textkit import crc_mod
 
@@ -89,6 +89,10 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_stratified_shards,
         op9_token_files,
         op10_minhash_dedup,
+        op13_vector_codes,
     )
 }
 
@@ -196,10 +201,44 @@ q AS (SELECT *, ((8 * (position + 1) - 1) // n)::int AS shard FROM p)
 SELECT doc_id, size::bigint AS size, text_crc32::bigint AS text_crc32, 'rows' AS law, shard,
        (position - shard * n // {shards.SHARDS})::bigint AS slot, NULL::int AS grown_shard FROM q"""
 
+
+
+def _codes_sql() -> str:
+    """The rounds of integer k-means one after the other: a0 .. a6 assign, b1 .. b6 move."""
+    width = "(SELECT max(len(i)) FROM v)"
+    steps = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row_id, vec_id, label, [floor({codes.SCALE} * x::double)::bigint FOR x IN embedding] AS i FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])),
+x AS MATERIALIZED (
+  SELECT row_id, p, i[p * {width} // {codes.PARTS} + 1 : (p + 1) * {width} // {codes.PARTS}] AS x FROM v, generate_series(0, {codes.PARTS - 1}) AS t(p)),
+b0 AS MATERIALIZED (SELECT p, row_id - 1 AS e, x AS c FROM x WHERE row_id <= {codes.ENTRIES})"""
+    ]
+    far = "list_sum(list_transform(list_zip(x.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint"
+    for r in range(codes.ROUNDS + 1):
+        steps.append(
+            f"a{r} AS MATERIALIZED (SELECT row_id, p, any_value(x.x) AS x, min(({far} * 256 + b.e)) % 256 AS e, min({far}) AS d FROM x JOIN b{r} b USING (p) GROUP BY row_id, p)"
+        )
+        if r < codes.ROUNDS:
+            steps.append(
+                f"""m{r} AS (
+  SELECT p, e, list(s ORDER BY k) AS c FROM (
+    SELECT p, e, k, floor(sum(x[k])::double / count(*))::bigint AS s FROM a{r}, generate_series(1, len(x)) AS t(k) GROUP BY p, e, k) GROUP BY p, e),
+b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN m{r} m USING (p, e))"""
+            )
+    last = codes.ROUNDS
+    return f"""
+WITH {", ".join(steps)},
+c AS (SELECT row_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::bigint AS error FROM a{last} GROUP BY row_id),
+s AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{last})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::bigint AS label_error, codebooks_sha256 FROM v JOIN c USING (row_id), s"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": _url_sql(),
     "op4_decontamination": _DECONTAMINATION_SQL,
     "op7_embedding_dedup": _EMBEDDING_SQL,
     "op8_stratified_shards": _SHARDS_SQL,
     "op10_minhash_dedup": _MINHASH_SQL,
+    "op13_vector_codes": _codes_sql(),
 }
