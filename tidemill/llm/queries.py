@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, languages, minhash, neurallm, packing, quality, shards, tokenfile, urlfilter, vectors
+from . import chat, codes, languages, minhash, neurallm, packing, quality, shards, tokenfile, urlfilter, vectors
 from .decontaminate import find_contamination
 from .textkit import crc_mod
 
@@ -89,6 +90,25 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    chats = chat.formatted_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+    turns, loss = chat.read_back(F.col("formatted")), chat.loss_text(F.col("segments"))
+    read = chats.select("conv_id", turns.alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"), "valid", F.coalesce("error_turn", F.lit(-1)).alias("error_turn"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+        "valid",
+        "error_turn",
+    )
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
@@ -106,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_stratified_shards,
         op9_token_files,
         op10_minhash_dedup,
+        op12_chat_format,
         op13_vector_codes,
     )
 }
@@ -203,6 +224,38 @@ SELECT doc_id, size::bigint AS size, text_crc32::bigint AS text_crc32, 'rows' AS
 
 
 
+def _chat_sql() -> str:
+    template = chat.INST
+    controls = "|".join(re.escape(c) for c in template.controls())
+    extra = lambda c: f"len({c}) + len(regexp_extract_all({c}, '{controls}|\\\\'))"
+    markers = " ".join(f"WHEN '{r}' THEN {len(t.open + t.close)}" for r, t in template.roles.items())
+    other = f"{len(template.other.open + template.said + template.other.close)} + {extra('role')}"
+    loss = ", ".join(f"'{r}'" for r, t in template.roles.items() if t.loss)
+    moves = ", ".join(f"('{a}', '{role}', '{b}')" for (a, role), b in template.moves.items())
+    ends = ", ".join(f"'{s}'" for s in template.accepting)
+    return f"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place FROM t),
+moves(state, role, next) AS (VALUES {moves}),
+run AS (
+  SELECT DISTINCT conv_id, 0::bigint AS place, '{template.start}' AS state, NULL::bigint AS error FROM n
+  UNION ALL
+  SELECT r.conv_id, r.place + 1, coalesce(m.next, '{chat.ERROR}'), coalesce(r.error, CASE WHEN m.next IS NULL THEN r.place END)
+  FROM run r JOIN n ON n.conv_id IS NOT DISTINCT FROM r.conv_id AND n.place = r.place LEFT JOIN moves m ON m.state = r.state AND m.role = n.role),
+judged AS (
+  SELECT conv_id, coalesce(error, CASE WHEN state NOT IN ({ends}) THEN place END)::int AS error_turn
+  FROM run QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY place DESC) = 1),
+g AS (
+  SELECT conv_id, count(*)::bigint AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+         coalesce(string_agg(text, '' ORDER BY place) FILTER (role IN ({loss})), '') AS loss,
+         sum({extra('text')} + CASE role {markers} ELSE {other} END)::bigint AS formatted_chars
+  FROM n GROUP BY conv_id)
+SELECT g.conv_id, n_turns, turns_sha256, len(loss)::bigint AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, error_turn IS NULL AS valid, coalesce(error_turn, -1)::int AS error_turn
+FROM g JOIN judged j ON j.conv_id IS NOT DISTINCT FROM g.conv_id"""
+
+
 def _codes_sql() -> str:
     """The rounds of integer k-means one after the other: a0 .. a6 assign, b1 .. b6 move."""
     width = "(SELECT max(len(i)) FROM v)"
@@ -240,5 +293,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_embedding_dedup": _EMBEDDING_SQL,
     "op8_stratified_shards": _SHARDS_SQL,
     "op10_minhash_dedup": _MINHASH_SQL,
+    "op12_chat_format": _chat_sql(),
     "op13_vector_codes": _codes_sql(),
 }
