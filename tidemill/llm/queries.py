@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codes, languages, minhash, neurallm, packing, quality, shards, tokenfile, urlfilter, vectors
+from . import chat, codes, languages, minhash, neurallm, packing, quality, shards, tokenfile, trie, urlfilter, vectors
 from .decontaminate import find_contamination
 from .textkit import crc_mod
 
@@ -90,6 +90,11 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.turns_of(table(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(*trie.with_shared_starts(turns))
+
+
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
@@ -126,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_stratified_shards,
         op9_token_files,
         op10_minhash_dedup,
+        op11_prefix_trie,
         op12_chat_format,
         op13_vector_codes,
     )
@@ -202,11 +208,13 @@ groups AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0)::bigint AS n_shingles, component_id, doc_id = component_id AS kept
 FROM groups LEFT JOIN n USING (doc_id)"""
 
-_SHARDS_SQL = f"""
-WITH crc_table AS (
+_CRC_TABLE = """crc_table AS (
   SELECT list(c ORDER BY i) AS t FROM (
     SELECT i, list_reduce(list_prepend(i, generate_series(1, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
-    FROM (SELECT unnest(generate_series(0::bigint, 255::bigint)) AS i))),
+    FROM (SELECT unnest(generate_series(0::bigint, 255::bigint)) AS i)))"""
+
+_SHARDS_SQL = f"""
+WITH {_CRC_TABLE},
 d AS (
   SELECT row_number() OVER () AS row_id, doc_id, source, strlen(coalesce(text, '')) + 1 AS size, coalesce(text, '') AS text,
          coalesce(doc_id::varchar, '') AS name FROM documents),
@@ -287,12 +295,40 @@ s AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS c
 SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::bigint AS label_error, codebooks_sha256 FROM v JOIN c USING (row_id), s"""
 
 
+_TRIE_SQL = f"""
+WITH {_CRC_TABLE},
+s AS (
+  SELECT conv_id, turn, sha256(strlen(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) AS s, strlen(coalesce(text, '')) AS b
+  FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list({{'s': s, 'b': b}} ORDER BY turn NULLS FIRST, s) AS turns FROM s GROUP BY conv_id),
+c AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, len(conv_id::varchar) + 1), lambda i: ascii((conv_id::varchar)[i])::bigint)),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 9 AS h FROM l, crc_table),
+r AS (
+  SELECT l.conv_id, list_concat(coalesce(CASE WHEN h > 0 THEN d.turns[1:h] END, []), l.turns[h + 1:]) AS turns
+  FROM l JOIN c USING (conv_id) LEFT JOIN l d ON d.conv_id = l.conv_id - l.conv_id % 5),
+p AS MATERIALIZED (
+  SELECT conv_id, d, md5(array_to_string(list_transform(turns[1:d], lambda x: x.s), ',')) AS node, coalesce(turns[d].b, 0) AS b, d = len(turns) AS ends
+  FROM r, unnest(generate_series(0, len(turns))) AS t(d)),
+n AS MATERIALIZED (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b, string_agg(CASE WHEN ends THEN conv_id::varchar END, ',' ORDER BY conv_id) AS ends
+  FROM p GROUP BY node, d),
+e AS (SELECT DISTINCT a.node, a.d, b.node AS parent FROM p a JOIN p b ON a.conv_id = b.conv_id AND b.d = a.d - 1),
+k AS MATERIALIZED (SELECT parent AS node, d - 1 AS d, count(*) AS n_children FROM e GROUP BY 1, 2),
+u AS (
+  SELECT a.node, a.d, sum((n.n_convs - 1) * n.b) AS saved, count(*) FILTER (k.node IS NULL) AS n_leaves
+  FROM n JOIN p a ON a.conv_id = n.conv_id AND a.d <= n.d LEFT JOIN k ON k.node = n.node AND k.d = n.d GROUP BY a.node, a.d)
+SELECT n.conv_id, n.d::bigint AS depth, q.conv_id AS parent_conv_id, n.n_convs::bigint AS n_convs, coalesce(n_children, 0)::bigint AS n_children,
+       n_leaves::bigint AS n_leaves, saved::bigint AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM n JOIN u USING (node, d) LEFT JOIN k USING (node, d) LEFT JOIN e USING (node, d) LEFT JOIN n q ON q.node = e.parent AND q.d = n.d - 1"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": _url_sql(),
     "op4_decontamination": _DECONTAMINATION_SQL,
     "op7_embedding_dedup": _EMBEDDING_SQL,
     "op8_stratified_shards": _SHARDS_SQL,
     "op10_minhash_dedup": _MINHASH_SQL,
+    "op11_prefix_trie": _TRIE_SQL,
     "op12_chat_format": _chat_sql(),
     "op13_vector_codes": _codes_sql(),
 }
