@@ -57,7 +57,7 @@ from .storage import drop, staged
 #: symbols of a sort key
 PIECE = 64
 #: conversations of a block, at least
-BLOCK = 4096
+BLOCK = 512
 #: blocks, at most: their minima are what the driver gets and sends out
 BLOCKS = 1 << 16
 
