@@ -6,6 +6,7 @@ as an empty one where the text says so.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -36,15 +37,29 @@ def _fold_table() -> tuple[str, str, dict[str, str]]:
 _FROM, _TO, _WIDE = _fold_table()
 del _WIDE["ß"]
 _IS_WIDE = f"[{''.join(_WIDE)}]"
+#: white space that is not one plain space between words; the second for texts of ASCII only
+_SPACES, _ASCII_SPACES = r"(?U)[\s&&[^ ]]\s*| \s+", r"[\t-\r]\s*| \s+"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def fold(c: C) -> Column:
     """Case- and accent-insensitive form with single spaces; null stays null."""
-    narrow = F.replace(F.translate(col(c), _FROM, _TO), F.lit("ß"), F.lit("ss"))
-    # ligatures and their like: few texts have one
-    spelled = reduce(lambda t, w: F.replace(t, F.lit(w), F.lit(_WIDE[w])), _WIDE, narrow)
-    plain = F.lower(F.regexp_replace(F.when(narrow.rlike(_IS_WIDE), spelled).otherwise(narrow), r"\p{M}+", ""))
-    return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
+
+    def letters(narrow: Column) -> Column:
+        # ligatures and their like: few texts have one
+        spelled = reduce(lambda t, w: F.replace(t, F.lit(w), F.lit(_WIDE[w])), _WIDE, narrow)
+        bare = F.regexp_replace(F.when(narrow.rlike(_IS_WIDE), spelled).otherwise(narrow), r"\p{M}+", "")
+        return F.regexp_replace(F.lower(bare), _SPACES, " ")
+
+    def text(t: Column) -> Column:
+        ascii_only = F.regexp_replace(F.lower(t), _ASCII_SPACES, " ")
+        return F.when(F.octet_length(t) == F.length(t), ascii_only).otherwise(let(F.replace(F.translate(t, _FROM, _TO), F.lit("ß"), F.lit("ss")), letters))
+
+    return F.trim(let(col(c), text))
 
 
 def fold_or_empty(c: C) -> Column:
