@@ -72,7 +72,10 @@ def test_triggers(spark):
 
 @pytest.mark.parametrize(
     "raw,want",
-    [("Hà Nội, ngày 23 tháng 4 năm 2026", date(2026, 4, 23)), ("on 2024-02-30 or", None), ("5/3/2024", date(2024, 3, 5)), ("March 5th, 2024", date(2024, 3, 5)), ("5 Mar 2024", date(2024, 3, 5)), ("tháng 7/2023", date(2023, 7, 1)), ("1/1/1800", None), ("none", None)],
+    [("Hà Nội, ngày 23 tháng 4 năm 2026", date(2026, 4, 23)), ("on 2024-02-30 or", None), ("5/3/2024", date(2024, 3, 5)), ("March 5th, 2024", date(2024, 3, 5)), ("5 Mar 2024", date(2024, 3, 5)), ("tháng 7/2023", date(2023, 7, 1)), ("1/1/1800", None), ("none", None),
+     ("31/02/2024", None), ("2024-13-45 ... 07/2024", None), ("ngày 31 tháng 2 năm 2024 và 5/2024", None), ("ngày 2.3 tháng 4. năm 2026", date(2026, 4, 23)),
+     ("May 2026", date(2026, 5, 1)), ("ký 3-2024", date(2024, 3, 1)), ("3 / 2024", date(2024, 3, 1)), ("ngày 5 tháng 6 năm 2026 thay 1/1/2020", date(2026, 6, 5)), ("1/1/2020 và 2021-02-03", date(2021, 2, 3)),
+     ("February 30, 2024", None), ("Mayor 2026", None)],
 )
 def test_dates(spark, raw, want):
     assert one(spark, dates.any_date(F.lit(raw))) == want

@@ -787,6 +787,32 @@ def any_date_forms(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", dates.any_date(written).alias("d"))
 
 
+@query(
+    """SELECT event_id, CASE WHEN event_id % 12 IN (0, 6, 8, 9) THEN ts::date WHEN event_id % 12 IN (4, 5, 7) THEN date_trunc('month', ts)::date END AS d FROM events"""
+)
+def any_date_mixed(spark, sf_dir):
+    """Forms with and without a day, of an OCR's stray points, and invalid ones beside valid ones: the first form decides."""
+    at = F.col("ts").cast("timestamp")
+    f = lambda pattern: F.date_format(at, pattern)
+    dd = f("dd")
+    texts = [
+        F.concat(F.lit("Hà Nội, "), f("d/M/yyyy"), F.lit(", 07/2031")),
+        F.concat(F.lit("31/02/"), f("yyyy"), F.lit(" hay 05/"), f("yyyy")),
+        F.concat(f("yyyy"), F.lit("-13-45 ... 07/2024")),
+        F.concat(F.lit("ngày 31 tháng 2 năm "), f("yyyy"), F.lit(" và 5/2024")),
+        F.concat(F.lit("Tháng "), f("MM/yyyy")),
+        F.concat(F.lit("ký "), f("M-yyyy")),
+        F.concat(F.lit("NGÀY "), dd, F.lit(". tháng "), f("M"), F.lit(". năm "), f("yyyy")),
+        F.concat(F.lit("since "), f("MMMM yyyy")),
+        F.concat(f("MMMM d, yyyy"), F.lit(" (draft)")),
+        F.concat(F.lit("ngày "), F.substring(dd, 1, 1), F.lit("."), F.substring(dd, 2, 1), F.lit(" tháng "), f("MM"), F.lit(" năm "), f("yyyy")),
+        F.concat(F.lit("no date in "), F.col("event_type")),
+        F.lit("built 1850-01-01, seen 03/2024"),
+    ]
+    written = F.get(F.array(*texts), (F.col("event_id") % 12).cast("int"))
+    return read(spark, sf_dir, "events").select("event_id", dates.any_date(written).alias("d"))
+
+
 @query(
     """SELECT event_id FROM events WHERE isodow(ts) IN (1, 3, 5) AND hour(ts) * 60 + minute(ts) >= 480 AND hour(ts) * 60 + minute(ts) < 600 AND (user_id % 2 = 0 OR date '2024-01-10' < ts::date)"""
 )
