@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemill import catalog_queries
 from tidemill.functions import text
-from tidemill.operators import catalog, chunking, conversations, retrieval, telemetry
+from tidemill.operators import catalog, chunking, conversations, retrieval, sizes, telemetry
 from tidemill.sources import files
 from tidemill.streaming import jobs
 
@@ -454,3 +454,21 @@ def test_html_against_a_parser(spark):
         plain = Plain()
         plain.feed(page)
         assert "".join(t.split()) == "".join("".join(plain.out).split())
+
+
+def test_large_catalogs_are_not_broadcast(spark):
+    rng = random.Random(8)
+    words = ["an", "Än", "ba", "co", "de"]
+    texts = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for i in range(60)], "text_id long, text string")
+    names = spark.createDataFrame([(n,) for n in ("an ba", "ba", "ba co de", "de an an ba", "co", "zz", "", " ")], "name string")
+    small, large = (conversations.dictionary_matches(texts, names, broadcast_bytes=b) for b in (1 << 20, 0))
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect())) != []
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    # only matches cross an exchange: neither texts nor their words do
+    assert all("ahead" not in line and "word" not in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+    events = spark.createDataFrame([(1, "Báo cáo quý III", 5), (2, "báo", 5), (3, None, 5)], "event_id long, title string, at long")
+    rules = spark.createDataFrame([(7, "bao cao", True, None), (8, "BÁO", True, 5), (9, "quy", False, None), (10, "", True, None)], "rule_id long, target string, active boolean, expires_at long")
+    for b in (1 << 20, 0):
+        assert [(r["event_id"], r["rule_id"]) for r in jobs.rule_matches(events, rules, "title", "at", b).collect()] == [(1, 7)]
+    assert sizes.measured_bytes(names.select(F.split("name", " ").alias("w"))) > sizes.measured_bytes(names.limit(0)) == 0

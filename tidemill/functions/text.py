@@ -46,20 +46,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold(c: C) -> Column:
-    """Case- and accent-insensitive form with single spaces; null stays null."""
-
+def _letters(c: C, tidy: Callable[[Column, str], Column]) -> Column:
     def letters(narrow: Column) -> Column:
         # ligatures and their like: few texts have one
         spelled = reduce(lambda t, w: F.replace(t, F.lit(w), F.lit(_WIDE[w])), _WIDE, narrow)
-        bare = F.regexp_replace(F.when(narrow.rlike(_IS_WIDE), spelled).otherwise(narrow), r"\p{M}+", "")
-        return F.regexp_replace(F.lower(bare), _SPACES, " ")
+        return tidy(F.lower(F.regexp_replace(F.when(narrow.rlike(_IS_WIDE), spelled).otherwise(narrow), r"\p{M}+", "")), _SPACES)
 
     def text(t: Column) -> Column:
-        ascii_only = F.regexp_replace(F.lower(t), _ASCII_SPACES, " ")
-        return F.when(F.octet_length(t) == F.length(t), ascii_only).otherwise(let(F.replace(F.translate(t, _FROM, _TO), F.lit("ß"), F.lit("ss")), letters))
+        narrow = F.replace(F.translate(t, _FROM, _TO), F.lit("ß"), F.lit("ss"))
+        return F.when(F.octet_length(t) == F.length(t), tidy(F.lower(t), _ASCII_SPACES)).otherwise(let(narrow, letters))
+
+    return let(col(c), text)
+
+
+def fold(c: C) -> Column:
+    """Case- and accent-insensitive form with single spaces; null stays null."""
+    return F.trim(_letters(c, lambda t, spaces: F.regexp_replace(t, spaces, " ")))
+
 
-    return F.trim(let(col(c), text))
+def folded_words(c: C) -> Column:
+    """The folded words of a text, in order, repeats included: runs of letters and digits."""
+    return F.filter(F.split(_letters(c, lambda t, _: t), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def fold_or_empty(c: C) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import C, col, fold, fold_value
+from ..functions.text import C, col, fold, fold_value, folded_words
+from .sizes import BROADCAST_BYTES, broadcast_if_small
 
 #: queries that are joined at once
 QUERY_BLOCK = 1000
@@ -139,23 +140,24 @@ def alias_lookup(entities: DataFrame, names: DataFrame) -> DataFrame:
     return names.withColumn("key", fold("mention")).join(keys, "key").select("mention", "entity_id").distinct()
 
 
-def dictionary_matches(texts: DataFrame, catalog: DataFrame, text: str = "text") -> DataFrame:
-    """Catalog names in texts as whole words, longest first without overlap, by an equi-join on the names' words.
+def dictionary_matches(texts: DataFrame, catalog: DataFrame, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Catalog names in texts as whole words, longest first without overlap.
 
-    texts: text_id and the text.  catalog: name (folded).  Every run of words up to the longest
-    name's length is joined with the names, so that no text is compared with every name; a run
-    carries its own words only.
+    texts: text_id and the text.  catalog: name (folded).  A word is joined with the names that begin
+    with it, and only then are the words behind it compared.  The catalog is the side that is sent out, if
+    its counted bytes allow it: only matches are shuffled then, by text.  A larger one is shuffled by first
+    words, and with it each word and as many behind it as the longest name has.
     """
-    longest = catalog.select(F.max(F.size(F.split("name", " ")))).first()[0] or 1
-    words = F.filter(F.split(fold(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-    def runs_from(start: Column, w: Column) -> Column:
-        ends = F.sequence(start + 1, F.least(start + longest, F.size(w)))
-        return F.transform(ends, lambda end: F.struct(start.alias("start"), end.alias("end"), F.array_join(F.slice(w, start + 1, end - start), " ").alias("name")))
-
-    listed = texts.select("text_id", words.alias("w")).where(F.size("w") > 0)
-    runs = listed.select("text_id", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda s: runs_from(s, F.col("w"))))).alias("r")).select("text_id", "r.*")
-    found = runs.join(catalog.select("name").distinct(), "name")
+    names = catalog.select("name").where(F.trim("name") != "").distinct().withColumn("words", F.split("name", " ")).withColumn("word", F.get("words", F.lit(0)))
+    names, small = broadcast_if_small(names, broadcast_bytes)
+    placed = texts.select("text_id", folded_words(text).alias("ahead")).select("text_id", "ahead", F.posexplode("ahead").alias("start", "word"))
+    at = F.col("start")
+    if not small:
+        longest = names.select(F.max(F.size("words"))).first()[0]
+        placed, at = placed.withColumn("ahead", F.slice("ahead", F.col("start") + 1, longest)), F.lit(0)
+    size = F.size("words")
+    hit = placed.join(names, "word").where((F.size("ahead") >= at + size) & (F.slice("ahead", at + 1, size) == F.col("words")))
+    found = hit.select("text_id", "start", (F.col("start") + size).alias("end"), "name")
     # matches that overlap make a chain; within a chain the longest, then the first, is kept
     order = Window.partitionBy("text_id").orderBy("start", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))

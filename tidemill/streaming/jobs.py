@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from ..functions.text import fold_or_empty
+from ..operators.sizes import BROADCAST_BYTES, broadcast_if_small
 
 
 def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
@@ -47,16 +48,17 @@ def once(events: DataFrame, key: Column, ts: str, late: str = "2 days") -> DataF
     return events.withColumn("dedup_key", key).withWatermark(ts, late).dropDuplicatesWithinWatermark(["dedup_key"])
 
 
-def rule_matches(events: DataFrame, rules: DataFrame, text: str, ts: str) -> DataFrame:
+def rule_matches(events: DataFrame, rules: DataFrame, text: str, ts: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Events (stream or batch) with the active, unexpired rules whose words are all in the folded text.
 
     rules: rule_id, target, active, expires_at: a static table, joined by its rarest-looking (longest)
-    word, then checked for all words, so that no event is compared with every rule.
+    word, then checked for all words, so that no event is compared with every rule.  The rules are the side
+    that is sent out, if their counted bytes allow it; the events then stay where they are.
     """
     words = F.filter(F.split(fold_or_empty("target"), " "), lambda w: w != "")
     # the longest word; of equal ones the first
     rarest = F.reduce(words, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    static = rules.where("active").select("rule_id", "expires_at", words.alias("_words"), rarest.alias("_word"))
+    static, _ = broadcast_if_small(rules.where("active").select("rule_id", "expires_at", words.alias("_words"), rarest.alias("_word")).where("_word <> ''"), broadcast_bytes)
     tokens = F.array_distinct(F.split(fold_or_empty(text), r"[^\p{L}\p{N}]+"))
     keyed = events.withColumn("_tokens", tokens).withColumn("_word", F.explode("_tokens"))
     hit = keyed.join(static, "_word").where(F.col("expires_at").isNull() | (F.col(ts) < F.col("expires_at")))
