@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import dates, extract, ids, text, vectors
-from .operators import catalog, chunking, conversations, retrieval, telemetry
+from .operators import ann, catalog, chunking, conversations, retrieval, telemetry
 from .plans import dag
 from .plans.table_plan import compile_plan
 from .sources import files
+from .sources.shared import shared_path
 from .streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -432,6 +433,24 @@ def dense_top_k_all(spark, sf_dir):
     return retrieval.dense(_queries(spark, sf_dir), _chunks(spark, sf_dir), 10).select("query_id", "chunk_id", "score", "dense_rank")
 
 
+def _ann(spark, sf_dir):
+    path = shared_path(spark, "ann")
+    return retrieval.best(spark.createDataFrame([], "query_id long, chunk_id long, document_id long, score double"), "score", "dense_rank", 10) if ann.build_index(_chunks(spark, sf_dir), path) is None else ann.ann(_queries(spark, sf_dir), path, 10)
+
+
+@query()
+def ann_top_k(spark, sf_dir):
+    """Every twentieth vector's neighbours from a stored inverted-file index of all vectors."""
+    return _ann(spark, sf_dir).select("query_id", "chunk_id", "score", "dense_rank")
+
+
+@query("SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 20 = 0")
+def ann_recall(spark, sf_dir):
+    """Whether the index finds 0.95 and more of the ten exact neighbours of every twentieth vector."""
+    exact = retrieval.dense(_queries(spark, sf_dir), _chunks(spark, sf_dir), 10)
+    return ann.recall_against(_ann(spark, sf_dir), exact).agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.95).alias("reached"))
+
+
 @query()
 def hybrid_fusion_all(spark, sf_dir):
     """Every twentieth vector, fused with the full-text ranking of all chunks; a chunk's text is the document of its number.
