@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import dates, extract, ids, text, vectors
-from .operators import ann, catalog, chunking, conversations, retrieval, telemetry
+from .operators import ann, catalog, chunking, conversations, retrieval, telemetry, versions
 from .plans import dag
 from .plans.table_plan import compile_plan
 from .sources import files
@@ -308,6 +308,38 @@ def replaced_children(spark, sf_dir):
     return catalog.replaced_children(o, o.where("child % 2 = 0").withColumn("child", F.col("child") + 1000000), parents, "c_custkey")
 
 
+
+@query(
+    """WITH d AS (SELECT doc_id, doc_id // 2 AS logical, doc_id % 2 + 1 AS place, sha256(coalesce(text, '')) AS content_hash, len(coalesce(text, '')) AS n FROM documents),
+    v AS (SELECT *, place - count(*) FILTER (content_hash = before) OVER (PARTITION BY logical ORDER BY place) AS version_number
+      FROM (SELECT *, lag(content_hash) OVER (PARTITION BY logical ORDER BY place) AS before FROM d)),
+    kept AS (SELECT * FROM v WHERE before IS NULL OR before <> content_hash)
+    SELECT logical::varchar AS logical_document_id, version_number::bigint AS version_number, content_hash,
+      'doc-' || substr(sha256('["' || logical || '","' || version_number || '"]'), 1, 32) AS document_id,
+      CASE WHEN logical % 10 = 3 THEN 'deleted' WHEN version_number = max(version_number) OVER (PARTITION BY logical) THEN 'active' ELSE 'archived' END AS status,
+      CASE WHEN logical % 10 <> 3 AND version_number = max(version_number) OVER (PARTITION BY logical) THEN 1 + (n + 499) // 500 ELSE 0 END::bigint AS active_chunks
+    FROM kept"""
+)
+def versioned_store(spark, sf_dir):
+    """Two writes of all documents, two to a logical one, then a tenth deleted: the versions that a reader sees, and their chunks."""
+    n = F.col("doc_id")
+    d = read(spark, sf_dir, "documents").select(n, F.floor(n / 2).cast("string").alias("logical_document_id"), F.coalesce("text", F.lit("")).alias("text"))
+    d = d.withColumn("content_hash", F.sha2("text", 256))
+    store = versions.VersionStore(spark, shared_path(spark, "versions"))
+    for place in (0, 1):
+        own = d.where(n % 2 == place)
+        parent = own.select("logical_document_id", F.lit(0).alias("level"), F.lit(0).alias("chunk_index"), F.lit(None).cast("int").alias("parent_index"), F.lit(0).alias("at"), "text")
+        starts = F.when(F.length("text") > 0, F.sequence(F.lit(0), F.length("text") - 1, F.lit(500))).otherwise(F.array().cast("array<int>"))
+        child = own.select("logical_document_id", "text", F.posexplode(starts).alias("chunk_index", "at"))
+        child = child.select("logical_document_id", F.lit(1).alias("level"), "chunk_index", F.lit(0).alias("parent_index"), "at", F.substring("text", F.col("at") + 1, F.lit(500)).alias("text"))
+        chunks = parent.unionByName(child).withColumns({"heading_path": F.array(F.lit("text")), "first_block": F.col("at").cast("string"), "last_block": F.col("at").cast("string"), "content_hash": F.sha2("text", 256)})
+        store.persist(own.drop("doc_id"), chunks)
+    store.delete(d.where(F.col("logical_document_id").cast("long") % 10 == 3))
+    counted = store.chunks().groupBy("document_id").agg(F.countDistinct("chunk_id").alias("active_chunks"))
+    out = store.documents().join(counted, "document_id", "left")
+    return out.select("logical_document_id", "version_number", "content_hash", "document_id", "status", F.coalesce("active_chunks", F.lit(0)).alias("active_chunks"))
+
+
 @query("SELECT event_id, CASE WHEN user_id = 7 AND event_id % 3 <> 0 THEN timestamp '2024-02-01' WHEN event_id % 3 = 0 THEN ts END AS read_at, user_id = 7 AND event_id % 3 <> 0 AS changed FROM events")
 def read_notifications(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("user_id"), F.when(F.col("event_id") % 3 == 0, F.col("ts")).alias("read_at"))

@@ -39,8 +39,9 @@ class Files:
 
     def __init__(self, spark: SparkSession, path: str):
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._jvm = spark.sparkContext._jvm
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(path).getFileSystem(self._conf)
+        self._jvm, self._gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
 
     def exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
@@ -67,8 +68,19 @@ class Files:
         stream.close()
         return True
 
-    def rename(self, old: str, new: str) -> bool:
-        return self._fs.rename(self._path(old), self._path(new))
+    def moved(self, old: str, new: str) -> bool:
+        """Move a file to a name that has to be free; False, and nothing moved, if it is not."""
+        fs, gateway = self._jvm.org.apache.hadoop.fs, self._gateway
+        self._fs.mkdirs(self._path(new).getParent())
+        how = gateway.new_array(fs.Options.Rename, 1)
+        how[0] = fs.Options.Rename.NONE
+        try:
+            fs.FileContext.getFileContext(self._path(old).toUri(), self._conf).rename(self._path(old), self._path(new), how)
+        except Exception:
+            if self.exists(old) and self.exists(new):
+                return False
+            raise
+        return True
 
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
