@@ -6,6 +6,7 @@ import datetime
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -472,3 +473,39 @@ def test_large_catalogs_are_not_broadcast(spark):
     for b in (1 << 20, 0):
         assert [(r["event_id"], r["rule_id"]) for r in jobs.rule_matches(events, rules, "title", "at", b).collect()] == [(1, 7)]
     assert sizes.measured_bytes(names.select(F.split("name", " ").alias("w"))) > sizes.measured_bytes(names.limit(0)) == 0
+
+
+def test_window_places():
+    rng = random.Random(3)
+    for _ in range(200):
+        runs = [sorted(rng.randint(0, 60) for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 4))]
+        want, begins = [], None
+        for times in runs:
+            begin = n = None
+            for t in times:
+                if begin is None or t >= begin + 10:
+                    begin, n = t, 0
+                n += 1
+                want.append(n)
+            begins = begin
+        at = np.concatenate([np.array(r) for r in runs])
+        run = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+        got, begun = jobs.window_places(at, run, 10)
+        assert got.tolist() == want and begun == begins
+        cut = rng.randint(1, len(at))
+        one, begun = jobs.window_places(at[:cut], run[:cut], 10)
+        if cut < len(at):
+            goes_on = run[cut] == run[cut - 1]
+            two, _ = jobs.window_places(at[cut:], run[cut:], 10, begun if goes_on else None, int(one[-1]))
+            assert one.tolist() + two.tolist() == want
+
+
+def test_an_asked_index_reads_its_folders(spark, tmp_path):
+    docs = spark.createDataFrame([(i, i, f"w{i % 9} common v{i}") for i in range(200)] + [(900, 900, None), (901, 901, "")], "chunk_id long, document_id long, content_raw string")
+    retrieval.write_index(retrieval.postings(docs), f"{tmp_path}/index", 16)
+    terms = spark.createDataFrame([("w3",), ("v7",), ("none",), ("w3",)], "term string")
+    got = retrieval.asked_of_index(spark, f"{tmp_path}/index", terms, 16)
+    want = retrieval.postings(docs).where("term in ('w3', 'v7')")
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect())) != []
+    scan = next(line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line and "positions" in line)
+    assert "bucket#" in scan.split("PartitionFilters: ")[1].split("PushedFilters")[0]

@@ -38,7 +38,22 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return files.spread(df) if name in ("documents", "pages") else df
+
+
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the full-text index of all documents, written at first use in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        path = shared_path(spark, "index")
+        d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content_raw"))
+        retrieval.write_index(retrieval.postings(d), path)
+        _stored[key] = path
+    return _stored[key]
 
 
 # stand-ins and their SQL
@@ -446,8 +461,8 @@ def _sparse(spark, sf_dir):
     asked = chunks.where("chunk_id % 20 = 0")
     none = F.array().cast("array<string>")
     asked = asked.select(F.col("chunk_id").alias("query_id"), none.alias("terms"), F.array().cast("array<array<string>>").alias("phrases"), F.slice(retrieval.terms_of("content_raw"), 1, 1).alias("any_of"), none.alias("none_of"))
-    index = retrieval.postings(chunks, wanted=retrieval.asked_terms(asked).select("term").distinct())
-    return retrieval.sparse(asked, index, 10)
+    index = retrieval.asked_of_index(spark, stored_index(spark, sf_dir), retrieval.asked_terms(asked))
+    return retrieval.sparse(asked, index.drop("document_id").join(_chunks(spark, sf_dir).select("chunk_id", "document_id"), "chunk_id"), 10)
 
 
 def _fused(spark, sf_dir):
@@ -619,7 +634,8 @@ def inverted_index(spark, sf_dir):
 )
 def sparse_search(spark, sf_dir):
     q = spark.createDataFrame([(1, ["with"], [["of", "the"]], [], ["from"])], "query_id long, terms array<string>, phrases array<array<string>>, any_of array<string>, none_of array<string>")
-    return retrieval.sparse(q, _index(spark, sf_dir, retrieval.asked_terms(q).select("term")), 25).select("chunk_id", F.round("score", 9).alias("score"), F.col("sparse_rank").cast("long").alias("sparse_rank"))
+    index = retrieval.asked_of_index(spark, stored_index(spark, sf_dir), retrieval.asked_terms(q))
+    return retrieval.sparse(q, index, 25).select("chunk_id", F.round("score", 9).alias("score"), F.col("sparse_rank").cast("long").alias("sparse_rank"))
 
 
 @query(

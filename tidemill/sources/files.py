@@ -253,3 +253,12 @@ def joined_page_tables(tables: DataFrame) -> DataFrame:
 
 
 __all__ = ["changed_files", "document_kind", "export_markdown", "header_names", "joined_page_tables", "read_corpus", "read_csv_table", "read_xlsx_table", "split_tables", "table_of_cells", "without_running_lines", "xlsx_nodes"]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores if it comes in fewer parts than there are; a table of many files stays as it is.
+
+    For expressions that cost more than moving their rows, on tables of one row group.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

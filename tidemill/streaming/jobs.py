@@ -12,8 +12,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
@@ -106,18 +108,59 @@ def anchored_limit_batch(events: DataFrame, key: str, ts: str, most: int = 5, se
     fresh = F.coalesce(F.col("_at") - F.lag("_at").over(by) >= seconds * 1_000_000, F.lit(True))
     runs = timed.withColumn("_new", fresh.cast("int")).withColumn("_run", F.sum("_new").over(by))
 
-    def count(run: pa.Table) -> pa.Table:
-        run = run.sort_by("_at")
-        at, n = run["_at"].to_numpy(), np.empty(run.num_rows, np.int64)
-        begin = 0
-        while begin < len(at):
-            end = int(np.searchsorted(at, at[begin] + seconds * 1_000_000))
-            n[begin:end] = np.arange(1, end - begin + 1)
-            begin = end
-        return run.select([key, ts]).append_column("n", pa.array(n)).append_column("allowed", pa.array(n <= most))
+    kinds = {f.name: f.dataType for f in runs.schema.fields}
+    schema = T.StructType([T.StructField(key, kinds[key]), T.StructField(ts, kinds[ts]), T.StructField("n", T.LongType()), T.StructField("allowed", T.BooleanType())])
+    ordered = runs.select(key, ts, "_run", "_at").repartition(key, "_run").sortWithinPartitions(key, "_run", "_at")
+    return ordered.mapInArrow(_counted(key, ts, most, seconds * 1_000_000), schema)
 
-    kind = dict(events.dtypes)
-    return runs.groupBy(key, "_run").applyInArrow(count, f"{key} {kind[key]}, {ts} {kind[ts]}, n long, allowed boolean")
+
+def window_places(at: np.ndarray, run: np.ndarray, span: int, begun: int | None = None, n: int = 0) -> tuple[np.ndarray, int]:
+    """(number of each event in its window, begin of the last event's window) for events in order of (run, time).
+
+    A window begins at the first event after the last one's end, anew in each run.  The first run may go on
+    from a window with its begin and number of events so far.
+    """
+    first = np.flatnonzero(np.diff(run, prepend=run[0] - 1))
+    ends = np.append(first[1:], len(at))
+    # a time that grows over all runs: one search finds the end of every run's window
+    gap = int(at.max() - at.min()) + span + 1
+    line = at - at.min() + (np.cumsum(np.diff(run, prepend=run[0]) != 0)) * gap
+    out, start = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    begin = first.copy()
+    if begun is not None:
+        own = min(int(np.searchsorted(at[: ends[0]], begun + span)), int(ends[0]))
+        out[:own], start[:own] = n + np.arange(1, own + 1), begun
+        begin[0] = own
+    live = begin < ends
+    while live.any():
+        at_begin, at_end = begin[live], np.minimum(np.searchsorted(line, line[begin[live]] + span), ends[live])
+        sizes = at_end - at_begin
+        rows = np.repeat(at_begin, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out[rows], start[rows] = rows - np.repeat(at_begin, sizes) + 1, np.repeat(at[at_begin], sizes)
+        begin[live] = at_end
+        live = begin < ends
+    return out, int(start[-1])
+
+
+def _counted(key: str, ts: str, most: int, span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of a sorted partition; the window that a batch ends in goes on in the next one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, begun, n = None, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(key)
+            same = pc.fill_null(pc.equal(keys[:-1], keys[1:]), False).to_numpy(zero_copy_only=False) if len(keys) > 1 else np.zeros(0, bool)
+            null = keys.is_null().to_numpy(zero_copy_only=False)
+            number = batch.column("_run").to_numpy(zero_copy_only=False)
+            runs = np.concatenate([[0], np.cumsum(~(same | (null[:-1] & null[1:])) | (np.diff(number) != 0))])
+            goes_on = last == (keys[0].as_py(), int(number[0]))
+            counts, begun = window_places(batch.column("_at").to_numpy(zero_copy_only=False), runs, span, begun if goes_on else None, n)
+            last, n = (keys[-1].as_py(), int(number[-1])), int(counts[-1])
+            yield pa.RecordBatch.from_arrays([keys, batch.column(ts), pa.array(counts), pa.array(counts <= most)], names=[key, ts, "n", "allowed"])
+
+    return run
 
 
 def due_steps(goals: DataFrame, today: Column) -> DataFrame:
