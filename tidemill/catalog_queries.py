@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import dates, extract, ids, text, vectors
-from .operators import ann, catalog, chunking, conversations, retrieval, telemetry, versions
+from .operators import ann, catalog, chunking, conversations, graphs, retrieval, telemetry, versions
 from .plans import dag
 from .plans.table_plan import compile_plan
-from .sources import files
+from .sources import files, html_tables
 from .sources.shared import shared_path
 from .streaming import jobs
 
@@ -324,6 +324,53 @@ def replaced_children(spark, sf_dir):
 
 
 
+
+@query(
+    """WITH RECURSIVE w(id, d) AS (SELECT 0::bigint, 0 UNION SELECT o_orderkey, d + 1 FROM w JOIN orders ON o_orderkey > 0 AND (o_orderkey // 4 = id OR o_orderkey // 3 = id))
+    SELECT id, max(d)::int AS depth FROM w GROUP BY 1"""
+)
+def graph_depths(spark, sf_dir):
+    """Orders that wait for those of a quarter and of a third of their number."""
+    k = F.col("o_orderkey")
+    o = read(spark, sf_dir, "orders")
+    needs = o.where(k > 0).select(k.alias("id"), F.explode(F.array(F.floor(k / 4), F.floor(k / 3))).alias("needs"))
+    return graphs.depths(needs, o.select(k.alias("id")))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 3 = 0 AS no_price, o_orderkey % 2 = 1 AS no_day, round(o_totalprice)::bigint + 1000 AS p FROM orders)
+    SELECT k AS order_id, '## Đơn' || chr(10) || '- ' || CASE WHEN no_price THEN '' ELSE 'Giá là ' || p // 1000 || '.' || lpad((p % 1000)::varchar, 3, '0') || '. ' END || 'Số dòng: 7 [12].'
+        || CASE WHEN no_day THEN '' ELSE chr(10) || chr(10) || 'Giao sau ' || (100 + k % 50) || ' ngày.' END AS text,
+      1 AS n_meta, no_price::int + no_day::int AS n_unverified FROM o"""
+)
+def sentence_gates(spark, sf_dir):
+    """A report on each order, of which the evidence lacks the price or the day; a sentence about the sources is in all."""
+    k, p = F.col("o_orderkey"), F.round("o_totalprice").cast("long") + 1000
+    price = F.concat(F.floor(p / 1000).cast("string"), F.lit("."), F.lpad((p % 1000).cast("string"), 3, "0"))
+    day = (100 + k % 50).cast("string")
+    text_ = F.concat(F.lit("## Đơn\n- Giá là "), price, F.lit(". Chưa đủ dữ liệu để so sánh. Số dòng: 7 [12].\n\nGiao sau "), day, F.lit(" ngày."))
+    evidence = F.concat(F.lit("giá "), F.when(k % 3 == 0, "11").otherwise(p.cast("string")), F.lit(", giao: "), F.when(k % 2 == 1, "11").otherwise(day))
+    out = read(spark, sf_dir, "orders").select(k.alias("order_id"), extract.gated(text_, evidence).alias("g"))
+    return out.select("order_id", "g.text", F.size("g.meta").alias("n_meta"), F.size("g.unverified").alias("n_unverified"))
+
+
+@query(
+    """SELECT o_custkey AS page_id, 0 AS table_no, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey))::int AS row_no,
+      o_custkey || ' & co' AS customer, o_orderkey::varchar AS order_id, o_orderstatus AS status, o_orderstatus AS status_again FROM orders"""
+)
+def html_grid(spark, sf_dir):
+    """A page for each customer, whose table has the customer once, over all orders, and the status over two columns."""
+    cell = lambda tag, c, more="": F.concat(F.lit(f"<{tag}{more}>"), c, F.lit(f"</{tag}>"))
+    o = read(spark, sf_dir, "orders").select("o_custkey", F.struct("o_orderkey", F.concat(cell("TD", F.concat(F.lit(" <b>"), F.col("o_orderkey").cast("string"), F.lit("</b>"))), cell("td", F.col("o_orderstatus"), " colspan='2'")).alias("cells")).alias("r"))
+    own = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list("r")).alias("rows"))
+    name = F.concat(F.lit('<td class="x" rowspan="'), F.size("rows").cast("string"), F.lit('">'), F.col("o_custkey").cast("string"), F.lit(" &amp; co</td>"))
+    rows = F.array_join(F.transform("rows", lambda r, i: F.concat(F.lit("<tr>"), F.when(i == 0, name).otherwise(""), r["cells"], F.lit("</tr>"))), "\n")
+    page = F.concat(F.lit("<p>orders<table border=1><tr><th>c<th>o<th colspan=2>s</tr>"), rows, F.lit("</table>"))
+    found = html_tables.table_rows(own.select(F.col("o_custkey").alias("page_id"), page.alias("html"))).where("not header")
+    c = F.col("cells")
+    return found.select("page_id", "table_no", "row_no", c[0].alias("customer"), c[1].alias("order_id"), c[2].alias("status"), c[3].alias("status_again"))
+
+
 @query(
     """WITH d AS (SELECT doc_id, doc_id // 2 AS logical, doc_id % 2 + 1 AS place, sha256(coalesce(text, '')) AS content_hash, len(coalesce(text, '')) AS n FROM documents),
     v AS (SELECT *, place - count(*) FILTER (content_hash = before) OVER (PARTITION BY logical ORDER BY place) AS version_number

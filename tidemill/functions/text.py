@@ -283,7 +283,7 @@ def glob(c: C, pattern: str) -> Column:
 
 
 def trigger_matches(c: C, trigger: str, token_subset: bool = False) -> Column:
-    """`/regex/` searches; else the folded phrase stands in the text between blanks, or before a mark.
+    """`/regex/` searches (one that is no pattern matches nothing); else the folded phrase stands in the text between blanks, or before a mark.
 
     With token_subset all of its words of two letters and more, in any order, are enough.
     """
@@ -291,6 +291,10 @@ def trigger_matches(c: C, trigger: str, token_subset: bool = False) -> Column:
 
     trigger = trigger.strip()
     if len(trigger) >= 2 and trigger[0] == trigger[-1] == "/":
+        try:
+            re.compile(trigger[1:-1])
+        except re.error:
+            return F.lit(False)
         return F.coalesce(col(c), F.lit("")).rlike("(?i)" + trigger[1:-1])
     phrase = fold_value(trigger)
     if not phrase:

@@ -252,9 +252,6 @@ def joined_page_tables(tables: DataFrame) -> DataFrame:
     return tables.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("table_no", F.sum("_new").over(order)).drop("_new")
 
 
-__all__ = ["changed_files", "document_kind", "export_markdown", "header_names", "joined_page_tables", "read_corpus", "read_csv_table", "read_xlsx_table", "split_tables", "table_of_cells", "without_running_lines", "xlsx_nodes"]
-
-
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt to all cores if it comes in fewer parts than there are; a table of many files stays as it is.
 
@@ -262,3 +259,6 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+__all__ = ["changed_files", "document_kind", "export_markdown", "header_names", "joined_page_tables", "read_corpus", "read_csv_table", "read_xlsx_table", "split_tables", "spread", "table_of_cells", "without_running_lines", "xlsx_nodes"]
