@@ -300,6 +300,7 @@ def trigger_matches(c: C, trigger: str, token_subset: bool = False) -> Column:
     if not phrase:
         return F.lit(False)
     folded = fold_or_empty(c)
+    # fixed values: what may stand around a phrase
     out = F.contains(folded, F.lit(phrase)) & folded.rlike(rf"(?:^|\s)\Q{phrase}\E(?:$|[\s.,!?;:])")
     wanted = sorted({w for w in re.findall(r"\w+", phrase) if len(w) > 1})
     if token_subset and wanted:
