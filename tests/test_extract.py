@@ -126,3 +126,20 @@ def test_dispatch(spark):
     got = [questions.dispatch("x", metadata=ids(n), with_content=True) for n in (0, 8, 9)]
     assert [(a.route, a.mode, a.rows is None, a.scope is None) for a in got] == [("CONTENT", "CORPUS", True, True), ("METADATA", "DOCUMENT_SEARCH", True, False), ("METADATA", "NONE", False, True)]
     assert questions.dispatch("x") == questions.Answer("CONTENT")
+
+
+def test_administrative_fields(spark):
+    from tidemill.functions import administrative as adm
+
+    lines = lambda *x: F.array(*map(F.lit, x))
+    get = lambda c: spark.range(1).select(c).first()[0]
+    assert get(adm.issuer(lines("  ", "CỘNG HÒA", "## ĐÀI TIẾNG NÓI VIỆT NAM - VOV", "BỘ Y TẾ"))) == "Đài Tiếng nói Việt Nam"
+    assert get(adm.issuer(lines("Số 5", "*UBND  TỈNH Hà Giang*"))) == "Ubnd Tỉnh Hà Giang"
+    assert get(adm.issuer(lines("Quyết định của Bộ Y tế", "không có"))) is None
+    assert get(adm.subject(lines("CHỈ THỊ", "về  tiết kiệm điện;", "ở các đơn vị", "và kho", "nữa", "Căn cứ"))) == "Về việc tiết kiệm điện; ở các đơn vị và kho"
+    assert get(adm.subject(lines("QUYẾT ĐỊNH Về việc phí.", "Điều 1"))) == "Về việc phí"
+    assert get(adm.subject(lines("Ban nói Về việc A", "xét đề nghị của B", "Về việc C"))) is None
+    assert get(adm.subject(lines("VỀ việc A", "Nơi nhận: b"))) == "Về việc A"
+    assert tuple(get(adm.signatory(lines("TỔNG GIÁM ĐỐC", "KT. TỔNG GIÁM ĐỐC", "PHÓ TỔNG GIÁM ĐỐC", "(đã ký)", "Nơi nhận", "Trần Hoà", "Lê Văn")))) == ("Trần Hoà", "Phó Tổng Giám đốc")
+    assert tuple(get(adm.signatory(lines("Hiệu trưởng", "Lưu: VT", "A.")))) == (None, "Hiệu trưởng")
+    assert get(adm.signatory(lines("không ai", "Lê Văn A"))) is None and get(adm.subject(F.lit(None).cast("array<string>"))) is None

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .catalog_queries import CORPUS, corpus, query, read
-from .functions import dates, extract, ids, text, vectors
+from .functions import administrative, dates, extract, ids, text, vectors
 from .operators import catalog, conversations, retrieval, telemetry
 
 NL = "chr(10)"
@@ -92,6 +92,29 @@ def abstentions(spark, sf_dir):
     return read(spark, sf_dir, "orders").select(k.alias("id"), F.coalesce(extract.abstains(question, evidence), F.lit(False)).alias("abstains"))
 
 
+@query(
+    """SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'Bộ Tài chính' WHEN 1 THEN 'Công Ty Kho ' || o_custkey ELSE '' END AS issuer,
+      CASE o_orderkey % 4 WHEN 0 THEN 'Về việc giao hàng ' || o_orderkey || ' cho kho' WHEN 1 THEN 'Về việc thu tiền ' || o_custkey WHEN 2 THEN 'Về việc nghỉ lễ' ELSE '' END AS subject,
+      CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'Nguyễn Thị Hoa' END AS name, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'Phó Giám đốc' WHEN 2 THEN 'Thứ trưởng' ELSE 'Chánh Văn phòng' END AS role FROM orders"""
+)
+def administrative_fields(spark, sf_dir):
+    """Issuer, subject and signatory of a letter on each order, in several layouts."""
+    k, number = F.col("o_orderkey"), _s("o_orderkey")
+    issuer = F.when(k % 3 == 0, "**BỘ TÀI CHÍNH**").when(k % 3 == 1, F.concat(F.lit("CÔNG TY KHO "), _s("o_custkey"))).otherwise("QUYẾT ĐỊNH CỤC THUẾ")
+    subject = (
+        F.when(k % 4 == 0, F.concat(F.lit("QUYẾT ĐỊNH Về việc giao hàng "), number, F.lit("\ncho kho.\nHà Nội")))
+        .when(k % 4 == 1, F.concat(F.lit("V/v: thu tiền "), _s("o_custkey"), F.lit(";")))
+        .when(k % 4 == 2, "THÔNG BÁO\nvề việc nghỉ lễ\nCăn cứ Luật")
+        .otherwise("Chúng tôi nói về việc khác\nCăn cứ Nghị định về việc phí\nVề việc sai")
+    )
+    head = F.split(F.concat(issuer, F.lit("\nCỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM\n\n"), subject), "\n")
+    role = F.when(k % 5 == 0, "Người lập").when(k % 5 == 1, "KT. GIÁM ĐỐC").when(k % 5 == 2, "THỨ TRƯỞNG").otherwise("TL. Chánh văn phòng")
+    tail = F.split(F.concat(F.lit("Giám đốc đã duyệt.\n# "), role, F.lit("\n(Đã ký)\nNơi nhận: VT\n  NGUYỄN thị Hoa  \nLưu kho")), "\n")
+    tail = F.when(k % 5 == 0, F.slice(tail, 2, 9)).otherwise(tail)
+    out = read(spark, sf_dir, "orders").select(k.alias("id"), administrative.issuer(head).alias("issuer"), administrative.subject(head).alias("subject"), administrative.signatory(tail).alias("s"))
+    return out.select("id", *(F.coalesce(c, F.lit("")).alias(n) for n, c in (("issuer", F.col("issuer")), ("subject", F.col("subject")), ("name", F.col("s.name")), ("role", F.col("s.role")))))
+
+
 # fields
 
 
