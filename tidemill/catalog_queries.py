@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import dates, extract, ids, text, vectors
-from .operators import ann, catalog, chunking, conversations, graphs, retrieval, telemetry, versions
+from .operators import ann, catalog, chunking, conversations, graphs, layout, retrieval, telemetry, versions
 from .plans import dag
 from .plans.table_plan import compile_plan
 from .sources import files, html_tables
@@ -371,6 +371,30 @@ def html_grid(spark, sf_dir):
     return found.select("page_id", "table_no", "row_no", c[0].alias("customer"), c[1].alias("order_id"), c[2].alias("status"), c[3].alias("status_again"))
 
 
+
+@query(
+    """WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS z FROM orders)
+    SELECT c AS document_id, 1 AS page, 0 AS place, 1 AS level, 'Khách ' || c AS text, '' AS path FROM o WHERE n = 1
+    UNION ALL SELECT c, n, 1, 2, 'Đơn ' || k, 'Khách ' || c || CASE WHEN z IS NULL THEN '' ELSE '>Đơn ' || z || CASE WHEN z % 2 = 0 THEN '>Ghi chú' ELSE '' END END FROM o
+    UNION ALL SELECT c, n, 2, 0, 'Giao đúng hạn, trả tiền khi nhận hàng, số ' || k || '.', 'Khách ' || c || '>Đơn ' || k FROM o
+    UNION ALL SELECT c, n, 3, 3, 'Ghi chú', 'Khách ' || c || '>Đơn ' || k FROM o WHERE k % 2 = 0"""
+)
+def heading_tree(spark, sf_dir):
+    """A document for each customer, a page for each order: title, order and note by the size and weight of their fonts."""
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    o = read(spark, sf_dir, "orders").select(c, k, F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("page"))
+    block = lambda place, size, bold, *lines: F.struct(F.lit(place).alias("place"), F.lit(size).alias("size"), F.lit(bold).alias("bold"), F.array(*lines).alias("lines"))
+    made = F.array(
+        F.when(F.col("page") == 1, block(0, 18.0, False, F.concat(F.lit("Khách "), c.cast("string")))),
+        block(1, 14.2, False, F.concat(F.lit("Đơn "), k.cast("string"))),
+        block(2, 10.0, False, F.lit("Giao đúng hạn, trả tiền"), F.concat(F.lit("khi nhận hàng, số "), k.cast("string"), F.lit("."))),
+        F.when(k % 2 == 0, block(3, 10.0, True, F.lit(" Ghi chú "))),
+    )
+    blocks = o.select(c.alias("document_id"), "page", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("b")).select("document_id", "page", "b.*")
+    out = layout.heading_tree(blocks)
+    return out.select("document_id", F.col("page").cast("long").alias("page"), "place", F.coalesce("level", F.lit(0)).alias("level"), "text", F.array_join("heading_path", ">").alias("path"))
+
+
 @query(
     """WITH d AS (SELECT doc_id, doc_id // 2 AS logical, doc_id % 2 + 1 AS place, sha256(coalesce(text, '')) AS content_hash, len(coalesce(text, '')) AS n FROM documents),
     v AS (SELECT *, place - count(*) FILTER (content_hash = before) OVER (PARTITION BY logical ORDER BY place) AS version_number
