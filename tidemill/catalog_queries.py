@@ -899,13 +899,14 @@ def all_words_match(spark, sf_dir):
 
 
 @query(
-    r"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Quyết định đã được phê duyệt ' || substr(text, 1, 40) WHEN 1 THEN substr(text, 1, 200) ELSE '' END AS t FROM documents),
+    r"""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN repeat('Quyết định đã được phê duyệt ', (1 + length(coalesce(text, '')) // 100)::int) ELSE '' END || coalesce(text, '') AS t FROM documents),
     n AS (SELECT doc_id, len(regexp_extract_all(t, '\p{L}')) AS n, len(regexp_extract_all(lower(t), '[ăâđêôơưàảãáạằẳẵắặầẩẫấậèẻẽéẹềểễếệìỉĩíịòỏõóọồổỗốộờởỡớợùủũúụừửữứựỳỷỹýỵ]')) AS own FROM t)
     SELECT doc_id, CASE WHEN n > 0 AND own >= 0.02 * n THEN 'vi' ELSE 'en' END AS lang FROM n"""
 )
 def vietnamese_or_english(spark, sf_dir):
-    k = F.col("doc_id") % 3
-    t = F.when(k == 0, F.concat(F.lit("Quyết định đã được phê duyệt "), F.substring("text", 1, 40))).when(k == 1, F.substring("text", 1, 200)).otherwise("")
+    whole = F.coalesce("text", F.lit(""))
+    said = F.repeat(F.lit("Quyết định đã được phê duyệt "), (1 + F.floor(F.length(whole) / 100)).cast("int"))
+    t = F.concat(F.when(F.col("doc_id") % 3 == 0, said).otherwise(""), whole)
     return read(spark, sf_dir, "documents").select("doc_id", text.vietnamese_or_english(t).alias("lang"))
 
 
@@ -1127,21 +1128,22 @@ def document_outline(spark, sf_dir):
 @query("SELECT doc_id, generate_series AS page, (generate_series % 2 = 0)::int + 1 AS n FROM documents, generate_series(1, 3)")
 def chunk_pages(spark, sf_dir):
     """Three pages, the second with two sections: the parents that are on each."""
-    t = F.concat(F.lit("# A\n\n"), F.substring("source", 1, 20), F.lit("\f# B\n\nx\n\n# C\n\ny\f# D\n\nz"))
+    t = F.concat(F.lit("# A\n\n"), F.col("source"), F.lit("\f# B\n\nx\n\n# C\n\ny\f# D\n\nz"))
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), t.alias("text"))
     c = chunking.chunks(d).where("hierarchy_level = 0 and page_start = page_end")
     return c.groupBy(F.col("document_id").cast("long").alias("doc_id"), F.col("page_start").cast("long").alias("page")).agg(F.count("*").cast("int").alias("n"))
 
 
 @query(
-    r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, 20) || repeat('�', doc_id::int % 40) WHEN doc_id % 7 = 0 THEN '' ELSE coalesce(text, '') END AS t, doc_id % 5 <> 0 AND doc_id % 7 = 0 AS empty FROM documents),
+    r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN coalesce(text, '') || repeat('�', (length(coalesce(text, '')) * (doc_id % 4) // 6)::int) WHEN doc_id % 7 = 0 THEN '' ELSE coalesce(text, '') END AS t, doc_id % 5 <> 0 AND doc_id % 7 = 0 AS empty FROM documents),
     b AS (SELECT *, length(regexp_replace(t, '[^\x00-\x1f\x7f-\x{9f}�]', '', 'g')) AS bad FROM t)
     SELECT doc_id, CASE WHEN bad > 0.25 * length(t) THEN 'CORRUPT' WHEN empty OR (doc_id % 3 = 0 AND length(t) < 64) THEN CASE WHEN doc_id % 2 = 0 THEN 'NEEDS_OCR' ELSE 'CORRUPT' END ELSE 'PARSED' END AS status FROM b"""
 )
 def parse_quality(spark, sf_dir):
     n, none = F.col("doc_id"), F.array().cast("array<string>")
-    garbage = F.array(F.substring("text", 1, 20), F.repeat(F.lit("�"), (n % 40).cast("int")))
-    nodes = F.when(n % 5 == 0, garbage).when(n % 7 == 0, none).otherwise(F.array(F.coalesce("text", F.lit(""))))
+    whole = F.coalesce("text", F.lit(""))
+    garbage = F.array(whole, F.repeat(F.lit("�"), F.floor(F.length(whole) * (n % 4) / 6).cast("int")))
+    nodes = F.when(n % 5 == 0, garbage).when(n % 7 == 0, none).otherwise(F.array(whole))
     verdict = text.parse_verdict(nodes, F.when(n % 3 == 0, 300_000).otherwise(1000), n % 2 == 0)
     return read(spark, sf_dir, "documents").select("doc_id", verdict["status"].alias("status"))
 
