@@ -250,3 +250,13 @@ def test_shared_folder_is_named_on_a_cluster():
 
     with pytest.raises(ValueError):
         storage.shared_dir(Session)
+
+
+def test_bins_hold_two_pieces_of_a_source(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(10)), "abc"[i % 3]) for i in range(60)]
+    out = packing.packed(spark.createDataFrame(rows, "doc_id long, text string, source string"), capacity=100, group_rows=16).collect()
+    held: dict[tuple[str, str], int] = {}
+    for r in out:
+        key = (r["bin_id"], "abc"[r["doc_id"] % 3])
+        held[key] = held.get(key, 0) + 1
+    assert sum(held.values()) == 60 and max(held.values()) == packing.PER_SOURCE
