@@ -482,6 +482,31 @@ def test_words_are_scored_by_what_stands_before(spark, few_steps):
     assert right > wrong + 40 * 0.2
 
 
+def test_every_place_trains_the_network(spark, monkeypatch):
+    """In several shards and rounds; the network does not depend on how the rows are dealt."""
+    monkeypatch.setattr(neurallm, "STEPS", 1)
+    rng = random.Random(17)
+    docs = frame(spark, [sentence(rng, 60, 200) for _ in range(400)] + [None, "", "word " * 3000])
+    trained, weights = neurallm._trained, Counter()
+
+    def counted(encoded, model, shards, rounds):
+        assert shards > 2 and rounds == neurallm.ROUNDS
+        shared = spark.sparkContext.broadcast((model, *model.start()))
+        for k in range(rounds):
+            own = encoded.where(F.col("round") == k).select("shard", "low", "high")
+            run = neurallm._train_shards(shared, (0.0, 1.0), 1000, 1, k)
+            for r in own.mapInArrow(run, f"row long, weight double, {', '.join(f'{c} float' for c in neurallm.ROWS)}").select("row", "weight").collect():
+                weights["contexts" if r.row < model.contexts else r.row - model.contexts] += r.weight
+        return trained(encoded, model, shards, rounds)
+
+    monkeypatch.setattr(neurallm, "_trained", counted)
+    model, _ = neurallm.train(docs)
+    monkeypatch.setattr(neurallm, "_trained", trained)
+    assert weights.pop("contexts") == neurallm.POSITIONS * model.total and set(weights.values()) == {model.total}
+    again, _ = neurallm.train(docs.repartition(5))
+    assert np.allclose(model.r, again.r, atol=1e-3)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(15)
     base = rng.normal(size=(40, 16))

@@ -14,9 +14,14 @@ bytes, places before the document's begin by one for that.
     P(w | class, q) = n(w) exp(q . D[w] + e[w]) / T(class, q)   for words of the head
     P(w | class, q) = n(w) / n(class)                           for all others
 
-E, C, R and b are trained on the driver, in numpy, by noise-contrastive estimation on about
-`windows` places of the training documents (twice as many at most), drawn by a hash of document and place; noise classes come
-from the classes' counts.  Every word of the head has a vector D from all of its occurrences: one
+E, C, R and b are trained by noise-contrastive estimation on every place of the training documents;
+noise classes come from the classes' counts.  A hash of id and text deals the documents to shards of
+at least STEPS * BATCH places and, within a shard, to ROUNDS.  In a round each shard takes its places
+in steps of about BATCH from the network that all shards begin with; then a context's vector becomes
+the mean of the shards' weighted by its occurrences, and the others that weighted by places.  Fewer
+places are one shard, which takes all of them again and again until it made STEPS steps.
+
+Every word of the head has a vector D from all of its occurrences: one
 Newton step of the likelihood from the word's share of its class, with a prior as strong as PRIOR
 occurrences; e keeps the share, for contexts spread as those of the class.  Z and T are sums over all
 classes, and over all words of a class, from batched matrix products: every token gets a normalised
@@ -42,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import staged
+from .storage import drop, staged
 from .textkit import WORDS_SPACE, Words, batches, mix
 
 HEAD = 65_536
@@ -52,11 +57,13 @@ SUFFIXES = 256
 TAILS = 64
 POSITIONS = 3
 WIDTH = 24
-#: places that the network is trained on, steps, and what a step draws
-WINDOWS = 1_000_000
+#: least steps of a shard, a step's places and noise classes, and how often the shards' networks are averaged
 STEPS = 1500
 BATCH = 4096
 NOISE = 64
+ROUNDS = 8
+#: places of a shard that are taken in an order of their own
+MIXED = 1 << 20
 #: occurrences that the prior of a word's vector weighs
 PRIOR = 8.0
 #: the end token's hash; words' hashes are mixed, and none is expected to meet it
@@ -68,7 +75,7 @@ BLOCK = 1024
 #: scores above which, and sums of exponentials below which, the largest score is taken off first
 LARGE, SMALL = 60.0, 1e-20
 #: tokens whose neighbours are summed at once
-SUMMED = 1 << 18
+SUMMED = 1 << 16
 
 
 def tokens(words: Words, suffixes: int = SUFFIXES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +96,7 @@ def tokens(words: Words, suffixes: int = SUFFIXES) -> tuple[np.ndarray, np.ndarr
 class Model:
     """What the workers need: the head with its counts and classes, and the network."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, types: int, frequent: int = FREQUENT):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, suffixes: np.ndarray, total: int, types: int, frequent: int = FREQUENT):
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         self.rank = order  # words come by descending count: a word's place in that order
@@ -97,29 +104,51 @@ class Model:
         self.head, self.total, self.types = len(hashes), total, types
         self.frequent = min(self.head, max(frequent, 2 * int(types**0.5)))
         self.contexts = self.frequent + SUFFIXES + 1
+        # a token's code is its place in the head, or the head's size and its suffix class
+        self.own = np.concatenate([np.arange(self.frequent), self.frequent + suffixes[self.frequent :], self.frequent + np.arange(SUFFIXES)]).astype(np.int64)
         self.unseen = -np.log10(total + types + 1)
         self.tables: list[tuple[int, np.ndarray]] = []
+        # places in `hashes` by the first bits, the last of each
+        self.bits = np.uint64(64 - max(1, 4 + self.head.bit_length()))
+        self.slots = np.zeros(1 << (64 - int(self.bits)), np.int32)
+        self.slots[self.hashes >> self.bits] = np.arange(self.head)
+        first = np.flatnonzero(self.hashes[:-1] >> self.bits == self.hashes[1:] >> self.bits)
+        self.crowded = self.hashes[first], first  # those that others took the slots of
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count in the head, else -1; place in the head, else its size) of each token."""
         if not self.head:
             return np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), self.head - 1)
-        known = self.hashes[at] == hashes
-        return np.where(known, self.counts[at], -1), np.where(known, self.rank[at], self.head)
-
-    def context(self, rank: np.ndarray, suffix: np.ndarray, bounds: np.ndarray, back: int) -> np.ndarray:
+        at = self.slots.take((hashes >> self.bits).astype(np.int64))
+        known = self.hashes.take(at) == hashes
+        if len(self.crowded[0]):
+            left = np.flatnonzero(~known)
+            k = np.minimum(np.searchsorted(self.crowded[0], hashes[left]), len(self.crowded[0]) - 1)
+            same = self.crowded[0][k] == hashes[left]
+            at[left[same]], known[left[same]] = self.crowded[1][k[same]], True
+        return np.where(known, self.counts.take(at), -1), np.where(known, self.rank.take(at), self.head)
+
+    def codes(self, rank: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        return np.where(rank < self.head, rank, self.head + suffix)
+
+    def context(self, codes: np.ndarray, bounds: np.ndarray, back: int) -> np.ndarray:
         """The context of each token that is the token `back` places before it in its document (behind it, if negative)."""
-        own = np.where(rank < self.frequent, rank, self.frequent + suffix)
-        at = np.arange(len(own)) - back
-        low, high = (np.repeat(b, np.diff(bounds)) for b in (bounds[:-1], bounds[1:]))
-        return np.where((at >= low) & (at < high), own[np.clip(at, 0, len(own) - 1)], self.contexts - 1)
-
-    def vectors(self, rank: np.ndarray, suffix: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """The sum of the tables' rows for the contexts of each token."""
-        out = np.zeros((len(rank), WIDTH), np.float32)
+        own, out = self.own.take(codes), np.full(len(codes), self.contexts - 1)
+        if back > 0:
+            out[back:] = own[:-back]
+        else:
+            out[:back] = own[-back:]
+        for k in range(abs(back)):
+            edge = bounds[:-1] + k if back > 0 else bounds[1:] - 1 - k
+            out[edge[(edge >= bounds[:-1]) & (edge < bounds[1:])]] = self.contexts - 1
+        return out
+
+    def vectors(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The sum of the tables' rows for the contexts of each token, and a column of ones."""
+        out, held = np.zeros((len(codes), WIDTH + 1), np.float32), np.empty((len(codes), WIDTH), np.float32)
         for back, table in self.tables:
-            out += table[self.context(rank, suffix, bounds, back)]
+            out[:, :WIDTH] += table.take(self.context(codes, bounds, back), axis=0, out=held, mode="clip")
+        out[:, WIDTH] = 1
         return out
 
     # classes
@@ -155,69 +184,44 @@ class Model:
         self.outputs = self.classes + TAILS
         self.sizes = np.concatenate([[self.by_rank[g].sum() for g in self.members], tails])
 
-    def output(self, rank: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        self.class_of_code = np.concatenate([self.class_of, self.classes + np.arange(SUFFIXES) % TAILS])
+
+    def output(self, codes: np.ndarray) -> np.ndarray:
         """The class of each token."""
-        padded = np.append(self.class_of, 0)
-        return np.where(rank < self.head, padded[rank], self.classes + suffix % TAILS)
+        return self.class_of_code.take(codes)
 
     # the network
 
-    def fit(self, windows: np.ndarray, seed: int = 5) -> None:
-        """windows: rows of the contexts at the positions, and the class."""
+    def start(self, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+        """The network before its training, as rows of E, of R and b, and of each C; the squares of its gradients so far."""
         rng = np.random.default_rng(seed)
-        context, target = windows[:, :POSITIONS], windows[:, POSITIONS]
         noise = self.sizes / max(self.sizes.sum(), 1)
-        log_noise = np.log(np.maximum(NOISE * noise, 1e-30))
-        e = rng.normal(0, 0.1, (self.contexts, WIDTH))
-        c = [np.eye(WIDTH) * 0.7**k + rng.normal(0, 0.01, (WIDTH, WIDTH)) for k in range(POSITIONS)]
-        r = rng.normal(0, 0.1, (self.outputs, WIDTH))
-        b = np.log(np.maximum(noise, 1e-30))
-        if len(windows):
-            noise_total = np.cumsum(noise)
-            squares = [np.full_like(x, 1e-2) for x in (e, r, b, *c)]
-            for step in range(STEPS):
-                pick = rng.integers(0, len(windows), BATCH)
-                at, w = context[pick], target[pick]
-                rows = [e[at[:, k]] for k in range(POSITIONS)]
-                q = sum(x @ m for x, m in zip(rows, c, strict=True))
-                # one set of noise classes for the whole batch: its scores are a matrix product
-                drawn = np.searchsorted(noise_total, rng.random(NOISE) * noise_total[-1], side="right").clip(0, self.outputs - 1)
-                good = np.einsum("ij,ij->i", q, r[w]) + b[w] - log_noise[w]
-                bad = q @ r[drawn].T + b[drawn] - log_noise[drawn]
-                up, down = 1 / (1 + np.exp(good)), -1 / (1 + np.exp(-bad))
-                g = up[:, None] * r[w] + down @ r[drawn]
-                both = np.concatenate([w, drawn])
-                grads = [
-                    _added(at.T.ravel(), np.concatenate([g @ m.T for m in c]), len(e)),
-                    _added(both, np.concatenate([up[:, None] * q, down.T @ q]), len(r)),
-                    _added(both, np.concatenate([up, down.sum(axis=0)]), len(b)),
-                    *(x.T @ g for x in rows),
-                ]
-                rate = 0.3 * (1 - 0.9 * step / STEPS)
-                for k, (x, grad, square) in enumerate(zip((e, r, b, *c), grads, squares, strict=True)):
-                    grad = grad * (100 / BATCH)
-                    square += grad * grad
-                    x += (rate if k < 3 else 0.1 * rate) * grad / np.sqrt(square)
-        self.r, self.b = r.astype(np.float32), np.where(self.sizes > 0, b, -1e30).astype(np.float32)
-        self.tables = [(k + 1, (e @ m).astype(np.float32)) for k, m in enumerate(c)]
-        self.spread = self._spread(context, target)
-
-    def _spread(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Covariance of the contexts' vectors within the classes, block by block."""
-        count, sums, square = np.zeros(self.outputs), np.zeros((self.outputs, WIDTH)), np.zeros((WIDTH, WIDTH))
-        for i in range(0, len(target), BLOCK):
-            own = target[i : i + BLOCK]
-            q = sum(table[context[i : i + BLOCK, k]] for k, (_, table) in enumerate(self.tables)).astype(np.float64)
-            count += np.bincount(own, minlength=self.outputs)
-            sums += _added(own, q, self.outputs)
-            square += q.T @ q
-        means = sums / np.maximum(count, 1)[:, None]
-        return (square - (means * count[:, None]).T @ means) / max(len(target), 1)
-
-    def fit_words(self, sums: np.ndarray) -> None:
-        """Vectors of the head's words from the sums of their contexts' vectors."""
+        rows = np.zeros((self.contexts + self.outputs + POSITIONS * WIDTH, WIDTH + 1), np.float32)
+        e, r, c = self.parts(rows)
+        e[:] = rng.normal(0, 0.1, e.shape)
+        r[:, :WIDTH], r[:, WIDTH] = rng.normal(0, 0.1, (self.outputs, WIDTH)), np.log(np.maximum(noise, 1e-30))
+        for k in range(POSITIONS):
+            c[k][:] = np.eye(WIDTH) * 0.7**k + rng.normal(0, 0.01, (WIDTH, WIDTH))
+        return rows, np.full_like(rows, 1e-2)
+
+    def parts(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Views of E, of R with b, and of each C."""
+        last = self.contexts + self.outputs
+        return rows[: self.contexts, :WIDTH], rows[self.contexts : last], [rows[last + k * WIDTH : last + (k + 1) * WIDTH, :WIDTH] for k in range(POSITIONS)]
+
+    def use(self, rows: np.ndarray) -> None:
+        """Take the trained network."""
+        e, r, c = self.parts(rows)
+        self.r, self.b = r[:, :WIDTH].copy(), np.where(self.sizes > 0, r[:, WIDTH], -1e30).astype(np.float32)
+        self.tables = [(k + 1, e @ m) for k, m in enumerate(c)]
+
+    def fit_words(self, sums: np.ndarray, tails: np.ndarray, square: np.ndarray) -> None:
+        """Vectors of the head's words from the sums of their contexts' vectors, those of the other classes, and the sum of the vectors' squares."""
         n = self.by_rank[:, None]
         per_class = _added(self.class_of, sums, self.classes) / self.sizes[: self.classes, None] if self.head else np.zeros((0, WIDTH))
+        # the covariance of the contexts' vectors within the classes
+        means = np.concatenate([per_class, tails / np.maximum(self.tails, 1)[:, None]])
+        self.spread = (square - (means * self.sizes[:, None]).T @ means) / max(self.total, 1)
         own = per_class[self.class_of]
         inverse = np.linalg.pinv(self.spread + 0.01 * max(np.trace(self.spread) / WIDTH, 1e-12) * np.eye(WIDTH))
         d = (sums / np.maximum(n, 1) - own) @ inverse * (n / (n + PRIOR))
@@ -228,23 +232,25 @@ class Model:
 
     def class_log10(self, q: np.ndarray, output: np.ndarray) -> np.ndarray:
         """log10 P(class | q), by products of blocks of tokens with all classes."""
-        out, q, table = np.empty(len(q)), _biased(q, 1.0), _biased(self.r, self.b)
+        out, table = np.empty(len(q)), _biased(self.r, self.b)
+        held = np.empty(BLOCK * self.outputs, np.float32)
         for i in range(0, len(q), BLOCK):
-            out[i : i + BLOCK] = _log10_share(q[i : i + BLOCK], table, output[i : i + BLOCK])
+            out[i : i + BLOCK] = _log10_share(q[i : i + BLOCK], table, output[i : i + BLOCK], held)
         return out
 
     def word_log10(self, q: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """log10 P(w | class, q) of words of the head, by products of a class's tokens with its words."""
         out, own = np.empty(len(q)), self.class_of[rank]
-        order = np.argsort(own, kind="stable")
+        order = np.argsort(own.astype(np.uint16) if self.classes < 1 << 16 else own, kind="stable")
         cuts = np.searchsorted(own[order], np.arange(self.classes + 1))
-        q, place = _biased(q, 1.0)[order], self.place_of[rank][order]
+        q, place = q.take(order, axis=0), self.place_of[rank][order]
         shares = np.empty(len(q))
+        held = np.empty(BLOCK * max((len(g) for g in self.members), default=0), np.float32)
         for k in np.flatnonzero(np.diff(cuts)):
             table = _biased(*self.words[k])
             for i in range(cuts[k], cuts[k + 1], BLOCK):
                 at = slice(i, min(i + BLOCK, cuts[k + 1]))
-                shares[at] = _log10_share(q[at], table, place[at])
+                shares[at] = _log10_share(q[at], table, place[at], held)
         out[order] = shares
         return out
 
@@ -257,19 +263,17 @@ class Model:
         return out
 
 
-def _biased(x: np.ndarray, bias: np.ndarray | float) -> np.ndarray:
-    """x with one more column."""
-    out = np.empty((len(x), x.shape[1] + 1), np.float32)
-    out[:, :-1], out[:, -1] = x, bias
-    return out
+def _biased(x: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """x with one more column, column by column."""
+    return np.ascontiguousarray(np.concatenate([x, bias[:, None]], axis=1).T, np.float32)
 
 
-def _log10_share(q: np.ndarray, table: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log10 of the softmax of each row of q over the rows of table, at one of them.
+def _log10_share(q: np.ndarray, table: np.ndarray, at: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """log10 of the softmax of each row of q over the columns of table, at one of them; held: room for the scores.
 
     Scores are rarely far from 0, so that the largest is taken off only in blocks that need it.
     """
-    s = q @ table.T
+    s = np.matmul(q, table, out=held[: len(q) * table.shape[1]].reshape(len(q), -1))
     own = s[np.arange(len(s)), at].astype(np.float64)
     if len(s) and s.max() > LARGE:
         top = s.max(axis=1, keepdims=True)
@@ -280,12 +284,87 @@ def _log10_share(q: np.ndarray, table: np.ndarray, at: np.ndarray) -> np.ndarray
     tiny = np.flatnonzero(total < SMALL)
     out = (own - np.log(np.maximum(total, SMALL))) / np.log(10)
     if len(tiny):
-        s = (q[tiny] @ table.T).astype(np.float64)
+        s = (q[tiny] @ table).astype(np.float64)
         s -= s.max(axis=1, keepdims=True)
         out[tiny] = (s[np.arange(len(tiny)), at[tiny]] - np.log(np.exp(s).sum(axis=1))) / np.log(10)
     return out
 
 
+class Shard:
+    """A shard's network in a round: steps of noise-contrastive estimation with rates by the squares of all gradients so far."""
+
+    def __init__(self, model: Model, rows: np.ndarray, squares: np.ndarray, seed: tuple[int, ...]):
+        self.model, self.rows, self.squares = model, rows.copy(), squares.copy()
+        self.rng = np.random.default_rng(seed)
+        noise = model.sizes / model.sizes.sum()
+        self.noise_total, self.log_noise = np.cumsum(noise), np.log(np.maximum(NOISE * noise, 1e-30)).astype(np.float32)
+        self.places, self.used = 0, np.zeros(model.contexts)
+        self.grad, self.held = np.zeros_like(rows), np.empty_like(rows)
+        self.table = np.empty((POSITIONS * model.contexts, WIDTH), np.float32)
+        self.room = [np.empty((BATCH, n), np.float32) for n in (WIDTH + 1, WIDTH, WIDTH + 1, NOISE, WIDTH + 1)]
+
+    def weights(self) -> np.ndarray:
+        """What each row counts for in the mean of all shards."""
+        return np.concatenate([self.used, np.full(len(self.rows) - len(self.used), float(self.places))])
+
+    def take(self, context: np.ndarray, target: np.ndarray, progress: tuple[float, float]) -> None:
+        """Steps over all these places, in an order of their own; context: by position, each with its own numbers."""
+        order = self.rng.permutation(len(target))
+        self.places += len(target)
+        for at in context:
+            self.used += np.bincount(at % self.model.contexts, minlength=self.model.contexts)
+        cuts = np.linspace(0, len(target), -(-len(target) // BATCH) + 1).astype(np.int64)
+        for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            part = order[i:j]
+            at = progress[0] + (progress[1] - progress[0]) * k / (len(cuts) - 1)
+            self._step([c[part] for c in context], target[part], 0.3 * (1 - 0.9 * min(at, 1.0)))
+
+    def _step(self, context: list[np.ndarray], target: np.ndarray, rate: float) -> None:
+        n, contexts = len(target), self.model.contexts
+        q, x, own, down, g = (a[:n] for a in self.room)
+        e, r, c = self.model.parts(self.rows)
+        e_grad, r_grad, c_grad = self.model.parts(self.grad)
+        e = np.ascontiguousarray(e)
+        for k in range(POSITIONS):
+            np.matmul(e, c[k], out=self.table[k * contexts : (k + 1) * contexts])
+        q[:, :WIDTH], q[:, WIDTH] = self.table.take(context[0], axis=0, out=x, mode="clip"), 1
+        for at in context[1:]:
+            q[:, :WIDTH] += self.table.take(at, axis=0, out=x, mode="clip")
+        # one set of noise classes for all places of a step: its scores are a matrix product
+        drawn = np.searchsorted(self.noise_total, self.rng.random(NOISE) * self.noise_total[-1], side="right").clip(0, len(r) - 1)
+        bad = r[drawn]
+        r.take(target, axis=0, out=own, mode="clip")
+        less = bad.copy()
+        less[:, WIDTH] -= self.log_noise[drawn]
+        with np.errstate(over="ignore"):
+            up = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, own) - self.log_noise[target]))
+            np.exp(np.matmul(q, -less.T, out=down), out=down)
+        down += 1
+        np.divide(-1, down, out=down)
+        np.matmul(down, bad, out=g)
+        own *= up[:, None]
+        g += own
+        columns, pulled = g.T.astype(np.float64), (q * up[:, None]).T.astype(np.float64)
+        for j in range(WIDTH + 1):
+            r_grad[:, j] = np.bincount(target, pulled[j], len(r))
+        np.add.at(r_grad, drawn, down.T @ q)
+        e_grad[:] = 0
+        by_context = np.empty((WIDTH, contexts), np.float32)
+        for k, at in enumerate(context):
+            at = at - k * contexts
+            for j in range(WIDTH):
+                by_context[j] = np.bincount(at, columns[j], contexts)
+            e_grad += (c[k] @ by_context).T
+            c_grad[k][:] = (by_context @ e).T
+        self.grad *= 100 / n
+        self.squares += np.multiply(self.grad, self.grad, out=self.held)
+        self.grad *= rate
+        for m in c_grad:
+            m *= 0.1
+        self.grad /= np.sqrt(self.squares, out=self.held)
+        self.rows += self.grad
+
+
 def _added(where: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows of values by place."""
     order = np.argsort(where, kind="stable")
@@ -295,67 +374,108 @@ def _added(where: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _summed(counts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys with counts, summed over as many as HELD keys at a time."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
+def _unique(words: np.ndarray, n: np.ndarray | None, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words once each, with the sums of n (None: how often they occur) and their suffix classes."""
+    order = np.argsort(words)
+    words = words[order]
+    first = np.flatnonzero(np.append(True, words[1:] != words[:-1])) if len(words) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(words))) if n is None else np.add.reduceat(n[order], first) if len(words) else n
+    return words[first], n, suffix[order[first]]
 
-    def summed() -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        return keys, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
 
+def _summed(counts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Words with counts and suffix classes, summed over as many as HELD at a time."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
     for x in counts:
         held.append(x)
         size += len(x[0])
         if size > HELD:
-            held = [summed()]
+            held = [_unique(*(np.concatenate(c) for c in zip(*held, strict=True)))]
             size = len(held[0][0])
             if size > HELD // 2:
                 yield held[0]
                 held, size = [], 0
     if held:
-        yield summed()
+        yield _unique(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
 def _count_words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = (np.unique(tokens(words)[0], return_counts=True) for part in parts for _, words in batches(part.column(0), WORDS_SPACE))
-    for hashes, n in _summed(counts):
-        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], names=["word", "n"])
+    found = (tokens(words) for part in parts for _, words in batches(part.column(0), WORDS_SPACE))
+    for hashes, n, suffix in _summed(_unique(hashes, None, suffix) for hashes, suffix, _ in found):
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n), pa.array(suffix.astype(np.int16))], names=["word", "n", "suffix"])
 
 
 def _placed(model: Model, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, hashes, counts in the head, places in it, suffixes, documents' bounds) of all tokens."""
+    """(first row, hashes, counts in the head, places in it, codes, documents' bounds) of all tokens."""
     for row, words in batches(texts, WORDS_SPACE):
         hashes, suffix, bounds = tokens(words)
-        yield row, hashes, *model.look_up(hashes), suffix, bounds
+        count, rank = model.look_up(hashes)
+        yield row, hashes, count, rank, model.codes(rank, suffix), bounds
 
 
-def _sum_words(shared):
-    """(rank, n, s0, s1, ...): a task's sums of the vectors that stand beside each word of the head; counts of other words' classes."""
+def _encode(shared, shards: int, rounds: int):
+    """(round, shard, key, low, high): each document's codes, the low two bytes and the others of each, dealt by its key."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        near = np.zeros((WIDTH + 1, model.head + TAILS))
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for part in parts:
+            keys = part.column(1).to_numpy(zero_copy_only=False)
+            for row, _, _, _, codes, bounds in _placed(model, part.column(0)):
+                n = len(bounds) - 1
+                own = keys[row : row + n]
+                cell = mix(own.view(np.uint64))
+                planes = [
+                    pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds * x.itemsize), pa.py_buffer(x)]).cast(pa.binary())
+                    for x in ((codes & 0xFFFF).astype("<u2"), (codes >> 16).astype(np.uint8))
+                ]
+                dealt = [pa.array(x.astype(np.int32)) for x in (cell // np.uint64(shards) % np.uint64(rounds), cell % np.uint64(shards))]
+                yield pa.RecordBatch.from_arrays([*dealt, pa.array(own), *planes], names=["round", "shard", "key", "low", "high"])
 
-        def add() -> None:
-            if not held:
-                return
-            rank = np.concatenate([r for r, _ in held])
-            columns = np.concatenate([v.T for _, v in held], axis=1)
-            held.clear()
-            for j in range(WIDTH):
-                near[j] += np.bincount(rank, weights=columns[j], minlength=near.shape[1])
-            near[WIDTH] += np.bincount(rank, minlength=near.shape[1])
+    return run
+
+
+def _decoded(low: pa.Array, high: pa.Array, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(codes, documents' bounds) of runs of documents with about `step` tokens."""
+    if not len(high):
+        return
+    low, high = low.cast(pa.large_binary()), high.cast(pa.large_binary())
+    offsets = np.frombuffer(high.buffers()[1], np.int64)[high.offset : high.offset + len(high) + 1]
+    first = np.frombuffer(low.buffers()[1], np.int64)[low.offset]
+    size = offsets[-1] - offsets[0]
+    codes = np.frombuffer(low.buffers()[2], "<u2", size, first).astype(np.int64)
+    codes |= np.frombuffer(high.buffers()[2], np.uint8, size, offsets[0]).astype(np.int64) << 16
+    offsets = offsets - offsets[0]
+    i = 0
+    while i < len(high):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + step, side="right")) - 1)
+        yield codes[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        i = j
 
+
+def _sum_words(shared):
+    """(rank, n, s0, s1, ...): a task's sums of the vectors that stand beside each word of the head, and each class of others; sums of their products."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        places = np.concatenate([np.arange(model.head), model.head + np.arange(SUFFIXES) % TAILS])
+        near, square = np.zeros((WIDTH + 1, model.head + TAILS)), np.zeros((WIDTH, WIDTH))
+        tables = [(back, np.ascontiguousarray(table.T, np.float64)) for back, table in model.tables]
         for part in parts:
-            for _, _, _, rank, suffix, bounds in _placed(model, part.column(0)):
-                held.append((np.where(rank < model.head, rank, model.head + suffix % TAILS), model.vectors(rank, suffix, bounds)))
-                if sum(len(x) for x, _ in held) >= SUMMED:
-                    add()
-        add()
+            for codes, bounds in _decoded(part.column(0), part.column(1), SUMMED):
+                at = places.take(codes)
+                beside = [(model.context(codes, bounds, back), table) for back, table in tables]
+                v = np.zeros((WIDTH, len(codes)))
+                for j in range(WIDTH):
+                    for context, table in beside:
+                        v[j] += table[j].take(context)
+                    np.add.at(near[j], at, v[j])
+                np.add.at(near[WIDTH], at, 1.0)
+                square += v @ v.T
         used = np.flatnonzero(near[WIDTH])
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(near[WIDTH, used].astype(np.int64)), *(pa.array(near[j, used].astype(np.float32)) for j in range(WIDTH))], names=["rank", "n", *SUMS])
+        rank, n = np.append(used, near.shape[1] + np.arange(WIDTH)), np.append(near[WIDTH, used], np.zeros(WIDTH)).astype(np.int64)
+        sums = np.concatenate([near[:WIDTH, used], square], axis=1).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(n), *(pa.array(x) for x in sums)], names=["rank", "n", *SUMS])
 
     return run
 
@@ -363,43 +483,89 @@ def _sum_words(shared):
 SUMS = [f"s{j}" for j in range(WIDTH)]
 
 
-def _word_sums(text: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(sums of the head's words, counts of the other words' classes); at most as many rows as words in the head and classes."""
-    shared = text.sparkSession.sparkContext.broadcast(model)
-    rows = text.mapInArrow(_sum_words(shared), f"rank long, n long, {', '.join(f'{c} float' for c in SUMS)}")
+def _word_sums(encoded: DataFrame, model: Model, tasks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sums of the head's words, of the other words' classes, counts of those, sums of products); at most as many rows as words in the head and classes."""
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    rows = encoded.select("low", "high").coalesce(tasks).mapInArrow(_sum_words(shared), f"rank long, n long, {', '.join(f'{c} float' for c in SUMS)}")
     table = rows.groupBy("rank").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in SUMS)).toArrow()
     shared.destroy()
-    rank, out, n = table["rank"].to_numpy(), np.zeros((model.head + TAILS, WIDTH)), np.zeros(model.head + TAILS)
+    last = model.head + TAILS
+    rank, out, n = table["rank"].to_numpy(), np.zeros((last + WIDTH, WIDTH)), np.zeros(last + WIDTH)
     out[rank] = np.stack([table[c].to_numpy() for c in SUMS], axis=1) if len(rank) else 0
     n[rank] = table["n"].to_numpy()
-    return out[: model.head], n[model.head :]
+    return out[: model.head], out[model.head : last], n[model.head : last], out[last:]
+
+
+ROWS = [f"{x}{j}" for x in "pq" for j in range(WIDTH + 1)]
+
 
+def _train_shards(shared, turn: tuple[float, float], places: float, epochs: int, seed: int):
+    """(row, weight, p0, ..., q0, ...): the weighted sums of the networks and squares of a task's shards after a round."""
 
-def _draw_windows(shared, share: float):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        least = np.uint64(min((1 << 64) - 1, int(share * (1 << 64))))
+        model, rows, squares = shared.value
+        sums, weights = np.zeros((len(rows), 2 * (WIDTH + 1))), np.zeros(len(rows))
+        now, shard = None, None
+
+        def windows(codes, bounds):
+            return [model.context(codes, bounds, k + 1) + k * model.contexts for k in range(POSITIONS)], model.output(codes)
+
+        def add() -> None:
+            if shard is not None:
+                own = shard.weights()
+                sums[:] += own[:, None] * np.concatenate([shard.rows, shard.squares], axis=1)
+                weights[:] += own
+
+        def between(share: float) -> float:
+            return turn[0] + (turn[1] - turn[0]) * min(share, 1.0)
+
+        held = []
         for part in parts:
-            keys = part.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            for row, hashes, _, rank, suffix, bounds in _placed(model, part.column(0)):
-                place = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
-                # the document's key as well, so that the copies of a passage are not drawn together
-                own = keys[row : row + len(bounds) - 1].repeat(np.diff(bounds))
-                at = np.flatnonzero(mix(hashes ^ mix(place.astype(np.uint64) ^ mix(own)) ^ np.roll(hashes, 1)) <= least)
-                columns = [model.context(rank, suffix, bounds, k + 1)[at] for k in range(POSITIONS)] + [model.output(rank, suffix)[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in columns], names=[*(f"c{k}" for k in range(POSITIONS)), "output"])
+            owner = part.column(0).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]])
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                if owner[i] != now:
+                    add()
+                    now, shard = owner[i], Shard(model, rows, squares, (seed, int(owner[i])))
+                for codes, bounds in _decoded(part.column(1)[i:j], part.column(2)[i:j], MIXED):
+                    if epochs > 1:
+                        held.append((codes, bounds))
+                    else:
+                        shard.take(*windows(codes, bounds), (between(shard.places / places), between((shard.places + len(codes)) / places)))
+        # one shard that is taken again: fewer than STEPS * BATCH places
+        if held:
+            found = [windows(*x) for x in held]
+            context, target = [np.concatenate([c[k] for c, _ in found]) for k in range(POSITIONS)], np.concatenate([t for _, t in found])
+            for k in range(epochs):
+                shard.take(context, target, (k / epochs, (k + 1) / epochs))
+        add()
+        used = np.flatnonzero(weights)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(weights[used]), *(pa.array(x) for x in sums[used].T.astype(np.float32))], names=["row", "weight", *ROWS])
 
     return run
 
 
-def _windows(text: DataFrame, model: Model, windows: int) -> np.ndarray:
-    """About `windows` rows, of contexts and a class; twice as many at most, should rows with their ids repeat very often."""
-    shared = text.sparkSession.sparkContext.broadcast(model)
-    names = [f"c{k}" for k in range(POSITIONS)] + ["output"]
-    table = text.mapInArrow(_draw_windows(shared, min(1.0, windows / max(model.total, 1))), ", ".join(f"{c} int" for c in names)).limit(2 * windows).toArrow()
-    shared.destroy()
-    rows = np.stack([table[c].to_numpy() for c in names], axis=1)
-    return rows[np.lexsort(rows.T)]
+def _trained(encoded: DataFrame, model: Model, shards: int, rounds: int) -> np.ndarray:
+    """The network after its training on all places."""
+    rows, squares = model.start()
+    # a single shard is read by one task, and taken as often as STEPS steps need
+    epochs = max(1, -(-STEPS * BATCH // max(model.total, 1))) if shards == 1 else 1
+    for k in range(rounds if model.total else 0):
+        shared = encoded.sparkSession.sparkContext.broadcast((model, rows, squares))
+        own = encoded.where(F.col("round") == k).select("shard", "low", "high")
+        if shards == 1:
+            own = own.coalesce(1)
+        run = _train_shards(shared, (k / rounds, (k + 1) / rounds), max(model.total / shards / rounds, 1), epochs, k)
+        found = own.mapInArrow(run, f"row long, weight double, {', '.join(f'{c} float' for c in ROWS)}")
+        table = found.groupBy("row").agg(F.sum("weight").alias("weight"), *(F.sum(c).alias(c) for c in ROWS)).toArrow()
+        shared.destroy()
+        if len(table):
+            at = table["row"].to_numpy()
+            mean = np.stack([table[c].to_numpy() for c in ROWS], axis=1) / table["weight"].to_numpy()[:, None]
+            rows[at], squares[at] = mean[:, : WIDTH + 1], mean[:, WIDTH + 1 :]
+    return rows
 
 
 def _score(shared):
@@ -411,11 +577,11 @@ def _score(shared):
         row_of_task = 0
         first_uid = TaskContext.get().partitionId() << 40
         for part in parts:
-            for row, hashes, count, rank, suffix, bounds in _placed(model, part.column(2)):
+            for row, hashes, count, rank, codes, bounds in _placed(model, part.column(2)):
                 n = len(bounds) - 1
                 known = count > 0
                 base = np.where(known, np.log10(np.maximum(count, 0) + 1), 0.0) - types
-                score = model.log10(model.vectors(rank, suffix, bounds), rank, model.output(rank, suffix))
+                score = model.log10(model.vectors(codes, bounds), rank, model.output(codes))
                 far = np.flatnonzero(~known)
                 # a word that turns out to have been seen gets the difference, and its count
                 seen, score[far] = score[far], model.unseen
@@ -441,18 +607,32 @@ def _score(shared):
     return run
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, frequent: int = FREQUENT, windows: int = WINDOWS) -> tuple[Model, DataFrame]:
-    """The model of all of docs, and the table (word, n) of all words."""
-    text = docs.select(F.col(text_col).alias("text"))
-    keyed = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("key"))
-    words = staged(text.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
+    """The model of all of docs, and the table (word, n, suffix) of all words."""
+    text, context = docs.select(F.col(text_col).alias("text")), docs.sparkSession.sparkContext
+    keyed = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
+    words = text.mapInArrow(_count_words, "word long, n long, suffix short").groupBy("word").agg(F.sum("n").alias("n"), F.max("suffix").alias("suffix"))
+    words = staged(words, "words")
     row = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     top = words.orderBy(F.desc("n"), "word").limit(head).toArrow()
-    model = Model(top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy(), row[1], row[0], frequent)
+    hashes, counts, suffixes = (top.column(c).to_numpy() for c in ("word", "n", "suffix"))
+    model = Model(hashes.view(np.uint64), counts, suffixes, row[1], row[0], frequent)
+    shards = max(1, model.total // (STEPS * BATCH))
+    rounds = ROUNDS if shards > 1 else 1
+    shared = context.broadcast(model)
+    encoded = keyed.mapInArrow(_encode(shared, shards, rounds), "round int, shard int, key long, low binary, high binary")
+    # in an order that depends on the documents alone
+    encoded = encoded.repartitionById(shards, F.col("shard")).sortWithinPartitions("round", "shard", "key", "low", "high")
+    encoded = staged(encoded, "codes", "round")
+    shared.destroy()
+    tasks = max(shards, context.defaultParallelism)
     model.look_around()
-    model.cluster(*_word_sums(text, model))
-    model.fit(_windows(keyed, model, windows))
-    model.fit_words(_word_sums(text, model)[0])
+    near, _, tails, _ = _word_sums(encoded, model, tasks)
+    model.cluster(near, tails)
+    model.use(_trained(encoded, model, shards, rounds))
+    sums, tail_sums, _, square = _word_sums(encoded, model, tasks)
+    model.fit_words(sums, tail_sums, square)
+    drop(docs.sparkSession, encoded)
     return model, words
 
 
@@ -466,7 +646,7 @@ def score_texts(docs: DataFrame, model: Model, words: DataFrame, *, id_col: str
         f"uid long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:long,gain:float>>",
     )
     scored = staged(scored, "scored")
-    rare = scored.select("uid", F.inline("rare")).groupBy("uid", "word").agg(F.count("*").alias("times"), F.sum("gain").alias("gain")).join(words, "word")
+    rare = scored.select("uid", F.inline("rare")).groupBy("uid", "word").agg(F.count("*").alias("times"), F.sum("gain").alias("gain")).join(words.select("word", "n"), "word")
     rare = rare.groupBy("uid").agg(
         F.sum("times").alias("known"),
         F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"),

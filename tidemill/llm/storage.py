@@ -39,11 +39,11 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tidemill/{tag}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read back."""
+def staged(df: DataFrame, tag: str, *folders: str) -> DataFrame:
+    """df, written as Parquet to the shared folder (in folders by the values of some columns) and read back."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").partitionBy(*folders).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
