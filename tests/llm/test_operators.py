@@ -482,6 +482,26 @@ def test_words_are_scored_by_what_stands_before(spark, few_steps):
     assert right > wrong + 40 * 0.2
 
 
+def test_sums_over_classes_by_products_of_exponentials():
+    """Also where a context's scores are too large for them."""
+    rng = np.random.default_rng(18)
+    head = 1000
+    counts = np.sort(rng.integers(1, 500, head))[::-1]
+    model = neurallm.Model(rng.integers(1, 1 << 62, head).astype(np.uint64), counts, rng.integers(0, 256, head), int(counts.sum()) + 640, 1200, 100)
+    model.look_around()
+    model.cluster(rng.normal(size=(head, neurallm.WIDTH)) * counts[:, None], np.full(neurallm.TAILS, 10.0))
+    rows, _ = model.start()
+    rows[: model.contexts, : neurallm.WIDTH] *= 5
+    rows[:3, : neurallm.WIDTH] *= 200
+    model.use(rows)
+    codes, bounds = rng.integers(0, head, 3000), np.arange(0, 3001, 100)
+    contexts, q = [model.context(codes, bounds, back) for back, _ in model.tables], model.vectors(codes, bounds)
+    output = model.output(codes)
+    got = model.class_log10(q, contexts, output)
+    want = [log_softmax(model.r.astype(float) @ x[:-1] + model.b)[k] / math.log(10) for x, k in zip(q, output, strict=True)]
+    assert any(np.isnan(x).any() for x in model.powers) and np.allclose(got, want, atol=1e-4, rtol=1e-4)
+
+
 def test_every_place_trains_the_network(spark, monkeypatch):
     """In several shards and rounds; the network does not depend on how the rows are dealt."""
     monkeypatch.setattr(neurallm, "STEPS", 1)

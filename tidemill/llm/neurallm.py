@@ -41,6 +41,7 @@ counted as often as they occur.  Very long texts are scored whole.  Other column
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -143,11 +144,12 @@ class Model:
             out[edge[(edge >= bounds[:-1]) & (edge < bounds[1:])]] = self.contexts - 1
         return out
 
-    def vectors(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def vectors(self, codes: np.ndarray, bounds: np.ndarray, contexts: list[np.ndarray] | None = None) -> np.ndarray:
         """The sum of the tables' rows for the contexts of each token, and a column of ones."""
         out, held = np.zeros((len(codes), WIDTH + 1), np.float32), np.empty((len(codes), WIDTH), np.float32)
-        for back, table in self.tables:
-            out[:, :WIDTH] += table.take(self.context(codes, bounds, back), axis=0, out=held, mode="clip")
+        contexts = contexts or [self.context(codes, bounds, back) for back, _ in self.tables]
+        for (_, table), context in zip(self.tables, contexts, strict=True):
+            out[:, :WIDTH] += table.take(context, axis=0, out=held, mode="clip")
         out[:, WIDTH] = 1
         return out
 
@@ -230,12 +232,41 @@ class Model:
 
     # scores
 
-    def class_log10(self, q: np.ndarray, output: np.ndarray) -> np.ndarray:
-        """log10 P(class | q), by products of blocks of tokens with all classes."""
+    def class_log10(self, q: np.ndarray, contexts: list[np.ndarray], output: np.ndarray) -> np.ndarray:
+        """log10 P(class | q); a token's sum over all classes is one of products of its contexts' own exponentials."""
         out, table = np.empty(len(q)), _biased(self.r, self.b)
-        held = np.empty(BLOCK * self.outputs, np.float32)
+        held = [np.empty((BLOCK, self.outputs), np.float32) for _ in range(2)]
         for i in range(0, len(q), BLOCK):
-            out[i : i + BLOCK] = _log10_share(q[i : i + BLOCK], table, output[i : i + BLOCK], held)
+            at = slice(i, min(i + BLOCK, len(q)))
+            product, more = (x[: at.stop - i] for x in held)
+            self.powers[0].take(contexts[0][at], axis=0, out=product, mode="clip")
+            for power, context in zip(self.powers[1:-1], contexts[1:-1], strict=True):
+                product *= power.take(context[at], axis=0, out=more, mode="clip")
+            self.powers[-1].take(contexts[-1][at], axis=0, out=more, mode="clip")
+            total = np.einsum("ij,ij->i", product, more).astype(np.float64)
+            own = np.einsum("ij,ij->i", q[at], table.T.take(output[at], axis=0)).astype(np.float64)
+            fine = (total > SMALL) & (total < 1 / SMALL)
+            out[at] = (own - np.log(np.where(fine, total, 1.0))) / np.log(10)
+            if not fine.all():
+                left = i + np.flatnonzero(~fine)
+                out[left] = _log10_share(q[left], table, output[left], held[0].ravel())
+        return out
+
+    @cached_property
+    def powers(self) -> list[np.ndarray]:
+        """By position, exp(q . R[class]) of each context alone; the first with exp(b[class]).
+
+        Scores are cut off at +-LARGE / 3: a context that has larger ones is marked, and its tokens' sums are taken plainly.
+        """
+        out = []
+        for k, (_, table) in enumerate(self.tables):
+            s = table @ self.r.T
+            marked = np.abs(s).max(axis=1) > LARGE / 3
+            s = np.exp(np.clip(s, -LARGE / 3, LARGE / 3))
+            if k == 0:
+                s *= np.exp(self.b)
+            s[marked] = np.nan
+            out.append(s)
         return out
 
     def word_log10(self, q: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -254,9 +285,9 @@ class Model:
         out[order] = shares
         return out
 
-    def log10(self, q: np.ndarray, rank: np.ndarray, output: np.ndarray) -> np.ndarray:
+    def log10(self, q: np.ndarray, contexts: list[np.ndarray], rank: np.ndarray, output: np.ndarray) -> np.ndarray:
         """log10 of the probability of each token; of a word outside the head without its own count."""
-        out = self.class_log10(q, output) + np.log1p(-(10.0**self.unseen)) / np.log(10) if self.total else np.zeros(len(q))
+        out = self.class_log10(q, contexts, output) + np.log1p(-(10.0**self.unseen)) / np.log(10) if self.total else np.zeros(len(q))
         near = rank < self.head
         out[near] += self.word_log10(q[near], rank[near])
         out[~near] -= np.log10(np.maximum(self.tails[output[~near] - self.classes], 1)) if self.total else 0
@@ -300,7 +331,7 @@ class Shard:
         self.noise_total, self.log_noise = np.cumsum(noise), np.log(np.maximum(NOISE * noise, 1e-30)).astype(np.float32)
         self.places, self.used = 0, np.zeros(model.contexts)
         self.grad, self.held = np.zeros_like(rows), np.empty_like(rows)
-        self.table = np.empty((POSITIONS * model.contexts, WIDTH), np.float32)
+        self.table, self.by_context = np.empty((POSITIONS * model.contexts, WIDTH), np.float32), np.empty((POSITIONS * WIDTH, model.contexts), np.float32)
         self.room = [np.empty((BATCH, n), np.float32) for n in (WIDTH + 1, WIDTH, WIDTH + 1, NOISE, WIDTH + 1)]
 
     def weights(self) -> np.ndarray:
@@ -311,8 +342,8 @@ class Shard:
         """Steps over all these places, in an order of their own; context: by position, each with its own numbers."""
         order = self.rng.permutation(len(target))
         self.places += len(target)
-        for at in context:
-            self.used += np.bincount(at % self.model.contexts, minlength=self.model.contexts)
+        for k, at in enumerate(context):
+            self.used += np.bincount(at - k * self.model.contexts, minlength=self.model.contexts)
         cuts = np.linspace(0, len(target), -(-len(target) // BATCH) + 1).astype(np.int64)
         for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             part = order[i:j]
@@ -344,18 +375,18 @@ class Shard:
         np.matmul(down, bad, out=g)
         own *= up[:, None]
         g += own
-        columns, pulled = g.T.astype(np.float64), (q * up[:, None]).T.astype(np.float64)
+        columns, pulled = np.ascontiguousarray(g.T), (q * up[:, None]).T.astype(np.float64)
         for j in range(WIDTH + 1):
             r_grad[:, j] = np.bincount(target, pulled[j], len(r))
         np.add.at(r_grad, drawn, down.T @ q)
-        e_grad[:] = 0
-        by_context = np.empty((WIDTH, contexts), np.float32)
+        self.by_context[:] = 0
         for k, at in enumerate(context):
             at = at - k * contexts
             for j in range(WIDTH):
-                by_context[j] = np.bincount(at, columns[j], contexts)
-            e_grad += (c[k] @ by_context).T
-            c_grad[k][:] = (by_context @ e).T
+                np.add.at(self.by_context[k * WIDTH + j], at, columns[j])
+        e_grad[:] = (np.concatenate(c, axis=1) @ self.by_context).T
+        for m, own_grad in zip(c_grad, np.split(self.by_context @ e, POSITIONS), strict=True):
+            m[:] = own_grad.T
         self.grad *= 100 / n
         self.squares += np.multiply(self.grad, self.grad, out=self.held)
         self.grad *= rate
@@ -460,17 +491,13 @@ def _sum_words(shared):
         model = shared.value
         places = np.concatenate([np.arange(model.head), model.head + np.arange(SUFFIXES) % TAILS])
         near, square = np.zeros((WIDTH + 1, model.head + TAILS)), np.zeros((WIDTH, WIDTH))
-        tables = [(back, np.ascontiguousarray(table.T, np.float64)) for back, table in model.tables]
         for part in parts:
             for codes, bounds in _decoded(part.column(0), part.column(1), SUMMED):
                 at = places.take(codes)
-                beside = [(model.context(codes, bounds, back), table) for back, table in tables]
-                v = np.zeros((WIDTH, len(codes)))
-                for j in range(WIDTH):
-                    for context, table in beside:
-                        v[j] += table[j].take(context)
+                v = model.vectors(codes, bounds).T.astype(np.float64, order="C")
+                for j in range(WIDTH + 1):
                     np.add.at(near[j], at, v[j])
-                np.add.at(near[WIDTH], at, 1.0)
+                v = v[:WIDTH]
                 square += v @ v.T
         used = np.flatnonzero(near[WIDTH])
         rank, n = np.append(used, near.shape[1] + np.arange(WIDTH)), np.append(near[WIDTH, used], np.zeros(WIDTH)).astype(np.int64)
@@ -581,7 +608,8 @@ def _score(shared):
                 n = len(bounds) - 1
                 known = count > 0
                 base = np.where(known, np.log10(np.maximum(count, 0) + 1), 0.0) - types
-                score = model.log10(model.vectors(codes, bounds), rank, model.output(codes))
+                contexts = [model.context(codes, bounds, back) for back, _ in model.tables]
+                score = model.log10(model.vectors(codes, bounds, contexts), contexts, rank, model.output(codes))
                 far = np.flatnonzero(~known)
                 # a word that turns out to have been seen gets the difference, and its count
                 seen, score[far] = score[far], model.unseen
