@@ -502,6 +502,25 @@ def test_sums_over_classes_by_products_of_exponentials():
     assert any(np.isnan(x).any() for x in model.powers) and np.allclose(got, want, atol=1e-4, rtol=1e-4)
 
 
+def test_rare_words_of_a_document_are_joined_once(spark, few_steps):
+    """Each document's words are put together where they are found, so that nothing is shuffled before the join with the counts."""
+    rng = np.random.default_rng(19)
+    words, gain = rng.integers(0, 9, 300).astype(np.uint64), rng.normal(size=300)
+    bounds = np.array([0, 0, 120, 121, 121, 300, 300])
+    once, times, sums, ends = neurallm._once(words, gain, bounds)
+    for d in range(len(bounds) - 1):
+        own = slice(bounds[d], bounds[d + 1])
+        want = {w: (int((words[own] == w).sum()), pytest.approx(gain[own][words[own] == w].sum())) for w in set(words[own].tolist())}
+        part = slice(ends[d], ends[d + 1])
+        assert dict(zip(once[part].tolist(), zip(times[part].tolist(), sums[part].tolist(), strict=True), strict=True)) == want and len(once[part]) == len(want)
+    assert [len(x) for x in neurallm._once(words[:0], gain[:0], np.zeros(1, np.int64))] == [0, 0, 0, 1]
+    docs = frame(spark, ["a b c " * 9 + "rare rare", "rare other", None] * 4)
+    model, table = neurallm.train(docs, head=4)
+    scored = neurallm.score_texts(docs, model, table)
+    assert not re.search(r"hashpartitioning\(uid#\d+L?, word", scored._jdf.queryExecution().executedPlan().toString())
+    assert {r.doc_id: (r.n_tokens, r.n_known) for r in scored.collect()} == {i: ((30, 30), (3, 3), (1, 1))[i % 3] for i in range(12)}
+
+
 def test_every_place_trains_the_network(spark, monkeypatch):
     """In several shards and rounds; the network does not depend on how the rows are dealt."""
     monkeypatch.setattr(neurallm, "STEPS", 1)

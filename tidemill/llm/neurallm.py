@@ -73,10 +73,13 @@ END = np.uint64(1)
 HELD = 2_000_000
 #: tokens whose scores are computed at once: few enough for a core's cache
 BLOCK = 1024
-#: scores above which, and sums of exponentials below which, the largest score is taken off first
+#: tokens whose sums over the classes, and whose contexts' vectors, are computed at once, for the same reason
+MULTIPLIED = 256
+GATHERED = 8192
+#: three times the score of a context, and sums of exponentials (or their inverse), beyond which the largest score is taken off first
 LARGE, SMALL = 60.0, 1e-20
 #: tokens whose neighbours are summed at once
-SUMMED = 1 << 16
+SUMMED = 1 << 17
 
 
 def tokens(words: Words, suffixes: int = SUFFIXES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,11 +149,15 @@ class Model:
 
     def vectors(self, codes: np.ndarray, bounds: np.ndarray, contexts: list[np.ndarray] | None = None) -> np.ndarray:
         """The sum of the tables' rows for the contexts of each token, and a column of ones."""
-        out, held = np.zeros((len(codes), WIDTH + 1), np.float32), np.empty((len(codes), WIDTH), np.float32)
+        out, held = np.empty((len(codes), WIDTH + 1), np.float32), np.empty((GATHERED, WIDTH + 1), np.float32)
         contexts = contexts or [self.context(codes, bounds, back) for back, _ in self.tables]
-        for (_, table), context in zip(self.tables, contexts, strict=True):
-            out[:, :WIDTH] += table.take(context, axis=0, out=held, mode="clip")
-        out[:, WIDTH] = 1
+        # the ones come with the first table's rows
+        tables = [np.concatenate([t, np.full((len(t), 1), k == 0)], axis=1, dtype=np.float32) for k, (_, t) in enumerate(self.tables)]
+        for i in range(0, len(codes), GATHERED):
+            own = out[i : i + GATHERED]
+            tables[0].take(contexts[0][i : i + GATHERED], axis=0, out=own, mode="clip")
+            for table, context in zip(tables[1:], contexts[1:], strict=True):
+                own += table.take(context[i : i + GATHERED], axis=0, out=held[: len(own)], mode="clip")
         return out
 
     # classes
@@ -206,10 +213,11 @@ class Model:
             c[k][:] = np.eye(WIDTH) * 0.7**k + rng.normal(0, 0.01, (WIDTH, WIDTH))
         return rows, np.full_like(rows, 1e-2)
 
-    def parts(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Views of E, of R with b, and of each C."""
-        last = self.contexts + self.outputs
-        return rows[: self.contexts, :WIDTH], rows[self.contexts : last], [rows[last + k * WIDTH : last + (k + 1) * WIDTH, :WIDTH] for k in range(POSITIONS)]
+    def parts(self, rows: np.ndarray, contexts: int | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Views of E (all of it, or rows of it for so many contexts), of R with b, and of each C."""
+        first = self.contexts if contexts is None else contexts
+        last = first + self.outputs
+        return rows[:first, :WIDTH], rows[first:last], [rows[last + k * WIDTH : last + (k + 1) * WIDTH, :WIDTH] for k in range(POSITIONS)]
 
     def use(self, rows: np.ndarray) -> None:
         """Take the trained network."""
@@ -234,22 +242,25 @@ class Model:
 
     def class_log10(self, q: np.ndarray, contexts: list[np.ndarray], output: np.ndarray) -> np.ndarray:
         """log10 P(class | q); a token's sum over all classes is one of products of its contexts' own exponentials."""
-        out, table = np.empty(len(q)), _biased(self.r, self.b)
-        held = [np.empty((BLOCK, self.outputs), np.float32) for _ in range(2)]
-        for i in range(0, len(q), BLOCK):
-            at = slice(i, min(i + BLOCK, len(q)))
+        total, own = np.empty(len(q), np.float32), np.empty(len(q), np.float32)
+        table = _biased(self.r, self.b)
+        rows = np.ascontiguousarray(table.T)
+        held = [np.empty((MULTIPLIED, self.outputs), np.float32) for _ in range(2)]
+        for i in range(0, len(q), MULTIPLIED):
+            at = slice(i, min(i + MULTIPLIED, len(q)))
             product, more = (x[: at.stop - i] for x in held)
             self.powers[0].take(contexts[0][at], axis=0, out=product, mode="clip")
             for power, context in zip(self.powers[1:-1], contexts[1:-1], strict=True):
                 product *= power.take(context[at], axis=0, out=more, mode="clip")
             self.powers[-1].take(contexts[-1][at], axis=0, out=more, mode="clip")
-            total = np.einsum("ij,ij->i", product, more).astype(np.float64)
-            own = np.einsum("ij,ij->i", q[at], table.T.take(output[at], axis=0)).astype(np.float64)
-            fine = (total > SMALL) & (total < 1 / SMALL)
-            out[at] = (own - np.log(np.where(fine, total, 1.0))) / np.log(10)
-            if not fine.all():
-                left = i + np.flatnonzero(~fine)
-                out[left] = _log10_share(q[left], table, output[left], held[0].ravel())
+            np.vecdot(product, more, out=total[at])
+            np.einsum("ij,ij->i", q[at], rows.take(output[at], axis=0), out=own[at])
+        fine = (total > SMALL) & (total < 1 / SMALL)
+        out = (own - np.log(np.where(fine, total, 1).astype(np.float64))) / np.log(10)
+        left = np.flatnonzero(~fine)
+        for i in range(0, len(left), BLOCK):
+            at = left[i : i + BLOCK]
+            out[at] = _log10_share(q[at], table, output[at], np.empty(BLOCK * self.outputs, np.float32))
         return out
 
     @cached_property
@@ -269,19 +280,24 @@ class Model:
             out.append(s)
         return out
 
-    def word_log10(self, q: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """log10 P(w | class, q) of words of the head, by products of a class's tokens with its words."""
-        out, own = np.empty(len(q)), self.class_of[rank]
+    @cached_property
+    def biased_words(self) -> list[np.ndarray]:
+        return [_biased(*x) for x in self.words]
+
+    def word_log10(self, q: np.ndarray, at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """log10 P(w | class, q) of words of the head, by products of a class's tokens with its words; at: their rows of q."""
+        own = self.class_of.take(rank)
         order = np.argsort(own.astype(np.uint16) if self.classes < 1 << 16 else own, kind="stable")
-        cuts = np.searchsorted(own[order], np.arange(self.classes + 1))
-        q, place = q.take(order, axis=0), self.place_of[rank][order]
-        shares = np.empty(len(q))
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=self.classes))])
+        at = at.take(order)
+        q, place = q.take(at, axis=0), self.place_of.take(rank.take(order))
+        shares, out = np.empty(len(at)), np.empty(len(at))
         held = np.empty(BLOCK * max((len(g) for g in self.members), default=0), np.float32)
         for k in np.flatnonzero(np.diff(cuts)):
-            table = _biased(*self.words[k])
+            table = self.biased_words[k]
             for i in range(cuts[k], cuts[k + 1], BLOCK):
-                at = slice(i, min(i + BLOCK, cuts[k + 1]))
-                shares[at] = _log10_share(q[at], table, place[at], held)
+                part = slice(i, min(i + BLOCK, cuts[k + 1]))
+                shares[part] = _log10_share(q[part], table, place[part], held)
         out[order] = shares
         return out
 
@@ -289,7 +305,8 @@ class Model:
         """log10 of the probability of each token; of a word outside the head without its own count."""
         out = self.class_log10(q, contexts, output) + np.log1p(-(10.0**self.unseen)) / np.log(10) if self.total else np.zeros(len(q))
         near = rank < self.head
-        out[near] += self.word_log10(q[near], rank[near])
+        at = np.flatnonzero(near)
+        out[at] += self.word_log10(q, at, rank.take(at))
         out[~near] -= np.log10(np.maximum(self.tails[output[~near] - self.classes], 1)) if self.total else 0
         return out
 
@@ -302,22 +319,21 @@ def _biased(x: np.ndarray, bias: np.ndarray) -> np.ndarray:
 def _log10_share(q: np.ndarray, table: np.ndarray, at: np.ndarray, held: np.ndarray) -> np.ndarray:
     """log10 of the softmax of each row of q over the columns of table, at one of them; held: room for the scores.
 
-    Scores are rarely far from 0, so that the largest is taken off only in blocks that need it.
+    Scores are rarely far from 0, so that the largest is taken off only in rows that need it.
     """
-    s = np.matmul(q, table, out=held[: len(q) * table.shape[1]].reshape(len(q), -1))
-    own = s[np.arange(len(s)), at].astype(np.float64)
-    if len(s) and s.max() > LARGE:
-        top = s.max(axis=1, keepdims=True)
-        s -= top
-        own -= top[:, 0]
-    np.exp(s, out=s)
-    total = (s @ np.ones(s.shape[1], np.float32)).astype(np.float64)
-    tiny = np.flatnonzero(total < SMALL)
-    out = (own - np.log(np.maximum(total, SMALL))) / np.log(10)
-    if len(tiny):
-        s = (q[tiny] @ table).astype(np.float64)
+    held = held[: len(q) * table.shape[1]]
+    s = np.matmul(q, table, out=held.reshape(len(q), -1))
+    own = held.take(np.arange(0, len(held), table.shape[1]) + at).astype(np.float64)
+    with np.errstate(over="ignore"):
+        np.exp(s, out=s)
+        total = (s @ np.ones(s.shape[1], np.float32)).astype(np.float64)
+    fine = (total > SMALL) & (total < 1 / SMALL)
+    out = (own - np.log(np.where(fine, total, 1.0))) / np.log(10)
+    if not fine.all():
+        left = np.flatnonzero(~fine)
+        s = (q[left] @ table).astype(np.float64)
         s -= s.max(axis=1, keepdims=True)
-        out[tiny] = (s[np.arange(len(tiny)), at[tiny]] - np.log(np.exp(s).sum(axis=1))) / np.log(10)
+        out[left] = (s[np.arange(len(left)), at[left]] - np.log(np.exp(s).sum(axis=1))) / np.log(10)
     return out
 
 
@@ -330,8 +346,7 @@ class Shard:
         noise = model.sizes / model.sizes.sum()
         self.noise_total, self.log_noise = np.cumsum(noise), np.log(np.maximum(NOISE * noise, 1e-30)).astype(np.float32)
         self.places, self.used = 0, np.zeros(model.contexts)
-        self.grad, self.held = np.zeros_like(rows), np.empty_like(rows)
-        self.table, self.by_context = np.empty((POSITIONS * model.contexts, WIDTH), np.float32), np.empty((POSITIONS * WIDTH, model.contexts), np.float32)
+        self.local = np.zeros(model.contexts, np.int64)
         self.room = [np.empty((BATCH, n), np.float32) for n in (WIDTH + 1, WIDTH, WIDTH + 1, NOISE, WIDTH + 1)]
 
     def weights(self) -> np.ndarray:
@@ -353,14 +368,23 @@ class Shard:
     def _step(self, context: list[np.ndarray], target: np.ndarray, rate: float) -> None:
         n, contexts = len(target), self.model.contexts
         q, x, own, down, g = (a[:n] for a in self.room)
-        e, r, c = self.model.parts(self.rows)
-        e_grad, r_grad, c_grad = self.model.parts(self.grad)
-        e = np.ascontiguousarray(e)
-        for k in range(POSITIONS):
-            np.matmul(e, c[k], out=self.table[k * contexts : (k + 1) * contexts])
-        q[:, :WIDTH], q[:, WIDTH] = self.table.take(context[0], axis=0, out=x, mode="clip"), 1
-        for at in context[1:]:
-            q[:, :WIDTH] += self.table.take(at, axis=0, out=x, mode="clip")
+        # the rows of a step: E's for the contexts that it has, and all of R, b and C
+        met = np.zeros(contexts, bool)
+        context = [at - k * contexts for k, at in enumerate(context)]
+        for at in context:
+            met[at] = True
+        used = np.flatnonzero(met)
+        self.local[used] = np.arange(len(used))
+        context = [self.local.take(at) for at in context]
+        live = np.concatenate([used, np.arange(contexts, len(self.rows))])
+        rows, grad = self.rows.take(live, axis=0), np.zeros((len(live), WIDTH + 1), np.float32)
+        e, r, c = self.model.parts(rows, len(used))
+        e_grad, r_grad, c_grad = self.model.parts(grad, len(used))
+        e, mixed = np.ascontiguousarray(e), np.concatenate(c, axis=1)
+        table = (e @ mixed).reshape(-1, WIDTH)
+        q[:, :WIDTH], q[:, WIDTH] = table.take(context[0] * POSITIONS, axis=0, out=x, mode="clip"), 1
+        for k, at in enumerate(context[1:], 1):
+            q[:, :WIDTH] += table.take(at * POSITIONS + k, axis=0, out=x, mode="clip")
         # one set of noise classes for all places of a step: its scores are a matrix product
         drawn = np.searchsorted(self.noise_total, self.rng.random(NOISE) * self.noise_total[-1], side="right").clip(0, len(r) - 1)
         bad = r[drawn]
@@ -379,21 +403,23 @@ class Shard:
         for j in range(WIDTH + 1):
             r_grad[:, j] = np.bincount(target, pulled[j], len(r))
         np.add.at(r_grad, drawn, down.T @ q)
-        self.by_context[:] = 0
+        by_context = np.zeros((POSITIONS * WIDTH, len(used)), np.float32)
         for k, at in enumerate(context):
-            at = at - k * contexts
             for j in range(WIDTH):
-                np.add.at(self.by_context[k * WIDTH + j], at, columns[j])
-        e_grad[:] = (np.concatenate(c, axis=1) @ self.by_context).T
-        for m, own_grad in zip(c_grad, np.split(self.by_context @ e, POSITIONS), strict=True):
+                np.add.at(by_context[k * WIDTH + j], at, columns[j])
+        e_grad[:] = (mixed @ by_context).T
+        for m, own_grad in zip(c_grad, np.split(by_context @ e, POSITIONS), strict=True):
             m[:] = own_grad.T
-        self.grad *= 100 / n
-        self.squares += np.multiply(self.grad, self.grad, out=self.held)
-        self.grad *= rate
+        grad *= 100 / n
+        squares = self.squares.take(live, axis=0)
+        squares += grad * grad
+        self.squares[live] = squares
+        grad *= rate
         for m in c_grad:
             m *= 0.1
-        self.grad /= np.sqrt(self.squares, out=self.held)
-        self.rows += self.grad
+        grad /= np.sqrt(squares, out=squares)
+        rows += grad
+        self.rows[live] = rows
 
 
 def _added(where: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -494,10 +520,12 @@ def _sum_words(shared):
         for part in parts:
             for codes, bounds in _decoded(part.column(0), part.column(1), SUMMED):
                 at = places.take(codes)
-                v = model.vectors(codes, bounds).T.astype(np.float64, order="C")
-                for j in range(WIDTH + 1):
-                    np.add.at(near[j], at, v[j])
-                v = v[:WIDTH]
+                q, v = model.vectors(codes, bounds), np.empty((WIDTH, len(codes)))
+                for i in range(0, len(q), BLOCK):
+                    v[:, i : i + BLOCK] = q[i : i + BLOCK, :WIDTH].T
+                for j in range(WIDTH):
+                    near[j] += np.bincount(at, v[j], near.shape[1])
+                near[WIDTH] += np.bincount(at, minlength=near.shape[1])
                 square += v @ v.T
         used = np.flatnonzero(near[WIDTH])
         rank, n = np.append(used, near.shape[1] + np.arange(WIDTH)), np.append(near[WIDTH, used], np.zeros(WIDTH)).astype(np.int64)
@@ -595,6 +623,18 @@ def _trained(encoded: DataFrame, model: Model, shards: int, rounds: int) -> np.n
     return rows
 
 
+def _once(words: np.ndarray, gain: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's words once, with how often they occur in it and the sums of gain, and documents + 1 places in them."""
+    n = len(bounds) - 1
+    doc = np.repeat(np.arange(n, dtype=np.uint16 if n <= 1 << 16 else np.int64), np.diff(bounds))
+    order = np.argsort(words)
+    order = order.take(np.argsort(doc.take(order), kind="stable"))
+    words, doc = words.take(order), doc.take(order)
+    first = np.flatnonzero(np.append(True, (words[1:] != words[:-1]) | (doc[1:] != doc[:-1]))) if len(words) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(gain.take(order), first) if len(words) else gain
+    return words.take(first), np.diff(np.append(first, len(words))), sums, np.searchsorted(first, bounds)
+
+
 def _score(shared):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -613,7 +653,7 @@ def _score(shared):
                 far = np.flatnonzero(~known)
                 # a word that turns out to have been seen gets the difference, and its count
                 seen, score[far] = score[far], model.unseen
-                far_bounds = np.searchsorted(far, bounds)
+                word, times, gain, far_bounds = _once(hashes[far], seen - model.unseen, np.searchsorted(far, bounds))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(first_uid + row_of_task + np.arange(n)),
@@ -625,7 +665,7 @@ def _score(shared):
                         pa.array(np.add.reduceat(score, bounds[:-1])),
                         pa.ListArray.from_arrays(
                             pa.array(far_bounds.astype(np.int32)),
-                            pa.StructArray.from_arrays([pa.array(hashes[far].view(np.int64)), pa.array((seen - model.unseen).astype(np.float32))], names=["word", "gain"]),
+                            pa.StructArray.from_arrays([pa.array(word.view(np.int64)), pa.array(times.astype(np.int32)), pa.array(gain.astype(np.float32))], names=["word", "times", "gain"]),
                         ),
                     ],
                     names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
@@ -671,10 +711,10 @@ def score_texts(docs: DataFrame, model: Model, words: DataFrame, *, id_col: str
     id_type = rows.schema["doc_id"].dataType.simpleString()
     scored = rows.mapInArrow(
         _score(context.broadcast(model)),
-        f"uid long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:long,gain:float>>",
+        f"uid long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:long,times:int,gain:float>>",
     )
     scored = staged(scored, "scored")
-    rare = scored.select("uid", F.inline("rare")).groupBy("uid", "word").agg(F.count("*").alias("times"), F.sum("gain").alias("gain")).join(words.select("word", "n"), "word")
+    rare = scored.select("uid", F.inline("rare")).join(words.select("word", "n"), "word")
     rare = rare.groupBy("uid").agg(
         F.sum("times").alias("known"),
         F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"),

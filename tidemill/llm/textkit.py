@@ -94,9 +94,10 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
         self.data = data
-        self.lower = LOWER[data]
+        raw = data.tobytes()
+        self.lower = np.frombuffer(raw.translate(LOWER.tobytes()), np.uint8)
         self.offsets = offsets
-        inside = is_word[data]
+        inside = np.frombuffer(raw.translate(is_word.tobytes()), bool)
         before = np.empty_like(inside)
         after = np.empty_like(inside)
         if len(data):
