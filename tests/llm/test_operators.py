@@ -237,6 +237,33 @@ def test_token_blocks():
     assert (file.ids(1500, 2700) == ids[1500:4200]).all()
 
 
+def test_token_blocks_together():
+    """Blocks that are packed together are those that are packed one by one."""
+    rng, block = np.random.default_rng(9), tokenfile.BLOCK
+    for n in (0, block - 1, block, 3 * block + 5, (tokenfile.TOGETHER + 3) * block + 1):
+        for top in (1, 2, 5, 300, 50_257, 2**17, 2**25, 2**31, 2**32):
+            ids = rng.integers(0, top, n).astype(np.uint32)
+            ids[rng.integers(0, n, n // 60) if n else []] = rng.integers(0, 2**32, n // 60)
+            assert tokenfile.encode_blocks(ids) == [tokenfile.encode_block(ids[i : i + block]) for i in range(0, n, block)]
+            file = tokenfile.TokenFile(tokenfile.encode_file(ids, [(1, n, True)], 0, 0))
+            for at, size in ((0, n), (n // 3, n // 2), (n, 0)):
+                assert np.array_equal(file.ids(at, size), ids[at : at + size])
+
+
+def test_token_files_are_read_once(spark):
+    """Documents over a file's edge, and the others, come from one reading of the files."""
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    rng = random.Random(23)
+    df = frame(spark, [sentence(rng, rng.randrange(120)) for _ in range(40)])
+    folder = tokenfile.write_token_files(df, path, file_ids=100)
+    rows = tokenfile.token_rows(spark, folder)
+    assert "binaryFile" not in rows._jdf.queryExecution().executedPlan().toString()
+    whole = tokenfile.read_token_files(spark, folder).where("ends and (place > 0 or number = 0)").collect()
+    found = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in rows.collect()}
+    assert 0 < len(whole) < len(found) == 40
+    assert all(found[r.doc_id] == (len(r.ids) // 4, zlib.crc32(r.ids)) for r in whole)
+
+
 def best_fit_by_hand(items, capacity, per_source):
     """Every bin is looked at for every item: of the compatible ones the one with the least room, for the longest time."""
     room, inside, out, since = [], [], [], []

@@ -53,6 +53,8 @@ HEAD = struct.Struct("<8sIQIII")
 BLOCK_HEAD = struct.Struct("<IBH")
 BLOCK = 1024
 PERCENTILE = 95
+#: blocks that are packed or unpacked at once
+TOGETHER = 256
 #: ids of a file: about 35 MB
 FILE_IDS = 16_000_000
 END_ID = 0
@@ -89,9 +91,75 @@ def decode_block(data: memoryview, n: int) -> np.ndarray:
     return (gaps + np.uint64(least)).astype(np.uint32)
 
 
+def _lanes(width: int) -> list[tuple[int, int, int, int]]:
+    """(id, first byte, last byte, shift) of each of eight ids of `width` bits, which take `width` bytes together."""
+    return [(j, j * width // 8, (j * width + width - 1) // 8, j * width % 8) for j in range(8 if width else 0)]
+
+
+def encode_blocks(ids: np.ndarray) -> list[bytes]:
+    """What encode_block makes of each BLOCK ids."""
+    whole = ids[: len(ids) // BLOCK * BLOCK].reshape(-1, BLOCK)
+    out = [b for i in range(0, len(whole), TOGETHER) for b in _packed(whole[i : i + TOGETHER])]
+    return out + ([encode_block(ids[whole.size :])] if whole.size < len(ids) else [])
+
+
+def _packed(whole: np.ndarray) -> list[bytes]:
+    """Some whole blocks; those of one width are packed together."""
+    out = [b""] * len(whole)
+    least = whole.min(axis=1, keepdims=True)
+    gaps = whole - least
+    widths = np.frexp(np.sort(gaps, axis=1)[:, (BLOCK * PERCENTILE - 1) // 100].astype(np.float64))[1]
+    for width in np.unique(widths).tolist():
+        own = np.flatnonzero(widths == width)
+        kind = np.uint32 if width <= 24 else np.uint64
+        some = gaps[own]
+        eights = np.ascontiguousarray(some.reshape(-1, 8).T, kind) & kind((1 << width) - 1)
+        packed = np.zeros((width, eights.shape[1]), np.uint8)
+        for j, first, last, shift in _lanes(width):
+            value = eights[j] << kind(shift)
+            for k in range(first, last + 1):
+                packed[k] |= (value >> kind(8 * (k - first))).astype(np.uint8)
+        packed = np.ascontiguousarray(packed.T).reshape(len(own), BLOCK // 8 * width)
+        late = np.flatnonzero(some > np.uint32((1 << width) - 1))
+        values = (some.ravel().take(late).astype(np.uint64) >> np.uint64(width)).astype("<u4")
+        ends, late = np.searchsorted(late, np.arange(len(own) + 1) * BLOCK), (late % BLOCK).astype("<u2")
+        for i, k in enumerate(own.tolist()):
+            a, b = ends[i], ends[i + 1]
+            out[k] = BLOCK_HEAD.pack(least[k, 0], width, b - a) + packed[i].tobytes() + late[a:b].tobytes() + values[a:b].tobytes()
+    return out
+
+
+def decode_blocks(blocks: list[memoryview]) -> np.ndarray:
+    """The ids of whole blocks."""
+    out = np.empty((len(blocks), BLOCK), np.uint32)
+    for i in range(0, len(blocks), TOGETHER):
+        _unpack(blocks[i : i + TOGETHER], out[i : i + TOGETHER])
+    return out.ravel()
+
+
+def _unpack(blocks: list[memoryview], out: np.ndarray) -> None:
+    heads = [BLOCK_HEAD.unpack_from(b) for b in blocks]
+    least, widths, late = np.array(heads, np.int64).reshape(-1, 3).T
+    for width in np.unique(widths).tolist():
+        own, size = np.flatnonzero(widths == width), BLOCK // 8 * width
+        packed = np.frombuffer(b"".join(blocks[k][BLOCK_HEAD.size : BLOCK_HEAD.size + size] for k in own.tolist()), np.uint8).reshape(len(own) * BLOCK // 8, width)
+        packed, kind = np.ascontiguousarray(packed.T), np.uint32 if width <= 24 else np.uint64
+        gaps = np.zeros((8, len(own) * BLOCK // 8), kind)
+        for j, first, last, shift in _lanes(width):
+            for k in range(first, last + 1):
+                gaps[j] |= packed[k].astype(kind) << kind(8 * (k - first))
+            gaps[j] >>= kind(shift)
+            gaps[j] &= kind((1 << width) - 1)
+        out[own] = gaps.T.reshape(len(own), BLOCK)
+        for k in own[late[own] > 0].tolist():
+            places = np.frombuffer(blocks[k], "<u2", late[k], BLOCK_HEAD.size + size)
+            out[k, places] |= np.frombuffer(blocks[k], "<u4", late[k], BLOCK_HEAD.size + size + 2 * late[k]) << np.uint32(width)
+    out += least.astype(np.uint32)[:, None]
+
+
 def encode_file(ids: np.ndarray, docs: list[tuple[int | None, int, bool]], part: int, number: int) -> bytes:
     """docs: doc_id, how many of the ids, whether the document ends here."""
-    blocks = [encode_block(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
+    blocks = encode_blocks(ids)
     index = np.concatenate([[0], np.cumsum([len(b) for b in blocks], dtype=np.int64)]).astype("<u8")
     table = [
         np.array([d[0] or 0 for d in docs], "<i8").tobytes(),
@@ -121,8 +189,10 @@ class TokenFile:
 
     def ids(self, start: int, n: int) -> np.ndarray:
         first, last = start // BLOCK, (start + n + BLOCK - 1) // BLOCK
-        parts = [decode_block(self.data[self.body + int(self.index[b]) : self.body + int(self.index[b + 1])], min(BLOCK, self.n_ids - b * BLOCK)) for b in range(first, last)]
-        return np.concatenate([*parts, np.zeros(0, np.uint32)])[start - first * BLOCK : start - first * BLOCK + n]
+        places = (self.body + self.index[first : last + 1].astype(np.int64)).tolist()
+        blocks = [self.data[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
+        rest = [decode_block(blocks.pop(), self.n_ids % BLOCK)] if last * BLOCK > self.n_ids else []
+        return np.concatenate([decode_blocks(blocks), *rest])[start - first * BLOCK : start - first * BLOCK + n]
 
 
 _B = np.arange(256)
@@ -338,46 +408,60 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     return folder
 
 
-def _read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in parts:
-        for content in batch.column(0):
-            file = TokenFile(content.as_buffer())
-            begin = np.concatenate([[0], np.cumsum(file.counts, dtype=np.int64)])
-            ids = file.ids(0, file.n_ids).astype("<u4")
-            n = len(file.counts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n, file.part, np.int64)),
-                    pa.array(np.full(n, file.number, np.int64)),
-                    pa.array(np.arange(n, dtype=np.int64)),
-                    pa.array(file.doc_ids, pa.int64(), mask=~file.has_id),
-                    pa.array(begin[:-1]),
-                    pa.array([ids[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary()),
-                    pa.array(file.ends),
-                ],
-                names=["part", "number", "place", "doc_id", "at", "ids", "ends"],
-            )
+def _read(digests: bool):
+    """All documents' pieces with their ids; or with their counts and crc32, and with ids only where a document goes over a file's edge."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for content in batch.column(0):
+                file = TokenFile(content.as_buffer())
+                begin = np.concatenate([[0], np.cumsum(file.counts, dtype=np.int64)])
+                ids = memoryview(file.ids(0, file.n_ids).astype("<u4")).cast("B")
+                n = len(file.counts)
+                pieces = [ids[4 * a : 4 * b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+                columns = {
+                    "part": pa.array(np.full(n, file.part, np.int64)),
+                    "number": pa.array(np.full(n, file.number, np.int64)),
+                    "place": pa.array(np.arange(n, dtype=np.int64)),
+                    "doc_id": pa.array(file.doc_ids, pa.int64(), mask=~file.has_id),
+                    "at": pa.array(begin[:-1]),
+                    "ends": pa.array(file.ends),
+                }
+                if digests:
+                    edge = ~file.ends | ((np.arange(n) == 0) & (file.number > 0))
+                    columns |= {"n": pa.array(file.counts.astype(np.int64)), "crc": pa.array([zlib.crc32(x) for x in pieces], pa.int64()), "edge": pa.array(edge)}
+                    pieces = [x.tobytes() if e else None for x, e in zip(pieces, edge.tolist(), strict=True)]
+                yield pa.RecordBatch.from_pydict(columns | {"ids": pa.array(pieces, pa.binary())})
+
+    return run
+
+
+PIECES = "part long, number long, place long, doc_id long, at long, ends boolean"
+
+
+def _files(spark, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder).select("content")
 
 
 def read_token_files(spark, folder: str) -> DataFrame:
     """(part, number, place, doc_id, at, ids, ends): the pieces of documents in each file, with their ids as binary."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder)
-    return files.select("content").mapInArrow(_read, "part long, number long, place long, doc_id long, at long, ids binary, ends boolean")
+    pieces = _files(spark, folder).mapInArrow(_read(False), f"{PIECES}, ids binary")
+    return pieces.select("part", "number", "place", "doc_id", "at", "ids", "ends")
 
 
 def token_rows(spark, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files alone."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files alone, each of which is read once."""
     files = spark.read.parquet(f"{folder}/_files")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("part_base"))
     inside = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     files = files.withColumn("inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(parts, "part")
     files = staged(files.select("part", "number", (F.col("part_base") + F.col("inside")).alias("base")), "bases")
-    pieces = read_token_files(spark, folder).select("part", "number", "place", "doc_id", "at", "ends", "ids")
+    pieces = staged(_files(spark, folder).mapInArrow(_read(True), f"{PIECES}, n long, crc long, edge boolean, ids binary"), "pieces")
     pieces = pieces.join(files, ["part", "number"]).withColumn("start", F.col("base") + F.col("at"))
-    whole = pieces.where("ends and (place > 0 or number = 0)").select("doc_id", "start", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    whole = pieces.where("not edge").select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     # a document that ends in a later file than it began in: all pieces at a file's edge, put together
-    edge = pieces.where("not ends or (place = 0 and number > 0)")
+    edge = pieces.where("edge")
     ended = Window.partitionBy("part").orderBy("number", "place").rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("which", F.coalesce(F.sum(F.col("ends").cast("long")).over(ended), F.lit(0)))
     edge = edge.groupBy("part", "which").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("start", "ids"))).alias("pieces"))
@@ -396,4 +480,4 @@ def _crc_of(pieces: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["n", "crc"])
 
 
-__all__ = ["TokenFile", "decode_block", "encode_block", "encode_file", "read_token_files", "token_rows", "write_token_files"]
+__all__ = ["TokenFile", "decode_block", "decode_blocks", "encode_block", "encode_blocks", "encode_file", "read_token_files", "token_rows", "write_token_files"]
