@@ -85,6 +85,10 @@ def test_uncited_data(spark):
     assert one(spark, extract.uncited_data(F.lit("of 2024 " + "x" * 300))) == ["of 2024 " + "x" * 152]
 
 
+def test_uncited_data_keeps_the_digits_at_a_lines_ends(spark):
+    assert one(spark, extract.uncited_data(F.lit("0123\n 1 of 2024 in 111 "))) == ["0123", "1 of 2024 in 111"]
+
+
 def test_relations(spark):
     text = """QUYẾT ĐỊNH
 - Căn cứ Luật Báo chí ngày 05/4/2016, Nghị định số 15/2020/NĐ-CP ngày 3 tháng 2 năm 2020; Quyết định số 50/QĐ-TNVN của Tổng giám đốc;

@@ -31,6 +31,13 @@ def test_sentences(spark):
     assert one(spark, text.sentences(F.lit("a\n\nb"))) == ["a", "b"]
 
 
+def test_sentences_keep_their_figures_and_lose_their_blanks(spark):
+    # a sentence's place in the text was taken off its ends as digits, and blanks were left
+    assert one(spark, text.sentences(F.lit("0 a 0. 1.5 of 11. 2 \u00a0c\u3000"))) == ["0 a 0.", "1.5 of 11.", "2 \u00a0c"]
+    assert one(spark, text.sentences(F.lit("  0 a 0\n 1 b 1 \n\u00a0\n"))) == ["0 a 0", "1 b 1"]
+    assert one(spark, text.sentences(F.lit("a.\x0bb.\t\r\nc"))) == ["a.\x0bb.", "c"]
+
+
 @pytest.mark.parametrize(
     "raw,want",
     [

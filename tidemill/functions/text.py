@@ -116,11 +116,18 @@ def normalise_lines(c: C) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
 
 
+#: blanks that are taken off a sentence's ends: Unicode's space separators
+_BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 def sentences(c: C) -> Column:
-    """Cut after . ! ? … at white space; a text of one sentence is cut at its lines."""
-    parts = F.filter(F.transform(F.split(col(c), r"(?<=[.!?…])\s+"), F.trim), lambda s: s != "")
-    lines = F.filter(F.transform(F.split(col(c), "\n"), F.trim), lambda s: s != "")
-    return F.when(F.size(parts) > 1, parts).otherwise(lines)
+    """Cut after . ! ? … at white space (blank, tab, \\n, \\f, \\r); a text of one sentence is cut at its lines."""
+
+    def cut(pattern: str) -> Column:
+        # a function with two parameters would get the place as its second: F.trim itself would cut that number's digits off
+        return F.filter(F.transform(F.split(col(c), pattern), lambda s: F.btrim(s, F.lit(_BLANKS))), lambda s: s != "")
+
+    return let(cut(r"(?<=[.!?…])[ \t\n\f\r]+"), lambda parts: F.when(F.size(parts) > 1, parts).otherwise(cut("\n")))
 
 
 def estimate_tokens(c: C) -> Column:
