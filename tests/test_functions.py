@@ -233,3 +233,18 @@ def test_head_and_tail_are_bytes(spark):
     assert one(spark, text.head_tail(F.lit("aéééééééz"), 4, 2)) == "aé\n... [10 bytes omitted] ...\nz"
     assert one(spark, text.head_tail(F.lit("🙂" * 9), 6, 9)) == "🙂\n... [21 bytes omitted] ...\n🙂🙂"
     assert one(spark, text.sliced(F.lit("abcdef"), 2, 3)) == "cde"
+
+
+def test_lines_folded_together_are_those_folded_alone(spark):
+    lines = ["Đỗ  Văn A", "", " ﬁ ĲSSEL¨ ", "e\u0301\u00a0\t x", "a\x01b", "ASCII  \x0b only", "ß"]
+    got = one(spark, text.folded_lines(F.array(*map(F.lit, lines))))
+    assert got == [one(spark, text.fold(F.lit(x.replace("\x01", "\x02")))) for x in lines]
+    assert one(spark, text.folded_lines(F.array().cast("array<string>"))) == []
+    assert one(spark, text.folded_lines(F.lit(None).cast("array<string>"))) is None
+
+
+def test_administrative_fields_of_one_file_are_dealt_to_all_cores(spark):
+    from tidemill import function_queries
+
+    out = function_queries.administrative_fields(spark, "/root/testdata/sf0.001")
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .catalog_queries import CORPUS, corpus, query, read
 from .functions import administrative, dates, extract, ids, text, vectors
 from .operators import catalog, conversations, retrieval, telemetry
+from .sources import files
 
 NL = "chr(10)"
 
@@ -111,7 +112,7 @@ def administrative_fields(spark, sf_dir):
     role = F.when(k % 5 == 0, "Người lập").when(k % 5 == 1, "KT. GIÁM ĐỐC").when(k % 5 == 2, "THỨ TRƯỞNG").otherwise("TL. Chánh văn phòng")
     tail = F.split(F.concat(F.lit("Giám đốc đã duyệt.\n# "), role, F.lit("\n(Đã ký)\nNơi nhận: VT\n  NGUYỄN thị Hoa  \nLưu kho")), "\n")
     tail = F.when(k % 5 == 0, F.slice(tail, 2, 9)).otherwise(tail)
-    out = read(spark, sf_dir, "orders").select(k.alias("id"), administrative.issuer(head).alias("issuer"), administrative.subject(head).alias("subject"), administrative.signatory(tail).alias("s"))
+    out = files.spread(read(spark, sf_dir, "orders")).select(k.alias("id"), administrative.issuer(head).alias("issuer"), administrative.subject(head).alias("subject"), administrative.signatory(tail).alias("s"))
     return out.select("id", *(F.coalesce(c, F.lit("")).alias(n) for n, c in (("issuer", F.col("issuer")), ("subject", F.col("subject")), ("name", F.col("s.name")), ("role", F.col("s.role")))))
 
 

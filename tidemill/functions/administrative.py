@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import C, col, fold, fold_value, let
+from .text import C, col, fold_value, folded_lines, let
 
 #: Issuers that are known by name, folded, with the form that is shown.
 ISSUERS = {
@@ -79,21 +79,26 @@ def _begins(words: tuple[str, ...]) -> str:
 
 def issuer(lines: C) -> Column:
     """The known name, or the organisation, of the first of the first lines that has one."""
-    found: Column = F.lit(None).cast("string")
     known = "|".join(sorted(ISSUERS, key=len, reverse=True))
     shown = F.create_map(*(F.lit(x) for pair in ISSUERS.items() for x in pair))
-    organisation = r"\b(?:" + "|".join(sorted(ORGANISATIONS, key=len, reverse=True)) + r")\s+[a-z][a-z0-9 –-]{2,59}"
+    after_name = "(?:" + "|".join(sorted(ORGANISATIONS, key=len, reverse=True)) + r")\s+[a-z][a-z0-9 –-]{2,59}"
+    organisation = rf"\b{after_name}"
 
-    def of(line: Column) -> Column:
-        def from_folded(line: Column, t: Column) -> Column:
-            name, start = F.regexp_extract(t, rf"\b({known})\b", 1), F.regexp_extract(t, rf"^(.*?){organisation}", 1)
-            # folding keeps letters one by one in these lines, so that the place in the folded line is that in the line
-            own = F.substring(line, F.length(start) + 1, F.length(F.regexp_extract(t, organisation, 0)))
-            return F.when(t.rlike(_begins(NO_ISSUER)), found).when(name != "", F.try_element_at(shown, name)).when(t.rlike(organisation), _capitalised(F.trim(own)))
+    def of(line: Column, t: Column) -> Column:
+        name, start = F.regexp_extract(t, rf"\b({known})\b", 1), F.regexp_extract(t, rf"^(.*?){organisation}", 1)
+        # folding keeps letters one by one in these lines, so that the place in the folded line is that in the line
+        tidy = F.trim(F.regexp_replace(line, r"(?U)\s+", " "))
+        own = F.substring(tidy, F.length(start) + 1, F.length(F.regexp_extract(t, organisation, 0)))
+        return F.when(name != "", F.try_element_at(shown, name)).otherwise(_capitalised(F.trim(own)))
 
-        return let(F.trim(F.regexp_replace(line, r"(?U)\s+", " ")), lambda tidy: let(fold(tidy), lambda t: from_folded(tidy, t)))
+    def decided(x: Column) -> Column:
+        def with_folded(folded: Column) -> Column:
+            at = _place(folded, lambda t, _: t.rlike(rf"\b(?:(?:{known})\b|{after_name})") & ~t.rlike(_begins(NO_ISSUER))).cast("int")
+            return let(at, lambda a: F.when(a > 0, of(F.get(x, a - 1), F.get(folded, a - 1))))
+
+        return let(folded_lines(x), with_folded)
 
-    return F.get(F.filter(F.transform(F.slice(bare_lines(lines), 1, ISSUER_LINES), of), lambda x: x.isNotNull()), F.lit(0))
+    return let(F.slice(bare_lines(lines), 1, ISSUER_LINES), decided)
 
 
 def subject(lines: C) -> Column:
@@ -106,25 +111,32 @@ def subject(lines: C) -> Column:
     named, small = r"(?U)^(.*?)(?<!\w)(?:V/v|Về|VỀ)[\s.:]+(.+)$", r"(?U)^(?:v/v|về)[\s.:]+(.+)$"
 
     def decided(x: Column) -> Column:
-        def stops(line: Column) -> Column:
-            return fold(line).rlike(ends)
-
         def opens(line: Column, i: Column) -> Column:
             before = F.btrim(F.regexp_extract(line, named, 1), F.lit(" :"))
-            behind_type = line.rlike(named) & ((before == "") | (_is_upper(before) & (F.length(before) <= LONGEST_TYPE)))
-            return behind_type | (line.rlike(small) & (i > 0) & _is_upper(F.get(x, i - 1)))
+            # few lines have the words at all, which is cheaper to see than the pattern
+            behind_type = (F.contains(line, F.lit("V/v")) | F.contains(line, F.lit("Về")) | F.contains(line, F.lit("VỀ"))) & line.rlike(named)
+            behind_type = behind_type & let(before, lambda b: (b == "") | ((F.length(b) <= LONGEST_TYPE) & _is_upper(b)))
+            under_type = (line.startswith("v/v") | line.startswith("về")) & line.rlike(small) & (i > 0) & _is_upper(F.get(x, i - 1))
+            return behind_type | under_type
+
+        def with_folded(folded: Column) -> Column:
+            def with_place(at: Column) -> Column:
+                line = F.get(x, at - 1)
+                rest = F.when(line.rlike(small), F.regexp_extract(line, small, 1)).otherwise(F.regexp_extract(line, named, 2))
+                more = F.transform(F.sequence(at, at + (CONTINUED - 1)), lambda n: F.struct(F.get(x, n).alias("n"), (F.substring(F.get(x, n), 1, 1).rlike(r"(?U)^\p{Ll}") & ~F.get(folded, n).rlike(ends)).alias("on")))
 
-        def with_place(at: Column) -> Column:
-            line = F.get(x, at - 1)
-            rest = F.when(line.rlike(small), F.regexp_extract(line, small, 1)).otherwise(F.regexp_extract(line, named, 2))
-            more = F.transform(F.slice(x, at + 1, F.lit(CONTINUED)), lambda n: F.struct(n.alias("n"), (F.substring(n, 1, 1).rlike(r"(?U)^\p{Ll}") & ~stops(n)).alias("on")))
-            first, second = F.get(more, F.lit(0)), F.get(more, F.lit(1))
-            parts = F.concat(rest, F.when(first["on"], F.concat(F.lit(" "), first["n"], F.when(second["on"], F.concat(F.lit(" "), second["n"])).otherwise(""))).otherwise(""))
-            clean = F.btrim(F.regexp_replace(parts, r"(?U)\s+", " "), F.lit(" ,.;"))
-            return F.when(clean != "", F.concat(F.when(F.lower(clean).startswith("việc"), "Về ").otherwise("Về việc "), clean))
+                def joined(m: Column) -> Column:
+                    first, second = F.get(m, F.lit(0)), F.get(m, F.lit(1))
+                    parts = F.concat(rest, F.when(first["on"], F.concat(F.lit(" "), first["n"], F.when(second["on"], F.concat(F.lit(" "), second["n"])).otherwise(""))).otherwise(""))
+                    return F.btrim(F.regexp_replace(parts, r"(?U)\s+", " "), F.lit(" ,.;"))
 
-        end = F.coalesce(_place(x, lambda line, _: stops(line)), F.size(x) + 1)
-        return let(_place(F.slice(x, F.lit(1), (end - 1).cast("int")), opens).cast("int"), with_place)
+                clean = let(more, joined)
+                return F.when(at > 0, let(clean, lambda c: F.when(c != "", F.concat(F.when(F.lower(c).startswith("việc"), "Về ").otherwise("Về việc "), c))))
+
+            end = F.coalesce(_place(folded, lambda t, _: t.rlike(ends)), F.size(x) + 1)
+            return let(_place(F.slice(x, F.lit(1), (end - 1).cast("int")), opens).cast("int"), with_place)
+
+        return let(folded_lines(x), with_folded)
 
     return let(bare_lines(lines), decided)
 
@@ -143,22 +155,27 @@ def _role(folded: Column) -> Column:
 
 def signatory(lines: C) -> Column:
     """struct(name, role): the office of the last line that names one, and the first name of two to five words behind it."""
+    offices = "|".join(fold_value(o) for o in sorted((o for pair in OFFICES for o in pair), key=len, reverse=True))
+    any_office = rf"\b(?:(?:kt[./]|k/t|ky thay)\s*)?(?:{offices})\b"
 
     def decided(x: Column) -> Column:
-        roles = F.transform(x, lambda line: let(fold(line), lambda t: F.struct(line.alias("line"), t.alias("folded"), _role(t).alias("role"))))
+        def with_folded(folded: Column) -> Column:
+            back = F.array_position(F.transform(F.reverse(folded), lambda t: t.rlike(any_office)), True).cast("int")
+
+            def with_place(at: Column) -> Column:
+                behind = (F.slice(lines, at + 1, F.greatest(F.size(x), F.lit(1))) for lines in (x, folded))
+                behind = F.zip_with(*behind, lambda line, t: F.struct(line.alias("line"), t.alias("folded")))
 
-        def with_roles(r: Column) -> Column:
-            back = F.array_position(F.transform(F.reverse(r), lambda y: y["role"].isNotNull()), True).cast("int")
-            at = F.size(r) - back + 1
+                def is_name(y: Column) -> Column:
+                    letters = y["line"].rlike(r"(?U)^[\p{L}\s]+$")
+                    fine = let(F.split(F.lower(y["line"]), r"\s+"), lambda w: F.size(w).between(2, 5) & ~F.arrays_overlap(w, F.array(*map(F.lit, NO_NAME))))
+                    return letters & fine & ~y["folded"].rlike(SIGNED)
 
-            def is_name(y: Column) -> Column:
-                words = F.split(F.lower(y["line"]), r"\s+")
-                letters = y["line"].rlike(r"(?U)^[\p{L}\s]+$")
-                return y["role"].isNull() & letters & F.size(words).between(2, 5) & ~F.arrays_overlap(words, F.array(*map(F.lit, NO_NAME))) & ~y["folded"].rlike(SIGNED)
+                name = F.get(F.filter(behind, is_name), F.lit(0))["line"]
+                return F.when(at <= F.size(x), F.struct(_capitalised(name).alias("name"), _role(F.get(folded, at - 1)).alias("role")))
 
-            name = F.get(F.filter(F.slice(r, at + 1, F.greatest(F.size(r), F.lit(1))), is_name), F.lit(0))["line"]
-            return F.when(back > 0, F.struct(_capitalised(name).alias("name"), F.get(r, at - 1)["role"].alias("role")))
+            return let(F.size(x) - back + 1, with_place)
 
-        return let(roles, with_roles)
+        return let(folded_lines(x), with_folded)
 
     return let(bare_lines(lines), decided)

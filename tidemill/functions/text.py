@@ -34,9 +34,18 @@ def _fold_table() -> tuple[str, str, dict[str, str]]:
     return "".join(source), "".join(target), wide
 
 
+def _ranges(chars: list[str], gap: int) -> list[tuple[str, str]]:
+    """First and last characters of runs of sorted characters, over gaps of so many others."""
+    out: list[tuple[str, str]] = []
+    for c in chars:
+        out[-1:] = [(out[-1][0], c)] if out and ord(c) - ord(out[-1][1]) <= gap + 1 else [*out[-1:], (c, c)]
+    return out
+
+
 _FROM, _TO, _WIDE = _fold_table()
 del _WIDE["ß"]
-_IS_WIDE = f"[{''.join(_WIDE)}]"
+#: a class of single characters is tried one by one: the ranges that they lie in, with up to 32 others between two of them
+_IS_WIDE = "[" + "".join(f"{a}-{b}" for a, b in _ranges(sorted(_WIDE), 32)) + "]"
 #: white space that is not one plain space between words; the second for texts of ASCII only
 _SPACES, _ASCII_SPACES = r"(?U)[\s&&[^ ]]\s*| \s+", r"[\t-\r]\s*| \s+"
 
@@ -47,14 +56,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _letters(c: C, tidy: Callable[[Column, str], Column]) -> Column:
+    def is_ascii(t: Column) -> Column:
+        return F.octet_length(t) == F.length(t)
+
     def letters(narrow: Column) -> Column:
         # ligatures and their like: few texts have one
         spelled = reduce(lambda t, w: F.replace(t, F.lit(w), F.lit(_WIDE[w])), _WIDE, narrow)
-        return tidy(F.lower(F.regexp_replace(F.when(narrow.rlike(_IS_WIDE), spelled).otherwise(narrow), r"\p{M}+", "")), _SPACES)
+        other = F.lower(F.regexp_replace(F.when(narrow.rlike(_IS_WIDE), spelled).otherwise(narrow), r"\p{M}+", ""))
+        # most texts have no other letters left by then, and no marks to look for
+        return F.when(is_ascii(narrow), tidy(F.lower(narrow), _ASCII_SPACES)).otherwise(tidy(other, _SPACES))
 
     def text(t: Column) -> Column:
-        narrow = F.replace(F.translate(t, _FROM, _TO), F.lit("ß"), F.lit("ss"))
-        return F.when(F.octet_length(t) == F.length(t), tidy(F.lower(t), _ASCII_SPACES)).otherwise(let(narrow, letters))
+        return let(F.when(is_ascii(t), t).otherwise(F.replace(F.translate(t, _FROM, _TO), F.lit("ß"), F.lit("ss"))), letters)
 
     return let(col(c), text)
 
@@ -64,6 +77,17 @@ def fold(c: C) -> Column:
     return F.trim(_letters(c, lambda t, spaces: F.regexp_replace(t, spaces, " ")))
 
 
+#: parts lines that are folded together, and what stands for it where a line has it: no pattern knows either
+_SEAM, _OWN_SEAM = "\x01", "\x02"
+
+
+def folded_lines(lines: C) -> Column:
+    """The folded form of each line that is not null, in order: all lines are folded as one text."""
+    joined = F.array_join(F.transform(col(lines), lambda x: F.replace(x, F.lit(_SEAM), F.lit(_OWN_SEAM))), _SEAM)
+    folded = F.split(_letters(joined, lambda t, spaces: F.regexp_replace(t, spaces, " ")), _SEAM)
+    return F.when(F.size(col(lines)) > 0, F.transform(folded, lambda t: F.trim(t))).when(F.size(col(lines)) == 0, F.array().cast("array<string>"))
+
+
 def folded_words(c: C) -> Column:
     """The folded words of a text, in order, repeats included: runs of letters and digits."""
     return F.filter(F.split(_letters(c, lambda t, _: t), r"[^\p{L}\p{N}]+"), lambda w: w != "")
