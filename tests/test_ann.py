@@ -64,3 +64,12 @@ def test_awkward_vectors(spark):
     assert got == [(1, "a", 1), (1, "b", 2)]
     assert ann.ann(q.where("query_id > 1"), path).count() == 0
     assert ann.build_index(df.where("chunk_id in ('z', 'n')"), shared_path(spark, "test")) is None
+
+
+def test_narrow_vectors_are_searched_in_one_block(spark, chunks, monkeypatch):
+    """A block is as many bytes whatever the width: 75 queries of 24 components are no four searches of 20."""
+    path = shared_path(spark, "test")
+    ann.build_index(chunks, path, lists=8)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 20)
+    plan = ann.ann(asked(chunks), path)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LocalRelation") == 1

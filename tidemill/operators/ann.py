@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import dot, norm
-from .retrieval import QUERY_BLOCK, best
+from .retrieval import QUERY_BLOCK, SCORES, WIDEST, Best, best, few
 
 SAMPLE = 20_000
 LISTS = 1024
@@ -136,28 +136,30 @@ def _scored(shared, k: int, types: dict[str, pa.DataType]) -> Callable[[Iterator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, asked, centroids = shared.value
-        scores = np.full((len(queries), k), -np.inf)
-        ids = {c: np.full((len(queries), k), None, object) for c in ("chunk_id", "document_id", "list")}
+        best, ids, seen = Best(len(queries), k), [], 0
         for batch in batches:
+            if not len(batch):
+                continue
             own = batch.column("list").to_numpy(zero_copy_only=False)
             code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.int8).reshape(len(own), -1)
             scale = batch.column("scale").to_numpy(zero_copy_only=False)
-            names = {c: np.array(batch.column(c).to_pylist(), object) for c in ids}
             for at in np.unique(own):
-                who = asked.get(int(at))
-                if who is None:
-                    continue
                 rows = np.flatnonzero(own == at)
-                near = queries[who] @ (code[rows] * scale[rows, None] + centroids[at]).T
-                both = np.concatenate([scores[who], near], axis=1)
-                kept = np.argpartition(-both, k - 1, axis=1)[:, :k]
-                scores[who] = np.take_along_axis(both, kept, axis=1)
-                for c in ids:
-                    all_names = np.concatenate([ids[c][who], np.broadcast_to(names[c][rows], near.shape)], axis=1)
-                    ids[c][who] = np.take_along_axis(all_names, kept, axis=1)
-        q, place = np.nonzero(scores > -np.inf)
-        columns = [pa.array(q.astype(np.int32)), pa.array(scores[q, place]), *(pa.array(ids[c][q, place].tolist(), types[c]) for c in ids)]
-        yield pa.RecordBatch.from_arrays(columns, names=["place", "near", *ids])
+                vectors = (code[rows] * scale[rows, None] + centroids[at]).T
+                step = max(1, SCORES // len(rows))
+                probing = asked.get(int(at), ())
+                for i in range(0, len(probing), step):
+                    who = probing[i : i + step]
+                    near = queries[who] @ vectors
+                    row, column = few(near, best.score[who, k - 1], k)
+                    best.add(who[row], near[row, column], seen + rows[column])
+            ids.append(batch.select(list(types)))
+            seen += len(own)
+        if ids:
+            q, rank = np.nonzero(best.place >= 0)
+            chunks = pa.Table.from_batches(ids).take(pa.array(best.place[q, rank]))
+            columns = [pa.array(q.astype(np.int32)), pa.array(best.score[q, rank]), *(pa.concat_arrays(chunks[c].chunks) if chunks[c].num_chunks else pa.array([], types[c]) for c in types)]
+            yield pa.RecordBatch.from_arrays(columns, names=["place", "near", *types])
 
     return run
 
@@ -173,7 +175,7 @@ def ann(queries: DataFrame, path: str, k: int = 10, *, probes: int | None = None
     dim = coarse.centroids.shape[1]
     own = _clean(queries.select("query_id", "vector"), "vector", dim)
     index = spark.read.parquet(f"{path}/lists")
-    blocks = max(1, -(-own.count() // QUERY_BLOCK))
+    blocks = max(1, -(-own.count() // (QUERY_BLOCK * max(1, WIDEST // dim))))
     kinds = {f.name: f.dataType for f in index.schema.fields}
     types = {c: to_arrow_type(kinds[c]) for c in ("chunk_id", "document_id", "list")}
     out = None
@@ -190,8 +192,8 @@ def ann(queries: DataFrame, path: str, k: int = 10, *, probes: int | None = None
         found = found.withColumnRenamed("place", "query_id")
         found = best(found, "near", "near_rank", REFINE * k if exact else k).withColumnRenamed("query_id", "place")
         if exact:
-            # candidates are QUERY_BLOCK * REFINE * k at most; their queries' vectors come apart from them
-            measured = probed.select("list", "chunk_id", "embedding").join(F.broadcast(found.select("list", "chunk_id", "document_id", "place")), ["list", "chunk_id"])
+            # candidates are REFINE * k for each query of the block; their queries' vectors come apart from them
+            measured = probed.select("list", "chunk_id", "embedding").join(found.select("list", "chunk_id", "document_id", "place"), ["list", "chunk_id"])
             found = measured.join(F.broadcast(ids), "place").withColumn("score", F.try_divide(dot("vector", "embedding"), norm("vector") * norm("embedding")))
         else:
             found = found.join(F.broadcast(ids), "place").withColumn("score", F.col("near"))
